@@ -53,8 +53,9 @@ def compare(spark, con, name, folder, queries, oracles):
     if got_cols != want_cols:
         return False, f"columns {got_cols} != {want_cols}"
     if got != want:
-        diff_got = [r for r in got if r not in set(want)][:3]
-        diff_want = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        diff_got = [r for r in got if r not in need][:3]
+        diff_want = [r for r in want if r not in have][:3]
         return False, f"{len(got)} vs {len(want)} rows\n   spark {diff_got}\n   sql   {diff_want}"
     return True, f"{len(got)} rows equal"
 
