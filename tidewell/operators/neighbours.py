@@ -1,2 +1,155 @@
-def impute_knn(df, columns):
-    raise NotImplementedError
+"""Exact nearest neighbours without comparing all pairs, and imputation from them.
+
+Donors are put on a grid that gets finer level by level. Each cell keeps its count and the tight box around
+its donors. A receiver walks down the levels with a short list of cells: the k-th smallest upper distance
+bound over its cells is a radius that surely holds k donors, and cells whose nearest edge lies beyond it are
+dropped. Only donors of the few cells left are compared. The grid is as deep as the densest spot needs, so a
+hot spot costs levels, not pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewell.functions.columns import finite
+from tidewell.operators.keyed import join_on
+from tidewell.operators.ranking import top_n_per_key
+from tidewell.session import materialise
+
+GRID_BITS = 24
+LEAF_ROWS = 64
+
+
+def _near(dims: int) -> Column:
+    """Squared distance from the receiver to the nearest edge of a box."""
+    return _sum([
+        F.pow(F.greatest(F.col(f"lo{i}") - F.col(f"x{i}"), F.col(f"x{i}") - F.col(f"hi{i}"), F.lit(0.0)), 2)
+        for i in range(dims)
+    ])
+
+
+def _far(dims: int) -> Column:
+    """Squared distance from the receiver to the farthest corner of a box."""
+    return _sum([
+        F.pow(F.greatest(F.abs(F.col(f"x{i}") - F.col(f"lo{i}")), F.abs(F.col(f"x{i}") - F.col(f"hi{i}"))), 2)
+        for i in range(dims)
+    ])
+
+
+def _sum(parts: Sequence[Column]) -> Column:
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    return total
+
+
+def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataFrame:
+    """(rid, dist2, value, y0..): the k nearest donors of each receiver, ties by donor place and value.
+
+    ``receivers`` has rid and x0.., ``donors`` has value and y0... All are doubles without nulls.
+    """
+    xs, ys = [f"x{i}" for i in range(dims)], [f"y{i}" for i in range(dims)]
+    # No receiver needs more than k donors of one place.
+    donors = materialise(top_n_per_key(donors.select(*ys, "value"), ys, [F.asc("value")], k))
+    edges = donors.agg(F.count(F.lit(1)).alias("n"), *[f(y) for y in ys for f in (F.min, F.max)]).first()
+    if edges["n"] == 0:
+        empty = receivers.limit(0).select("rid", F.lit(0.0).alias("dist2"), F.lit(0.0).alias("value"))
+        return empty.select("*", *[F.lit(0.0).alias(y) for y in ys])
+    step = max(1, 6 // dims)
+    codes = []
+    for i, y in enumerate(ys):
+        low, high = edges[1 + 2 * i], edges[2 + 2 * i]
+        place = (F.col(y) - low) / (high - low) * (1 << GRID_BITS) if high > low else F.lit(0.0)
+        codes.append(F.least(F.floor(place), F.lit((1 << GRID_BITS) - 1)).cast("bigint"))
+
+    def cells(level: int) -> list[Column]:
+        return [F.shiftright(code, GRID_BITS - level).alias(f"c{i}") for i, code in enumerate(codes)]
+
+    names = [f"c{i}" for i in range(dims)]
+    box = [f(y).alias(f"{b}{i}") for i, y in enumerate(ys) for b, f in (("lo", F.min), ("hi", F.max))]
+    frontier = receivers.select("rid", *xs).withColumns({c: F.lit(0).cast("bigint") for c in names})
+    level = 0
+    while True:
+        level = min(level + step, GRID_BITS)
+        boxes = donors.groupBy(*cells(level)).agg(F.count(F.lit(1)).alias("n"), *box)
+        parents = boxes.withColumns({f"p{i}": F.shiftright(F.col(c), min(step, level)) for i, c in enumerate(names)})
+        up = parents.withColumnsRenamed({f"p{i}": f"_up{i}" for i in range(dims)})
+        same = F.lit(True)
+        for i, c in enumerate(names):
+            same = same & (frontier[c] == up[f"_up{i}"])
+        opened = frontier.join(up, same).select(
+            "rid", *xs, *[up[c] for c in names], "n", _near(dims).alias("near"), _far(dims).alias("far")
+        )
+        # The smallest far bound whose cells hold k donors in all.
+        by_far = Window.partitionBy("rid").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = Window.partitionBy("rid")
+        radius = F.min(F.when(F.col("_seen") >= k, F.col("far"))).over(whole)
+        kept = (
+            opened.withColumn("_seen", F.sum("n").over(by_far))
+            .withColumn("_radius", radius)
+            .where(F.col("_radius").isNull() | (F.col("near") <= F.col("_radius") * (1 + 1e-9)))
+        )
+        frontier = materialise(kept.select("rid", *xs, *names))
+        densest = boxes.agg(F.max("n")).first()[0]
+        if densest <= LEAF_ROWS or level == GRID_BITS:
+            break
+    placed = donors.select("*", *cells(level))
+    pairs = frontier.join(placed, names)
+    dist2 = _sum([(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(xs, ys)])
+    found = pairs.select("rid", dist2.alias("dist2"), "value", *ys)
+    return top_n_per_key(found, ["rid"], [F.asc(c) for c in ("dist2", *ys, "value")], k)
+
+
+def impute_knn(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
+    """Fill each numeric gap with the mean over the k nearest rows that have the value.
+
+    The distance uses the columns both rows have, scaled up by the share of columns compared. Rows are
+    handled per pattern of missing columns, so each search runs in one fixed set of dimensions. A row that
+    shares no column with any donor gets the column mean.
+    """
+    columns = list(columns)
+    tagged = df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
+    mask = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    rows = materialise(tagged.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_mask", mask))
+    masks = [r["_mask"] for r in rows.select("_mask").distinct().collect()]  # one per pattern
+    usable = [j for j in range(len(columns)) if any(m[j] == "1" for m in masks)]
+    gaps = [j for j in usable if any(m[j] == "0" for m in masks)]
+    if not gaps:
+        return df
+    parts = []
+    for j in gaps:
+        for receiver in (m for m in masks if m[j] == "0"):
+            for donor in (m for m in masks if m[j] == "1"):
+                shared = [i for i in usable if receiver[i] == donor[i] == "1"]
+                if not shared:
+                    continue
+                left = rows.where(F.col("_mask") == receiver).select(
+                    F.col("_rid").alias("rid"), *[F.col(columns[i]).alias(f"x{p}") for p, i in enumerate(shared)]
+                )
+                right = rows.where(F.col("_mask") == donor).select(
+                    F.col(columns[j]).alias("value"), *[F.col(columns[i]).alias(f"y{p}") for p, i in enumerate(shared)]
+                )
+                found = nearest(left, right, len(shared), k)
+                scaled = F.col("dist2") * (len(usable) / len(shared))
+                place = F.array(*[F.col(f"y{p}") for p in range(len(shared))])
+                parts.append(found.select("rid", F.lit(j).alias("j"), scaled.alias("d"), place.alias("place"), "value"))
+    filled = rows
+    if parts:
+        near = parts[0]
+        for part in parts[1:]:
+            near = near.unionByName(part)
+        best = top_n_per_key(near, ["rid", "j"], [F.asc("d"), F.asc("place"), F.asc("value")], k)
+        wide = best.groupBy(F.col("rid").alias("_rid")).agg(
+            *[F.avg(F.when(F.col("j") == j, F.col("value"))).alias(f"_fill{j}") for j in gaps]
+        )
+        filled = join_on(rows, wide, ["_rid"], "left")
+    means = rows.agg(*[F.avg(columns[j]) for j in gaps]).first()
+    for mean, j in zip(means, gaps):
+        known = [F.col(columns[j])] + ([F.col(f"_fill{j}")] if parts else [])
+        filled = filled.withColumn(columns[j], F.coalesce(*known, F.lit(mean)))
+    # Columns without a gap keep their type.
+    whole = {c: F.col(c).cast(df.schema[c].dataType) for j, c in enumerate(columns) if j not in gaps}
+    return filled.withColumns(whole).select(*df.columns) if whole else filled.select(*df.columns)
