@@ -27,18 +27,23 @@ CHAT_TOPICS = (
     (("report",), "reports"),
 )
 
-SPACE = r"\s\x1c-\x1f"
+# Unicode white space, as characters to trim and as a pattern class.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE_CLASS = r"\p{Z}\x09-\x0d\x1c-\x1f\x85"
 SECTOR_MARK = "__sector__"
 
 
 def strip(column: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(column, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(column, F.lit(SPACES))
 
 
 def clean_text(column: Column) -> Column:
     """Lower case, keep only letters, digits, underscore and white space, then trim. Null stays null."""
-    return strip(F.regexp_replace(F.lower(column), rf"(?U)[^\p{{L}}\p{{N}}_{SPACE}]", ""))
+    return strip(F.regexp_replace(F.lower(column), rf"[^\p{{L}}\p{{N}}_{SPACE_CLASS}]", ""))
 
 
 def is_invalid_token(column: Column) -> Column:

@@ -153,23 +153,41 @@ def standardise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 # ---- types, text, rules -----------------------------------------------------------------------------------
 
 
+# The types a text column may turn into, in order, with a cheap test that guards the cast.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+TYPE_CHECKS = {
+    "bigint": lambda v: v.try_cast("bigint").isNotNull(),
+    "double": lambda v: v.rlike(NUMBER),
+    "timestamp_ntz": lambda v: v.try_cast("timestamp_ntz").isNotNull(),
+}
+SAMPLE_ROWS = 1_000
+
+
+def _all_fit(df: DataFrame, checks: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The (column, type) pairs for which no value fails."""
+    if not checks:
+        return []
+    stripped = df.select(*[strip(F.col(c)).alias(c) for c in dict.fromkeys(c for c, _ in checks)])
+    row = stripped.agg(*[F.count_if(F.col(c).isNotNull() & ~TYPE_CHECKS[kind](F.col(c))) for c, kind in checks]).first()
+    return [check for check, failed in zip(checks, row) if failed == 0]
+
+
 def correct_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Text columns whose every value parses become bigint, double or timestamp; others stay text."""
+    """Text columns whose every value parses become bigint, double or timestamp; others stay text.
+
+    A few rows rule out most types at once; only the types left are checked on the whole table.
+    """
     columns = text_columns(df) if columns is None else list(columns)
-    if not columns:
+    checks = _all_fit(df.limit(SAMPLE_ROWS), [(c, kind) for c in columns for kind in TYPE_CHECKS])
+    fitting = _all_fit(df, checks)
+    if not fitting:
         return df
-    kinds = ("bigint", "double", "timestamp_ntz")
-    checks = []
-    for c in columns:
-        checks.append(F.count(c))
-        checks += [F.count(strip(F.col(c)).try_cast(kind)) for kind in kinds]
-    row = df.agg(*checks).first()
-    casts = {}
-    for i, c in enumerate(columns):
-        total, *parsed = row[4 * i : 4 * i + 4]
-        fitting = [kind for kind, n in zip(kinds, parsed) if n == total]
-        if total and fitting:
-            casts[c] = strip(F.col(c)).try_cast(fitting[0])
+    known = df.agg(*[F.count(c) for c in dict.fromkeys(c for c, _ in fitting)]).first()
+    filled = {c for c, n in zip(dict.fromkeys(c for c, _ in fitting), known) if n}
+    casts: dict[str, Column] = {}
+    for c, kind in fitting:
+        if c in filled and c not in casts:
+            casts[c] = strip(F.col(c)).try_cast(kind)
     return df.withColumns(casts) if casts else df
 
 

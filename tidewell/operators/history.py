@@ -36,6 +36,15 @@ def default_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, method string, weight double")
 
 
+def weight_state(defaults: DataFrame, performance: DataFrame) -> DataFrame:
+    """All weights as (version, family, method, weight): version 0 before, version 1 after feedback."""
+    base = defaults.select(F.lit(0).alias("version"), "family", "method", "weight")
+    runs = performance.select(F.lit("cleaning_run").alias("family"), F.col("algorithm").alias("method"), "weight")
+    start = runs.select(F.lit(0).alias("version"), "family", "method", F.lit(START_WEIGHT).alias("weight"))
+    learned = runs.select(F.lit(1).alias("version"), "family", "method", "weight")
+    return base.unionByName(base.withColumn("version", F.lit(1))).unionByName(start).unionByName(learned)
+
+
 def _ordered_scores(scores: DataFrame, newest_first: bool, n: int) -> DataFrame:
     """(i, score, algorithm, all): the first n scores in time order; n bounds the single array."""
     order = [F.desc(c) if newest_first else F.asc(c) for c in SCORE_ORDER]

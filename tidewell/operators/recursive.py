@@ -41,18 +41,18 @@ class Arima:
     def summarise(cls, rows: pd.DataFrame, first: bool) -> np.ndarray | None:
         if first and len(rows) < MIN_POINTS:
             return None
-        u = np.zeros_like(cls.thetas)
-        v = np.zeros_like(cls.thetas)
-        g = np.zeros_like(u) if first else np.ones_like(u)
-        sums = np.zeros((6, len(u)))
-        for y, y1, y2 in rows[["y", "y1", "y2"]].to_numpy(dtype=float):
-            if np.isnan(y2):
-                continue
-            u = (y - y1) - cls.thetas * u
-            v = (y1 - y2) - cls.thetas * v
-            g = -cls.thetas * g
-            sums += (u * u, u * v, v * v, u * g, v * g, g * g)
-        return np.vstack([g, u, v, sums])
+        y, y1, y2 = rows[["y", "y1", "y2"]].to_numpy(dtype=float).T
+        known = ~np.isnan(y2)
+        drive = np.stack([(y - y1)[known], (y1 - y2)[known], np.zeros(known.sum())], axis=1)[:, :, None]
+        # u, v and g of every row, for all thetas at once.
+        run = np.zeros((len(drive) + 1, 3, len(cls.thetas)))
+        run[0, 2] = 0.0 if first else 1.0
+        for i in range(len(drive)):
+            np.multiply(-cls.thetas, run[i], out=run[i + 1])
+            run[i + 1] += drive[i]
+        u, v, g = run[1:].transpose(1, 0, 2)
+        sums = [np.einsum("ij,ij->j", p, q) for p, q in ((u, u), (u, v), (v, v), (u, g), (v, g), (g, g))]
+        return np.vstack([run[-1, 2], run[-1, 0], run[-1, 1], *sums])
 
     @staticmethod
     def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -289,6 +289,22 @@ def pairs(data):
     return history.feedback_predictions(rated(data), data.users, data.ai_predictions)
 
 
+_DEFAULTS = ", ".join(
+    f"('{family}', '{method}', {w})" for family, methods in history.DEFAULT_WEIGHTS.items() for method, w in methods.items()
+)
+
+
+@query(
+    "weight_state",
+    f"""WITH {RATED}, v(version) AS (VALUES (0), (1)), b(family, method, weight) AS (VALUES {_DEFAULTS})
+    SELECT CAST(version AS INT) AS version, family, method, CAST(weight AS DOUBLE) AS weight FROM b, v
+    UNION ALL SELECT 0, 'cleaning_run', algorithm, 0.5 FROM ap
+    UNION ALL SELECT 1, 'cleaning_run', algorithm, round(weight, 6) FROM ap""",
+)
+def _(data):
+    return rounded(history.weight_state(history.default_weights(data.spark), performance(data)), "weight")
+
+
 @query(
     "adjusted_confidence",
     f"""WITH {RATED}, la AS (SELECT prediction_type, (rating - confidence) * 0.05 AS a FROM fp QUALIFY row_number() OVER (

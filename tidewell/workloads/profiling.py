@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import clean, profile
+from tidewell.session import materialise
 from tidewell.workloads.registry import query
 
 COLUMNS = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate")
@@ -105,8 +106,9 @@ def error_profile(data):
 
 
 def cleaned_orders(data):
-    """Dirty orders without repeats and with gaps filled."""
-    return clean.impute(clean.remove_duplicates(data.raw_orders), exclude=("o_orderkey", "o_custkey"))
+    """Dirty orders without repeats and with gaps filled, written once as a stored result would be."""
+    distinct = materialise(clean.remove_duplicates(data.raw_orders))
+    return clean.impute(distinct, exclude=("o_orderkey", "o_custkey"))
 
 
 @query(

@@ -8,6 +8,8 @@ from tidewell.operators import neighbours, segment
 from tidewell.workloads.registry import query
 
 EPS = 2.0
+NEAR = """(a.p_size - b.p_size) * (a.p_size - b.p_size)
+        + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)"""
 
 
 def parts(data):
@@ -21,15 +23,24 @@ def _(data):
 
 @query(
     "dbscan_core",
-    f"""SELECT a.p_partkey FROM part a JOIN part b ON (a.p_size - b.p_size) * (a.p_size - b.p_size)
-        + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice) <= {EPS} * {EPS}
+    f"""SELECT a.p_partkey FROM part a JOIN part b ON {NEAR} <= {EPS} * {EPS}
     GROUP BY a.p_partkey HAVING count(*) >= 5""",
 )
 def _(data):
     return segment.core_points(parts(data), "p_partkey", ["p_size", "p_retailprice"], EPS, 5)
 
 
-@query("dbscan_labels")
+@query(
+    "dbscan_labels",
+    f"""WITH RECURSIVE near AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON {NEAR} <= {EPS} * {EPS}),
+    core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 5),
+    edge AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+    reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+    label AS (SELECT a, min(b) AS l FROM reach GROUP BY 1),
+    best AS (SELECT n.a, coalesce(max(own.l), min(l.l)) AS l FROM near n JOIN label l ON l.a = n.b
+        LEFT JOIN label own ON own.a = n.a GROUP BY 1)
+    SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice, coalesce(l, -1) AS outlier FROM part LEFT JOIN best ON a = p_partkey""",
+)
 def _(data):
     return segment.dbscan(parts(data), "p_partkey", ["p_size", "p_retailprice"], EPS, 5)
 
