@@ -20,6 +20,7 @@ def frame(spark, seed=1, sizes=((1, 400), (2, 90), (None, 60), (4, 5))):
 
 def small_limits(monkeypatch, rows=50, chunk=40):
     monkeypatch.setattr(series, "SERIES_ROWS", rows)
+    monkeypatch.setattr(series, "UNKEYED_ROWS", rows)
     monkeypatch.setattr(series, "CHUNK_ROWS", chunk)
 
 

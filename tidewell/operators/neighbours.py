@@ -1,14 +1,14 @@
 """Exact nearest neighbours without comparing all pairs, and imputation from them.
 
 Donors are put on a grid that gets finer level by level. Each cell keeps its count and the tight box around
-its donors. A receiver walks down the levels with a short list of cells: the k-th smallest upper distance
-bound over its cells is a radius that surely holds k donors, and cells whose nearest edge lies beyond it are
-dropped. Only donors of the few cells left are compared. The grid is as deep as the densest spot needs, so a
+its donors. A receiver walks down the levels with a short list of cells and a radius that surely holds k
+donors; cells whose nearest edge lies beyond it are dropped, and the radius shrinks on the way. Only donors of the few cells left are compared. The grid is as deep as the densest spot needs, so a
 hot spot costs levels, not pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +20,10 @@ from tidewell.operators.ranking import top_n_per_key
 from tidewell.session import materialise
 
 GRID_BITS = 24
-LEAF_ROWS = 64
+# Donors a cell of the finest level may hold.
+LEAF_ROWS = 16
+# Levels between two shuffles that shrink the radius.
+TIGHTEN_EVERY = 3
 
 
 def _near(dims: int) -> Column:
@@ -46,60 +49,84 @@ def _sum(parts: Sequence[Column]) -> Column:
     return total
 
 
+def _at_level(dims: int, level: str | int) -> dict[str, Column]:
+    """Cells ``c*`` of a grid level from the finest codes ``g*``."""
+    return {f"c{i}": F.expr(f"shiftright(g{i}, {GRID_BITS} - {level})") for i in range(dims)}
+
+
+def _cell_boxes(donors: DataFrame, dims: int, first: int, last: int) -> DataFrame:
+    """Count and tight box of every occupied cell of the given grid levels, in one pass."""
+    spread = donors.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumns(
+        _at_level(dims, "level")
+    )
+    edges = [f(f"y{i}").alias(f"{e}{i}") for i in range(dims) for e, f in (("lo", F.min), ("hi", F.max))]
+    names = [f"c{i}" for i in range(dims)]
+    return materialise(spread.groupBy("level", *names).agg(F.count(F.lit(1)).alias("n"), *edges))
+
+
 def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataFrame:
     """(rid, dist2, value, y0..): the k nearest donors of each receiver, ties by donor place and value.
 
     ``receivers`` has rid and x0.., ``donors`` has value and y0... All are doubles without nulls.
     """
-    xs, ys = [f"x{i}" for i in range(dims)], [f"y{i}" for i in range(dims)]
+    xs, ys, names = ([f"{v}{i}" for i in range(dims)] for v in "xyc")
     # No receiver needs more than k donors of one place.
     donors = materialise(top_n_per_key(donors.select(*ys, "value"), ys, [F.asc("value")], k))
     edges = donors.agg(F.count(F.lit(1)).alias("n"), *[f(y) for y in ys for f in (F.min, F.max)]).first()
     if edges["n"] == 0:
         empty = receivers.limit(0).select("rid", F.lit(0.0).alias("dist2"), F.lit(0.0).alias("value"))
         return empty.select("*", *[F.lit(0.0).alias(y) for y in ys])
-    step = max(1, 6 // dims)
-    codes = []
-    for i, y in enumerate(ys):
-        low, high = edges[1 + 2 * i], edges[2 + 2 * i]
-        place = (F.col(y) - low) / (high - low) * (1 << GRID_BITS) if high > low else F.lit(0.0)
-        codes.append(F.least(F.floor(place), F.lit((1 << GRID_BITS) - 1)).cast("bigint"))
 
-    def cells(level: int) -> list[Column]:
-        return [F.shiftright(code, GRID_BITS - level).alias(f"c{i}") for i, code in enumerate(codes)]
+    def with_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        top = (1 << GRID_BITS) - 1
+        codes = {}
+        for i, c in enumerate(columns):
+            low, high = edges[1 + 2 * i], edges[2 + 2 * i]
+            place = F.floor((F.col(c) - low) / (high - low) * (top + 1)) if high > low else F.lit(0)
+            codes[f"g{i}"] = F.least(F.greatest(place, F.lit(0)), F.lit(top)).cast("bigint")
+        return df.withColumns(codes)
 
-    names = [f"c{i}" for i in range(dims)]
-    box = [f(y).alias(f"{b}{i}") for i, y in enumerate(ys) for b, f in (("lo", F.min), ("hi", F.max))]
-    frontier = receivers.select("rid", *xs).withColumns({c: F.lit(0).cast("bigint") for c in names})
-    level = 0
+    donors, receivers = with_codes(donors, ys), with_codes(receivers.select("rid", *xs), xs)
+
+    # Deepen the grid until no cell holds many donors.
+    depth, boxes = 0, None
     while True:
-        level = min(level + step, GRID_BITS)
-        boxes = donors.groupBy(*cells(level)).agg(F.count(F.lit(1)).alias("n"), *box)
-        parents = boxes.withColumns({f"p{i}": F.shiftright(F.col(c), min(step, level)) for i, c in enumerate(names)})
-        up = parents.withColumnsRenamed({f"p{i}": f"_up{i}" for i in range(dims)})
+        more = max(2, math.ceil(math.log2(max(edges["n"] / LEAF_ROWS, 2)) / dims)) if boxes is None else 4
+        last = min(depth + more, GRID_BITS)
+        found = _cell_boxes(donors, dims, depth + 1, last)
+        boxes = found if boxes is None else boxes.unionByName(found)
+        depth = last
+        if found.where(F.col("level") == depth).agg(F.max("n")).first()[0] <= LEAF_ROWS or depth == GRID_BITS:
+            break
+
+    # First radius: the farthest corner of the smallest cell around the receiver that holds k donors.
+    levels = F.explode(F.sequence(F.lit(1), F.lit(depth)))
+    around = receivers.withColumn("level", levels).withColumns(_at_level(dims, "level")).join(boxes, ["level", *names])
+    radius = around.where(F.col("n") >= k).groupBy("rid").agg(F.min(_far(dims)).alias("radius"))
+    frontier = join_on(receivers.select("rid", *xs), radius, ["rid"], "left").withColumns(
+        {c: F.lit(0).cast("bigint") for c in names}
+    )
+    by_far = Window.partitionBy("rid").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = F.col("radius").isNotNull() & (F.col("near") > F.col("radius") * (1 + 1e-9))
+    for level in range(1, depth + 1):
+        child = boxes.where(F.col("level") == level).drop("level").withColumnsRenamed({c: f"to_{c}" for c in names})
         same = F.lit(True)
-        for i, c in enumerate(names):
-            same = same & (frontier[c] == up[f"_up{i}"])
-        opened = frontier.join(up, same).select(
-            "rid", *xs, *[up[c] for c in names], "n", _near(dims).alias("near"), _far(dims).alias("far")
+        for c in names:
+            same = same & (F.col(c) == F.shiftright(F.col(f"to_{c}"), 1))
+        opened = frontier.join(child, same).select(
+            "rid", *xs, "radius", *[F.col(f"to_{c}").alias(c) for c in names], "n",
+            _near(dims).alias("near"), _far(dims).alias("far"),
         )
-        # The smallest far bound whose cells hold k donors in all.
-        by_far = Window.partitionBy("rid").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy("rid")
-        radius = F.min(F.when(F.col("_seen") >= k, F.col("far"))).over(whole)
-        kept = (
-            opened.withColumn("_seen", F.sum("n").over(by_far))
-            .withColumn("_radius", radius)
-            .where(F.col("_radius").isNull() | (F.col("near") <= F.col("_radius") * (1 + 1e-9)))
-        )
-        frontier = materialise(kept.select("rid", *xs, *names))
-        densest = boxes.agg(F.max("n")).first()[0]
-        if densest <= LEAF_ROWS or level == GRID_BITS:
-            break
-    placed = donors.select("*", *cells(level))
-    pairs = frontier.join(placed, names)
+        frontier = opened.where(~beyond)
+        if level % TIGHTEN_EVERY == 0 or level == depth:
+            # The smallest far bound whose cells hold k donors in all.
+            enough = F.min(F.when(F.col("_seen") >= k, F.col("far"))).over(Window.partitionBy("rid"))
+            seen = frontier.withColumn("_seen", F.sum("n").over(by_far))
+            frontier = materialise(seen.withColumn("radius", F.least("radius", enough)).where(~beyond).drop("_seen"))
+        frontier = frontier.select("rid", *xs, "radius", *names)
+    placed = donors.withColumns(_at_level(dims, depth))
     dist2 = _sum([(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(xs, ys)])
-    found = pairs.select("rid", dist2.alias("dist2"), "value", *ys)
+    found = frontier.join(placed, names).select("rid", dist2.alias("dist2"), "value", *ys)
     return top_n_per_key(found, ["rid"], [F.asc(c) for c in ("dist2", *ys, "value")], k)
 
 

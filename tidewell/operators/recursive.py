@@ -191,7 +191,10 @@ def _fit(placed: DataFrame, keys: Sequence[str], model) -> DataFrame:
             yield pdf[list(keys)].assign(fit=fits)
 
     chunked = placed.withColumn("chunk", F.floor(F.col("_pos") / CHUNK_ROWS).cast("bigint"))
-    parts = chunked.groupBy(*keys, "chunk").applyInPandas(summarise, schema)
+    # The work per row is large and the rows are small, so partitions must not be merged by their bytes.
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chunked.repartition(tasks, *keys, "chunk")
+    parts = spread.groupBy(*keys, "chunk").applyInPandas(summarise, schema)
     longest = chunked.agg(F.max("chunk")).first()[0] or 0
     while longest > 0:
         grouped = materialise(parts).withColumn("_group", F.floor(F.col("chunk") / MERGE_FAN_IN).cast("bigint"))

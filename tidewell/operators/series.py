@@ -18,6 +18,8 @@ from tidewell.session import materialise
 
 # Rows of one series that one task may order.
 SERIES_ROWS = 1_000_000
+# Rows of a table without keys that one task may order.
+UNKEYED_ROWS = 10_000
 # Rows per chunk of a longer series.
 CHUNK_ROWS = 100_000
 
@@ -32,9 +34,13 @@ def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def _fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
+    return longest_series(df, keys) <= (SERIES_ROWS if keys else UNKEYED_ROWS)
+
+
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_pos") -> DataFrame:
     """Adds the 0-based position of each row in its series. ``order`` must be total within a key."""
-    if longest_series(df, keys) <= SERIES_ROWS:
+    if _fits_one_task(df, keys):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
         return df.withColumn(name, place.cast("bigint"))
     return _position_by_range(df, keys, order, name)
@@ -67,7 +73,7 @@ def over_series(
 
     ``make`` gets the ordered window of a series and returns the new columns.
     """
-    if longest_series(df, keys) <= SERIES_ROWS:
+    if _fits_one_task(df, keys):
         return df.withColumns(make(Window.partitionBy(*keys).orderBy(*order)))
     placed = _position_by_range(df, keys, order, "_seq")
     home = F.floor(F.col("_seq") / CHUNK_ROWS)
