@@ -29,6 +29,13 @@ def test_profiles_of_an_empty_table(spark):
     assert clean.normalise(empty).count() == 0 and clean.correct_types(empty).count() == 0
 
 
+@pytest.mark.parametrize("wide", [True, False])
+def test_duplicates_by_hash_and_by_row(spark, dirty, wide):
+    assert profile.duplicate_count(dirty, wide=wide).first()[0] == 1
+    nulls = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), (None, None), (None, None)], "x string, y string")
+    assert profile.duplicate_count(nulls, wide=wide).first()[0] == 2
+
+
 def test_skew_matches_pandas(spark):
     v = np.random.default_rng(0).gamma(2, 1, 50)
     df = spark.createDataFrame(pd.DataFrame({"v": v, "c": 1.0}))
@@ -111,10 +118,11 @@ def test_narrowed_quantiles_are_exact(spark, monkeypatch, kind):
     v = values(kind)
     monkeypatch.setattr(quantiles, "BUFFER_VALUES", 20)
     monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 200)
-    df = spark.createDataFrame(pd.DataFrame({"v": v, "g": np.arange(len(v)) % 3})).repartition(4)
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "w": -v * 2, "g": np.arange(len(v)) % 3})).repartition(4)
     probs = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
-    got = quantiles.column_quantiles(df, ["v"], probs)["v"]
-    np.testing.assert_allclose(got, np.quantile(v, probs), rtol=1e-12)
+    got = quantiles.column_quantiles(df, ["v", "w"], probs)
+    np.testing.assert_allclose(got["v"], np.quantile(v, probs), rtol=1e-12)
+    np.testing.assert_allclose(got["w"], np.quantile(-v * 2, probs), rtol=1e-12)
     names = [f"q{i}" for i in range(len(probs))]
     grouped = quantiles.grouped_quantiles(df, ["g"], "v", probs, names).collect()
     for row in grouped:

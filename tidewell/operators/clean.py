@@ -163,31 +163,34 @@ TYPE_CHECKS = {
 SAMPLE_ROWS = 1_000
 
 
-def _all_fit(df: DataFrame, checks: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The (column, type) pairs for which no value fails."""
+def _fits(df: DataFrame, checks: Sequence[tuple[str, str]]) -> dict[tuple[str, str], tuple[bool, bool]]:
+    """For each (column, type): whether no value fails, and whether there is a value at all."""
     if not checks:
-        return []
-    stripped = df.select(*[strip(F.col(c)).alias(c) for c in dict.fromkeys(c for c, _ in checks)])
-    row = stripped.agg(*[F.count_if(F.col(c).isNotNull() & ~TYPE_CHECKS[kind](F.col(c))) for c, kind in checks]).first()
-    return [check for check, failed in zip(checks, row) if failed == 0]
+        return {}
+    names = list(dict.fromkeys(c for c, _ in checks))
+    stripped = df.select(*[strip(F.col(c)).alias(c) for c in names])
+    failed = [F.count_if(F.col(c).isNotNull() & ~TYPE_CHECKS[kind](F.col(c))) for c, kind in checks]
+    row = stripped.agg(*failed, *[F.count(c) for c in names]).first()
+    filled = dict(zip(names, row[len(checks) :]))
+    return {(c, kind): (n == 0, filled[c] > 0) for (c, kind), n in zip(checks, row)}
 
 
 def correct_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns whose every value parses become bigint, double or timestamp; others stay text.
 
-    A few rows rule out most types at once; only the types left are checked on the whole table.
+    A few rows rule out most types at once. The whole table is checked for the narrowest type left of each
+    column, and again for the next one only where that fails.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    checks = _all_fit(df.limit(SAMPLE_ROWS), [(c, kind) for c in columns for kind in TYPE_CHECKS])
-    fitting = _all_fit(df, checks)
-    if not fitting:
-        return df
-    known = df.agg(*[F.count(c) for c in dict.fromkeys(c for c, _ in fitting)]).first()
-    filled = {c for c, n in zip(dict.fromkeys(c for c, _ in fitting), known) if n}
+    sample = _fits(df.limit(SAMPLE_ROWS), [(c, kind) for c in columns for kind in TYPE_CHECKS])
+    left = {c: [kind for kind in TYPE_CHECKS if sample[c, kind][0]] for c in columns}
     casts: dict[str, Column] = {}
-    for c, kind in fitting:
-        if c in filled and c not in casts:
-            casts[c] = strip(F.col(c)).try_cast(kind)
+    while any(left.values()):
+        checks = [(c, kinds[0]) for c, kinds in left.items() if kinds]
+        for (c, kind), (fits, filled) in _fits(df, checks).items():
+            left[c] = [] if fits else left[c][1:]
+            if fits and filled:
+                casts[c] = strip(F.col(c)).try_cast(kind)
     return df.withColumns(casts) if casts else df
 
 

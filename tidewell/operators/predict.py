@@ -69,12 +69,38 @@ def ranking_insights(ranking: DataFrame, sector: str, metrics: Sequence[str]) ->
     return overall.unionByName(each.withColumn("_one", F.lit(1)).join(several, "_one", "left_semi").drop("_one"))
 
 
-def _text(when: Column, text, reason) -> Column:
-    return F.when(when, F.struct(_lit(text).alias("recommendation"), _lit(reason).alias("explanation")))
-
-
-def _lit(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+# Advice and reason of each rule.
+ADVICE = {
+    "growth": (
+        "Increase production capacity - strong sales growth expected",
+        "Forecast shows 10%+ growth above current average",
+    ),
+    "decline": (
+        "Implement cost reduction measures - sales decline expected",
+        "Forecast indicates potential sales decline",
+    ),
+    "rising": (
+        "Scale up marketing efforts to capitalize on growth trend",
+        "Positive trend detected in key metrics",
+    ),
+    "falling": (
+        "Conduct market analysis to identify decline causes",
+        "Negative trend detected requiring immediate attention",
+    ),
+    "high risk": ("Implement risk mitigation strategies immediately", "High risk score of {} detected"),
+    "some risk": ("Monitor risk indicators closely", "Moderate risk level of {}"),
+    "anomalies": ("Investigate data anomalies for potential issues", "{} anomalies detected in recent data"),
+}
+
+
+def _advice(rule: str, holds: Column, figure: Column | None = None) -> Column:
+    """The advice when the rule holds, with the figure put into its reason."""
+    text, reason = ADVICE[rule]
+    shown = F.lit(reason)
+    if figure is not None:
+        head, tail = reason.split("{}")
+        shown = F.concat(F.lit(head), figure, F.lit(tail))
+    return F.when(holds, F.struct(F.lit(text).alias("recommendation"), shown.alias("explanation")))
 
 
 def recommendations(predictions: DataFrame) -> DataFrame:
@@ -82,23 +108,16 @@ def recommendations(predictions: DataFrame) -> DataFrame:
 
     Reads forecast_avg, current_average, trend, predicted_risk and anomaly_count; null fields give no advice.
     """
-    now, ahead, risk = F.col("current_average"), F.col("forecast_avg"), F.col("predicted_risk")
+    now, ahead, risk, odd = (F.col(c) for c in ("current_average", "forecast_avg", "predicted_risk", "anomaly_count"))
     shown = F.format_string("%.2f", F.round(risk, 2))
     rules = [
-        _text(ahead > now * 1.1, "Increase production capacity - strong sales growth expected",
-              "Forecast shows 10%+ growth above current average"),
-        _text(ahead < now * 0.9, "Implement cost reduction measures - sales decline expected",
-              "Forecast indicates potential sales decline"),
-        _text(F.col("trend") == "increasing", "Scale up marketing efforts to capitalize on growth trend",
-              "Positive trend detected in key metrics"),
-        _text(F.col("trend") == "decreasing", "Conduct market analysis to identify decline causes",
-              "Negative trend detected requiring immediate attention"),
-        _text(risk > 0.7, "Implement risk mitigation strategies immediately",
-              F.concat(F.lit("High risk score of "), shown, F.lit(" detected"))),
-        _text((risk > 0.4) & (risk <= 0.7), "Monitor risk indicators closely",
-              F.concat(F.lit("Moderate risk level of "), shown)),
-        _text(F.col("anomaly_count") > 0, "Investigate data anomalies for potential issues",
-              F.concat(F.col("anomaly_count").cast("string"), F.lit(" anomalies detected in recent data"))),
+        _advice("growth", ahead > now * 1.1),
+        _advice("decline", ahead < now * 0.9),
+        _advice("rising", F.col("trend") == "increasing"),
+        _advice("falling", F.col("trend") == "decreasing"),
+        _advice("high risk", risk > 0.7, shown),
+        _advice("some risk", (risk > 0.4) & (risk <= 0.7), shown),
+        _advice("anomalies", odd > 0, odd.cast("string")),
     ]
     advised = predictions.withColumn("advice", F.array_compact(F.array(*rules)))
     return advised.withColumn("priority", F.when(F.size("advice") > 2, "high").otherwise("medium"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.functions.columns import numeric_columns, text_columns
 from tidewell.functions.text import is_invalid_token
@@ -34,9 +35,24 @@ def top_missing_columns(df: DataFrame, n: int = TOP_PROFILE_COLUMNS) -> DataFram
     return null_counts(df).orderBy(F.desc("missing"), "column").limit(n)
 
 
-def duplicate_count(df: DataFrame, alias: str = "duplicate_rows") -> DataFrame:
-    """Rows minus distinct rows, nulls equal. Repeats combine before the shuffle, so a hot row costs nothing."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+def _is_wide(df: DataFrame) -> bool:
+    """Whether a row may be much larger than a hash."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return any(not isinstance(f.dataType, fixed) for f in df.schema)
+
+
+def duplicate_count(df: DataFrame, alias: str = "duplicate_rows", wide: bool | None = None) -> DataFrame:
+    """Rows minus distinct rows, nulls equal. Repeats combine before the shuffle, so a hot row costs nothing.
+
+    Rows of wide tables are counted by hash first. Only rows whose hash occurs twice are then compared in
+    full, so unique rows never enter a shuffle and a hash collision cannot change the result.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if wide if wide is not None else _is_wide(df):
+        hashed = df.withColumn("_hash", F.xxhash64(*columns))
+        repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+        df = hashed.join(repeated, "_hash", "left_semi").drop("_hash")
+    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias(alias))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Values one aggregation buffer may hold.
 BUFFER_VALUES = 2_000_000
 SKETCH_ACCURACY = 10_000
+# Large columns narrowed in the same jobs.
+COLUMNS_PER_JOB = 16
 
 
 def column_quantiles(
@@ -33,64 +35,71 @@ def column_quantiles(
         fractions = F.array(*[F.lit(p) for p in probs])
         row = df.agg(*[F.percentile(c, fractions).alias(f"q{i}") for i, c in enumerate(small)]).first()
         found.update({c: list(row[i]) for i, c in enumerate(small)})
-    for c in columns:
-        if counts[c] > BUFFER_VALUES:
-            found[c] = _narrowed(df.select(F.col(c).cast("double").alias("v")), counts[c], probs)
+    large = [c for c in columns if counts[c] > BUFFER_VALUES]
+    for start in range(0, len(large), COLUMNS_PER_JOB):
+        batch = large[start : start + COLUMNS_PER_JOB]
+        found.update(zip(batch, _narrowed(df, batch, [counts[c] for c in batch], probs)))
     return found
 
 
-def _narrowed(values: DataFrame, n: int, probs: Sequence[float]) -> list[float]:
-    """Select the wanted ranks of one large column by shrinking an open value bracket around each."""
-    values = values.where("v IS NOT NULL")
-    v = F.col("v")
-    places = [(n - 1) * p for p in probs]
-    ranks = sorted({r for place in places for r in (math.floor(place), min(math.floor(place) + 1, n - 1))})
-    low, high = values.agg(F.min(v), F.max(v)).first()
-    brackets = {rank: (low, high) for rank in ranks}
-    answers: dict[int, float] = {}
-    while True:
-        open_ranks = [r for r in ranks if r not in answers]
-        if not open_ranks:
-            break
-        counts = values.agg(*[c for r in open_ranks for c in _bracket_counts(v, *brackets[r])]).first()
+def _narrowed(df: DataFrame, columns: Sequence[str], sizes: Sequence[int], probs: Sequence[float]) -> list[list[float]]:
+    """Select the wanted ranks of large columns by shrinking an open value bracket around each.
+
+    All columns share the jobs of a round: one for exact counts, one for the next sketches.
+    """
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    edges = values.agg(*[f(f"v{i}") for i in range(len(columns)) for f in (F.min, F.max)]).first()
+    # A spot is a (column number, rank) pair.
+    brackets: dict[tuple[int, int], tuple[float, float]] = {}
+    for i, n in enumerate(sizes):
+        for p in probs:
+            rank = math.floor((n - 1) * p)
+            for r in (rank, min(rank + 1, n - 1)):
+                brackets[i, r] = (edges[2 * i], edges[2 * i + 1])
+    answers: dict[tuple[int, int], float] = {}
+    while len(answers) < len(brackets):
+        waiting = [spot for spot in brackets if spot not in answers]
+        counts = values.agg(*[c for i, r in waiting for c in _bracket_counts(F.col(f"v{i}"), *brackets[i, r])]).first()
         ready, wide = [], []
-        for i, rank in enumerate(open_ranks):
-            low, high = brackets[rank]
-            below, tied_low, inside, upto = counts[4 * i : 4 * i + 4]
+        for at, spot in enumerate(waiting):
+            low, high = brackets[spot]
+            rank = spot[1]
+            below, tied_low, inside, upto = counts[4 * at : 4 * at + 4]
             if not below <= rank < upto:
                 raise RuntimeError("quantile sketch left its error bound")
             if rank < below + tied_low:
-                answers[rank] = low
+                answers[spot] = low
             elif rank >= below + tied_low + inside:
-                answers[rank] = high
+                answers[spot] = high
             else:
-                spot = (rank - below - tied_low, inside)
-                (ready if inside <= BUFFER_VALUES else wide).append((rank, *spot))
+                (ready if inside <= BUFFER_VALUES else wide).append((spot, rank - below - tied_low, inside))
         if ready:
-            picks = [
-                F.expr(
+            picks = []
+            for (i, r), place, inside in ready:
+                low, high = brackets[i, r]
+                picks.append(F.expr(
                     f"percentile_disc({(place + 0.5) / inside!r}D) WITHIN GROUP (ORDER BY "
-                    f"CASE WHEN v > {brackets[r][0]!r}D AND v < {brackets[r][1]!r}D THEN v END)"
-                )
-                for r, place, inside in ready
-            ]
-            for (rank, _, _), value in zip(ready, values.agg(*picks).first()):
-                answers[rank] = float(value)
+                    f"CASE WHEN v{i} > {low!r}D AND v{i} < {high!r}D THEN v{i} END)"
+                ))
+            answers.update((spot, float(v)) for (spot, _, _), v in zip(ready, values.agg(*picks).first()))
         if wide:
             sketches = []
-            for rank, place, inside in wide:
-                within = F.when((v > brackets[rank][0]) & (v < brackets[rank][1]), v)
-                slack = 4 / SKETCH_ACCURACY
-                share = place / inside
+            for (i, r), place, inside in wide:
+                v, (low, high) = F.col(f"v{i}"), brackets[i, r]
+                slack, share = 4 / SKETCH_ACCURACY, place / inside
                 around = [max(share - slack, 0.0), min(share + slack, 1.0)]
-                sketches.append(F.percentile_approx(within, around, SKETCH_ACCURACY))
-            for (rank, _, _), bounds in zip(wide, values.agg(*sketches).first()):
-                brackets[rank] = (float(bounds[0]), float(bounds[1]))
+                sketches.append(F.percentile_approx(F.when((v > low) & (v < high), v), around, SKETCH_ACCURACY))
+            for (spot, _, _), bounds in zip(wide, values.agg(*sketches).first()):
+                brackets[spot] = (float(bounds[0]), float(bounds[1]))
     out = []
-    for place in places:
-        rank = math.floor(place)
-        first, second = answers[rank], answers[min(rank + 1, n - 1)]
-        out.append(first + (second - first) * (place - rank))
+    for i, n in enumerate(sizes):
+        found = []
+        for p in probs:
+            place = (n - 1) * p
+            rank = math.floor(place)
+            first, second = answers[i, rank], answers[i, min(rank + 1, n - 1)]
+            found.append(first + (second - first) * (place - rank))
+        out.append(found)
     return out
 
 

@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
                 raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="tidewell-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)  # one folder per session, also when it was not configured
     return folder
 
 
@@ -50,6 +50,10 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once, so later jobs neither recompute nor lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder, so later jobs neither recompute nor lose it.
+
+    The table is columnar, so later passes read only their columns, and its size is known to the planner.
+    """
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

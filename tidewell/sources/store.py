@@ -15,6 +15,11 @@ from tidewell.operators.structure import with_sector_key
 RAW, CLEANED, SCORES = "raw", "cleaned", "scores"
 
 
+def balanced(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """Rows of a folder meet in few tasks, while a huge folder is still written by many."""
+    return df.hint("rebalance", *partitions)
+
+
 class DatasetStore:
     """Tables under one root folder.
 
@@ -74,7 +79,7 @@ class DatasetStore:
         return quality
 
     def _overwrite(self, df: DataFrame, table: str, partitions: Sequence[str]) -> None:
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = balanced(df, partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*partitions).parquet(self.path(table))
 
     def read(self, table: str, where: Column | None = None) -> DataFrame:
@@ -154,7 +159,7 @@ def export_all(df: DataFrame, path: str, kind: str, id_column: str = "cleaned_da
     """Every dataset into its own folder, in one write."""
     if kind not in ("csv", "json"):
         raise ValueError(f"unsupported export format: {kind}")
-    writer = df.write.mode("errorifexists").partitionBy(id_column)
+    writer = balanced(df, [id_column]).write.mode("errorifexists").partitionBy(id_column)
     if kind == "json":
         writer.json(path)
     else:
