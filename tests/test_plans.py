@@ -1,3 +1,4 @@
+import importlib.util
 import json
 
 import pytest
@@ -89,6 +90,9 @@ def test_readers(spark, tmp_path):
     assert rows[0]["n"]["k"] == 2 and rows[1]["n"] is None
     with pytest.raises(ValueError):
         readers.read_upload(spark, "c.parquet")
+    if not any(importlib.util.find_spec(lib) for lib in ("openpyxl", "xlrd")):
+        with pytest.raises(RuntimeError):
+            readers.read_upload(spark, "d.XLSX", schema="a int")
     with pytest.raises(ValueError):
         export_all(spark.range(1), str(tmp_path / "out"), "xml")
 

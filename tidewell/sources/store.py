@@ -12,7 +12,10 @@ from tidewell.functions.text import SECTOR_MARK
 from tidewell.operators.scope import anti
 from tidewell.operators.structure import with_sector_key
 
-RAW, CLEANED, SCORES = "raw", "cleaned", "scores"
+RAW, CLEANED, SCORES, REPORTS = "raw", "cleaned", "scores", "reports"
+
+# The id a delete names, per table.
+DELETE_KEYS = {RAW: "raw_data_id", CLEANED: "cleaned_data_id", REPORTS: "report_id"}
 
 
 def balanced(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
@@ -87,7 +90,7 @@ class DatasetStore:
         df = self.spark.read.parquet(self.path(table))
         if where is not None:
             df = df.where(where)
-        key = {RAW: "raw_data_id", CLEANED: "cleaned_data_id"}.get(table)
+        key = DELETE_KEYS.get(table)
         gone = self._tombstones()
         if key and gone is not None:
             df = anti(df, key, gone.where(F.col("table") == table))
@@ -104,14 +107,16 @@ class DatasetStore:
         body = F.to_json(F.struct(*payload)).alias("prediction_data")
         self.append(json_safe(df).select(*kept, body), "predictions", ["prediction_type"])
 
-    def append_report(self, metrics: DataFrame, title: str, report_type: str, created_by: int, notes: str = "") -> None:
-        """One row per metrics row, the metrics as one JSON text."""
+    def append_report(
+        self, metrics: DataFrame, report_id: int, title: str, report_type: str, created_by: int, notes: str = ""
+    ) -> None:
+        """Store a one-row metrics frame as a report, the metrics as one JSON text."""
         body = F.to_json(F.struct(*metrics.columns)).alias("payload")
         row = metrics.select(
-            F.lit(title).alias("title"), F.lit(report_type).alias("report_type"),
+            F.lit(report_id).cast("bigint").alias("report_id"), F.lit(title).alias("title"), F.lit(report_type).alias("report_type"),
             F.lit(created_by).cast("bigint").alias("created_by"), F.lit(notes).alias("notes"), body,
         )
-        self.append(row, "reports")
+        self.append(row, REPORTS)
 
     # ---- deletes ----
 
@@ -134,6 +139,9 @@ class DatasetStore:
         self.delete(CLEANED, cleaned)
         self.delete(RAW, self.spark.range(raw_data_id, raw_data_id + 1))
 
+    def delete_report(self, report_id: int) -> None:
+        self.delete(REPORTS, self.spark.range(report_id, report_id + 1))
+
     def compact(self, table: str, target: str, partitions: Sequence[str]) -> None:
         """Write the surviving rows to another folder."""
         self.read(table).write.mode("errorifexists").partitionBy(*partitions).parquet(target)

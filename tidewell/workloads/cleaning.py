@@ -198,11 +198,9 @@ def _(data):
     return structure.json_keys(data.table("events"), ["props"])
 
 
-@query("array_to_json", "SELECT o_custkey, to_json(list(o_orderkey ORDER BY o_orderkey)) AS keys FROM orders GROUP BY 1")
+@query("array_to_json", "SELECT p_partkey, to_json(string_split(p_name, ' ')) AS words FROM part")
 def _(data):
-    # List cells: the order keys of each customer.
-    lists = data.table("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
-    return columns.arrays_to_json(lists)
+    return columns.arrays_to_json(data.table("part").select("p_partkey", F.split("p_name", " ").alias("words")))
 
 
 @query("iso_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts FROM events")

@@ -8,7 +8,7 @@ from tidewell.operators import clean, keywords, rollups
 from tidewell.plans import analysis, cleaning
 from tidewell.session import new_path
 from tidewell.sources.readers import read_csv, read_upload
-from tidewell.sources.store import CLEANED, RAW, DatasetStore, export, export_all
+from tidewell.sources.store import CLEANED, RAW, REPORTS, DatasetStore, export, export_all
 from tidewell.streaming import events as stream
 from tidewell.workloads import learning
 from tidewell.workloads.cleaning import CLEAN
@@ -96,15 +96,18 @@ def _(data):
 
 @query(
     "report_store",
-    """SELECT 'Monthly' AS title, 'quality' AS report_type, CAST(0 AS BIGINT) AS created_by, '' AS notes,
+    """SELECT CAST(2 AS BIGINT) AS report_id, 'Monthly' AS title, 'quality' AS report_type, CAST(0 AS BIGINT) AS created_by, '' AS notes,
     concat('{"datasets":', count(*), ',"total_rows":', CAST(sum(row_count) AS BIGINT), ',"cleaned_rows":',
         CAST(sum(CASE WHEN has_cleaned_data THEN row_count ELSE 0 END) AS BIGINT), '}') AS payload FROM dataset_catalogue""",
 )
 def _(data):
     store = DatasetStore(data.spark, new_path(data.spark, "store"))
     catalogue = rollups.dataset_catalogue(data.raw_data, data.sectors, data.products, data.cleaned_data)
-    store.append_report(rollups.dataset_kpis(catalogue).drop("avg_quality"), "Monthly", "quality", 0)
-    return data.spark.read.parquet(store.path("reports"))
+    metrics = rollups.dataset_kpis(catalogue).drop("avg_quality")
+    store.append_report(metrics, 1, "Draft", "quality", 0)
+    store.append_report(metrics, 2, "Monthly", "quality", 0)
+    store.delete_report(1)
+    return store.read(REPORTS)
 
 
 # ---- cleaning plans ---------------------------------------------------------------------------------------
