@@ -20,7 +20,6 @@ def frame(spark, seed=1, sizes=((1, 400), (2, 90), (None, 60), (4, 5))):
 
 def small_limits(monkeypatch, rows=50, chunk=40):
     monkeypatch.setattr(series, "SERIES_ROWS", rows)
-    monkeypatch.setattr(series, "UNKEYED_ROWS", rows)
     monkeypatch.setattr(series, "CHUNK_ROWS", chunk)
 
 
@@ -39,8 +38,9 @@ def test_position_by_range_equals_window(spark, monkeypatch):
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_chunked_frames_equal_window(spark, monkeypatch, keys):
     df = frame(spark).withColumn("o", F.coalesce("k", F.lit(0)) * 10_000 + F.col("t"))
-    plain = sorted_rows(series.reduce_noise(df, ["v"], ["o"], keys))
-    trailing = sorted_rows(series.moving_averages(df, keys, ["o"], "v"))
+    one = df.withColumn("all", F.lit(1))  # a table without keys is one series
+    plain = sorted_rows(series.reduce_noise(one, ["v"], ["o"], keys or ["all"]).drop("all"))
+    trailing = sorted_rows(series.moving_averages(one, keys or ["all"], ["o"], "v").drop("all"))
     small_limits(monkeypatch)
     assert sorted_rows(series.reduce_noise(df, ["v"], ["o"], keys)) == plain
     assert sorted_rows(series.moving_averages(df, keys, ["o"], "v")) == trailing

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.series import clamp_confidence
+from tidewell.session import materialise
 
 RISK_MIN_ROWS = 10
 
@@ -47,12 +48,12 @@ def with_top_performer(ranking: DataFrame, sector: str) -> DataFrame:
 
 def ranking_insights(ranking: DataFrame, sector: str, metrics: Sequence[str]) -> DataFrame:
     """Sentences on the leader, the last and each outstanding metric; none for a single sector."""
+    ranking = materialise(ranking)  # one row per sector, read three times
+    if ranking.count() < 2:
+        return ranking.limit(0).select(F.col(sector).alias("insight"))
     name = F.col(sector)
-    ends = ranking.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(sector, F.struct(-F.col("score"), name)).alias("top"),
-        F.max_by(sector, F.struct(-F.col("score"), name)).alias("bottom"),
-    ).where("n >= 2")
+    place = F.struct(-F.col("score"), name)
+    ends = ranking.agg(F.min_by(sector, place).alias("top"), F.max_by(sector, place).alias("bottom"))
     overall = ends.select(F.explode(F.array(
         F.concat("top", F.lit(" leads in overall performance")),
         F.concat("bottom", F.lit(" shows potential for improvement")),
@@ -63,10 +64,7 @@ def ranking_insights(ranking: DataFrame, sector: str, metrics: Sequence[str]) ->
         )
         for m in metrics
     ]
-    each = ranking.select(F.explode(F.array_compact(F.array(*notes))).alias("insight"))
-    # Notes on single metrics need a second sector to compare with.
-    several = ends.select(F.lit(1).alias("_one"))
-    return overall.unionByName(each.withColumn("_one", F.lit(1)).join(several, "_one", "left_semi").drop("_one"))
+    return overall.unionByName(ranking.select(F.explode(F.array_compact(F.array(*notes))).alias("insight")))
 
 
 # Advice and reason of each rule.

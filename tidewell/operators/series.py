@@ -1,12 +1,14 @@
 """Ordered series: positions, row frames, trends, anomalies and linear forecasts.
 
 A series is the rows of one key in an explicit order. A plain window sorts a whole series in one task, so it
-is used only when the longest series has a proven size. Longer series are cut into chunks of consecutive
-rows, each with a halo of the neighbouring rows its frames reach into; the result is the same.
+is used only when the longest series has a proven size. Longer series, and tables without a key, are cut into
+chunks of consecutive rows, each with a halo of the neighbouring rows its frames reach into; the result is
+the same.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -18,8 +20,6 @@ from tidewell.session import materialise
 
 # Rows of one series that one task may order.
 SERIES_ROWS = 1_000_000
-# Rows of a table without keys that one task may order.
-UNKEYED_ROWS = 10_000
 # Rows per chunk of a longer series.
 CHUNK_ROWS = 100_000
 
@@ -35,7 +35,8 @@ def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def _fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
-    return longest_series(df, keys) <= (SERIES_ROWS if keys else UNKEYED_ROWS)
+    """Whether whole series may be ordered by one task each; a table without keys never is."""
+    return bool(keys) and longest_series(df, keys) <= SERIES_ROWS
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_pos") -> DataFrame:
@@ -51,11 +52,16 @@ def _position_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     # The partition number must not change between the two uses, so the ranged rows are written once.
     ranged = materialise(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per key and range partition it spans.
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
+    if keys:
+        # One row per key and range partition it spans.
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    else:
+        # One row per range partition, summed up on the driver.
+        counts = sorted((row["_part"], row["_n"]) for row in sizes.collect())
+        starts = itertools.accumulate((n for _, n in counts), initial=0)
+        rows = [(part, start) for (part, _), start in zip(counts, starts)]
+        offsets = df.sparkSession.createDataFrame(rows, "_part int, _offset bigint")
     local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
     placed = join_on(ranged.withColumn("_local", local), offsets, [*keys, "_part"])
     return placed.select(*df.columns, (F.col("_offset") + F.col("_local")).cast("bigint").alias(name))
