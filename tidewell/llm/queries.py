@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, token_counts
+from tidewell.llm import byte_bpe, packing, simhash, token_counts
 from tidewell.sources.dataset import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,19 @@ def op1_byte_bpe(data: Dataset) -> DataFrame:
     )
 
 
+@query("op2_simhash")
+def op2_simhash(data: Dataset) -> DataFrame:
+    found = simhash.near_duplicates(data.table("documents"), shingle=3, radius=3)
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query("op3_token_counts")
 def op3_token_counts(data: Dataset) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.count_tokens(data.table("documents"), path, limit=4096).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(data: Dataset) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(data.table("documents"), path, 2048, 0).withColumnRenamed("id", "doc_id")
