@@ -198,17 +198,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         return moved.where("a <> b").distinct()
 
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every node is either a centre or hangs on exactly one centre."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("arms"), F.lit(0).alias("centre")).unionByName(
+            e.select(F.col("b").alias("node"), F.lit(0).alias("arms"), F.lit(1).alias("centre"))
+        )
+        nodes = ends.groupBy("node").agg(F.sum("arms").alias("arms"), F.max("centre").alias("centre"))
+        return nodes.where((F.col("arms") > 1) | ((F.col("arms") == 1) & (F.col("centre") == 1))).isEmpty()
 
-    stars = materialise(edges.where("a <> b").distinct())
-    seen = mark(stars)
-    while True:
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = materialise(links.distinct())
+    while not settled(stars):
         stars = materialise(contract(contract(stars, True), False))
-        now = mark(stars)
-        if now == seen:
-            break
-        seen = now
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
