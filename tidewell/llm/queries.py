@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, packing, simhash, token_counts
+from tidewell.llm import byte_bpe, packing, simhash, substring_dedup, token_counts
 from tidewell.sources.dataset import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op3_token_counts(data: Dataset) -> DataFrame:
     return token_counts.count_tokens(data.table("documents"), path, limit=4096).withColumnRenamed("id", "doc_id")
 
 
+@query("op6_substring_dedup")
+def op6_substring_dedup(data: Dataset) -> DataFrame:
+    kept = substring_dedup.remove_repeats(data.table("documents"), window=35)
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", digest)
+
+
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(data: Dataset) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
