@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, packing, simhash, substring_dedup, token_counts
+from tidewell.llm import byte_bpe, embedding_join, packing, simhash, substring_dedup, token_counts
 from tidewell.sources.dataset import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def op6_substring_dedup(data: Dataset) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", digest)
 
 
+@query("op7_embedding_join")
+def op7_embedding_join(data: Dataset) -> DataFrame:
+    return embedding_join.near_vectors(data.table("embeddings"), threshold=0.93).withColumnRenamed("id", "vec_id")
+
+
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(data: Dataset) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
