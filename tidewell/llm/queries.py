@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, embedding_join, packing, simhash, substring_dedup, token_counts
+from tidewell.llm import byte_bpe, embedding_join, packing, quality, simhash, substring_dedup, token_counts
 from tidewell.sources.dataset import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,10 @@ def op7_embedding_join(data: Dataset) -> DataFrame:
 def op9_best_fit_packing(data: Dataset) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(data.table("documents"), path, 2048, 0).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(data: Dataset) -> DataFrame:
+    docs = data.table("documents")
+    model = quality.train(docs, data.table("labels"), positives=3000, unlabelled=6000)
+    return quality.classify(docs, model).withColumnRenamed("id", "doc_id")
