@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, embedding_join, packing, quality, simhash, substring_dedup, token_counts
+from tidewell.llm import byte_bpe, embedding_join, merkle, packing, quality, simhash, substring_dedup, token_counts
 from tidewell.sources.dataset import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op3_token_counts(data: Dataset) -> DataFrame:
     return token_counts.count_tokens(data.table("documents"), path, limit=4096).withColumnRenamed("id", "doc_id")
 
 
+@query("op5_merkle_fingerprint")
+def op5_merkle_fingerprint(data: Dataset) -> DataFrame:
+    return merkle.fingerprint_edits(data.table("documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op6_substring_dedup")
 def op6_substring_dedup(data: Dataset) -> DataFrame:
     kept = substring_dedup.remove_repeats(data.table("documents"), window=35)
