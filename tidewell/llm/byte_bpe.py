@@ -38,27 +38,23 @@ def load_ranks(data: bytes) -> list[bytes]:
 
 
 class MergeReplay:
-    """Encodes distinct pre-tokens together. ``tokens`` holds the bytes of each id, and the id is the merge rank."""
+    """Applies merges in rank order to many words at once.
 
-    def __init__(self, tokens: Sequence[bytes]):
-        self.ranks = ranks = {token: rank for rank, token in enumerate(tokens) if token}
-        missing = [b for b in range(256) if bytes([b]) not in ranks]
-        if missing:
-            raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
-        self.size = len(tokens)
-        self.singles = np.array([ranks[bytes([b])] for b in range(256)], "i8")
-        pairs = sorted(
-            (left * self.size + right, rank)
-            for rank, token in enumerate(tokens)
-            for at in range(1, len(token))
-            if (left := ranks.get(token[:at])) is not None and (right := ranks.get(token[at:])) is not None
-        )
-        self.pairs = np.array([key for key, _ in pairs] or [-1], "i8")
-        self.made = np.array([rank for _, rank in pairs] or [-1], "i4")
-        # A token that forms a pair of lower rank than its own: after such a merge the word must look again.
-        self.early = np.zeros(self.size, bool)
-        for side in (self.pairs // self.size, self.pairs % self.size):
-            self.early[side[self.made < side]] = True
+    ``pairs`` maps (left id, right id) to the rank of their merge, ``token`` each rank to the id that the merge makes.
+    """
+
+    def __init__(self, pairs: dict[tuple[int, int], int], token: np.ndarray, size: int):
+        self.size, self.token = size, token
+        table = sorted((left * size + right, rank) for (left, right), rank in pairs.items())
+        self.pairs = np.array([key for key, _ in table] or [-1], "i8")
+        self.made = np.array([rank for _, rank in table] or [-1], "i4")
+        # Merges that can form a pair of lower rank than their own: after one of these the word must look again.
+        rank_of = np.full(size, -1)
+        rank_of[token] = np.arange(len(token))
+        self.early = np.zeros(len(token), bool)
+        for side in (self.pairs // size, self.pairs % size):
+            rank = rank_of[side]
+            self.early[rank[(rank >= 0) & (self.made < rank)]] = True
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes, or -1."""
@@ -66,23 +62,8 @@ class MergeReplay:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.made[at], -1)
 
-    def encode(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in turn, number of ids of each word). A word that is a token itself is that token."""
-        whole = np.array([self.ranks.get(word, -1) for word in words], "i4")
-        lengths = np.fromiter(map(len, words), "i8", len(words))
-        lengths[whole >= 0] = 1
-        word = np.repeat(np.arange(len(words)), lengths)
-        symbol = np.empty(len(word), "i4")
-        rest = whole[word] < 0
-        text = b"".join([w for w, rank in zip(words, whole.tolist()) if rank < 0])
-        symbol[rest] = self.singles[np.frombuffer(text, "u1")]
-        symbol[~rest] = whole[word[~rest]]
-        self._replay(symbol, word)
-        alive = symbol >= 0
-        return symbol[alive], np.bincount(word[alive], minlength=len(words))
-
-    def _replay(self, symbol: np.ndarray, word: np.ndarray) -> None:
-        """Merge in place; a symbol merged into its left neighbour becomes -1."""
+    def replay(self, symbol: np.ndarray, word: np.ndarray) -> None:
+        """Merge the symbols of all words in place; a symbol merged into its left neighbour becomes -1."""
         n = len(symbol)
         if n < 2:
             return
@@ -125,7 +106,7 @@ class MergeReplay:
                     index[rank] = spots[~keep].tolist()
                     heappush(queue, rank)
                     spots, right = spots[keep], right[keep]
-            symbol[spots] = rank
+            symbol[spots] = self.token[rank]
             symbol[right] = -1
             pair[right] = -1
             beyond = after[right]
@@ -150,6 +131,39 @@ class MergeReplay:
                         there.append(at)
 
 
+class RankFile:
+    """Encodes words under a rank file: a token's id is the rank of the merge that makes it."""
+
+    def __init__(self, tokens: Sequence[bytes]):
+        self.ranks = ranks = {token: rank for rank, token in enumerate(tokens) if token}
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        if missing:
+            raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
+        self.singles = np.array([ranks[bytes([b])] for b in range(256)], "i4")
+        pairs = {
+            (left, right): rank
+            for rank, token in enumerate(tokens)
+            for at in range(1, len(token))
+            if (left := ranks.get(token[:at])) is not None and (right := ranks.get(token[at:])) is not None
+        }
+        self.merges = MergeReplay(pairs, np.arange(len(tokens), dtype="i4"), len(tokens))
+
+    def encode(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, number of ids of each word). A word that is a token itself is that token."""
+        whole = np.array([self.ranks.get(word, -1) for word in words], "i4")
+        lengths = np.fromiter(map(len, words), "i8", len(words))
+        lengths[whole >= 0] = 1
+        word = np.repeat(np.arange(len(words)), lengths)
+        symbol = np.empty(len(word), "i4")
+        rest = whole[word] < 0
+        text = b"".join([w for w, rank in zip(words, whole.tolist()) if rank < 0])
+        symbol[rest] = self.singles[np.frombuffer(text, "u1")]
+        symbol[~rest] = whole[word[~rest]]
+        self.merges.replay(symbol, word)
+        alive = symbol >= 0
+        return symbol[alive], np.bincount(word[alive], minlength=len(words))
+
+
 def numbering() -> defaultdict:
     """Numbers its keys in the order in which they are first looked up."""
     numbers: defaultdict = defaultdict()
@@ -172,7 +186,7 @@ class BlockEncoder:
     """
 
     def __init__(self, tokens: Sequence[bytes], pattern: str):
-        self.replay = MergeReplay(tokens)
+        self.ranks = RankFile(tokens)
         self.split = regex.compile(pattern).findall
         self.letters = np.frombuffer(b"".join(tokens), "u1")
         self.widths = np.fromiter(map(len, tokens), "i8", len(tokens))
@@ -184,7 +198,7 @@ class BlockEncoder:
         parts = [self.split(chunk) for chunk in number]
         word = numbering()
         chosen = np.fromiter(map(word.__getitem__, chain.from_iterable(parts)), "i4")
-        ids, lengths = self.replay.encode([text.encode() for text in word])
+        ids, lengths = self.ranks.encode([text.encode() for text in word])
         ids = gather(ids, lengths, chosen)
         counts = np.fromiter(map(len, parts), "i8", len(parts))
         edges = np.append(0, np.cumsum(lengths[chosen]))[np.append(0, np.cumsum(counts))]

@@ -9,23 +9,27 @@ Pieces find their places by their rank among the pieces of their length: all per
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.byte_bpe import WHITE, numbering
+from tidewell.llm.byte_bpe import WHITE, MergeReplay, gather, numbering
 from tidewell.llm.common import blocks, kind, pick, spark_of, stored, texts_of, vocabulary_bytes
 
 BLOCK_BYTES = 16 << 20
 WORDS = re.compile(f"[^{WHITE}]+")
 # What Python's split() takes for white space but Unicode does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+FOREIGN = re.compile("[^\x00-\u024f]")  # beyond these, lower-casing and normal forms are the library's
 SPECIAL = "<|"  # fixed value: how the special tokens of the vocabulary begin
 
 
@@ -121,33 +125,86 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 class WordTokenizer:
-    """Ids of texts under a tokenizer that drops white space, so that each distinct word is encoded once per block."""
+    """Ids of texts under a BPE definition that drops white space and marks word ends.
+
+    Each distinct word of a block is encoded once, all of them together. Words beyond Latin letters, where normal forms
+    and new characters matter, and words that hold a special token go to the library; the tests hold all ids against it.
+    """
 
     def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(definition)
+        parts = json.loads(definition)
+        model, steps = parts["model"], parts["pre_tokenizer"]["pretokenizers"]
+        normal = [step["type"] for step in parts["normalizer"]["normalizers"]]
+        suffix = model["end_of_word_suffix"]
+        if not suffix or normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+            raise ValueError("only lower-cased byte-level BPE with marked word ends is supported")
+        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.special = [token["content"] for token in parts["added_tokens"]]
+        vocabulary = model["vocab"]
+        letters = byte_letters()
+        self.inner = np.array([vocabulary[letter] for letter in letters], "i4")
+        self.final = np.array([vocabulary[letter + suffix] for letter in letters], "i4")
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        pairs = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in enumerate(merges)}
+        token = np.array([vocabulary[a + b] for a, b in merges], "i4")
+        self.merges = MergeReplay(pairs, token, 1 + max(vocabulary.values()))
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         number = numbering()
         rows = []
         for text in texts:
-            if text.isascii() and SPECIAL not in text:
+            if SPECIAL not in text and not FOREIGN.search(text):
                 text = text.lower()  # the vocabulary has lower case only; this makes fewer distinct words
             plain = not any(c in text for c in SEPARATORS)
             rows.append(np.fromiter(map(number.__getitem__, text.split() if plain else WORDS.findall(text)), "i4"))
-        words, encoded = list(number), []
-        for start in range(0, len(words), 4096):
-            for found in self.tokenizer.encode_batch_fast(words[start : start + 4096], add_special_tokens=False):
-                encoded.append(np.array(found.ids, "i4"))
-        sizes = np.fromiter(map(len, encoded), "i8", len(encoded))
-        flat = np.concatenate(encoded) if encoded else np.empty(0, "i4")
+        flat, sizes = self._words(list(number))
         starts = np.cumsum(sizes) - sizes
         for row in rows:
             size = sizes[row]
             yield flat[np.arange(size.sum()) + np.repeat(starts[row] - (np.cumsum(size) - size), size)]
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, number of ids of each word)."""
+        special = {
+            place: self.tokenizer.encode(word, add_special_tokens=False).ids
+            for place, word in enumerate(words)
+            if FOREIGN.search(word) or (SPECIAL in word and any(token in word for token in self.special))
+        }
+        part, split = numbering(), self.split
+        found = [() if place in special else split(word.lower()) for place, word in enumerate(words)]
+        counts = np.fromiter(map(len, found), "i8", len(found))
+        chosen = np.fromiter(map(part.__getitem__, chain.from_iterable(found)), "i4")
+        texts = [text.encode() for text in part]
+        lengths = np.fromiter(map(len, texts), "i8", len(texts))
+        letters = np.frombuffer(b"".join(texts), "u1")
+        symbol = self.inner[letters]
+        ends = np.cumsum(lengths) - 1
+        symbol[ends] = self.final[letters[ends]]
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        self.merges.replay(symbol, owner)
+        alive = symbol >= 0
+        ids, widths = symbol[alive], np.bincount(owner[alive], minlength=len(texts))
+        sizes = np.diff(np.append(0, np.cumsum(widths[chosen]))[np.append(0, np.cumsum(counts))])
+        flat = gather(ids, widths, chosen)
+        if special:
+            pieces = np.split(flat, np.cumsum(sizes)[:-1])
+            for place, found in special.items():
+                pieces[place] = np.array(found, "i4")
+                sizes[place] = len(found)
+            flat = np.concatenate(pieces)
+        return flat, sizes
+
+
+def byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: printable ones themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return [chr(byte) if byte in shown else chr(next(hidden)) for byte in range(256)]
+
 
 def cut_documents(
     docs: DataFrame,
