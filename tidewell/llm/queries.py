@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, embedding_join, merkle, packing, quality, simhash, substring_dedup, token_counts
+from tidewell.llm import byte_bpe, chat, embedding_join, merkle, packing, quality, simhash, substring_dedup, token_counts, warc
 from tidewell.sources.dataset import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op3_token_counts(data: Dataset) -> DataFrame:
     return token_counts.count_tokens(data.table("documents"), path, limit=4096).withColumnRenamed("id", "doc_id")
 
 
+@query("op4_warc")
+def op4_warc(data: Dataset) -> DataFrame:
+    index = warc.archive_index(data.table("pages"), least_bytes=0)
+    first = [F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return index.select(*first, "url_key", "date", "position")
+
+
 @query("op5_merkle_fingerprint")
 def op5_merkle_fingerprint(data: Dataset) -> DataFrame:
     return merkle.fingerprint_edits(data.table("documents")).withColumnRenamed("id", "doc_id")
@@ -70,6 +77,15 @@ def op7_embedding_join(data: Dataset) -> DataFrame:
     return embedding_join.near_vectors(data.table("embeddings"), threshold=0.93).withColumnRenamed("id", "vec_id")
 
 
+@query("op8_chat_format")
+def op8_chat_format(data: Dataset) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = data.table("conversations").select("conv_id", "turn", "role", "text")
+    own = data.spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    formatted = chat.format_conversations(rows.unionByName(own), chat.turn_template)
+    return chat.conversation_digests(formatted).withColumnRenamed("id", "conv_id").drop("rewrites")
+
+
 @query("op9_best_fit_packing")
 def op9_best_fit_packing(data: Dataset) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
