@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bytes_of, kind, named, pick, slices, spark_of
+from tidewell.llm.common import bytes_of, named, pick, slices, spark_of
 
 CLASSES = 24
 STATS = 12
@@ -170,25 +170,28 @@ def train(
     return fit(*(np.stack(sorted(sample[side], key=lambda row: row.tobytes())) for side in (True, False)), prior)
 
 
-def classify(
-    docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False
-) -> DataFrame:
-    """(id[, text], held_out, score, predicted): how likely label 1 is, from the text alone; predicted is 1 from 0.5 on.
-
-    A null text is scored as the empty one. Null or repeated ids are kept as they are (a null id is not held out); an
-    empty table gives an empty one; other columns are not carried.
-    """
+def with_score(docs: DataFrame, model: Model, name: str, text_column: str = "text") -> DataFrame:
+    """``docs`` with a further column: how likely label 1 is, from the text alone; a null text is scored as empty."""
     shared = spark_of(docs).sparkContext.broadcast(model)
-    names = ["id", "text", "score"] if keep_text else ["id", "score"]
+    inner = docs.select(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])  # no name can clash
+    names, text = [*inner.columns, "score"], f"c{docs.columns.index(text_column)}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows = np.stack([features(text) for text in bytes_of(batch, "text")])
-            found = pa.array(shared.value.score(rows).astype("f8"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], found], names)
+        for batch in slices(batches, text):
+            found = shared.value.score(np.stack([features(one) for one in bytes_of(batch, text)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.astype("f8"))], names)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
+    return inner.mapInArrow(run, f"{kinds}, score double").toDF(*docs.columns, name)
 
-    schema = f"id {kind(docs, id_column)}, {'text string, ' if keep_text else ''}score double"
-    scored = pick(docs, id=id_column, text=text_column).mapInArrow(run, schema)
+
+def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, held_out, score, predicted): how likely label 1 is, from the text alone; predicted is 1 from 0.5 on.
+
+    A null text is scored as the empty one. Null or repeated ids are kept as they are (a null id is not held out); an
+    empty table gives an empty one; other columns are not carried.
+    """
+    scored = with_score(pick(docs, id=id_column, text=text_column), model, "score")
     return scored.select(
-        *names[:-1], held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

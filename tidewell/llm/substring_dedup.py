@@ -12,7 +12,7 @@ once per task; an anchor with very many runs is dealt out by the windows themsel
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +71,14 @@ def window_runs(
         yield anchor, first, np.diff(np.append(first, windows)), weight
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(a, b, id, text): a and b name a row by its id and text. Rows equal in both share them, as their results agree."""
-    rows = pick(docs, id=id_column, text=text_column)
-    return rows.select(F.xxhash64("id", "text").alias("a"), F.xxhash64("text", "id").alias("b"), "id", "text")
+def _keyed(docs: DataFrame, id_column: str, text_column: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(a, b, id, text, carried columns): a and b name a row by its id and text.
+
+    Rows equal in both share them, as their results agree.
+    """
+    rows = pick(docs, id=id_column, text=text_column, **{f"c{k}": name for k, name in enumerate(carry)})
+    a, b = F.xxhash64("id", "text").alias("a"), F.xxhash64("text", "id").alias("b")
+    return rows.select(a, b, *rows.columns)
 
 
 class Block:
@@ -189,7 +193,7 @@ def _run_rows(window: int):
             spans: list[tuple[int, int, int, int]] = []
             for batch in block:
                 keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for (a, b), text, hits in zip(keys, bytes_of(batch, "text"), batch.column(4).to_pylist()):
+                for (a, b), text, hits in zip(keys, bytes_of(batch, "text"), batch.column(batch.num_columns - 1).to_pylist()):
                     words = text.split()
                     line = b" ".join(words)
                     sizes = np.fromiter(map(len, words), "i8", len(words))
@@ -272,23 +276,28 @@ def _factored(window: int):
     return run
 
 
-def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        totals, removed, texts = [], [], []
-        for text, spans in zip(bytes_of(batch, "text"), batch.column(2).to_pylist()):
-            words = text.split()
-            totals.append(len(words))
-            if spans:
-                edges = np.zeros(len(words) + 1, "i4")
-                for span in spans:
-                    edges[span["start"]] += 1
-                    edges[span["stop"]] -= 1
-                words = [word for word, cover in zip(words, np.cumsum(edges).tolist()) if not cover]
-            removed.append(totals[-1] - len(words))
-            texts.append(b" ".join(words))
-        kept = pa.array(texts, pa.binary()).cast(pa.string())
-        columns = [batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), kept]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept"])
+def _kept(carried: int):
+    names = ["id", *[f"c{k}" for k in range(carried)], "n_words", "n_removed", "kept"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            totals, removed, texts = [], [], []
+            for text, spans in zip(bytes_of(batch, "text"), batch.column(batch.num_columns - 1).to_pylist()):
+                words = text.split()
+                totals.append(len(words))
+                if spans:
+                    edges = np.zeros(len(words) + 1, "i4")
+                    for span in spans:
+                        edges[span["start"]] += 1
+                        edges[span["stop"]] -= 1
+                    words = [word for word, cover in zip(words, np.cumsum(edges).tolist()) if not cover]
+                removed.append(totals[-1] - len(words))
+                texts.append(b" ".join(words))
+            kept = pa.array(texts, pa.binary()).cast(pa.string())
+            found = [pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:-1], *found], names)
+
+    return run
 
 
 def duplicate_spans(
@@ -313,17 +322,24 @@ def _spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, n_words, n_removed, kept): each text without the words of windows that also start anywhere else.
+    """(id, carried columns, n_words, n_removed, kept): texts without the words of windows that also start elsewhere.
 
     Words are what ASCII white space parts; kept words are joined by one space. Windows are judged on the input. A null
     text has no words; texts shorter than a window stay whole; rows that repeat an id, or all of a row, are documents of
-    their own, so a repeated row of at least a window loses all its words; an empty table gives an empty one. Other
-    columns are not carried.
+    their own, so a repeated row of at least a window loses all its words; an empty table gives an empty one. Only the
+    columns named in ``carry`` are carried.
     """
-    rows = _keyed(docs, id_column, text_column)
+    rows = _keyed(docs, id_column, text_column, carry)
     spans = _spans(rows, window, gram).groupBy("a", "b")
     spans = spans.agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # bounded by the text
-    joined = rows.join(spans, ["a", "b"], "left").select("id", "text", "spans")
-    return joined.mapInArrow(_kept, f"id {kind(docs, id_column)}, n_words bigint, n_removed bigint, kept string")
+    joined = rows.join(spans, ["a", "b"], "left").drop("a", "b")
+    carried = "".join(f"c{k} {kind(docs, name)}, " for k, name in enumerate(carry))
+    schema = f"id {kind(docs, id_column)}, {carried}n_words bigint, n_removed bigint, kept string"
+    return joined.mapInArrow(_kept(len(carry)), schema).toDF("id", *carry, "n_words", "n_removed", "kept")
