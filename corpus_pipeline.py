@@ -33,11 +33,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses all its words stays, with an empty text. ``n_chars`` follows the text.
     """
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = substring_dedup.remove_repeats(docs, window=35, carry=rest)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    found = found.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
-    return found.withColumnRenamed("id", "doc_id").select(*docs.columns)
+    inner = {name: f"c{k}" for k, name in enumerate(docs.columns)}  # no column can clash with the operator's own
+    rows = docs.select(*[named(name).alias(alias) for name, alias in inner.items()])
+    identity, text = inner["doc_id"], inner["text"]
+    rest = [alias for alias in inner.values() if alias != identity]
+    found = substring_dedup.remove_repeats(rows, window=35, id_column=identity, text_column=text, carry=rest)
+    kept = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))
+    values = {
+        **inner, "doc_id": F.col("id"), "text": kept, "n_chars": F.coalesce(F.length(kept), F.lit(0)).cast("bigint")
+    }
+    return found.select(*[F.col(v).alias(n) if isinstance(v, str) else v.alias(n) for n, v in values.items()])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
