@@ -1,4 +1,3 @@
-import importlib.util
 import json
 
 import pytest
@@ -83,16 +82,15 @@ def test_store(spark, table):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "a.CSV").write_text('x,y\n1,"p ""q""\nr"\n2,\n')
-    rows = readers.read_upload(spark, str(tmp_path / "a.CSV")).collect()
+    rows = readers.read_upload(spark, str(tmp_path / "a.CSV"), quoted_breaks=True).collect()
     assert [tuple(r) for r in rows] == [(1, 'p "q"\nr'), (2, None)]
     (tmp_path / "b.json").write_text('[{"a": 1, "n": {"k": 2}},\n {"a": 3}]')
-    rows = readers.read_upload(spark, str(tmp_path / "b.json")).orderBy("a").collect()
+    rows = readers.read_upload(spark, str(tmp_path / "b.json"), lines=False).orderBy("a").collect()
     assert rows[0]["n"]["k"] == 2 and rows[1]["n"] is None
     with pytest.raises(ValueError):
         readers.read_upload(spark, "c.parquet")
-    if not any(importlib.util.find_spec(lib) for lib in ("openpyxl", "xlrd")):
-        with pytest.raises(RuntimeError):
-            readers.read_upload(spark, "d.XLSX", schema="a int")
+    with pytest.raises(ValueError):
+        readers.read_upload(spark, "d.XLSX", schema="a int")
     with pytest.raises(ValueError):
         export_all(spark.range(1), str(tmp_path / "out"), "xml")
 
@@ -236,3 +234,28 @@ def test_stream_equals_batch_on_closed_windows(spark):
     got = {tuple(r) for r in spark.read.parquet(windows).collect()}
     want = {tuple(r) for r in batch.collect()}
     assert got < want and len(want) - len(got) <= 4
+
+
+def test_store_replaces_and_deletes_whole_runs(spark):
+    store = DatasetStore(spark, new_path(spark, "store"))
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "sector string, v int")
+    store.save_variants(rows, 1, "run", {"x": 0.5}, 11)
+    store.save_cleaned(rows, 2, "odd name/=%", {"x": 0.5, "y": 0.7}, 12)
+    assert store.read(CLEANED).count() == 9 and store.read(SCORES).count() == 3 + 2
+    store.save_variants(rows.where("sector = 'a' OR v = 2"), 1, "run", {"x": 0.1, "z": 0.2}, 11)
+    assert store.read(CLEANED).where("raw_data_id = 1").count() == 4 and store.read(SCORES).count() == 6 + 2
+    store.save_variants(rows.where("sector = 'a'"), 1, "run", {"x": 0.1}, 11)  # one sector: no variants
+    assert [r["cleaning_algorithm"] for r in store.read(CLEANED).where("raw_data_id = 1").collect()] == ["run"]
+    assert store.read(SCORES).where("raw_data_id = 1").count() == 1
+    store.save_cleaned(rows.where("false"), 2, "odd name/=%", {}, 12)
+    assert store.read(CLEANED).where("raw_data_id = 2").isEmpty() and store.read(SCORES).where("raw_data_id = 2").isEmpty()
+    assert store.delete_dataset(1) == {"raw": 0, "cleaned": 1, "scores": 1}
+    assert store.read(CLEANED).isEmpty() and store.read(SCORES).isEmpty()
+
+
+def test_short_history_falls_back_to_the_weights(spark):
+    scores = spark.createDataFrame([], "scored_at timestamp_ntz, cleaned_data_id bigint, score double, algorithm string")
+    features = history.quality_features(scores)
+    model = history.train_quality_model(features, ("N", "R", "A"))
+    best = history.best_candidate(history.rank_candidates(features, ("N", "R", "A"), model)).first()
+    assert model is None and best["impute_strategy"] == "mean" and best["outlier_method"] == "iqr"

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import clean, profile, quantiles
+from tidewell.operators import clean, profile, quantiles, structure
 
 
 @pytest.fixture
@@ -29,11 +29,10 @@ def test_profiles_of_an_empty_table(spark):
     assert clean.normalise(empty).count() == 0 and clean.correct_types(empty).count() == 0
 
 
-@pytest.mark.parametrize("wide", [True, False])
-def test_duplicates_by_hash_and_by_row(spark, dirty, wide):
-    assert profile.duplicate_count(dirty, wide=wide).first()[0] == 1
+def test_duplicates(spark, dirty):
+    assert profile.duplicate_count(dirty).first()[0] == 1
     nulls = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), (None, None), (None, None)], "x string, y string")
-    assert profile.duplicate_count(nulls, wide=wide).first()[0] == 2
+    assert profile.duplicate_count(nulls).first()[0] == 2
 
 
 def test_skew_matches_pandas(spark):
@@ -75,8 +74,7 @@ def test_correct_types(spark):
     assert [t for _, t in clean.correct_types(df).dtypes] == ["bigint", "double", "timestamp_ntz", "string", "string"]
 
 
-def test_sample_does_not_decide_types(spark, monkeypatch):
-    monkeypatch.setattr(clean, "SAMPLE_ROWS", 2)
+def test_every_value_decides_the_type(spark):
     df = spark.createDataFrame([("1",), ("2",), ("oops",)], "v string").coalesce(1)
     assert clean.correct_types(df).dtypes == [("v", "string")]
 
@@ -128,3 +126,30 @@ def test_narrowed_quantiles_are_exact(spark, monkeypatch, kind):
     for row in grouped:
         np.testing.assert_allclose(list(row)[1:], np.quantile(v[np.arange(len(v)) % 3 == row["g"]], probs), rtol=1e-12)
     assert len(grouped) == 3
+
+
+def test_dotted_names(spark):
+    df = spark.createDataFrame([(1.0, "x", '{"a.b": 1}'), (None, "x", None), (3.0, None, "{}"), (3.0, None, "{}")], "`p.q` double, `t``x` string, `j.s` string")
+    assert profile.duplicate_count(df).first()[0] == 1
+    assert {r["metric"]: r["value"] for r in profile.error_profile(df).collect()}["Missing Values"] == 4
+    filled = clean.impute(df.drop("j.s"), "median")
+    assert [tuple(r) for r in filled.orderBy("`p.q`").collect()][0] == (1.0, "x") and filled.where("`p.q` IS NULL").isEmpty()
+    assert clean.normalise(df).agg({"`p.q`": "max"}).first()[0] == 1.0
+    assert clean.standardise(df).columns == df.columns and clean.clip_outliers(df).columns == df.columns
+    assert clean.flag_outliers(df, "zscore", ["p.q"]).columns[-1] == "p.q_outlier"
+    out = structure.expand_json(df)
+    assert out.columns == ["p.q", "t`x", "j.s_a.b"] and out.agg(F.sum("`j.s_a.b`")).first()[0] == 1
+
+
+def test_a_json_key_takes_the_place_of_a_column_of_its_name(spark):
+    df = spark.createDataFrame([('{"k": 5}', "old")], "p string, p_k string")
+    assert [tuple(r) for r in structure.expand_json(df).collect()] == [(5,)]
+    maps = structure.json_maps(df, ["p"]).first()
+    assert maps["p"] == {"k": "5"} and maps["p_k"] == "old"
+
+
+def test_integrate_reads_each_source_in_proportion(spark):
+    frames = [spark.createDataFrame([(i, i * k) for i in range(k, k + 3)], "id bigint, v bigint") for k in range(1, 5)]
+    out = clean.integrate(frames, "id")
+    assert out.columns == ["id", "v", "v_2", "v_3", "v_4"] and sorted(r["id"] for r in out.collect()) == [1, 2, 3, 4, 5, 6]
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4  # both sides of the last join, twice

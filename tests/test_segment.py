@@ -103,3 +103,16 @@ def test_kmeans_splits_blobs(spark):
     rows = segment.kmeans_segments(df, 2).collect()
     assert len({r["cluster"] for r in rows if r["a"] < 25}) == 1
     assert len({r["cluster"] for r in rows}) == 2
+
+
+def test_kmeans_returns_rows_with_gaps(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (1.1, 1.0), (9.0, 9.0), (None, 1.0), (float("nan"), 2.0)], "`a.x` double, b double")
+    rows = segment.kmeans_segments(df, 2).collect()
+    assert len(rows) == 5 and [r["cluster"] is None for r in sorted(rows, key=lambda r: (r["b"], r[0] or 0))].count(True) == 2
+    assert {r["cluster"] for r in rows} == {None, 0, 1}
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100)], "a bigint, b bigint")
+    found = {r["node"]: r["component"] for r in segment.connected_components(edges).collect()}
+    assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}

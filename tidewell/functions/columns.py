@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name: dots and back ticks are part of it, not a path."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Numeric columns in table order; booleans are not numbers."""
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
@@ -65,13 +70,13 @@ def _has_float(kind: T.DataType) -> bool:
 
 def json_safe(df: DataFrame) -> DataFrame:
     """Null out non-finite floats everywhere, nested values included. Types stay native."""
-    return df.select(*[_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+    return df.select(*[_safe(col(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
 def iso_timestamps(df: DataFrame) -> DataFrame:
     """Timestamps as ISO text to the second, without a zone."""
     replaced = {
-        f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss")
+        f.name: F.date_format(col(f.name), "yyyy-MM-dd'T'HH:mm:ss")
         for f in df.schema
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))
     }
@@ -80,7 +85,7 @@ def iso_timestamps(df: DataFrame) -> DataFrame:
 
 def arrays_to_json(df: DataFrame) -> DataFrame:
     """Array columns as JSON text."""
-    replaced = {f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, T.ArrayType)}
+    replaced = {f.name: F.to_json(col(f.name)) for f in df.schema if isinstance(f.dataType, T.ArrayType)}
     return df.withColumns(replaced) if replaced else df
 
 

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import clamp, numeric_columns, text_columns
+from tidewell.functions.columns import clamp, col, numeric_columns, text_columns
 from tidewell.functions.text import clean_text as clean_text_column
 from tidewell.functions.text import strip
 from tidewell.operators.profile import iqr_fences
 from tidewell.operators.quantiles import column_quantiles
+from tidewell.session import materialise
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """Most frequent value of each column, ties to the smallest; computed as distributed value counts."""
     if not columns:
         return {}
-    entries = [F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)]
+    entries = [F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("v")) for i, c in enumerate(columns)]
     counted = df.select(F.inline(F.array(*entries))).where("v IS NOT NULL").groupBy("i", "v").count()
     best = counted.groupBy("i").agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("v"))
     found = {row["i"]: row["v"] for row in best.collect()}  # one row per column
@@ -58,8 +58,8 @@ def fill_values(df: DataFrame, strategy: str, columns: Sequence[str]) -> dict[st
     """Mean or median of each numeric column that has both values and gaps."""
     stats = df.agg(
         F.count(F.lit(1)),
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
     ).first()
     rows, counts, means = stats[0], stats[1 : 1 + len(columns)], stats[1 + len(columns) :]
     gaps = {c: counts[i] for i, c in enumerate(columns) if 0 < counts[i] < rows}
@@ -76,14 +76,14 @@ def impute(df: DataFrame, strategy: str = "auto", exclude: Sequence[str] = (), k
     numeric = numeric_columns(df, exclude)
     if strategy in ("auto", "mean", "median"):
         fills = fill_values(df, "median" if strategy == "median" else "mean", numeric) if numeric else {}
-        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in fills.items()}
+        filled = {c: F.coalesce(col(c).cast("double"), F.lit(v)) for c, v in fills.items()}
     elif strategy == "ml":
         if knn is not None and numeric:
             df = knn(df, numeric)
         filled = {}
     else:
         raise ValueError(f"unknown imputation strategy {strategy!r}")
-    filled |= {c: F.coalesce(F.col(c), F.lit(v)) for c, v in column_modes(df, text_columns(df, exclude)).items()}
+    filled |= {c: F.coalesce(col(c), F.lit(v)) for c, v in column_modes(df, text_columns(df, exclude)).items()}
     return df.withColumns(filled) if filled else df
 
 
@@ -93,7 +93,7 @@ def impute(df: DataFrame, strategy: str = "auto", exclude: Sequence[str] = (), k
 def clip_outliers(df: DataFrame, exclude: Sequence[str] = (), low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Clamp each numeric column to its own 5th and 95th percentile; null stays null."""
     bounds = column_quantiles(df, numeric_columns(df, exclude), (low, high))
-    clipped = {c: clamp(F.col(c).cast("double"), b[0], b[1]) for c, b in bounds.items() if b}
+    clipped = {c: clamp(col(c).cast("double"), b[0], b[1]) for c, b in bounds.items() if b}
     return df.withColumns(clipped) if clipped else df
 
 
@@ -105,10 +105,10 @@ def flag_outliers(df: DataFrame, method: str = "iqr", columns: Sequence[str] | N
         fences = iqr_fences(df, columns)
         for c in columns:
             fence = fences.get(c)
-            flags[c] = (F.col(c) < fence[0]) | (F.col(c) > fence[1]) if fence else F.lit(False)
+            flags[c] = (col(c) < fence[0]) | (col(c) > fence[1]) if fence else F.lit(False)
     elif method == "zscore":
         for c, (mean, spread) in mean_and_spread(df, columns).items():
-            flags[c] = F.abs(F.col(c) - mean) / spread > 3 if spread else F.lit(False)
+            flags[c] = F.abs(col(c) - mean) / spread > 3 if spread else F.lit(False)
     else:
         raise ValueError(f"unknown outlier method {method!r}")
     return df.withColumns({f"{c}_outlier": F.coalesce(flag, F.lit(False)) for c, flag in flags.items()})
@@ -118,7 +118,7 @@ def flag_outliers(df: DataFrame, method: str = "iqr", columns: Sequence[str] | N
 
 
 def mean_and_spread(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    row = df.agg(*[f(col(c)) for c in columns for f in (F.avg, F.stddev_pop)]).first()
     return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
 
 
@@ -127,13 +127,13 @@ def normalise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     columns = numeric_columns(df, exclude)
     if not columns:
         return df
-    row = df.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
+    row = df.agg(*[f(col(c)) for c in columns for f in (F.min, F.max)]).first()
     scaled = {}
     for i, c in enumerate(columns):
         low, high = row[2 * i], row[2 * i + 1]
         if low is not None:
-            value = (F.col(c) - low) / float(high - low) if high != low else F.lit(0.0)
-            scaled[c] = F.when(F.col(c).isNotNull(), value)
+            value = (col(c) - low) / float(high - low) if high != low else F.lit(0.0)
+            scaled[c] = F.when(col(c).isNotNull(), value)
     return df.withColumns(scaled) if scaled else df
 
 
@@ -145,58 +145,49 @@ def standardise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     scaled = {}
     for c, (mean, spread) in mean_and_spread(df, columns).items():
         if mean is not None:
-            value = (F.col(c) - mean) / spread if spread else F.lit(0.0)
-            scaled[c] = F.when(F.col(c).isNotNull(), value)
+            value = (col(c) - mean) / spread if spread else F.lit(0.0)
+            scaled[c] = F.when(col(c).isNotNull(), value)
     return df.withColumns(scaled) if scaled else df
 
 
 # ---- types, text, rules -----------------------------------------------------------------------------------
 
 
-# The types a text column may turn into, in order, with a cheap test that guards the cast.
+# The types a text column may turn into, in order, each with its test.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 TYPE_CHECKS = {
     "bigint": lambda v: v.try_cast("bigint").isNotNull(),
     "double": lambda v: v.rlike(NUMBER),
     "timestamp_ntz": lambda v: v.try_cast("timestamp_ntz").isNotNull(),
 }
-SAMPLE_ROWS = 1_000
-
-
-def _fits(df: DataFrame, checks: Sequence[tuple[str, str]]) -> dict[tuple[str, str], tuple[bool, bool]]:
-    """For each (column, type): whether no value fails, and whether there is a value at all."""
-    if not checks:
-        return {}
-    names = list(dict.fromkeys(c for c, _ in checks))
-    stripped = df.select(*[strip(F.col(c)).alias(c) for c in names])
-    failed = [F.count_if(F.col(c).isNotNull() & ~TYPE_CHECKS[kind](F.col(c))) for c, kind in checks]
-    row = stripped.agg(*failed, *[F.count(c) for c in names]).first()
-    filled = dict(zip(names, row[len(checks) :]))
-    return {(c, kind): (n == 0, filled[c] > 0) for (c, kind), n in zip(checks, row)}
 
 
 def correct_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns whose every value parses become bigint, double or timestamp; others stay text.
 
-    A few rows rule out most types at once. The whole table is checked for the narrowest type left of each
-    column, and again for the next one only where that fails.
+    One pass counts, for every column and type, the values that do not parse.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    sample = _fits(df.limit(SAMPLE_ROWS), [(c, kind) for c in columns for kind in TYPE_CHECKS])
-    left = {c: [kind for kind in TYPE_CHECKS if sample[c, kind][0]] for c in columns}
+    if not columns:
+        return df
+    stripped = df.select(*[strip(col(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    counters = []
+    for i in range(len(columns)):
+        value = F.col(f"v{i}")
+        counters += [F.count(value), *[F.count_if(value.isNotNull() & ~test(value)) for test in TYPE_CHECKS.values()]]
+    row = stripped.agg(*counters).first()
     casts: dict[str, Column] = {}
-    while any(left.values()):
-        checks = [(c, kinds[0]) for c, kinds in left.items() if kinds]
-        for (c, kind), (fits, filled) in _fits(df, checks).items():
-            left[c] = [] if fits else left[c][1:]
-            if fits and filled:
-                casts[c] = strip(F.col(c)).try_cast(kind)
+    for i, c in enumerate(columns):
+        filled, *failed = row[i * (1 + len(TYPE_CHECKS)) : (i + 1) * (1 + len(TYPE_CHECKS))]
+        fitting = [kind for kind, n in zip(TYPE_CHECKS, failed) if not n]
+        if filled and fitting:
+            casts[c] = strip(col(c)).try_cast(fitting[0])
     return df.withColumns(casts) if casts else df
 
 
 def clean_text(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     columns = text_columns(df, exclude)
-    return df.withColumns({c: clean_text_column(F.col(c)) for c in columns}) if columns else df
+    return df.withColumns({c: clean_text_column(col(c)) for c in columns}) if columns else df
 
 
 def apply_rules(df: DataFrame, rules: Mapping[str, RangeRule | RegexRule]) -> DataFrame:
@@ -206,9 +197,9 @@ def apply_rules(df: DataFrame, rules: Mapping[str, RangeRule | RegexRule]) -> Da
         if c not in df.columns:
             continue
         if isinstance(rule, RangeRule):
-            changed[c] = clamp(F.col(c), rule.low, rule.high)
+            changed[c] = clamp(col(c), rule.low, rule.high)
         else:
-            changed[c] = F.regexp_replace(F.col(c).cast("string"), rule.pattern, "")
+            changed[c] = F.regexp_replace(col(c).cast("string"), rule.pattern, "")
     return df.withColumns(changed) if changed else df
 
 
@@ -224,7 +215,7 @@ def keep_referenced(df: DataFrame, references: Mapping[str, DataFrame]) -> DataF
     for c, reference in references.items():
         if c in df.columns:
             # Null is kept only when the reference lists it.
-            df = df.join(_values(reference), F.col(c).eqNullSafe(F.col("_ref")), "left_semi")
+            df = df.join(_values(reference), col(c).eqNullSafe(F.col("_ref")), "left_semi")
     return df
 
 
@@ -234,7 +225,7 @@ def reference_violations(df: DataFrame, references: Mapping[str, DataFrame]) ->
     flagged = df
     for i, c in enumerate(present):
         known = _values(references[c]).withColumn(f"_known{i}", F.lit(True)).withColumnRenamed("_ref", f"_ref{i}")
-        flagged = flagged.join(known, F.col(c).eqNullSafe(F.col(f"_ref{i}")), "left").drop(f"_ref{i}")
+        flagged = flagged.join(known, col(c).eqNullSafe(F.col(f"_ref{i}")), "left").drop(f"_ref{i}")
     failed = F.array_compact(
         F.array(*[F.when(F.col(f"_known{i}").isNull(), F.lit(c)) for i, c in enumerate(present)])
     )
@@ -249,20 +240,27 @@ def full_outer(left: DataFrame, right: DataFrame, key: str, suffix: str) -> Data
     """Full outer equi-join on one key where null keys match each other.
 
     Written as a left outer join plus the unmatched right rows: both join types can split a hot key at run
-    time, which a full outer join cannot.
+    time, which a full outer join cannot. Null keys meeting null keys multiply, as equal keys do: that is the
+    meaning of the merge, so give rows without a key one before when that is not wanted.
     """
     taken = set(left.columns) - {key}
     right = right.select(
-        F.col(key).alias("_rk"),
-        *[F.col(c).alias(f"{c}{suffix}" if c in taken else c) for c in right.columns if c != key],
+        col(key).alias("_rk"),
+        *[col(c).alias(f"{c}{suffix}" if c in taken else c) for c in right.columns if c != key],
     )
-    match = F.col(key).eqNullSafe(F.col("_rk"))
+    match = col(key).eqNullSafe(F.col("_rk"))
     both = left.join(right.withColumn("_hit", F.lit(True)), match, "left").drop("_rk", "_hit")
-    only_right = right.join(left.select(key), match, "left_anti").withColumnRenamed("_rk", key)
+    only_right = right.join(left.select(col(key)), match, "left_anti").withColumnRenamed("_rk", key)
     return both.unionByName(only_right, allowMissingColumns=True)
 
 
 def integrate(sources: Sequence[DataFrame], key: str) -> DataFrame:
-    """Fold full outer joins over the sources; overlapping columns of source i get ``_<i>``."""
-    numbered = list(enumerate(sources, start=1))
-    return reduce(lambda acc, item: full_outer(acc, item[1], key, f"_{item[0]}"), numbered[1:], sources[0])
+    """Fold full outer joins over the sources; overlapping columns of source i get ``_<i>``.
+
+    Each join reads both of its sides twice, so what was joined so far is written before the next source joins,
+    and the scans grow with the number of sources, not with its square.
+    """
+    merged = sources[0]
+    for number, source in enumerate(sources[1:], start=2):
+        merged = full_outer(merged if number == 2 else materialise(merged), source, key, f"_{number}")
+    return merged

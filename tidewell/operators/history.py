@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.ranking import latest_per_key, one_row, top_n_per_key
 from tidewell.operators.scope import semi
+from tidewell.operators.series import over_positions, with_position
 
 HISTORY_ROWS = 200
 TREND_ROWS = 20
 TREND_MIN = 6
-FEATURE_ROWS = 500
+FEATURE_BACK = 5
 MODEL_MIN_SCORES = 8
 
 # Starting weights of the methods of each cleaning family.
@@ -70,15 +71,16 @@ def quality_history(scores: DataFrame) -> DataFrame:
 
 
 def quality_features(scores: DataFrame) -> DataFrame:
-    """Rolling features of the first 500 scores: place, mean and deviation of up to five before, target."""
-    listed = _ordered_scores(scores, False, FEATURE_ROWS).where("i >= 3")
-    before = F.slice("all", F.greatest(F.col("i") - 4, F.lit(1)), F.least(F.col("i"), F.lit(5)))
-    spread = listed.select(
-        "i", "score", "algorithm", (F.col("i") / F.size("all")).alias("place"), F.explode(before).alias("b")
-    )
-    return spread.groupBy("i", "score", "algorithm", "place").agg(
-        F.avg("b").alias("mean5"), F.stddev_pop("b").alias("std5")
-    )
+    """Rolling features of every score but the first three: place, mean and deviation of up to five before, target."""
+    placed = with_position(scores.select(*SCORE_ORDER), (), SCORE_ORDER, "i")
+    total = scores.count()
+
+    def make(window) -> dict[str, Column]:
+        before = window.rowsBetween(-FEATURE_BACK, -1)
+        return {"mean5": F.avg("score").over(before), "std5": F.stddev_pop("score").over(before)}
+
+    framed = over_positions(placed, (), "i", FEATURE_BACK, 0, make).where("i >= 3")
+    return framed.select("i", "score", "algorithm", (F.col("i") / F.lit(max(total, 1))).alias("place"), "mean5", "std5")
 
 
 # ---- feedback ---------------------------------------------------------------------------------------------
@@ -257,8 +259,19 @@ def predicted_quality(features: DataFrame, algorithms: tuple[str, ...], model: L
     return model.transform(rows).drop("x", "is_second", "is_third")
 
 
-def rank_candidates(features: DataFrame, algorithms: tuple[str, ...], model: LinearRegressionModel) -> DataFrame:
-    """Predicted quality and uncertainty of each candidate at the newest state of the history."""
+def rank_candidates(features: DataFrame, algorithms: tuple[str, ...], model: LinearRegressionModel | None) -> DataFrame:
+    """Predicted quality and uncertainty of each candidate at the newest state of the history.
+
+    Without a model the starting weights of a candidate's methods stand in for its quality, with no uncertainty.
+    """
+    if model is None:
+        rows = []
+        for i, settings in enumerate(CANDIDATES):
+            impute = DEFAULT_WEIGHTS["missing_value_imputation"][settings["impute_strategy"]]
+            outlier = DEFAULT_WEIGHTS["outlier_detection"][settings["outlier_method"]]
+            rows.append((i, *settings.values(), (impute + outlier) / 2, 0.0))
+        names = "candidate int, impute_strategy string, outlier_method string, normalize boolean, standardize boolean"
+        return features.sparkSession.createDataFrame(rows, f"{names}, predicted_quality double, uncertainty double")
     state = features.agg(
         F.max_by("mean5", "i").alias("mean5"), F.max_by("std5", "i").alias("std5"), F.avg("score").alias("past")
     )

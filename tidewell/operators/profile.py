@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewell.functions.columns import numeric_columns, text_columns
+from tidewell.functions.columns import col, numeric_columns, text_columns
 from tidewell.functions.text import is_invalid_token
 from tidewell.operators.quantiles import column_quantiles
 
@@ -18,7 +17,7 @@ TOP_COMPARE_COLUMNS = 10
 
 def null_counts(df: DataFrame, alias: str = "missing") -> DataFrame:
     """One row per column: (column, null count). A single map-side combined aggregate."""
-    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    counts = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
     entries = [
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias(alias)) for i, c in enumerate(df.columns)
     ]
@@ -35,24 +34,9 @@ def top_missing_columns(df: DataFrame, n: int = TOP_PROFILE_COLUMNS) -> DataFram
     return null_counts(df).orderBy(F.desc("missing"), "column").limit(n)
 
 
-def _is_wide(df: DataFrame) -> bool:
-    """Whether a row may be much larger than a hash."""
-    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return any(not isinstance(f.dataType, fixed) for f in df.schema)
-
-
-def duplicate_count(df: DataFrame, alias: str = "duplicate_rows", wide: bool | None = None) -> DataFrame:
-    """Rows minus distinct rows, nulls equal. Repeats combine before the shuffle, so a hot row costs nothing.
-
-    Rows of wide tables are counted by hash first. Only rows whose hash occurs twice are then compared in
-    full, so unique rows never enter a shuffle and a hash collision cannot change the result.
-    """
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    if wide if wide is not None else _is_wide(df):
-        hashed = df.withColumn("_hash", F.xxhash64(*columns))
-        repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
-        df = hashed.join(repeated, "_hash", "left_semi").drop("_hash")
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+def duplicate_count(df: DataFrame, alias: str = "duplicate_rows") -> DataFrame:
+    """Rows minus distinct rows, nulls equal: one scan and one shuffle, before which repeats of a row combine."""
+    groups = df.groupBy(*map(col, df.columns)).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias(alias))
 
 
@@ -61,7 +45,7 @@ def iqr_fences(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str,
     columns = numeric_columns(df) if columns is None else list(columns)
     if not columns:
         return {}
-    row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     counts = {c: row[i] for i, c in enumerate(columns)}
     usable = [c for c in columns if counts[c] >= 4]
     fences = {}
@@ -72,7 +56,7 @@ def iqr_fences(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str,
 
 
 def _outside(column: str, fence: tuple[float, float]) -> Column:
-    return (F.col(column) < fence[0]) | (F.col(column) > fence[1])
+    return (col(column) < fence[0]) | (col(column) > fence[1])
 
 
 def _total(parts: list[Column]) -> Column:
@@ -87,11 +71,11 @@ def outlier_total(fences: dict[str, tuple[float, float]]) -> Column:
 
 
 def missing_total(df: DataFrame) -> Column:
-    return _total([F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns])
+    return _total([F.count_if(col(c).isNull()) for c in df.columns])
 
 
 def invalid_total(df: DataFrame) -> Column:
-    return _total([F.count_if(is_invalid_token(F.col(c))) for c in text_columns(df)])
+    return _total([F.count_if(is_invalid_token(col(c))) for c in text_columns(df)])
 
 
 def missing_share(df: DataFrame) -> Column:
@@ -106,7 +90,7 @@ def iqr_outlier_count(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def completeness(df: DataFrame) -> Column:
     """Mean over the columns of the non-null share, as an aggregate."""
     cells = F.greatest(F.count(F.lit(1)), F.lit(1)) * max(len(df.columns), 1)
-    return _total([F.count(F.col(f"`{c}`")) for c in df.columns]) / cells
+    return _total([F.count(col(c)) for c in df.columns]) / cells
 
 
 def quality_score(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -242,10 +226,10 @@ def data_characteristics(df: DataFrame, columns: Sequence[str] | None = None) ->
     columns = numeric_columns(df) if columns is None else list(columns)
     skews = []
     for c in columns:
-        n = F.count(c)
+        n = F.count(col(c))
         scale = F.sqrt(n * (n - 1).cast("double")) / (n - 2)
         # Fewer than three values have no skew; a constant column has skew 0.
-        spread = F.when(F.stddev_pop(c) == 0, 0.0).otherwise(F.skewness(c) * scale)
+        spread = F.when(F.stddev_pop(col(c)) == 0, 0.0).otherwise(F.skewness(col(c)) * scale)
         skews.append(F.when(n >= 3, spread))
     if skews:
         total, known = F.lit(0.0), F.lit(0)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.columns import col
+
 # Values one aggregation buffer may hold.
 BUFFER_VALUES = 2_000_000
 SKETCH_ACCURACY = 10_000
@@ -27,13 +29,13 @@ def column_quantiles(
     if not columns:
         return {}
     if counts is None:
-        row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
         counts = {c: row[i] for i, c in enumerate(columns)}
     small = [c for c in columns if 0 < counts[c] <= BUFFER_VALUES]
     found: dict[str, list[float] | None] = {c: None for c in columns}
     if small:
         fractions = F.array(*[F.lit(p) for p in probs])
-        row = df.agg(*[F.percentile(c, fractions).alias(f"q{i}") for i, c in enumerate(small)]).first()
+        row = df.agg(*[F.percentile(col(c), fractions).alias(f"q{i}") for i, c in enumerate(small)]).first()
         found.update({c: list(row[i]) for i, c in enumerate(small)})
     large = [c for c in columns if counts[c] > BUFFER_VALUES]
     for start in range(0, len(large), COLUMNS_PER_JOB):
@@ -47,7 +49,7 @@ def _narrowed(df: DataFrame, columns: Sequence[str], sizes: Sequence[int], probs
 
     All columns share the jobs of a round: one for exact counts, one for the next sketches.
     """
-    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    values = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     edges = values.agg(*[f(f"v{i}") for i in range(len(columns)) for f in (F.min, F.max)]).first()
     # A spot is a (column number, rank) pair.
     brackets: dict[tuple[int, int], tuple[float, float]] = {}
@@ -115,7 +117,7 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Quantiles of ``column`` per group, one output column per probability."""
     keys = list(keys)
-    values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
+    values = df.where(col(column).isNotNull()).select(*map(col, keys), col(column).cast("double").alias("_v"))
     sizes = values.groupBy(*keys).count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= BUFFER_VALUES:

@@ -230,13 +230,13 @@ def avg_score() -> Column:
     return F.coalesce(F.try_divide(F.sum("score_sum"), F.sum("score_n")), F.lit(0.0))
 
 
-def sector_comparison(raw: DataFrame, cleaned: DataFrame, scores: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Uploads and mean quality per sector."""
-    stats = scored_raw(raw, cleaned, scores).groupBy("sector_id").agg(
+def sector_comparison(seen: DataFrame, cleaned: DataFrame, scores: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Uploads and mean quality per company, role and sector of the datasets that ``scope.with_principal`` gives."""
+    stats = scored_raw(seen, cleaned, scores).groupBy("company_id", "role", "sector_id").agg(
         F.count(F.lit(1)).alias("uploads"), F.round(avg_score(), 4).alias("avg_quality")
     )
     names = sectors.select(F.col("id").alias("_s"), F.col("name").alias("sector"))
-    return stats.join(names, F.col("sector_id") == F.col("_s")).select("sector_id", "sector", "uploads", "avg_quality")
+    return stats.join(names, F.col("sector_id") == F.col("_s")).drop("_s")
 
 
 def prediction_summary(predictions: DataFrame) -> DataFrame:
@@ -261,9 +261,9 @@ def system_health(scoped: DataFrame, cleaned: DataFrame, scores: DataFrame) -> D
     )
 
 
-def sector_summary(raw: DataFrame, cleaned: DataFrame, scores: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Uploads, cleaned results, mean quality and predictions of every sector at once."""
-    stats = scored_raw(raw, cleaned, scores).groupBy("sector_id").agg(
+def sector_summary(seen: DataFrame, cleaned: DataFrame, scores: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Uploads, cleaned results, mean quality and predictions per company, role and sector of the datasets seen."""
+    stats = scored_raw(seen, cleaned, scores).groupBy("company_id", "role", "sector_id").agg(
         F.count(F.lit(1)).alias("uploads"),
         F.coalesce(F.sum("cleaned"), F.lit(0)).cast("bigint").alias("cleaned_datasets"),
         F.round(avg_score(), 4).alias("avg_quality"),
@@ -274,14 +274,14 @@ def sector_summary(raw: DataFrame, cleaned: DataFrame, scores: DataFrame, predic
     )
 
 
-def company_overview(raw: DataFrame, sectors: DataFrame, products: DataFrame) -> DataFrame:
-    """Per company: sectors with uploads, products of those sectors, uploads."""
-    uploads = raw.groupBy("sector_id").agg(F.count(F.lit(1)).alias("uploads"))
+def company_overview(seen: DataFrame, products: DataFrame) -> DataFrame:
+    """Per principal: sectors with uploads, products of those sectors, uploads."""
+    principal = ["company_id", "role", "scope_sector"]
+    uploads = seen.groupBy(*principal, "sector_id").agg(F.count(F.lit(1)).alias("uploads"))
     goods = products.groupBy(F.col("sector_id").alias("_p")).agg(F.count(F.lit(1)).alias("products"))
     return (
-        sectors.join(uploads, F.col("id") == F.col("sector_id"))
-        .join(goods, F.col("id") == F.col("_p"), "left")
-        .groupBy("company_id")
+        uploads.join(goods, F.col("sector_id") == F.col("_p"), "left")
+        .groupBy(*principal)
         .agg(
             F.count(F.lit(1)).alias("sectors"),
             F.coalesce(F.sum("products"), F.lit(0)).cast("bigint").alias("products"),

@@ -44,13 +44,19 @@ def scoped_raw(raw: DataFrame, sectors: DataFrame, users: DataFrame, who: Princi
     return semi(in_sector, "uploaded_by", allowed_uploaders(users, who))
 
 
-def predictions_in_scope(predictions: DataFrame, scoped: DataFrame) -> DataFrame:
-    """Predictions of sectors that have a dataset in scope."""
-    return semi(predictions, "sector_id", scoped.select("sector_id").distinct(), "sector_id")
+def predictions_in_scope(predictions: DataFrame, scoped: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Predictions of sectors that have a dataset in scope.
+
+    The sectors are filtered first: a filtered dimension is known to be small, so the predictions need not be
+    shuffled on a few hot sector keys.
+    """
+    return semi(predictions, "sector_id", semi(sectors, "id", scoped, "sector_id"))
 
 
-def recommendations_in_scope(recommendations: DataFrame, predictions: DataFrame, scoped: DataFrame) -> DataFrame:
-    return semi(recommendations, "prediction_id", predictions_in_scope(predictions, scoped))
+def recommendations_in_scope(
+    recommendations: DataFrame, predictions: DataFrame, scoped: DataFrame, sectors: DataFrame
+) -> DataFrame:
+    return semi(recommendations, "prediction_id", predictions_in_scope(predictions, scoped, sectors))
 
 
 def with_principal(raw: DataFrame, sectors: DataFrame, users: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import finite, numeric_columns
+from tidewell.functions.columns import col, finite, numeric_columns
 from tidewell.operators.keyed import join_on
 from tidewell.session import materialise
 
@@ -22,13 +22,30 @@ MAX_SPLITS = 40
 
 
 def kmeans_segments(df: DataFrame, k: int = 3, columns: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
-    """Adds ``cluster``; unchanged when there is no numeric column."""
+    """Adds ``cluster``, null for rows that lack one of the columns; unchanged when there is no numeric column.
+
+    The centres are fitted on the complete rows; every row is returned.
+    """
     columns = numeric_columns(df) if columns is None else list(columns)
     if not columns:
         return df
-    assembled = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="skip").transform(df)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(assembled.select("_features"))
-    return model.transform(assembled).drop("_features")
+    values = {f"_x{i}": finite(col(c).cast("double")) for i, c in enumerate(columns)}
+    assembler = VectorAssembler(inputCols=list(values), outputCol="_features")
+    rows = df.withColumns(values)
+    complete = rows.na.drop(subset=list(values))
+    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(
+        assembler.transform(complete).select("_features")
+    )
+    centres = F.array(*[F.array(*map(F.lit, map(float, centre))) for centre in model.clusterCenters()])
+    point = F.array(*values)
+    gaps = F.transform(centres, lambda centre: F.aggregate(
+        F.zip_with(centre, point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, gap: total + gap
+    ))
+    place = (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+    whole = F.lit(True)
+    for value in values:
+        whole = whole & F.col(value).isNotNull()
+    return rows.withColumn("cluster", F.when(whole, place)).drop(*values)
 
 
 class _Grid:

@@ -82,12 +82,24 @@ def over_series(
     if _fits_one_task(df, keys):
         return df.withColumns(make(Window.partitionBy(*keys).orderBy(*order)))
     placed = _position_by_range(df, keys, order, "_seq")
-    home = F.floor(F.col("_seq") / CHUNK_ROWS)
-    first = F.floor(F.greatest(F.col("_seq") - after, F.lit(0)) / CHUNK_ROWS)
-    last = F.floor((F.col("_seq") + before) / CHUNK_ROWS)
+    return over_positions(placed, keys, "_seq", before, after, make).drop("_seq")
+
+
+def over_positions(
+    placed: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    before: int,
+    after: int,
+    make: Callable[[WindowSpec], dict[str, Column]],
+) -> DataFrame:
+    """The same for rows that know their position, chunk by chunk with a halo of ``before`` and ``after`` rows."""
+    home = F.floor(F.col(position) / CHUNK_ROWS)
+    first = F.floor(F.greatest(F.col(position) - after, F.lit(0)) / CHUNK_ROWS)
+    last = F.floor((F.col(position) + before) / CHUNK_ROWS)
     spread = placed.withColumn("_home", home).withColumn("_chunk", F.explode(F.sequence(first, last)))
-    framed = spread.withColumns(make(Window.partitionBy(*keys, "_chunk").orderBy("_seq")))
-    return framed.where("_chunk = _home").drop("_seq", "_home", "_chunk")
+    framed = spread.withColumns(make(Window.partitionBy(*keys, "_chunk").orderBy(position)))
+    return framed.where("_chunk = _home").drop("_home", "_chunk")
 
 
 def _full_mean(column: str, window: WindowSpec, back: int, ahead: int) -> Column:

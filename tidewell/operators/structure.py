@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.functions.columns import arrays_to_json, text_columns, with_normalised_names
+from tidewell.functions.columns import arrays_to_json, col, text_columns, with_normalised_names
 from tidewell.functions.text import sector_key, strip
 from tidewell.operators.clean import correct_types
 
-MAX_JSON_COLUMNS = 5_000
-
-
 def _json_object(name: str):
     """The cell when it looks like a JSON object, else null."""
-    text = strip(F.col(name))
+    text = strip(col(name))
     return F.when(text.startswith("{") & text.endswith("}"), text)
 
 
@@ -34,21 +31,29 @@ def json_keys(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return found.select("column", F.explode_outer("keys").alias("key")).distinct()
 
 
+def json_maps(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Text columns as maps from key to text, null where a cell is no JSON object; any number of keys, in one pass.
+
+    The form for tables with very many distinct keys, which make too many columns for any planner.
+    """
+    columns = text_columns(df) if columns is None else list(columns)
+    parsed = {c: F.from_json(_json_object(c), "map<string,string>") for c in columns}
+    return df.withColumns(parsed) if parsed else df
+
+
 def expand_json(df: DataFrame, columns: Sequence[str] | None = None, typed: bool = True) -> DataFrame:
     """Replace every column holding at least one JSON object by ``<column>_<key>`` columns.
 
     Cells that are no object give null. Struct columns expand by their own schema. With ``typed`` the new
-    columns become numbers or timestamps when every value parses.
+    columns become numbers or timestamps when every value parses. A new column that has the name of another
+    takes its place, as a later key does that of an earlier one. The driver learns the distinct keys, which
+    become the schema; ``json_maps`` keeps them as data.
     """
     wanted = set(df.columns if columns is None else columns)
     candidates = [c for c in text_columns(df) if c in wanted]
     found: dict[str, list[str]] = {}
     if candidates:
-        # Schema discovery: the driver receives column names, bounded by the limit below.
-        pairs = json_keys(df, candidates).limit(MAX_JSON_COLUMNS + 1).collect()
-        if len(pairs) > MAX_JSON_COLUMNS:
-            raise ValueError(f"JSON objects have more than {MAX_JSON_COLUMNS} distinct keys; store them as a map")
-        for column, key in pairs:
+        for column, key in json_keys(df, candidates).collect():  # the names of the new columns
             found.setdefault(column, [])
             if key is not None:
                 found[column].append(key)
@@ -56,13 +61,12 @@ def expand_json(df: DataFrame, columns: Sequence[str] | None = None, typed: bool
     if not found and not structs:
         return df
     parsed = df.withColumns({c: F.from_json(_json_object(c), "map<string,string>") for c in found}) if found else df
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in found and c not in {s.name for s in structs}]
-    new = [
-        F.col(f"`{c}`")[key].alias(f"{c}_{key}") for c in df.columns if c in found for key in sorted(found[c])
-    ]
+    out = {c: col(c) for c in df.columns if c not in found and c not in {s.name for s in structs}}
+    out |= {f"{c}_{key}": col(c)[key] for c in df.columns if c in found for key in sorted(found[c])}
     texts = [f"{c}_{key}" for c in found for key in found[c]]
-    new += [F.col(f"`{s.name}`").getField(f.name).alias(f"{s.name}_{f.name}") for s in structs for f in s.dataType]
-    flat = parsed.select(*kept, *new)
+    fields = {f"{s.name}_{f.name}": col(s.name).getField(f.name) for s in structs for f in s.dataType}
+    texts = [name for name in texts if name not in fields]
+    flat = parsed.select(*[value.alias(name) for name, value in (out | fields).items()])
     return correct_types(flat, texts) if typed and texts else flat
 
 
@@ -87,13 +91,13 @@ def with_sector_key(df: DataFrame) -> DataFrame:
     column = sector_column(df)
     if column is None:
         return df.withColumn("sector_key", F.lit("all"))
-    value = strip(F.coalesce(F.col(column).cast("string"), F.lit("unknown")))
+    value = strip(F.coalesce(col(column).cast("string"), F.lit("unknown")))
     named = df.withColumn(column, value)
     # Two distinct values are enough to decide, so the distinct stops there.
-    several = named.select(F.nullif(F.col(column), F.lit("")).alias("v")).where("v IS NOT NULL").distinct().limit(2)
+    several = named.select(F.nullif(col(column), F.lit("")).alias("v")).where("v IS NOT NULL").distinct().limit(2)
     if several.count() <= 1:
         return named.withColumn("sector_key", F.lit("all"))
-    return named.withColumn("sector_key", sector_key(F.col(column)))
+    return named.withColumn("sector_key", sector_key(col(column)))
 
 
 def sector_variants(df: DataFrame, algorithm: str, quality: float) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -14,45 +12,27 @@ from tidewell.functions.columns import json_safe
 Schema = T.StructType | str | None
 
 
-def read_csv(spark: SparkSession, path: str, schema: Schema = None, quoted_breaks: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: Schema = None, quoted_breaks: bool = False) -> DataFrame:
     """Header row; types are inferred only when no schema is given.
 
-    A file with line breaks inside quotes cannot be split, so turn ``quoted_breaks`` off for huge files
-    known to have none.
+    A file is split among tasks. One with line breaks inside quotes cannot be: say so by ``quoted_breaks``.
     """
     reader = spark.read.option("header", True).option("multiLine", quoted_breaks).option("escape", '"')
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: Schema = None, lines: bool = False) -> DataFrame:
-    """Whole-document JSON arrays of records, or one record per line; nested objects become structs."""
+def read_json(spark: SparkSession, path: str, schema: Schema = None, lines: bool = True) -> DataFrame:
+    """Records or arrays of records, one per line, so that a file is split; nested objects become structs.
+
+    A document that spreads over lines cannot be split: turn ``lines`` off for it.
+    """
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_excel(spark: SparkSession, path: str, schema: Schema = None) -> DataFrame:
-    """First sheet of each workbook, one task per file. Needs a schema and an Excel library."""
-    if importlib.util.find_spec("openpyxl") is None and importlib.util.find_spec("xlrd") is None:
-        raise RuntimeError("reading Excel files needs openpyxl or xlrd on every executor")
-    if schema is None:
-        raise ValueError("Excel files need an explicit schema")
-    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-
-    def parse(batches):
-        import io
-
-        for batch in batches:
-            for content in batch["content"]:
-                yield pd.read_excel(io.BytesIO(content))[struct.names]
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, struct)
-
-
 READERS: dict[str, Callable[..., DataFrame]] = {
     ".csv": read_csv,
     ".json": read_json,
-    ".xlsx": read_excel,
-    ".xls": read_excel,
 }
 
 

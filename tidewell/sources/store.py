@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import json_safe
+from tidewell.functions.columns import col, json_safe
 from tidewell.functions.text import SECTOR_MARK
 from tidewell.operators.scope import anti
 from tidewell.operators.structure import with_sector_key
@@ -15,7 +15,7 @@ from tidewell.operators.structure import with_sector_key
 RAW, CLEANED, SCORES, REPORTS = "raw", "cleaned", "scores", "reports"
 
 # The id a delete names, per table.
-DELETE_KEYS = {RAW: "raw_data_id", CLEANED: "cleaned_data_id", REPORTS: "report_id"}
+DELETE_KEYS = {RAW: "raw_data_id", CLEANED: "cleaned_data_id", SCORES: "raw_data_id", REPORTS: "report_id"}
 
 
 def balanced(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
@@ -54,17 +54,54 @@ class DatasetStore:
             "raw_data_id": F.lit(raw_data_id).cast("bigint"),
             "cleaning_algorithm": F.lit(algorithm),
         })
-        self._overwrite(tagged, CLEANED, ["raw_data_id", "cleaning_algorithm"])
-        rows = [(name, float(score), raw_data_id, algorithm) for name, score in scores.items()]
-        if rows:
-            columns = "algorithm string, score double, raw_data_id bigint, cleaning_algorithm string"
-            self._overwrite(self.spark.createDataFrame(rows, columns), SCORES, ["raw_data_id", "cleaning_algorithm"])
+        self._replace(tagged, CLEANED, raw_data_id, [algorithm])
+        self._save_scores(scores, raw_data_id, [algorithm])
         return quality
 
+    def _save_scores(self, scores: Mapping[str, float], raw_data_id: int, algorithms: Sequence[str]) -> None:
+        rows = [
+            (name, float(score), raw_data_id, algorithm) for algorithm in algorithms for name, score in scores.items()
+        ]
+        columns = "algorithm string, score double, raw_data_id bigint, cleaning_algorithm string"
+        self._replace(self.spark.createDataFrame(rows, columns), SCORES, raw_data_id, algorithms)
+
+    def _replace(self, df: DataFrame, table: str, raw_data_id: int, algorithms: Sequence[str]) -> None:
+        """Write the results of a dataset's runs; a run without rows loses the rows it had."""
+        present = {row[0] for row in df.select("cleaning_algorithm").distinct().collect()}  # one per run
+        if present:
+            self._overwrite(df, table, ["raw_data_id", "cleaning_algorithm"])
+        for algorithm in algorithms:
+            if algorithm not in present:
+                self._clear(table, raw_data_id, algorithm)
+
+    def _clear(self, table: str, raw_data_id: int, algorithm: str) -> None:
+        """Remove the folder of one run."""
+        jvm = self.spark._jvm
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(algorithm)
+        self._remove(f"{self.path(table)}/raw_data_id={raw_data_id}/cleaning_algorithm={name}")
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _runs(self, raw_data_id: int) -> list[str]:
+        """Runs of a dataset that have a stored result."""
+        jvm = self.spark._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.path(CLEANED)}/raw_data_id={raw_data_id}")
+        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(top):
+            return []
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        names = [status.getPath().getName() for status in files.listStatus(top)]
+        return [escape.unescapePathName(n.split("=", 1)[1]) for n in names if n.startswith("cleaning_algorithm=")]
+
     def save_variants(
         self, df: DataFrame, raw_data_id: int, algorithm: str, scores: Mapping[str, float], cleaned_data_id: int
     ) -> float:
-        """Whole result and all sector variants in one write: each row goes to the whole and to its sector."""
+        """Whole result and all sector variants in one write: each row goes to the whole and to its sector.
+
+        Every variant gets the scores of the run; variants of an earlier save that have no rows now are removed.
+        """
         quality = sum(scores.values()) / len(scores) if scores else 0.0
         keyed = with_sector_key(json_safe(df))
         variant = F.concat(F.lit(f"{algorithm}{SECTOR_MARK}"), F.col("sector_key"))
@@ -72,13 +109,19 @@ class DatasetStore:
             F.array(F.lit(algorithm), variant)
         )
         tagged = keyed.select(
-            *df.columns,
+            *map(col, df.columns),
             F.lit(cleaned_data_id).cast("bigint").alias("cleaned_data_id"),
             F.lit(quality).alias("quality_score"),
             F.lit(raw_data_id).cast("bigint").alias("raw_data_id"),
             F.explode(names).alias("cleaning_algorithm"),
         )
-        self._overwrite(tagged, CLEANED, ["raw_data_id", "cleaning_algorithm"])
+        mark = f"{algorithm}{SECTOR_MARK}"
+        old = [name for name in self._runs(raw_data_id) if name == algorithm or name.startswith(mark)]
+        self._replace(tagged, CLEANED, raw_data_id, old)
+        now = [name for name in self._runs(raw_data_id) if name == algorithm or name.startswith(mark)]
+        self._save_scores(scores, raw_data_id, now)
+        for name in set(old) - set(now):
+            self._clear(SCORES, raw_data_id, name)
         return quality
 
     def _overwrite(self, df: DataFrame, table: str, partitions: Sequence[str]) -> None:
@@ -133,11 +176,20 @@ class DatasetStore:
         marked = ids.toDF("id").select(F.col("id").cast("bigint").alias("id"), F.lit(table).alias("table"))
         self.append(marked, "_deleted")
 
-    def delete_dataset(self, raw_data_id: int) -> None:
-        """Delete a dataset with its cleaned results; their scores go with them."""
-        cleaned = self.read(CLEANED, F.col("raw_data_id") == raw_data_id).select("cleaned_data_id").distinct()
-        self.delete(CLEANED, cleaned)
-        self.delete(RAW, self.spark.range(raw_data_id, raw_data_id + 1))
+    def delete_dataset(self, raw_data_id: int) -> dict[str, int]:
+        """Delete a dataset with its cleaned results and their scores; returns the rows that went, by table."""
+        mine = F.col("raw_data_id") == raw_data_id
+        gone = {table: self.read(table, mine).count() if self._exists(table) else 0 for table in (RAW, CLEANED, SCORES)}
+        if gone[CLEANED]:
+            self.delete(CLEANED, self.read(CLEANED, mine).select("cleaned_data_id").distinct())
+        one = self.spark.range(raw_data_id, raw_data_id + 1)
+        self.delete(SCORES, one)
+        self.delete(RAW, one)
+        return gone
+
+    def _exists(self, table: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def delete_report(self, report_id: int) -> None:
         self.delete(REPORTS, self.spark.range(report_id, report_id + 1))

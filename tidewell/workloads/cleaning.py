@@ -35,9 +35,9 @@ for _strategy in ("mean", "median"):
         return rounded(clean.impute(data.raw_orders, strategy, exclude=IDS), "o_totalprice")
 
 
-@query("impute_mode", f"SELECT {OTHER}, {FILLED_PRIORITY} FROM raw_orders")
+@query("impute_mode", f"SELECT {OTHER}, o_totalprice, {FILLED_PRIORITY} FROM raw_orders")
 def _(data):
-    return clean.impute(data.raw_orders.drop("o_totalprice"), exclude=IDS)
+    return clean.impute(data.raw_orders, exclude=[*IDS, "o_totalprice"])
 
 
 @query(
@@ -193,6 +193,34 @@ def _(data):
     return structure.expand_json(data.table("events").select("event_id", "props"))
 
 
+@query(
+    "json_maps",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, CAST(len(json_keys(props)) AS INT) AS keys FROM events",
+)
+def _(data):
+    maps = structure.json_maps(data.table("events").select("event_id", "props"), ["props"])
+    return maps.select("event_id", F.col("props")["k"].alias("k"), F.size("props").alias("keys"))
+
+
+def dotted(df):
+    """The same table with dots in its column names."""
+    return df.toDF(*[c.replace("_", ".", 1) for c in df.columns])
+
+
+@query("dotted_json_expand", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k FROM events""")
+def _(data):
+    found = structure.expand_json(dotted(data.table("events").select("event_id", F.col("props").alias("pro_ps"))))
+    return found.toDF("event_id", "props_k")
+
+
+@query("dotted_impute", f"""SELECT {OTHER}, round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM raw_orders)), 4)
+    AS o_totalprice, {FILLED_PRIORITY} FROM raw_orders""")
+def _(data):
+    df = data.raw_orders
+    filled = clean.impute(dotted(df), "mean", exclude=("o.orderkey", "o.custkey"))
+    return rounded(filled.toDF(*df.columns), "o_totalprice")
+
+
 @query("json_key_union", "SELECT DISTINCT 'props' AS \"column\", unnest(json_keys(props)) AS key FROM events")
 def _(data):
     return structure.json_keys(data.table("events"), ["props"])

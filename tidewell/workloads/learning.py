@@ -227,8 +227,8 @@ def _(data):
     "quality_features",
     """WITH o AS (SELECT *, row_number() OVER (ORDER BY scored_at, cleaned_data_id, score, algorithm) - 1 AS i FROM data_quality_scores),
     f AS (SELECT i, score, algorithm, i * 1.0 / count(*) OVER () AS place, avg(score) OVER w AS mean5, stddev_pop(score) OVER w AS std5
-        FROM o WHERE i < 500 WINDOW w AS (ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
-    SELECT CAST(i AS INT) AS i, score, algorithm, CAST(round(place, 6) AS DOUBLE) AS place, round(mean5, 6) AS mean5,
+        FROM o WINDOW w AS (ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+    SELECT i, score, algorithm, CAST(round(place, 6) AS DOUBLE) AS place, round(mean5, 6) AS mean5,
     round(std5, 6) AS std5 FROM f WHERE i >= 3""",
 )
 def _(data):

@@ -115,7 +115,7 @@ def _(data):
 
 @query("predictions_in_scope", f"WITH {SCOPED} SELECT * FROM ai_predictions WHERE sector_id IN (SELECT sector_id FROM scoped)")
 def _(data):
-    return scope.predictions_in_scope(data.ai_predictions, scoped(data))
+    return scope.predictions_in_scope(data.ai_predictions, scoped(data), data.sectors)
 
 
 @query(
@@ -124,7 +124,7 @@ def _(data):
     WHERE sector_id IN (SELECT sector_id FROM scoped))""",
 )
 def _(data):
-    return scope.recommendations_in_scope(data.ai_recommendations, data.ai_predictions, scoped(data))
+    return scope.recommendations_in_scope(data.ai_recommendations, data.ai_predictions, scoped(data), data.sectors)
 
 
 @query(
@@ -149,7 +149,7 @@ def _(data):
 @query("latest_predictions", f"""WITH {SCOPED} SELECT * FROM ai_predictions WHERE sector_id IN (SELECT sector_id FROM scoped)
     ORDER BY predicted_at DESC, id DESC LIMIT 10""")
 def _(data):
-    return ranking.latest(scope.predictions_in_scope(data.ai_predictions, scoped(data)), "predicted_at", "id", 10)
+    return ranking.latest(scope.predictions_in_scope(data.ai_predictions, scoped(data), data.sectors), "predicted_at", "id", 10)
 
 
 @query(
@@ -292,14 +292,22 @@ SCORES = """cs AS (SELECT cleaned_data_id, sum(score) AS s, count(score) AS n FR
         LEFT JOIN cs ON cs.cleaned_data_id = c.id GROUP BY 1)"""
 
 
+SEEN = """seen AS (SELECT r.*, u.company_id, u.role, CASE WHEN u.role = 'sector_head' THEN r.sector_id END AS scope_sector
+    FROM raw_data r JOIN users u ON r.uploaded_by = u.id JOIN sectors s ON r.sector_id = s.id AND s.company_id = u.company_id)"""
+
+
+def seen(data):
+    return scope.with_principal(data.raw_data, data.sectors, data.users)
+
+
 @query(
     "sector_comparison",
-    f"""WITH {SCORES} SELECT r.sector_id, s.name AS sector, count(*) AS uploads,
-    round(coalesce(sum(pr.s) / nullif(sum(pr.n), 0), 0), 4) AS avg_quality FROM raw_data r JOIN sectors s ON r.sector_id = s.id
-    LEFT JOIN pr ON pr.raw_data_id = r.id GROUP BY 1, 2""",
+    f"""WITH {SCORES}, {SEEN} SELECT r.company_id, r.role, r.sector_id, s.name AS sector, count(*) AS uploads,
+    round(coalesce(sum(pr.s) / nullif(sum(pr.n), 0), 0), 4) AS avg_quality FROM seen r JOIN sectors s ON r.sector_id = s.id
+    LEFT JOIN pr ON pr.raw_data_id = r.id GROUP BY 1, 2, 3, 4""",
 )
 def _(data):
-    return rollups.sector_comparison(data.raw_data, data.cleaned_data, data.data_quality_scores, data.sectors)
+    return rollups.sector_comparison(seen(data), data.cleaned_data, data.data_quality_scores, data.sectors)
 
 
 @query(
@@ -308,7 +316,7 @@ def _(data):
     FROM ai_predictions WHERE sector_id IN (SELECT sector_id FROM scoped) GROUP BY 1""",
 )
 def _(data):
-    return rollups.prediction_summary(scope.predictions_in_scope(data.ai_predictions, scoped(data)))
+    return rollups.prediction_summary(scope.predictions_in_scope(data.ai_predictions, scoped(data), data.sectors))
 
 
 @query(
@@ -334,33 +342,34 @@ def _(data):
 
 @query(
     "sector_summary",
-    f"""WITH {SCORES}, p AS (SELECT sector_id, count(*) AS n FROM ai_predictions GROUP BY 1)
-    SELECT r.sector_id, count(*) AS uploads, CAST(coalesce(sum(cleaned), 0) AS BIGINT) AS cleaned_datasets,
+    f"""WITH {SCORES}, {SEEN}, p AS (SELECT sector_id, count(*) AS n FROM ai_predictions GROUP BY 1)
+    SELECT r.company_id, r.role, r.sector_id, count(*) AS uploads, CAST(coalesce(sum(cleaned), 0) AS BIGINT) AS cleaned_datasets,
     round(coalesce(sum(pr.s) / nullif(sum(pr.n), 0), 0), 4) AS avg_quality, coalesce(max(p.n), 0) AS predictions
-    FROM raw_data r LEFT JOIN pr ON pr.raw_data_id = r.id LEFT JOIN p ON p.sector_id = r.sector_id GROUP BY 1""",
+    FROM seen r LEFT JOIN pr ON pr.raw_data_id = r.id LEFT JOIN p ON p.sector_id = r.sector_id GROUP BY 1, 2, 3""",
 )
 def _(data):
-    return rollups.sector_summary(data.raw_data, data.cleaned_data, data.data_quality_scores, data.ai_predictions)
+    return rollups.sector_summary(seen(data), data.cleaned_data, data.data_quality_scores, data.ai_predictions)
 
 
 @query(
     "recent_uploads_per_sector",
-    """SELECT sector_id, id, uploaded_at, row_count FROM raw_data QUALIFY row_number() OVER (PARTITION BY sector_id
-    ORDER BY uploaded_at DESC, id DESC) <= 5""",
+    f"""WITH {SEEN} SELECT company_id, role, sector_id, id, uploaded_at, row_count FROM seen
+    QUALIFY row_number() OVER (PARTITION BY company_id, role, sector_id ORDER BY uploaded_at DESC, id DESC) <= 5""",
 )
 def _(data):
-    newest = ranking.top_n_per_key(data.raw_data, ["sector_id"], [F.desc("uploaded_at"), F.desc("id")], 5)
-    return newest.select("sector_id", "id", "uploaded_at", "row_count")
+    principal = ["company_id", "role", "sector_id"]
+    newest = ranking.top_n_per_key(seen(data), principal, [F.desc("uploaded_at"), F.desc("id")], 5)
+    return newest.select(*principal, "id", "uploaded_at", "row_count")
 
 
 @query(
     "company_overview",
-    """SELECT s.company_id, count(DISTINCT s.id) AS sectors, (SELECT count(*) FROM products p WHERE p.sector_id IN (
-    SELECT r2.sector_id FROM raw_data r2 JOIN sectors s2 ON r2.sector_id = s2.id WHERE s2.company_id = s.company_id)) AS products,
-    count(r.id) AS uploads FROM sectors s JOIN raw_data r ON r.sector_id = s.id GROUP BY s.company_id""",
+    f"""WITH {SEEN}, k AS (SELECT company_id, role, scope_sector, sector_id, count(*) AS n FROM seen GROUP BY 1, 2, 3, 4)
+    SELECT company_id, role, scope_sector, count(*) AS sectors, CAST(sum((SELECT count(*) FROM products p WHERE p.sector_id = k.sector_id))
+    AS BIGINT) AS products, CAST(sum(n) AS BIGINT) AS uploads FROM k GROUP BY 1, 2, 3""",
 )
 def _(data):
-    return rollups.company_overview(data.raw_data, data.sectors, data.products)
+    return rollups.company_overview(seen(data), data.products)
 
 
 @query(

@@ -8,7 +8,7 @@ from tidewell.operators import clean, keywords, rollups
 from tidewell.plans import analysis, cleaning
 from tidewell.session import new_path
 from tidewell.sources.readers import read_csv, read_upload
-from tidewell.sources.store import CLEANED, RAW, REPORTS, DatasetStore, export, export_all
+from tidewell.sources.store import CLEANED, RAW, REPORTS, SCORES, DatasetStore, export, export_all
 from tidewell.streaming import events as stream
 from tidewell.workloads import learning
 from tidewell.workloads.cleaning import CLEAN
@@ -27,12 +27,12 @@ def _(data):
     return read_csv(data.spark, path, ORDERS)
 
 
-@query("src_json_roundtrip", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+@query("src_json_roundtrip", "SELECT * FROM customer")
 def _(data):
     path = new_path(data.spark, "export") + ".json"
-    people = data.table("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    people = data.table("customer")
     export(people, path, "json")
-    return read_upload(data.spark, path, schema="c_custkey BIGINT, c_name STRING, c_acctbal DOUBLE, c_mktsegment STRING", lines=True)
+    return read_upload(data.spark, path, schema=people.schema)
 
 
 @query("scan_raw_orders", "SELECT * FROM raw_orders WHERE o_orderstatus = 'F'")
@@ -64,13 +64,59 @@ def _(data):
     return store.read(CLEANED).select("sector_name", "c_custkey", "c_acctbal", "cleaning_algorithm")
 
 
-@query("export_all_roundtrip", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderstatus FROM orders")
+@query("export_all_roundtrip", "SELECT * FROM orders")
 def _(data):
     path = new_path(data.spark, "export")
-    rows = data.table("orders").drop("o_orderdate")
+    rows = data.table("orders")
     export_all(rows.withColumn("cleaned_data_id", F.col("o_orderstatus")), path, "csv")
-    schema = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderpriority STRING"
-    return read_csv(data.spark, path, schema).drop("cleaned_data_id")
+    return read_csv(data.spark, path, rows.schema).drop("cleaned_data_id")
+
+
+def _small_store(data):
+    """Two datasets: the customers of two regions' nations, each cleaned and scored with its variants."""
+    store = DatasetStore(data.spark, new_path(data.spark, "store"))
+    named = data.table("customer").join(data.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    for region in (1, 2):
+        rows = named.where(F.col("n_regionkey") == region).select(F.col("n_name").alias("sector_name"), "c_custkey")
+        store.save_raw(rows.withColumn("raw_data_id", F.lit(region)))
+        store.save_variants(rows, region, "run", {"impute": 0.9, "outliers": 0.8}, 10 + region)
+    return store
+
+
+def _store_counts(store):
+    parts = [
+        store.read(table).groupBy("raw_data_id").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(table).alias("stored"), F.col("raw_data_id").cast("bigint").alias("raw_data_id"), "n"
+        )
+        for table in (RAW, CLEANED, SCORES)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+STORED = """c AS (SELECT n_regionkey, c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    k AS (SELECT 'raw' AS stored, n_regionkey AS r, count(*) AS n FROM c GROUP BY 2
+        UNION ALL SELECT 'cleaned', n_regionkey, 2 * count(*) FROM c GROUP BY 2
+        UNION ALL SELECT 'scores', n_regionkey, 2 * (1 + count(DISTINCT n_name)) FROM c GROUP BY 2)"""
+
+
+@query("store_cascade", f"WITH {STORED} SELECT stored, CAST(r AS BIGINT) AS raw_data_id, CAST(n AS BIGINT) AS n FROM k WHERE r = 2")
+def _(data):
+    store = _small_store(data)
+    store.delete_dataset(1)
+    return _store_counts(store)
+
+
+@query(
+    "store_upsert_empty",
+    f"""WITH {STORED} SELECT stored, CAST(r AS BIGINT) AS raw_data_id, CAST(n AS BIGINT) AS n FROM k
+    WHERE r = 2 OR (r = 1 AND stored = 'raw')""",
+)
+def _(data):
+    # The second save of the first dataset's run has neither rows nor scores.
+    store = _small_store(data)
+    none = store.read(CLEANED, F.col("raw_data_id") == 1).select("sector_name", "c_custkey").where("false")
+    store.save_variants(none, 1, "run", {}, 11)
+    return _store_counts(store)
 
 
 @query(

@@ -105,6 +105,12 @@ def error_profile(data):
     return profile.error_profile(data.raw_orders)
 
 
+@query("dotted_profile", ERROR_PROFILE)
+def _(data):
+    # The same table with dots in its column names.
+    return profile.error_profile(data.raw_orders.toDF(*[c.replace("_", ".", 1) for c in data.raw_orders.columns]))
+
+
 def cleaned_orders(data):
     """Dirty orders without repeats and with gaps filled, written once as a stored result would be."""
     distinct = materialise(clean.remove_duplicates(data.raw_orders))

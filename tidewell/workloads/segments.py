@@ -21,6 +21,18 @@ def _(data):
     return segment.kmeans_segments(parts(data), 3, ["p_size", "p_retailprice"])
 
 
+@query(
+    "kmeans_all_rows",
+    """SELECT p_partkey % 7 = 0 AS lacks_size, count(*) AS n, CAST(sum(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS in_cluster
+    FROM part GROUP BY 1""",
+)
+def _(data):
+    gaps = parts(data).withColumn("p_size", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")))
+    found = segment.kmeans_segments(gaps, 3, ["p_size", "p_retailprice"])
+    placed = F.count_if(F.col("cluster").between(0, 2)).alias("in_cluster")
+    return found.groupBy(F.col("p_size").isNull().alias("lacks_size")).agg(F.count("*").alias("n"), placed)
+
+
 @query(
     "dbscan_core",
     f"""SELECT a.p_partkey FROM part a JOIN part b ON {NEAR} <= {EPS} * {EPS}
