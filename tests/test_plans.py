@@ -259,3 +259,32 @@ def test_short_history_falls_back_to_the_weights(spark):
     model = history.train_quality_model(features, ("N", "R", "A"))
     best = history.best_candidate(history.rank_candidates(features, ("N", "R", "A"), model)).first()
     assert model is None and best["impute_strategy"] == "mean" and best["outlier_method"] == "iqr"
+
+
+def test_adaptive_run_cleans_by_its_strategy_and_stores_everything(spark):
+    rows = [(k, None if k % 7 == 0 else float(k % 5), "north" if k % 2 else "south") for k in range(100)]
+    df = spark.createDataFrame(rows, "id bigint, v double, sector string")
+    scores = spark.createDataFrame([(k, 0.5, "a") for k in range(30)], "cleaned_data_id bigint, score double, algorithm string")
+    scores = scores.withColumn("scored_at", F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, int(cleaned_data_id))"))
+    store = DatasetStore(spark, new_path(spark, "store"))
+    config = cleaning.CleaningConfig(id_columns=("id",), order_by=("id",))
+    cleaned, log, summary = cleaning.adaptive_cleaning(df, scores, store, 5, 50, config=config)
+    used = summary.first()
+    assert used["impute_strategy"] == "median" and used["outlier_method"] == "iqr"  # a poor history
+    same, _ = cleaning.clean_with_log(df, config=config.with_strategy(used.asDict()))
+    assert sorted(map(repr, cleaned.collect())) == sorted(map(repr, same.collect()))
+    kept = {r["cleaning_algorithm"]: r["n"] for r in store.read(CLEANED).groupBy("cleaning_algorithm").agg(F.count("*").alias("n")).collect()}
+    assert kept["full_pipeline"] == 100 and sum(kept.values()) == 200 and len(kept) == 3
+    steps = log.where("quality_score IS NOT NULL").count()
+    assert store.read(SCORES).count() == 3 * steps
+
+
+def test_scan_and_validation_steps_count_issues(spark):
+    df = spark.createDataFrame([(1, 5.0, " A "), (2, None, "b"), (3, 1.0, "2"), (3, 1.0, "2")], "id bigint, v double, t string")
+    config = cleaning.CleaningConfig(id_columns=("id",))
+    for name, counts in {
+        "missing_values": [1, 0], "duplicates": [1, 0], "normalization": [1, 0], "text_cleaning": None, "data_types": None, "outliers": [0, 0],
+    }.items():
+        _, log = cleaning.clean_with_log(df, name, config)
+        found = [r["issues"] for r in log.orderBy("seq").collect() if r["issues"] is not None]
+        assert len(found) == 2 and (counts is None or found == counts) and found[1] == 0, name

@@ -59,23 +59,24 @@ def _outside(column: str, fence: tuple[float, float]) -> Column:
     return (col(column) < fence[0]) | (col(column) > fence[1])
 
 
-def _total(parts: list[Column]) -> Column:
-    total = F.lit(0).cast("bigint")
+def total(parts: list[Column]) -> Column:
+    """The sum of aggregates; 0 for none."""
+    found = F.lit(0).cast("bigint")
     for part in parts:
-        total = total + part
-    return total
+        found = found + part
+    return found
 
 
 def outlier_total(fences: dict[str, tuple[float, float]]) -> Column:
-    return _total([F.count_if(_outside(c, fence)) for c, fence in fences.items()])
+    return total([F.count_if(_outside(c, fence)) for c, fence in fences.items()])
 
 
 def missing_total(df: DataFrame) -> Column:
-    return _total([F.count_if(col(c).isNull()) for c in df.columns])
+    return total([F.count_if(col(c).isNull()) for c in df.columns])
 
 
 def invalid_total(df: DataFrame) -> Column:
-    return _total([F.count_if(is_invalid_token(col(c))) for c in text_columns(df)])
+    return total([F.count_if(is_invalid_token(col(c))) for c in text_columns(df)])
 
 
 def missing_share(df: DataFrame) -> Column:
@@ -90,7 +91,7 @@ def iqr_outlier_count(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 def completeness(df: DataFrame) -> Column:
     """Mean over the columns of the non-null share, as an aggregate."""
     cells = F.greatest(F.count(F.lit(1)), F.lit(1)) * max(len(df.columns), 1)
-    return _total([F.count(col(c)) for c in df.columns]) / cells
+    return total([F.count(col(c)) for c in df.columns]) / cells
 
 
 def quality_score(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -232,11 +233,11 @@ def data_characteristics(df: DataFrame, columns: Sequence[str] | None = None) ->
         spread = F.when(F.stddev_pop(col(c)) == 0, 0.0).otherwise(F.skewness(col(c)) * scale)
         skews.append(F.when(n >= 3, spread))
     if skews:
-        total, known = F.lit(0.0), F.lit(0)
+        summed, known = F.lit(0.0), F.lit(0)
         for s in skews:
-            total = total + F.coalesce(s, F.lit(0.0))
+            summed = summed + F.coalesce(s, F.lit(0.0))
             known = known + s.isNotNull().cast("int")
-        skew = F.try_divide(total, known)
+        skew = F.try_divide(summed, known)
     else:
         skew = F.lit(0.0)
     stats = df.agg(skew.alias("skewness"), F.count(F.lit(1)).alias("n"))

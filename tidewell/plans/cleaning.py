@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import numeric_columns
-from tidewell.operators import clean, profile, series, structure
+from tidewell.functions.columns import col, numeric_columns, text_columns
+from tidewell.functions.text import clean_text
+from tidewell.operators import clean, history, profile, series, structure
 from tidewell.session import materialise
+from tidewell.sources.store import DatasetStore
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,11 @@ class CleaningConfig:
 
 @dataclass(frozen=True)
 class Step:
-    """A named step; ``changes`` tells whether it may change the number of rows or of nulls."""
+    """A named step.
+
+    ``changes`` tells whether it may change the number of rows or of nulls, ``columns`` which columns it works on, and
+    ``issues`` counts what a scan or validation step looks for.
+    """
 
     id: str
     label: str
@@ -52,6 +59,8 @@ class Step:
     technique: str
     run: Callable[[DataFrame], DataFrame] | None = None
     changes: bool = False
+    columns: Callable[[DataFrame], Sequence[str]] = lambda df: ()
+    issues: Callable[[DataFrame], int] | None = None
 
 
 def _smooth(config: CleaningConfig) -> Callable[[DataFrame], DataFrame]:
@@ -76,32 +85,58 @@ def _optional(wanted: bool, run: Callable[[DataFrame], DataFrame]):
 def named_steps(algorithm: str, config: CleaningConfig) -> list[Step]:
     """The steps of a named run; an unknown name is an error."""
     kept = config.kept
-    impute = Step("impute_values", "Fill missing values", "ml", f"{config.impute_strategy} imputation", _impute(config), True)
+    numbers = lambda df: numeric_columns(df, kept)
+    words = lambda df: text_columns(df, kept)
+    # The ids of the steps.
+    impute = Step("impute_values", "Fill missing values", "ml", f"{config.impute_strategy} imputation", _impute(config), True,
+                  lambda df: [*numbers(df), *words(df)])
     # Later steps of a full run read the distinct rows several times, so those are written once.
     dedupe = Step("remove_duplicates", "Remove duplicate rows", "cleaning", "exact row match",
-                  lambda df: materialise(clean.remove_duplicates(df)), True)
+                  lambda df: materialise(clean.remove_duplicates(df)), True, lambda df: df.columns)
     cap = Step("cap_outliers", "Cap outliers", "ml", f"{config.outlier_method} outlier detection",
-               lambda df: clean.clip_outliers(df, kept))
-    types = Step("apply_types", "Correct data types", "cleaning", "type coercion", lambda df: clean.correct_types(df))
-    scale = Step("apply_normalize", "Normalise numbers", "ml", "min-max scaling", lambda df: clean.normalise(df, kept))
-    texts = Step("apply_text_cleaning", "Clean text", "nlp", "text normalisation", lambda df: clean.clean_text(df, kept))
-
-    def framed(scan: str, step: Step, check: str) -> list[Step]:
-        return [
-            Step(scan, f"Before: {step.label.lower()}", "profiling", "column profile"),
-            step,
-            Step(check, f"After: {step.label.lower()}", "validation", "column profile"),
-        ]
+               lambda df: clean.clip_outliers(df, kept), columns=numbers)
+    types = Step("apply_types", "Correct data types", "cleaning", "type coercion", lambda df: clean.correct_types(df),
+                 columns=text_columns)
+    scale = Step("apply_normalize", "Normalise numbers", "ml", "min-max scaling", lambda df: clean.normalise(df, kept),
+                 columns=numbers)
+    texts = Step("apply_text_cleaning", "Clean text", "nlp", "text normalisation", lambda df: clean.clean_text(df, kept),
+                 columns=words)
+
+    def framed(scan: str, step: Step, check: str, technique: str, issues: Callable[[DataFrame], int]) -> list[Step]:
+        """The step between a count of what it is to mend and the same count afterwards."""
+        first = Step(scan, f"Before: {step.label.lower()}", "profiling", technique, columns=step.columns, issues=issues)
+        return [first, step, replace(first, id=check, label=f"After: {step.label.lower()}", stage="validation")]
+
+    def one(df: DataFrame, count: Column) -> int:
+        return int(df.agg(count).first()[0] or 0)
+
+    def missing(df: DataFrame) -> int:
+        return one(df, profile.missing_total(df))
+
+    def repeated(df: DataFrame) -> int:
+        return profile.duplicate_count(df).first()[0]
+
+    def outlying(df: DataFrame) -> int:
+        return profile.iqr_outlier_count(df, numbers(df)).first()[0]
+
+    def mistyped(df: DataFrame) -> int:
+        return sum(a != b for a, b in zip(df.dtypes, clean.correct_types(df).dtypes))
+
+    def unscaled(df: DataFrame) -> int:
+        return one(df, profile.total([F.count_if(~col(c).between(0, 1)) for c in numbers(df)]))
+
+    def unclean(df: DataFrame) -> int:
+        return one(df, profile.total([F.count_if(col(c) != clean_text(col(c))) for c in words(df)]))
 
     plans: dict[str, Callable[[], list[Step]]] = {
-        "missing_values": lambda: framed("scan_missing", impute, "validate_missing"),
+        "missing_values": lambda: framed("scan_missing", impute, "validate_missing", "null count", missing),
         "duplicates": lambda: framed(
-            "scan_duplicates", replace(dedupe, run=clean.remove_duplicates), "validate_dedup"
+            "scan_duplicates", replace(dedupe, run=clean.remove_duplicates), "validate_dedup", "repeated rows", repeated
         ),
-        "outliers": lambda: framed("profile_numeric", cap, "validate_outliers"),
-        "data_types": lambda: framed("infer_types", types, "validate_types"),
-        "normalization": lambda: framed("profile_scale", scale, "validate_scale"),
-        "text_cleaning": lambda: framed("profile_text", texts, "validate_text"),
+        "outliers": lambda: framed("profile_numeric", cap, "validate_outliers", "values outside 1.5 IQR", outlying),
+        "data_types": lambda: framed("infer_types", types, "validate_types", "text columns of another type", mistyped),
+        "normalization": lambda: framed("profile_scale", scale, "validate_scale", "values outside 0 to 1", unscaled),
+        "text_cleaning": lambda: framed("profile_text", texts, "validate_text", "texts that cleaning changes", unclean),
         "full_pipeline": lambda: [
             dedupe,
             impute,
@@ -109,13 +144,16 @@ def named_steps(algorithm: str, config: CleaningConfig) -> list[Step]:
             types,
             replace(scale, run=_optional(config.normalize, scale.run)),
             Step("standardize", "Standardise numbers", "ml", "z-score scaling",
-                 _optional(config.standardize, lambda df: clean.standardise(df, kept))),
-            Step("noise_reduction", "Reduce noise", "ml", "moving mean", _optional(config.reduce_noise, _smooth(config)), True),
+                 _optional(config.standardize, lambda df: clean.standardise(df, kept)), columns=numbers),
+            Step("noise_reduction", "Reduce noise", "ml", "moving mean", _optional(config.reduce_noise, _smooth(config)), True,
+                 numbers),
             replace(texts, run=_optional(config.clean_text, texts.run)),
             Step("rules", "Apply rules", "validation", "range and pattern rules",
-                 _optional(bool(config.rules), lambda df: clean.apply_rules(df, config.rules))),
+                 _optional(bool(config.rules), lambda df: clean.apply_rules(df, config.rules)),
+                 columns=lambda df: [c for c in config.rules if c in df.columns]),
             Step("references", "Check references", "validation", "reference tables",
-                 _optional(bool(config.reference_data), lambda df: clean.keep_referenced(df, config.reference_data)), True),
+                 _optional(bool(config.reference_data), lambda df: clean.keep_referenced(df, config.reference_data)), True,
+                 lambda df: [c for c in config.reference_data if c in df.columns]),
         ],
     }
     if algorithm not in plans:
@@ -141,32 +179,73 @@ def _measure(df: DataFrame) -> tuple[int, float]:
 
 
 def clean_with_log(
-    df: DataFrame, algorithm: str = "full_pipeline", config: CleaningConfig = CleaningConfig()
+    df: DataFrame,
+    algorithm: str = "full_pipeline",
+    config: CleaningConfig = CleaningConfig(),
+    at: dt.datetime | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Cleaned and structured table, and a log with one row per step.
 
-    Rows and completeness are measured only after steps that can change them; other steps keep the figures.
+    Rows and completeness are measured only after steps that can change them; other steps keep the figures. A step that
+    the settings leave out is logged as skipped. ``at`` is the time the log states.
     """
     steps = named_steps(algorithm, config)
     rows, full = _measure(df)
     log = []
     for i, step in enumerate(steps):
-        before = full
+        before, had = full, rows
+        done = step.run is not None or step.issues is not None
+        affected = len(step.columns(df)) if done else 0
+        found = step.issues(df) if step.issues is not None else None
         if step.run is not None:
             df = step.run(df)
             if step.changes:
                 rows, full = _measure(df)
         score = min(1.0, full / max(before, 0.01)) if step.run is not None else None
-        log.append((i, step.id, step.label, step.stage, step.technique, rows, score, int((i + 1) / len(steps) * 100)))
+        status, progress = "completed" if done else "skipped", int((i + 1) / len(steps) * 100)
+        log.append((
+            i, step.id, step.label, step.stage, step.technique, rows, score, progress, status, affected, had - rows, found, at
+        ))
     df = structure.structure(df)
-    log.append((len(steps), "structuring", "Convert to a flat table", "structuring", "column flattening", rows, None, 100))
+    label = "Convert to a flat table"
+    log.append((
+        len(steps), "structuring", label, "structuring", "column flattening", rows, None, 100, "completed", len(df.columns), 0,
+        None, at,
+    ))
     columns = (
         "seq int, step_id string, label string, stage string, technique string, row_count bigint, "
-        "quality_score double, progress int"
+        "quality_score double, progress int, status string, columns_affected int, rows_removed bigint, issues bigint, "
+        "at timestamp_ntz"
     )
     return df, df.sparkSession.createDataFrame(log, columns)
 
 
+def adaptive_cleaning(
+    df: DataFrame,
+    scores: DataFrame,
+    store: DatasetStore,
+    raw_data_id: int,
+    cleaned_data_id: int,
+    algorithm: str = "full_pipeline",
+    config: CleaningConfig = CleaningConfig(),
+    at: dt.datetime | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean with the strategy that the shape of the data and the quality history suggest, and store the result.
+
+    Returns the structured table, the log, and one row with the settings used and the improvement. The store gets the
+    whole result, its sector variants and the scores of the steps.
+    """
+    shape = profile.data_characteristics(df, numeric_columns(df, config.kept))
+    strategy = history.cleaning_strategy(shape, history.quality_history(scores))
+    chosen = strategy.first().asDict()
+    cleaned, log = clean_with_log(df, algorithm, config.with_strategy(chosen), at)
+    cleaned = materialise(cleaned)
+    measured = {row["step_id"]: row["quality_score"] for row in quality_scores(log).collect()}  # one row per step
+    store.save_variants(cleaned, raw_data_id, algorithm, measured, cleaned_data_id)
+    settings = [F.lit(value).alias(name) for name, value in chosen.items()]
+    return cleaned, log, profile.cleaning_improvement(df, cleaned).select(*settings, "*")
+
+
 def quality_scores(log: DataFrame) -> DataFrame:
     """Score per step, the last run of a step winning."""
     scored = log.where(F.col("quality_score").isNotNull())

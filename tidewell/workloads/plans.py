@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidewell.operators import clean, keywords, rollups
@@ -222,6 +224,56 @@ def _(data):
     return log.select("seq", "step_id", "stage", "progress", "row_count", F.round("quality_score", 6).alias("quality_score"))
 
 
+AT = dt.datetime(2024, 1, 31)
+
+
+@query(
+    "audit_log",
+    """WITH gone AS (SELECT (SELECT count(*) FROM raw_orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM raw_orders)) AS n),
+    s(seq, step_id, technique, status, columns_affected) AS (VALUES (0, 'remove_duplicates', 'exact row match', 'completed', 6),
+        (1, 'impute_values', 'auto imputation', 'completed', 3), (2, 'cap_outliers', 'iqr outlier detection', 'completed', 1),
+        (3, 'apply_types', 'type coercion', 'completed', 2), (4, 'apply_normalize', 'min-max scaling', 'completed', 1),
+        (5, 'standardize', 'z-score scaling', 'skipped', 0), (6, 'noise_reduction', 'moving mean', 'completed', 1),
+        (7, 'apply_text_cleaning', 'text normalisation', 'completed', 2), (8, 'rules', 'range and pattern rules', 'skipped', 0),
+        (9, 'references', 'reference tables', 'skipped', 0), (10, 'structuring', 'column flattening', 'completed', 6))
+    SELECT CAST(seq AS INT) AS seq, step_id, technique, status, CAST(columns_affected AS INT) AS columns_affected,
+        CAST(CASE WHEN seq = 0 THEN n ELSE 0 END AS BIGINT) AS rows_removed, TIMESTAMP '2024-01-31 00:00:00' AS at FROM s, gone""",
+)
+def _(data):
+    _, log = cleaning.clean_with_log(data.raw_orders, "full_pipeline", cleaning.CleaningConfig(**CONFIG), AT)
+    return log.select("seq", "step_id", "technique", "status", "columns_affected", "rows_removed", "at")
+
+
+@query(
+    "scan_and_validate",
+    """WITH u AS (SELECT count(*) AS n, count(*) - count(o_totalprice) + count(*) - count(o_orderpriority) AS missing,
+        count(*) FILTER (NOT o_totalprice BETWEEN 0 AND 1) AS unscaled FROM raw_orders),
+    d AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM raw_orders))
+    SELECT 'scan_missing' AS step_id, 'profiling' AS stage, missing AS issues, n AS row_count FROM u
+    UNION ALL SELECT 'validate_missing', 'validation', 0, n FROM u
+    UNION ALL SELECT 'scan_duplicates', 'profiling', u.n - d.n, u.n FROM u, d
+    UNION ALL SELECT 'validate_dedup', 'validation', 0, n FROM d
+    UNION ALL SELECT 'profile_scale', 'profiling', unscaled, n FROM u
+    UNION ALL SELECT 'validate_scale', 'validation', 0, n FROM u""",
+)
+def _(data):
+    logs = [
+        cleaning.clean_with_log(data.raw_orders, name, cleaning.CleaningConfig(**CONFIG))[1]
+        for name in ("missing_values", "duplicates", "normalization")
+    ]
+    both = logs[0].unionByName(logs[1]).unionByName(logs[2])
+    return both.where("issues IS NOT NULL").select("step_id", "stage", "issues", "row_count")
+
+
+@query("adaptive_cleaning")
+def _(data):
+    # Settings from the shape of the orders and the history of scores, then the improvement; the result is stored.
+    store = DatasetStore(data.spark, new_path(data.spark, "store"))
+    config = cleaning.CleaningConfig(**CONFIG)
+    _, _, summary = cleaning.adaptive_cleaning(data.raw_orders, data.data_quality_scores, store, 1, 11, config=config, at=AT)
+    return summary
+
+
 @query(
     "analyze_full",
     f"""WITH {learning.FIT}, {learning.TREND}, {learning.ANOMALY}, c AS (SELECT user_id, count(*) FILTER (anomaly) AS n FROM f GROUP BY 1),
