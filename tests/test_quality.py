@@ -153,3 +153,29 @@ def test_integrate_reads_each_source_in_proportion(spark):
     out = clean.integrate(frames, "id")
     assert out.columns == ["id", "v", "v_2", "v_3", "v_4"] and sorted(r["id"] for r in out.collect()) == [1, 2, 3, 4, 5, 6]
     assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4  # both sides of the last join, twice
+
+
+@pytest.mark.parametrize("accuracy", [200, 10_000])
+def test_narrowed_quantiles_are_confirmed(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "BUFFER_VALUES", 50)
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k in (1, 2, None) for v in np.round(rng.normal(size=600 if k == 1 else 40), 1)]
+    df = spark.createDataFrame(rows, "k int, `v.x` double")
+    probs = (0.0, 0.05, 0.5, 0.95, 1.0)
+    names = ["a", "b", "c", "d", "e"]
+    for row in quantiles.grouped_quantiles(df, ["k"], "v.x", probs, names).collect():
+        want = np.quantile([v for k, v in rows if k == row["k"]], probs)
+        np.testing.assert_allclose([row[n] for n in names], want, atol=1e-9)
+    got = quantiles.column_quantiles(df, ["v.x"], probs)["v.x"]
+    np.testing.assert_allclose(got, np.quantile([v for _, v in rows], probs), atol=1e-9)
+
+
+def test_groups_with_a_poor_sketch_are_ranked_whole(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BUFFER_VALUES", 1)
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 20)
+    poor = lambda column, shares, accuracy: F.array(*[F.lit(1e6)] * len(shares))
+    monkeypatch.setattr(quantiles.F, "percentile_approx", poor)
+    df = spark.createDataFrame([(k, float(v)) for k in (1, 2) for v in range(101)], "k int, v double")
+    found = quantiles.grouped_quantiles(df, ["k"], "v", (0.25, 0.5), ("q", "m")).collect()
+    assert sorted((r["k"], r["q"], r["m"]) for r in found) == [(1, 25.0, 50.0), (2, 25.0, 50.0)]

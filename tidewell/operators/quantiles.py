@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import col
+from tidewell.operators.keyed import join_on, semi_on
+from tidewell.session import materialise
 
 # Values one aggregation buffer may hold.
 BUFFER_VALUES = 2_000_000
@@ -59,6 +61,8 @@ def _narrowed(df: DataFrame, columns: Sequence[str], sizes: Sequence[int], probs
             for r in (rank, min(rank + 1, n - 1)):
                 brackets[i, r] = (edges[2 * i], edges[2 * i + 1])
     answers: dict[tuple[int, int], float] = {}
+    # The last bracket that counts have confirmed, and how far the next one reaches around the rank.
+    sure, reach = dict(brackets), dict.fromkeys(brackets, 4)
     while len(answers) < len(brackets):
         waiting = [spot for spot in brackets if spot not in answers]
         counts = values.agg(*[c for i, r in waiting for c in _bracket_counts(F.col(f"v{i}"), *brackets[i, r])]).first()
@@ -67,8 +71,10 @@ def _narrowed(df: DataFrame, columns: Sequence[str], sizes: Sequence[int], probs
             low, high = brackets[spot]
             rank = spot[1]
             below, tied_low, inside, upto = counts[4 * at : 4 * at + 4]
-            if not below <= rank < upto:
-                raise RuntimeError("quantile sketch left its error bound")
+            if not below <= rank < upto:  # the sketch left its error bound: reach further from where the rank was
+                brackets[spot], reach[spot] = sure[spot], 4 * reach[spot]
+                continue
+            sure[spot] = brackets[spot]
             if rank < below + tied_low:
                 answers[spot] = low
             elif rank >= below + tied_low + inside:
@@ -88,7 +94,7 @@ def _narrowed(df: DataFrame, columns: Sequence[str], sizes: Sequence[int], probs
             sketches = []
             for (i, r), place, inside in wide:
                 v, (low, high) = F.col(f"v{i}"), brackets[i, r]
-                slack, share = 4 / SKETCH_ACCURACY, place / inside
+                slack, share = reach[i, r] / SKETCH_ACCURACY, place / inside
                 around = [max(share - slack, 0.0), min(share + slack, 1.0)]
                 sketches.append(F.percentile_approx(F.when((v > low) & (v < high), v), around, SKETCH_ACCURACY))
             for (spot, _, _), bounds in zip(wide, values.agg(*sketches).first()):
@@ -124,11 +130,23 @@ def grouped_quantiles(
         fractions = F.array(*[F.lit(p) for p in probs])
         found = values.groupBy(*keys).agg(F.percentile("_v", fractions).alias("_q"))
         return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    return _grouped_narrowed(values, keys, probs, names)
-
+    found = materialise(_grouped_narrowed(values, keys, probs, names, False))
+    unsure = found.where("NOT _sure")
+    sure = found.where("_sure").drop("_sure")
+    if unsure.isEmpty():
+        return sure
+    # The counts did not confirm the sketch of these groups: rank all of their values.
+    again = semi_on(values, unsure, keys)
+    return sure.unionByName(_grouped_narrowed(again, keys, probs, names, True).drop("_sure"))
+
+
+def _grouped_narrowed(
+    values: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str], whole: bool
+) -> DataFrame:
+    """One bracket per group and probability; only bracketed values are ranked, as value counts.
 
-def _grouped_narrowed(values: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """One bracket per group and probability; only bracketed values are ranked, as value counts."""
+    ``_sure`` tells whether the wanted ranks lay inside the brackets. With ``whole`` a bracket is the whole range.
+    """
     slack = 4 / SKETCH_ACCURACY
     edges = [edge for p in probs for edge in (max(p - slack, 0.0), min(p + slack, 1.0))]
     brackets = values.groupBy(*keys).agg(
@@ -141,35 +159,35 @@ def _grouped_narrowed(values: DataFrame, keys: list[str], probs: Sequence[float]
     spots = []
     for i, p in enumerate(probs):
         place = (F.col("_n") - 1) * F.lit(p)
-        small = F.col("_n") <= SKETCH_ACCURACY
+        small = F.lit(whole) | (F.col("_n") <= SKETCH_ACCURACY)
         spots.append(F.struct(
             F.lit(i).alias("spot"),
             place.alias("place"),
             F.floor(place).alias("rank"),
+            F.least(F.floor(place) + 1, F.col("_n") - 1).alias("next"),
             F.when(small, F.col("_min")).otherwise(F.col("_e")[2 * i]).alias("low"),
             F.when(small, F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias("high"),
         ))
-    brackets = brackets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.array(*spots).alias("_spots"))
-    same = None
-    for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        same = test if same is None else same & test
-    joined = values.join(brackets, same)
+    brackets = brackets.select(*map(col, keys), F.array(*spots).alias("_spots"))
+    joined = join_on(values, brackets, keys) if keys else values.join(brackets)  # without keys: one row of brackets
     # Per group and spot: how many values lie below the bracket, and the value counts inside it.
     marked = joined.select(*keys, "_v", F.explode("_spots").alias("_s")).select(
-        *keys, "_s.spot", "_s.place", "_s.rank",
+        *keys, "_s.spot", "_s.place", "_s.rank", "_s.next",
         F.when(F.col("_v") < F.col("_s.low"), None).otherwise(F.col("_v")).alias("_v"), "_s.high"
     ).where(F.col("_v").isNull() | (F.col("_v") <= F.col("high")))
-    counted = marked.groupBy(*keys, "spot", "place", "rank", "_v").agg(F.count("*").alias("_c"))
+    counted = marked.groupBy(*keys, "spot", "place", "rank", "next", "_v").agg(F.count("*").alias("_c"))
     running = Window.partitionBy(*keys, "spot").orderBy(F.col("_v").asc_nulls_first())
     upto = F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("_upto", upto).where(F.col("_v").isNotNull())
+    ranked = counted.withColumn("_upto", upto)
+    below = F.coalesce(F.max(F.when(F.col("_v").isNull(), F.col("_upto"))), F.lit(0))
+    sure = (below <= F.first("rank")) & (F.max("_upto") > F.first("next"))
     lower = F.min(F.when(F.col("_upto") > F.col("rank"), F.col("_v")))
     upper = F.min(F.when(F.col("_upto") > F.col("rank") + 1, F.col("_v")))
     part = F.first("place") - F.first("rank")
     # With no value above the lower one the rank is the last, and the place has no fraction.
     value = lower + (F.coalesce(upper, lower) - lower) * part
-    picked = ranked.groupBy(*keys, "spot").agg(value.alias("_q"))
+    picked = ranked.groupBy(*keys, "spot").agg(value.alias("_q"), sure.alias("_sure"))
     return picked.groupBy(*keys).agg(
+        F.bool_and("_sure").alias("_sure"),
         *[F.max(F.when(F.col("spot") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
     )
