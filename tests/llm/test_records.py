@@ -63,13 +63,21 @@ def test_ranges_merge_like_one(spark):
     assert [row[5:7] for row in whole] == [row[5:7] for row in parts] and sorted(map(repr, whole)) == sorted(map(repr, parts))
 
 
-def _written(spark) -> str:
+def _written(spark, compression="gzip") -> str:
     path = warc.new_path(spark, "warc")
     rows = spark.createDataFrame([(k, f"http://h/{k % 3}", f"p{k}", k % 5) for k in range(40)], "id long, url string, payload string, seconds long")
-    warc.write_archives(rows.repartition(6), path)
+    warc.write_archives(rows.repartition(6), path, compression=compression)
     return path
 
 
+def test_packed_and_plain_files_read_alike(spark):
+    found = []
+    for compression in ("gzip", "none"):
+        rows = warc.read_archives(spark, _written(spark, compression), keep_payload=True).drop("run", "place").collect()
+        found.append(by_text(tuple(r) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
 def test_no_pages(spark):
     assert warc.archive_index(pages(spark, [])).count() == 0
 

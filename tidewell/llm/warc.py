@@ -1,7 +1,7 @@
 """WARC writing, reading back, and a capture index by external merge.
 
 Records are written by Spark's text writer, one file per task, with the blank lines that end a WARC record as its line
-separator, so each file is a plain WARC file on any storage Spark can reach. Equal payloads are stored once: the row with
+separator, so each file is a WARC file, packed by default, on any storage Spark can reach. Equal payloads are stored once: the row with
 the largest id is the response and the others are revisits that name it. Reading back gives every file as a locally sorted
 run of captures; runs are cut at common key borders, and the runs of one range are merged by a loser tree in the order of
 URL key and timestamp, which gives every URL's capture history in global order.
@@ -9,6 +9,7 @@ URL key and timestamp, which gives every URL's capture history in global order.
 
 from __future__ import annotations
 
+import gzip
 import re
 from base64 import b32encode
 from collections.abc import Iterable, Iterator, Sequence
@@ -24,6 +25,7 @@ from tidewell.session import new_path
 
 END = "\r\n\r\n"
 EPOCH = "2024-01-01 00:00:00"
+GZIP = b"\x1f\x8b"  # fixed value: how a gzip stream begins
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value
 
 
@@ -66,7 +68,9 @@ def with_decisions(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.withColumn("newest", F.when(~own, F.col("newest")))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 2000) -> None:
+def write_archives(
+    pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 2000, compression: str = "gzip"
+) -> None:
     """Write one record per row of (id, url, payload, seconds) as WARC files under ``path``.
 
     ``seconds`` is the capture time since 1970. Revisit records keep the HTTP header, with the payload's length, and
@@ -98,7 +102,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
     )
     lines = rows.withColumn("http", http).select(record.alias("value"))
     writer = lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
-    writer.option("compression", "none").text(path)
+    writer.option("compression", compression).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -147,7 +151,9 @@ def _captures(keep_payload: bool):
         for batch in batches:
             for row in range(batch.num_rows):
                 rows = []
-                for place, length, fields, block in records(batch.column(1)[row].as_buffer().to_pybytes()):
+                data = batch.column(1)[row].as_buffer().to_pybytes()
+                data = gzip.decompress(data) if data[:2] == GZIP else data
+                for place, length, fields, block in records(data):
                     top = block.index(b"\r\n\r\n")
                     payload = block[top + 4 :]
                     stated = dict(line.split(": ", 1) for line in block[:top].decode().split("\r\n")[1:])
