@@ -38,7 +38,7 @@ def blobs(dims, seed=3):
     return np.vstack(parts)
 
 
-@pytest.mark.parametrize("dims, split", [(1, False), (2, False), (3, True)])
+@pytest.mark.parametrize("dims, split", [(1, False), (2, False), (3, True), (5, True)])
 def test_dbscan_equals_brute_force(spark, monkeypatch, dims, split):
     if split:  # decide cell pairs by boxes alone
         monkeypatch.setattr(segment, "FREE_PAIRS", 0)

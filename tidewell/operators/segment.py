@@ -49,7 +49,12 @@ def kmeans_segments(df: DataFrame, k: int = 3, columns: Sequence[str] | None = N
 
 
 class _Grid:
-    """Cells whose diagonal is just below eps, so all points of a cell are neighbours."""
+    """Cells whose diagonal is just below eps, so all points of a cell are neighbours.
+
+    Cells are sought by their first coordinates alone where there are more than three: the number of neighbouring
+    cells would grow as a power of the dimensions. A distance in some coordinates is never above the whole distance,
+    so nothing is lost, and whole distances decide.
+    """
 
     def __init__(self, dims: int, eps: float):
         self.dims, self.eps = dims, eps
@@ -57,23 +62,28 @@ class _Grid:
         self.xs = [f"x{i}" for i in range(dims)]
         self.cells = [f"c{i}" for i in range(dims)]
         reach = math.ceil(eps / self.side)
+        self.sought = self.cells if dims <= 3 else self.cells[:2]
         self.offsets = [
-            o for o in itertools.product(range(-reach, reach + 1), repeat=dims)
+            o for o in itertools.product(range(-reach, reach + 1), repeat=len(self.sought))
             if sum((max(abs(v) - 1, 0) * self.side) ** 2 for v in o) <= eps * eps
         ]
 
-    def cell(self, split: int = 0) -> list[Column]:
-        side = self.side / (1 << split)
-        return [F.floor(F.col(x) / side).cast("bigint") for x in self.xs]
+    def cell(self) -> list[Column]:
+        return [F.floor(F.col(x) / self.side).cast("bigint") for x in self.xs]
+
+    def part(self, split: int) -> list[Column]:
+        """Place inside the cell, of 2 ** split along each side; counted from the cell's corner, so it stays small."""
+        return [
+            F.floor((F.col(x) / self.side - F.col(c)) * float(1 << split)).cast("bigint")
+            for x, c in zip(self.xs, self.cells)
+        ]
 
-    def around(self, df: DataFrame, offsets=None) -> DataFrame:
+    def around(self, df: DataFrame) -> DataFrame:
         """Each row once per neighbouring cell, with the cell in ``to*``."""
-        moves = F.array(*[
-            F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in offsets or self.offsets
-        ])
+        moves = F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in self.offsets])
         moved = df.withColumn("_o", F.explode(moves))
         return moved.withColumns(
-            {f"to{i}": F.col(c) + F.col(f"_o.o{i}") for i, c in enumerate(self.cells)}
+            {f"to{i}": F.col(c) + F.col(f"_o.o{i}") for i, c in enumerate(self.sought)}
         ).drop("_o")
 
     def near(self, left: str, right: str) -> Column:
@@ -87,15 +97,15 @@ class _Grid:
         """Rows of ``left`` beside every row of ``right`` within eps; right columns get ``r_``."""
         named = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns})
         match = F.lit(True)
-        for i in range(self.dims):
-            match = match & (F.col(f"to{i}") == F.col(f"r_c{i}"))
+        for i, c in enumerate(self.sought):
+            match = match & (F.col(f"to{i}") == F.col(f"r_{c}"))
         joined = self.around(left).join(named, match)
         return joined.where(self.near("", "r_"))
 
 
 def _points(df: DataFrame, key: str, columns: Sequence[str], grid: _Grid) -> DataFrame:
     """Distinct places with their row count, smallest key and cell."""
-    placed = df.select(F.col(key).alias("pid"), *[finite(F.col(c).cast("double")).alias(x) for c, x in zip(columns, grid.xs)])
+    placed = df.select(F.col(key).alias("pid"), *[finite(col(c).cast("double")).alias(x) for c, x in zip(columns, grid.xs)])
     distinct = placed.na.drop(subset=grid.xs).groupBy(*grid.xs).agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("pid"))
     located = distinct.withColumns(dict(zip(grid.cells, grid.cell())))
     sizes = located.groupBy(*grid.cells).agg(F.sum("n").alias("cell_n"))
@@ -143,10 +153,9 @@ def _cell_edges(core: DataFrame, grid: _Grid) -> DataFrame:
     """
     limit = grid.eps * grid.eps
     cells = materialise(_boxes(core, grid, ["node", *grid.cells]))
-    ahead = [o for o in grid.offsets if o > (0,) * grid.dims]
-    left = grid.around(_side(cells, "a").withColumnsRenamed({f"a_{c}": c for c in grid.cells}), ahead).drop(*grid.cells)
-    match = F.lit(True)
-    for i, c in enumerate(grid.cells):
+    left = grid.around(_side(cells, "a").withColumnsRenamed({f"a_{c}": c for c in grid.cells})).drop(*grid.cells)
+    match = F.col("a_node") < F.col("b_node")
+    for i, c in enumerate(grid.sought):
         match = match & (F.col(f"to{i}") == F.col(f"b_{c}"))
     pairs = left.join(_side(cells, "b"), match)
     low, high = _box_bounds(grid)
@@ -165,7 +174,7 @@ def _cell_edges(core: DataFrame, grid: _Grid) -> DataFrame:
         if work <= FREE_PAIRS + PAIRS_PER_POINT * points or split == MAX_SPLITS:
             break
         split += 1
-        part = core.withColumns(dict(zip(subs, grid.cell(split))))
+        part = core.withColumns(dict(zip(subs, grid.part(split))))
         boxes = _boxes(part, grid, ["node", *subs])
         for side, node in (("a", "a"), ("b", "b")):
             child = _side(boxes, side)
@@ -184,7 +193,7 @@ def _cell_edges(core: DataFrame, grid: _Grid) -> DataFrame:
         gone = won.withColumnsRenamed({"a": "_wa", "b": "_wb"})
         rest = judged.where("NOT sure").drop("sure")
         open_pairs = materialise(rest.join(gone, (F.col("a") == F.col("_wa")) & (F.col("b") == F.col("_wb")), "left_anti"))
-    located = core.withColumns(dict(zip(subs, grid.cell(split)))).select("node", *grid.xs, *subs)
+    located = core.withColumns(dict(zip(subs, grid.part(split)))).select("node", *grid.xs, *subs)
     for side in "ab":
         child = located.withColumnsRenamed({"node": f"{side}_node", **{x: f"{side}_{x}" for x in grid.xs}, **{s: f"{side}_{s}" for s in subs}})
         same = F.col(side) == F.col(f"{side}_node")
@@ -236,7 +245,7 @@ def core_points(df: DataFrame, key: str, columns: Sequence[str], eps: float = 0.
     grid = _Grid(len(columns), eps)
     points = _with_core(_points(df, key, columns, grid), grid, min_points)
     core = points.where("core").select(*grid.xs)
-    placed = df.select(key, *[finite(F.col(c).cast("double")).alias(x) for c, x in zip(columns, grid.xs)])
+    placed = df.select(key, *[finite(col(c).cast("double")).alias(x) for c, x in zip(columns, grid.xs)])
     return placed.join(core, grid.xs, "left_semi").select(key)
 
 
@@ -244,7 +253,7 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str] | None = None, eps: f
     """Adds ``outlier``: -1 for noise, else the smallest core key of the row's cluster.
 
     A border row reachable from several clusters joins the one with the smallest label. Without numeric
-    columns every row is noise. Meant for two or three columns.
+    columns every row is noise.
     """
     columns = numeric_columns(df, (key,)) if columns is None else list(columns)
     if not columns:
@@ -260,6 +269,6 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str] | None = None, eps: f
     loose = points.where("NOT core").select("pid", *grid.xs, *grid.cells)
     border = grid.neighbours(loose, labelled.drop("pid")).groupBy(*grid.xs).agg(F.min("r_label").alias("label"))
     known = labelled.select(*grid.xs, "label").unionByName(border)
-    placed = df.withColumns({x: finite(F.col(c).cast("double")) for c, x in zip(columns, grid.xs)})
+    placed = df.withColumns({x: finite(col(c).cast("double")) for c, x in zip(columns, grid.xs)})
     joined = placed.join(known, grid.xs, "left")
     return joined.withColumn("outlier", F.coalesce("label", F.lit(-1)).cast("bigint")).select(*df.columns, "outlier")

@@ -57,6 +57,31 @@ def _(data):
     return segment.dbscan(parts(data), "p_partkey", ["p_size", "p_retailprice"], EPS, 5)
 
 
+WIDE = """p AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b, CAST(p_partkey % 7 AS DOUBLE) AS c,
+    CAST(p_partkey % 3 AS DOUBLE) AS d, CAST(p_partkey % 11 AS DOUBLE) AS e FROM part)"""
+WIDE_NEAR = " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in "abcde")
+
+
+@query(
+    "dbscan_five_columns",
+    f"""WITH RECURSIVE {WIDE}, near AS (SELECT x.k AS a, y.k AS b FROM p x JOIN p y ON {WIDE_NEAR} <= 81),
+    core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 4),
+    edge AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+    reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+    label AS (SELECT a, min(b) AS l FROM reach GROUP BY 1),
+    best AS (SELECT n.a, coalesce(max(own.l), min(l.l)) AS l FROM near n JOIN label l ON l.a = n.b
+        LEFT JOIN label own ON own.a = n.a GROUP BY 1)
+    SELECT k, p.a, p.b, c, d, e, coalesce(l, -1) AS outlier FROM p LEFT JOIN best ON best.a = k""",
+)
+def _(data):
+    key = F.col("p_partkey")
+    wide = parts(data).select(
+        key.alias("k"), F.col("p_size").alias("a"), F.col("p_retailprice").alias("b"),
+        *[(key % n).cast("double").alias(name) for n, name in ((7, "c"), (3, "d"), (11, "e"))],
+    )
+    return segment.dbscan(wide, "k", eps=9.0, min_points=4)
+
+
 @query(
     "impute_knn",
     """WITH d AS (SELECT * FROM raw_orders WHERE o_totalprice IS NOT NULL),
