@@ -116,3 +116,34 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100)], "a bigint, b bigint")
     found = {r["node"]: r["component"] for r in segment.connected_components(edges).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_one_search_for_all_patterns_of_gaps(spark):
+    rng = np.random.default_rng(1)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(columns: int) -> int:
+        values = rng.normal(size=(60, columns))
+        rows = [[None if rng.random() < 0.2 else float(v) for v in row] for row in values]
+        names = [f"c{i}" for i in range(columns)]
+        df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+        spark.sparkContext.setJobGroup(f"gaps{columns}", "")
+        got = neighbours.impute_knn(df, names).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        np.testing.assert_allclose(sorted(map(list, got)), sorted(brute_knn(rows, 5)), rtol=1e-9)
+        return len(tracker.getJobIdsForGroup(f"gaps{columns}"))
+
+    assert jobs(4) <= 1.5 * jobs(2) + 5
+
+
+def test_heavy_tails_do_not_crowd_into_few_cells(spark):
+    rng = np.random.default_rng(2)
+    values = np.exp(rng.normal(0, 6, 3000))
+    donors = spark.createDataFrame([("s", 0.0, float(v)) for v in values], "s string, value double, y0 double")
+    receivers = spark.createDataFrame([("s", k, float(v)) for k, v in enumerate(np.exp(rng.normal(0, 6, 50)))], "s string, rid int, x0 double")
+    found = neighbours.nearest(receivers, donors, 1, 3).groupBy("rid").agg({"dist2": "max"}).collect()
+    places = {r["rid"]: r["x0"] for r in receivers.collect()}
+    for row in found:
+        want = np.sort((values - places[row["rid"]]) ** 2)[2]
+        np.testing.assert_allclose(row[1], want, rtol=1e-9)
+    assert len(found) == 50

@@ -2,8 +2,10 @@
 
 Donors are put on a grid that gets finer level by level. Each cell keeps its count and the tight box around
 its donors. A receiver walks down the levels with a short list of cells and a radius that surely holds k
-donors; cells whose nearest edge lies beyond it are dropped, and the radius shrinks on the way. Only donors of the few cells left are compared. The grid is as deep as the densest spot needs, so a
-hot spot costs levels, not pairs.
+donors; cells whose nearest edge lies beyond it are dropped, and the radius shrinks on the way. Only donors of the
+few cells left are compared. The grid is as deep as the densest spot needs, so a hot spot costs levels, not pairs,
+and its first levels cut at quantiles, so heavy tails do not crowd into few cells. Many searches run as one: each has
+a key, and rows meet only inside it.
 """
 
 from __future__ import annotations
@@ -14,16 +16,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import finite
+from tidewell.functions.columns import col, finite
 from tidewell.operators.keyed import join_on
 from tidewell.operators.ranking import top_n_per_key
 from tidewell.session import materialise
 
 GRID_BITS = 24
 # Donors a cell of the finest level may hold.
-LEAF_ROWS = 16
-# Levels between two shuffles that shrink the radius.
+LEAF_ROWS = 64
+# Levels that a walk goes down at once, and steps between two shuffles that shrink the radius.
+STRIDE = 2
 TIGHTEN_EVERY = 3
+# Levels whose cells are cut at quantiles.
+RANK_BITS = 5
 
 
 def _near(dims: int) -> Column:
@@ -55,128 +60,147 @@ def _at_level(dims: int, level: str | int) -> dict[str, Column]:
 
 
 def _cell_boxes(donors: DataFrame, dims: int, first: int, last: int) -> DataFrame:
-    """Count and tight box of every occupied cell of the given grid levels, in one pass."""
-    spread = donors.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumns(
-        _at_level(dims, "level")
-    )
-    edges = [f(f"y{i}").alias(f"{e}{i}") for i in range(dims) for e, f in (("lo", F.min), ("hi", F.max))]
+    """Count and tight box of every occupied cell of the given grid levels; the finest boxes make up the others."""
     names = [f"c{i}" for i in range(dims)]
-    return materialise(spread.groupBy("level", *names).agg(F.count(F.lit(1)).alias("n"), *edges))
+    edges = [f(f"y{i}").alias(f"{e}{i}") for i in range(dims) for e, f in (("lo", F.min), ("hi", F.max))]
+    leaves = donors.groupBy("s", *[c.alias(f"f{i}") for i, c in enumerate(_at_level(dims, last).values())])
+    leaves = leaves.agg(F.count(F.lit(1)).alias("n"), *edges)
+    spread = leaves.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumns(
+        {f"c{i}": F.expr(f"shiftright(f{i}, {last} - level)") for i in range(dims)}
+    )
+    wider = [f(f"{e}{i}").alias(f"{e}{i}") for i in range(dims) for e, f in (("lo", F.min), ("hi", F.max))]
+    return materialise(spread.groupBy("s", "level", *names).agg(F.sum("n").alias("n"), *wider))
 
 
 def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataFrame:
-    """(rid, dist2, value, y0..): the k nearest donors of each receiver, ties by donor place and value.
+    """(s, rid, dist2, value, y0..): the k nearest donors of each receiver, ties by donor place and value.
 
-    ``receivers`` has rid and x0.., ``donors`` has value and y0... All are doubles without nulls.
+    ``receivers`` has s, rid and x0.., ``donors`` has s, value and y0..; ``s`` names the search in which they meet. All
+    coordinates are doubles without nulls. A receiver of a search without donors has no rows.
     """
     xs, ys, names = ([f"{v}{i}" for i in range(dims)] for v in "xyc")
     # No receiver needs more than k donors of one place.
-    donors = materialise(top_n_per_key(donors.select(*ys, "value"), ys, [F.asc("value")], k))
-    edges = donors.agg(F.count(F.lit(1)).alias("n"), *[f(y) for y in ys for f in (F.min, F.max)]).first()
-    if edges["n"] == 0:
-        empty = receivers.limit(0).select("rid", F.lit(0.0).alias("dist2"), F.lit(0.0).alias("value"))
-        return empty.select("*", *[F.lit(0.0).alias(y) for y in ys])
+    donors = materialise(top_n_per_key(donors.select("s", *ys, "value"), ["s", *ys], [F.asc("value")], k))
+    shares = [n / (1 << RANK_BITS) for n in range(1, 1 << RANK_BITS)]
+    cuts = [
+        F.concat(F.array(F.min(y)), F.percentile_approx(y, shares), F.array(F.max(y))).alias(f"cuts{i}")
+        for i, y in enumerate(ys)
+    ]
+    spans = materialise(donors.groupBy("s").agg(F.count(F.lit(1)).alias("donors"), *cuts))
+    most = spans.agg(F.max("donors")).first()[0] or 0
 
     def with_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        top = (1 << GRID_BITS) - 1
+        """Finest codes: the number of the quantile bucket, then the place inside it."""
+        rest = GRID_BITS - RANK_BITS
         codes = {}
         for i, c in enumerate(columns):
-            low, high = edges[1 + 2 * i], edges[2 + 2 * i]
-            place = F.floor((F.col(c) - low) / (high - low) * (top + 1)) if high > low else F.lit(0)
-            codes[f"g{i}"] = F.least(F.greatest(place, F.lit(0)), F.lit(top)).cast("bigint")
-        return df.withColumns(codes)
+            value, edges = F.col(c), F.col(f"cuts{i}")
+            bucket = F.least(F.size(F.filter(edges, lambda edge: edge < value)), F.lit(1 << RANK_BITS))
+            bucket = F.greatest(bucket - 1, F.lit(0))
+            low, high = F.get(edges, bucket), F.get(edges, bucket + 1)
+            share = F.when(high > low, (value - low) / (high - low)).otherwise(0.0)
+            inside = F.least(F.greatest(F.floor(share * (1 << rest)), F.lit(0)), F.lit((1 << rest) - 1))
+            codes[f"g{i}"] = (bucket.cast("bigint") * (1 << rest) + inside).cast("bigint")
+        return join_on(df, spans, ["s"]).withColumns(codes).drop("donors", *[f"cuts{i}" for i in range(dims)])
 
-    donors, receivers = with_codes(donors, ys), with_codes(receivers.select("rid", *xs), xs)
+    donors, receivers = materialise(with_codes(donors, ys)), with_codes(receivers.select("s", "rid", *xs), xs)
 
     # Deepen the grid until no cell holds many donors.
     depth, boxes = 0, None
     while True:
-        more = max(2, math.ceil(math.log2(max(edges["n"] / LEAF_ROWS, 2)) / dims)) if boxes is None else 4
+        more = max(2, math.ceil(math.log2(max(most / LEAF_ROWS, 2)) / dims)) if boxes is None else 4
         last = min(depth + more, GRID_BITS)
         found = _cell_boxes(donors, dims, depth + 1, last)
         boxes = found if boxes is None else boxes.unionByName(found)
         depth = last
-        if found.where(F.col("level") == depth).agg(F.max("n")).first()[0] <= LEAF_ROWS or depth == GRID_BITS:
+        if (found.where(F.col("level") == depth).agg(F.max("n")).first()[0] or 0) <= LEAF_ROWS or depth == GRID_BITS:
             break
 
     # First radius: the farthest corner of the smallest cell around the receiver that holds k donors.
     levels = F.explode(F.sequence(F.lit(1), F.lit(depth)))
-    around = receivers.withColumn("level", levels).withColumns(_at_level(dims, "level")).join(boxes, ["level", *names])
-    radius = around.where(F.col("n") >= k).groupBy("rid").agg(F.min(_far(dims)).alias("radius"))
-    frontier = join_on(receivers.select("rid", *xs), radius, ["rid"], "left").withColumns(
+    around = receivers.withColumn("level", levels).withColumns(_at_level(dims, "level")).join(boxes, ["s", "level", *names])
+    radius = around.where(F.col("n") >= k).groupBy("s", "rid").agg(F.min(_far(dims)).alias("radius"))
+    frontier = join_on(receivers.select("s", "rid", *xs), radius, ["s", "rid"], "left").withColumns(
         {c: F.lit(0).cast("bigint") for c in names}
     )
-    by_far = Window.partitionBy("rid").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_far = Window.partitionBy("s", "rid").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     beyond = F.col("radius").isNotNull() & (F.col("near") > F.col("radius") * (1 + 1e-9))
-    for level in range(1, depth + 1):
-        child = boxes.where(F.col("level") == level).drop("level").withColumnsRenamed({c: f"to_{c}" for c in names})
-        same = F.lit(True)
+    above = 0
+    for step, level in enumerate([*range(STRIDE, depth, STRIDE), depth], start=1):
+        child = boxes.where(F.col("level") == level).drop("level").withColumnsRenamed({c: f"to_{c}" for c in ("s", *names)})
+        same = F.col("s") == F.col("to_s")
         for c in names:
-            same = same & (F.col(c) == F.shiftright(F.col(f"to_{c}"), 1))
+            same = same & (F.col(c) == F.shiftright(F.col(f"to_{c}"), level - above))
+        above = level
         opened = frontier.join(child, same).select(
-            "rid", *xs, "radius", *[F.col(f"to_{c}").alias(c) for c in names], "n",
+            "s", "rid", *xs, "radius", *[F.col(f"to_{c}").alias(c) for c in names], "n",
             _near(dims).alias("near"), _far(dims).alias("far"),
         )
         frontier = opened.where(~beyond)
-        if level % TIGHTEN_EVERY == 0 or level == depth:
+        if step % TIGHTEN_EVERY == 0 or level == depth:
             # The smallest far bound whose cells hold k donors in all.
-            enough = F.min(F.when(F.col("_seen") >= k, F.col("far"))).over(Window.partitionBy("rid"))
+            enough = F.min(F.when(F.col("_seen") >= k, F.col("far"))).over(Window.partitionBy("s", "rid"))
             seen = frontier.withColumn("_seen", F.sum("n").over(by_far))
             frontier = materialise(seen.withColumn("radius", F.least("radius", enough)).where(~beyond).drop("_seen"))
-        frontier = frontier.select("rid", *xs, "radius", *names)
+        frontier = frontier.select("s", "rid", *xs, "radius", *names)
     placed = donors.withColumns(_at_level(dims, depth))
     dist2 = _sum([(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(xs, ys)])
-    found = frontier.join(placed, names).select("rid", dist2.alias("dist2"), "value", *ys)
-    return top_n_per_key(found, ["rid"], [F.asc(c) for c in ("dist2", *ys, "value")], k)
+    found = frontier.join(placed, ["s", *names]).select("s", "rid", dist2.alias("dist2"), "value", *ys)
+    return top_n_per_key(found, ["s", "rid"], [F.asc(c) for c in ("dist2", *ys, "value")], k)
 
 
 def impute_knn(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     """Fill each numeric gap with the mean over the k nearest rows that have the value.
 
-    The distance uses the columns both rows have, scaled up by the share of columns compared. Rows are
-    handled per pattern of missing columns, so each search runs in one fixed set of dimensions. A row that
-    shares no column with any donor gets the column mean.
+    The distance uses the columns both rows have, scaled up by the share of columns compared. A search is a gap column
+    with the pattern of missing columns on either side, and all searches run as one; columns that a search does not
+    compare are 0 on both sides. A row that shares no column with any donor gets the column mean.
     """
     columns = list(columns)
-    tagged = df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
-    mask = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    values = [f"_v{j}" for j in range(len(columns))]
+    tagged = df.withColumns({v: finite(col(c).cast("double")) for v, c in zip(values, columns)})
+    mask = F.concat(*[F.when(F.col(v).isNull(), "0").otherwise("1") for v in values])
     rows = materialise(tagged.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_mask", mask))
-    masks = [r["_mask"] for r in rows.select("_mask").distinct().collect()]  # one per pattern
-    usable = [j for j in range(len(columns)) if any(m[j] == "1" for m in masks)]
-    gaps = [j for j in usable if any(m[j] == "0" for m in masks)]
+    stats = rows.agg(F.count(F.lit(1)), *[F.count(v) for v in values], *[F.avg(v) for v in values]).first()
+    counts, means = stats[1 : 1 + len(values)], stats[1 + len(values) :]
+    usable = [j for j, n in enumerate(counts) if n]
+    gaps = [j for j in usable if counts[j] < stats[0]]
     if not gaps:
         return df
-    parts = []
-    for j in gaps:
-        for receiver in (m for m in masks if m[j] == "0"):
-            for donor in (m for m in masks if m[j] == "1"):
-                shared = [i for i in usable if receiver[i] == donor[i] == "1"]
-                if not shared:
-                    continue
-                left = rows.where(F.col("_mask") == receiver).select(
-                    F.col("_rid").alias("rid"), *[F.col(columns[i]).alias(f"x{p}") for p, i in enumerate(shared)]
-                )
-                right = rows.where(F.col("_mask") == donor).select(
-                    F.col(columns[j]).alias("value"), *[F.col(columns[i]).alias(f"y{p}") for p, i in enumerate(shared)]
-                )
-                found = nearest(left, right, len(shared), k)
-                scaled = F.col("dist2") * (len(usable) / len(shared))
-                place = F.array(*[F.col(f"y{p}") for p in range(len(shared))])
-                parts.append(found.select("rid", F.lit(j).alias("j"), scaled.alias("d"), place.alias("place"), "value"))
-    filled = rows
-    if parts:
-        near = parts[0]
-        for part in parts[1:]:
-            near = near.unionByName(part)
-        best = top_n_per_key(near, ["rid", "j"], [F.asc("d"), F.asc("place"), F.asc("value")], k)
-        wide = best.groupBy(F.col("rid").alias("_rid")).agg(
-            *[F.avg(F.when(F.col("j") == j, F.col("value"))).alias(f"_fill{j}") for j in gaps]
-        )
-        filled = join_on(rows, wide, ["_rid"], "left")
-    means = rows.agg(*[F.avg(columns[j]) for j in gaps]).first()
-    for mean, j in zip(means, gaps):
-        known = [F.col(columns[j])] + ([F.col(f"_fill{j}")] if parts else [])
-        filled = filled.withColumn(columns[j], F.coalesce(*known, F.lit(mean)))
-    # Columns without a gap keep their type.
-    whole = {c: F.col(c).cast(df.schema[c].dataType) for j, c in enumerate(columns) if j not in gaps}
-    return filled.withColumns(whole).select(*df.columns) if whole else filled.select(*df.columns)
+
+    def has(side: str, j) -> Column:
+        return F.substring(F.col(f"{side}_mask"), j + 1, 1) == "1"
+
+    def both(j: int) -> Column:
+        return has("r", j) & has("d", j)
+
+    patterns = rows.select("_mask").distinct()
+    gap = F.array(*[F.lit(j) for j in gaps])
+    at = lambda j: F.substr(F.col("_mask"), j + 1, F.lit(1))
+    lacking = patterns.select(F.col("_mask").alias("r_mask"), F.explode(F.filter(gap, lambda j: at(j) == "0")).alias("j"))
+    having = patterns.select(F.col("_mask").alias("d_mask"), F.explode(F.filter(gap, lambda j: at(j) == "1")).alias("j"))
+    shared = F.lit(0)
+    for j in usable:
+        shared = shared + both(j).cast("int")
+    searches = lacking.join(having, "j").withColumn("shared", shared).where("shared > 0")
+    searches = materialise(searches.withColumn("s", F.concat_ws(":", "j", "r_mask", "d_mask")))
+
+    def placed(side: str, axis: str, *more: Column) -> DataFrame:
+        sought = rows.join(searches, F.col("_mask") == F.col(f"{side}_mask"))
+        place = [F.when(both(j), F.col(values[j])).otherwise(0.0).alias(f"{axis}{p}") for p, j in enumerate(usable)]
+        return sought.select("s", *more, *place)
+
+    value = F.element_at(F.array(*values), F.col("j") + 1).alias("value")
+    found = nearest(placed("r", "x", F.col("_rid").alias("rid")), placed("d", "y", value), len(usable), k)
+    found = found.join(searches, "s")
+    pairs = F.array(*[F.struct(both(j).alias("in"), F.col(f"y{p}").alias("y")) for p, j in enumerate(usable)])
+    place = F.transform(F.filter(pairs, lambda pair: pair["in"]), lambda pair: pair["y"])
+    near = found.select("rid", "j", (F.col("dist2") * (len(usable) / F.col("shared"))).alias("d"), place.alias("place"), "value")
+    best = top_n_per_key(near, ["rid", "j"], [F.asc("d"), F.asc("place"), F.asc("value")], k)
+    wide = best.groupBy(F.col("rid").alias("_rid")).agg(
+        *[F.avg(F.when(F.col("j") == j, F.col("value"))).alias(f"_fill{j}") for j in gaps]
+    )
+    filled = {
+        columns[j]: F.coalesce(F.col(values[j]), F.col(f"_fill{j}"), F.lit(means[j])) for j in gaps
+    }
+    return join_on(rows, wide, ["_rid"], "left").withColumns(filled).select(*map(col, df.columns))

@@ -97,3 +97,31 @@ def _(data):
     df = data.raw_orders.select("o_orderkey", "o_custkey", "o_totalprice")
     filled = neighbours.impute_knn(df, ["o_orderkey", "o_custkey", "o_totalprice"])
     return filled.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+def _gap_sql(column: str) -> str:
+    """The five nearest values for the gaps of one column of t, by brute force."""
+    shared = " + ".join(f"CAST(a.{c} IS NOT NULL AND b.{c} IS NOT NULL AS INT)" for c in "xyz")
+    apart = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in "xyz")
+    place = ", ".join(f"CASE WHEN a.{c} IS NOT NULL THEN b.{c} END" for c in "xyz")
+    return f"""SELECT k, '{column}' AS j, avg(v) AS v FROM (SELECT a.k, b.{column} AS v FROM t a, t b
+        WHERE a.{column} IS NULL AND b.{column} IS NOT NULL AND ({shared}) > 0
+        QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY ({apart}) * 3.0 / ({shared}),
+            list_filter([{place}], lambda e: e IS NOT NULL), b.{column}) <= 5) GROUP BY 1"""
+
+
+@query(
+    "impute_knn_three_columns",
+    f"""WITH t AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS x,
+        CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS y, CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey % 50 AS DOUBLE) END AS z FROM part),
+    f AS ({_gap_sql('x')} UNION ALL {_gap_sql('y')} UNION ALL {_gap_sql('z')})
+    SELECT k, {', '.join(f"round(coalesce(t.{c}, (SELECT v FROM f WHERE f.k = t.k AND j = '{c}'), (SELECT avg({c}) FROM t)), 4) AS {c}" for c in 'xyz')} FROM t""",
+)
+def _(data):
+    key = F.col("p_partkey")
+    gaps = parts(data).select(
+        key.alias("k"), F.when(key % 5 != 0, F.col("p_size")).alias("x"), F.when(key % 7 != 0, F.col("p_retailprice")).alias("y"),
+        F.when(key % 11 != 0, (key % 50).cast("double")).alias("z"),
+    )
+    filled = neighbours.impute_knn(gaps, ["x", "y", "z"])
+    return filled.withColumns({c: F.round(c, 4) for c in "xyz"})
