@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ VIEW_SQL = {
         TIMESTAMP '2023-12-01 00:00:00' + CAST(c_custkey % 60 AS INT) * INTERVAL 1 DAY AS created_at
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "raw_data": """SELECT o_orderkey AS id, c_nationkey AS sector_id, o_custkey AS uploaded_by,
-        CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 400 END AS product_id, o_orderdate AS uploaded_at,
+        CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % (SELECT count(*) FROM part) END AS product_id, o_orderdate AS uploaded_at,
         CAST(floor(o_totalprice / 10) AS BIGINT) AS row_count
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "cleaned_data": """SELECT o_orderkey AS id, o_orderkey AS raw_data_id,
@@ -32,12 +32,12 @@ VIEW_SQL = {
         event_type AS prediction_type, value / 500 AS confidence, ts AS predicted_at FROM events""",
     "ai_recommendations": """SELECT conv_id * 10 + turn AS id, conv_id AS prediction_id,
         text AS recommendation_text, role AS explanation FROM conversations""",
-    "feedback_logs": """SELECT event_id AS id, user_id, event_id % 15000 AS data_id,
+    "feedback_logs": """SELECT event_id AS id, user_id, event_id % (SELECT count(*) FROM orders) AS data_id,
         CASE WHEN event_type = 'error' THEN 'correction' ELSE 'validation' END AS feedback_type,
         props AS feedback_data, ts AS feedback_at FROM events WHERE event_type IN ('error', 'click')""",
-    "company_reports": """SELECT doc_id AS id, doc_id % 150 AS created_by, n_regionkey AS company_id,
+    "company_reports": """SELECT doc_id AS id, doc_id % (SELECT count(*) FROM customer) AS created_by, n_regionkey AS company_id,
         source AS title, lang AS report_type
-        FROM documents JOIN customer ON doc_id % 150 = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+        FROM documents JOIN customer ON doc_id % (SELECT count(*) FROM customer) = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "orders_clean_src": """SELECT o_orderkey, o_custkey,
         CASE WHEN o_orderkey % 10 = 3 THEN NULL WHEN o_orderkey % 97 = 5 THEN o_totalprice * 20
              ELSE o_totalprice END AS o_totalprice,
@@ -65,6 +65,11 @@ class Dataset:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cache
+    def rows(self, name: str) -> int:
+        """Rows of a table, from its footers; views that spread ids over a table take its size from here."""
+        return self.table(name).count()
+
     @cached_property
     def sectors(self) -> DataFrame:
         return self.table("nation").select(
@@ -108,7 +113,7 @@ class Dataset:
             F.col("o_orderkey").alias("id"),
             F.col("c_nationkey").alias("sector_id"),
             F.col("o_custkey").alias("uploaded_by"),
-            F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 400).alias("product_id"),
+            F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % self.rows("part")).alias("product_id"),
             F.col("o_orderdate").alias("uploaded_at"),
             F.floor(F.col("o_totalprice") / 10).cast("bigint").alias("row_count"),
         )
@@ -165,7 +170,7 @@ class Dataset:
             .select(
                 F.col("event_id").alias("id"),
                 "user_id",
-                (F.col("event_id") % 15000).alias("data_id"),
+                (F.col("event_id") % self.rows("orders")).alias("data_id"),
                 F.when(F.col("event_type") == "error", "correction").otherwise("validation").alias("feedback_type"),
                 F.col("props").alias("feedback_data"),
                 F.col("ts").alias("feedback_at"),
@@ -176,11 +181,11 @@ class Dataset:
     def company_reports(self) -> DataFrame:
         return (
             self.table("documents")
-            .join(self.table("customer"), F.col("doc_id") % 150 == F.col("c_custkey"))
+            .join(self.table("customer"), F.col("doc_id") % self.rows("customer") == F.col("c_custkey"))
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 F.col("doc_id").alias("id"),
-                (F.col("doc_id") % 150).alias("created_by"),
+                (F.col("doc_id") % self.rows("customer")).alias("created_by"),
                 F.col("n_regionkey").alias("company_id"),
                 F.col("source").alias("title"),
                 F.col("lang").alias("report_type"),
