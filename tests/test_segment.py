@@ -147,3 +147,15 @@ def test_heavy_tails_do_not_crowd_into_few_cells(spark):
         want = np.sort((values - places[row["rid"]]) ** 2)[2]
         np.testing.assert_allclose(row[1], want, rtol=1e-9)
     assert len(found) == 50
+
+
+def test_rounds_leave_one_table(spark):
+    from pathlib import Path
+
+    from tidewell.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(64)], "a bigint, b bigint")
+    before = set(folder.glob("table-*"))
+    assert segment.connected_components(edges).where("component <> 0").isEmpty()
+    assert len(set(folder.glob("table-*")) - before) == 1

@@ -125,7 +125,7 @@ def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataF
     )
     by_far = Window.partitionBy("s", "rid").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     beyond = F.col("radius").isNotNull() & (F.col("near") > F.col("radius") * (1 + 1e-9))
-    above = 0
+    above, last = 0, None
     for step, level in enumerate([*range(STRIDE, depth, STRIDE), depth], start=1):
         child = boxes.where(F.col("level") == level).drop("level").withColumnsRenamed({c: f"to_{c}" for c in ("s", *names)})
         same = F.col("s") == F.col("to_s")
@@ -141,7 +141,8 @@ def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataF
             # The smallest far bound whose cells hold k donors in all.
             enough = F.min(F.when(F.col("_seen") >= k, F.col("far"))).over(Window.partitionBy("s", "rid"))
             seen = frontier.withColumn("_seen", F.sum("n").over(by_far))
-            frontier = materialise(seen.withColumn("radius", F.least("radius", enough)).where(~beyond).drop("_seen"))
+            last = materialise(seen.withColumn("radius", F.least("radius", enough)).where(~beyond).drop("_seen"), last)
+            frontier = last
         frontier = frontier.select("s", "rid", *xs, "radius", *names)
     placed = donors.withColumns(_at_level(dims, depth))
     dist2 = _sum([(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(xs, ys)])

@@ -235,7 +235,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     stars = materialise(links.distinct())
     while not settled(stars):
-        stars = materialise(contract(contract(stars, True), False))
+        stars = materialise(contract(contract(stars, True), False), replaces=stars)
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -49,11 +49,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder, so later jobs neither recompute nor lose it.
 
-    The table is columnar, so later passes read only their columns, and its size is known to the planner.
+    The table is columnar, so later passes read only their columns, and its size is known to the planner. A loop
+    names the table of its last round in ``replaces``; it is deleted once the new one is complete.
     """
     path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    if replaces is not None:
+        discard(replaces)
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
