@@ -132,7 +132,8 @@ def plain_edits(rows):
         [(None, "a b"), (None, "c")], [(5, "only")], [(4, "a. b"), (4, "a. b")], [],
     ],
 )
-def test_fingerprint_edits(spark, rows):
+def test_fingerprint_edits(spark, monkeypatch, rows):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 3)
     out = merkle.fingerprint_edits(documents(spark, rows)).collect()
     assert by_text(tuple(r) for r in out) == by_text(plain_edits(rows))
     lines = merkle.fingerprints(documents(spark, rows)).collect()

@@ -8,6 +8,7 @@ share, counted with their repeats, give their likeness.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import kind, pick, slices, spark_of, texts_of
@@ -24,7 +25,8 @@ LEAF = re.compile(r"[^\n]{0,24}[^\n.!?|]{0,160}(?:[.!?|]+[ \t]*|\n+)?")  # a sen
 SECTION = 8  # one paragraph of so many ends a section
 DIGEST = 16  # bytes of inner digests
 LEAF_HEX = 10  # hex digits that a fingerprint keeps of a leaf
-RANGES = 4096  # ranges of ids at most
+RANGE_ROWS = 20_000  # rows that a range of ids should have
+RANGES = 1 << 14  # ranges at most
 NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
@@ -116,16 +118,29 @@ def half_replaced(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(rows: DataFrame) -> list:
+def _ranges(rows: DataFrame) -> list[int]:
     """Ids that end ranges of about equal size, the largest id last; actual ids, so that ranges can share them."""
-    parts = min(RANGES, max(1, int(spark_of(rows).conf.get("spark.sql.shuffle.partitions"))))
+    known = rows.where(F.col("key").isNotNull())
+    least = int(spark_of(rows).conf.get("spark.sql.shuffle.partitions"))
+    parts = min(RANGES, max(1, least, -(-known.count() // RANGE_ROWS)))
     shares = [k / parts for k in range(1, parts + 1)]
-    found = rows.where(F.col("id").isNotNull()).agg(
-        F.percentile_approx("id", shares, 10 * parts).alias("q"), F.max("id").alias("most")
-    ).first()
+    found = known.agg(F.percentile_approx("key", shares, 10 * parts).alias("q"), F.max("key").alias("most")).first()
     return sorted({*(found["q"] or []), *([found["most"]] if found["most"] is not None else [])})
 
 
+def _place(ends: list[int]) -> tuple[Column, Column]:
+    """(number of the range of ``key``, whether the key ends it): a search in blocks, then inside one block."""
+    if not ends:
+        return F.lit(0), F.lit(False)
+    width = math.isqrt(len(ends) - 1) + 1
+    table = F.array(*map(F.lit, ends)).cast("array<bigint>")
+    tops = F.array(*map(F.lit, ends[width - 1 :: width])).cast("array<bigint>")
+    below = lambda values: F.size(F.filter(values, lambda end: end < F.col("key")))
+    block = below(tops) * width
+    place = F.coalesce(block + below(F.slice(table, block + 1, width)), F.lit(0))
+    return F.when(F.col("key").isNull(), 0).otherwise(place), F.coalesce(F.get(table, place) == F.col("key"), F.lit(False))
+
+
 def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
@@ -137,14 +152,12 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """
     rows = pick(docs, id=id_column, text=text_column)
     rows = rows.select("id", F.col("id").cast("bigint").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    ends = _ranges(rows.select(F.col("key").alias("id")))
-    table = F.array(*map(F.lit, ends)).cast("array<bigint>")
-    place = F.coalesce(F.size(F.filter(table, lambda end: end < F.col("key"))), F.lit(0))
-    placed = rows.withColumn("place", place)
+    ends = _ranges(rows.select("key"))
+    place, first = _place(ends)  # the row that ends a range is its first in descending order
+    placed = rows.withColumns({"place": place, "first": first})
     home = F.struct(F.col("place").alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(((F.col("place") + 1) % max(1, len(ends))).alias("range"), F.lit(True).alias("guest"))
-    first = F.coalesce(F.exists(table, lambda end: end == F.col("key")), F.lit(False))  # the first row of its range
-    placed = placed.withColumn("at", F.explode(F.when(first, F.array(home, guest)).otherwise(F.array(home))))
+    placed = placed.withColumn("at", F.explode(F.when(F.col("first"), F.array(home, guest)).otherwise(F.array(home))))
     placed = placed.select("id", "text", "at.range", "at.guest", "key").repartition(max(1, len(ends)), "range")
     placed = placed.sortWithinPartitions("range", "guest", F.col("key").desc_nulls_last(), "text").drop("key")
     schema = (
