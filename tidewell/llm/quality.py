@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import bytes_of, named, pick, slices, spark_of
 
 CLASSES = 24
-STATS = 12
+STATS = 15
 WIDTH = CLASSES + CLASSES * CLASSES + STATS
 PART_BYTES = 1 << 22
 
@@ -57,13 +57,17 @@ def features(text: bytes) -> np.ndarray:
     words = text.split()
     lines = [line for line in text.split(b"\n") if line]
     n, distinct = max(1, len(words)), set(words)
+    repeated = sum(map(eq, words, words[1:])) / n
     lower = {word.lower() for word in distinct}
     stats = [
         np.log1p(size) / 10,
         np.log1p(n) / 10,
         len(distinct) / n,
         len(lower) / n,
-        sum(map(eq, words, words[1:])) / n,
+        repeated,
+        repeated**0.5,
+        float(repeated > 0.05),
+        (1 - len(distinct) / n) ** 0.5,
         (size - n) / n / 20,
         len(lines) / n,
         1 - len(set(lines)) / max(1, len(lines)),
