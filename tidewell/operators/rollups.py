@@ -233,7 +233,7 @@ def avg_score() -> Column:
 def sector_comparison(seen: DataFrame, cleaned: DataFrame, scores: DataFrame, sectors: DataFrame) -> DataFrame:
     """Uploads and mean quality per company, role and sector of the datasets that ``scope.with_principal`` gives."""
     stats = scored_raw(seen, cleaned, scores).groupBy("company_id", "role", "sector_id").agg(
-        F.count(F.lit(1)).alias("uploads"), F.round(avg_score(), 4).alias("avg_quality")
+        F.count(F.lit(1)).alias("uploads"), F.round(avg_score(), 10).alias("avg_quality")
     )
     names = sectors.select(F.col("id").alias("_s"), F.col("name").alias("sector"))
     return stats.join(names, F.col("sector_id") == F.col("_s")).drop("_s")
@@ -266,7 +266,7 @@ def sector_summary(seen: DataFrame, cleaned: DataFrame, scores: DataFrame, predi
     stats = scored_raw(seen, cleaned, scores).groupBy("company_id", "role", "sector_id").agg(
         F.count(F.lit(1)).alias("uploads"),
         F.coalesce(F.sum("cleaned"), F.lit(0)).cast("bigint").alias("cleaned_datasets"),
-        F.round(avg_score(), 4).alias("avg_quality"),
+        F.round(avg_score(), 10).alias("avg_quality"),
     )
     counts = predictions.groupBy(F.col("sector_id").alias("_s")).agg(F.count(F.lit(1)).alias("predictions"))
     return (

@@ -303,7 +303,7 @@ def seen(data):
 @query(
     "sector_comparison",
     f"""WITH {SCORES}, {SEEN} SELECT r.company_id, r.role, r.sector_id, s.name AS sector, count(*) AS uploads,
-    round(coalesce(sum(pr.s) / nullif(sum(pr.n), 0), 0), 4) AS avg_quality FROM seen r JOIN sectors s ON r.sector_id = s.id
+    round(coalesce(sum(pr.s) / nullif(sum(pr.n), 0), 0), 10) AS avg_quality FROM seen r JOIN sectors s ON r.sector_id = s.id
     LEFT JOIN pr ON pr.raw_data_id = r.id GROUP BY 1, 2, 3, 4""",
 )
 def _(data):
@@ -344,7 +344,7 @@ def _(data):
     "sector_summary",
     f"""WITH {SCORES}, {SEEN}, p AS (SELECT sector_id, count(*) AS n FROM ai_predictions GROUP BY 1)
     SELECT r.company_id, r.role, r.sector_id, count(*) AS uploads, CAST(coalesce(sum(cleaned), 0) AS BIGINT) AS cleaned_datasets,
-    round(coalesce(sum(pr.s) / nullif(sum(pr.n), 0), 0), 4) AS avg_quality, coalesce(max(p.n), 0) AS predictions
+    round(coalesce(sum(pr.s) / nullif(sum(pr.n), 0), 0), 10) AS avg_quality, coalesce(max(p.n), 0) AS predictions
     FROM seen r LEFT JOIN pr ON pr.raw_data_id = r.id LEFT JOIN p ON p.sector_id = r.sector_id GROUP BY 1, 2, 3""",
 )
 def _(data):
