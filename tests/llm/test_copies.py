@@ -118,6 +118,32 @@ def test_similar_rows_keeps_one_of_each_group(spark):
     assert simhash.similar_rows(docs.where("false")).count() == 0
 
 
+def at_similarity(rng, shared, own):
+    """Two texts without common words but one run, whose five-word shingles have the Jaccard similarity shared/(shared+own)."""
+    words = [f"w{rng.integers(1 << 60)}" for _ in range(shared + own + 4)]
+    half = own // 2  # each text has the shared shingles and half of the others
+    return " ".join(words[: shared + half + 4]), " ".join(words[half:])
+
+
+@pytest.mark.parametrize("nodes", [4096, 8])
+def test_only_texts_of_the_similarity_are_copies(spark, monkeypatch, nodes):
+    monkeypatch.setattr(simhash, "ALIKE_NODES", nodes)
+    rng = np.random.default_rng(9)
+    texts, want = [], []
+    for shared, own in [(140, 60), (156, 44), (160, 40), (164, 36)] * 10:  # 0.7, 0.78, 0.8, 0.82
+        want += [len(texts)] + [len(texts) + 1] * (shared < 160)
+        texts += at_similarity(rng, shared, own)
+    words = [f"v{k}" for k in range(1500)]
+    for k in range(30):  # pages of a family, each 0.7 like the next
+        want.append(len(texts))
+        texts.append(" ".join(words[36 * k : 36 * k + 204]))
+    for k in range(30):  # each 0.82 like the next, the ends not at all
+        want += [len(texts)] * (k == 0)
+        texts.append(" ".join(f"x{j}" for j in range(20 * k, 20 * k + 204)))
+    kept = simhash.similar_rows(documents(spark, list(enumerate(texts)))).collect()
+    assert sorted(r.doc_id for r in kept) == want
+
+
 def plain_repeats(texts, window):
     rows = [(text or "").encode().split() for text in texts]
     seen = Counter(tuple(row[k : k + window]) for row in rows for k in range(len(row) - window + 1))
