@@ -242,6 +242,15 @@ def test_classifier_tells_held_out_texts_apart(spark):
     assert quality.classify(docs.where("false"), model).count() == 0
 
 
+def test_positives_are_drawn_from_those_that_have_a_text(spark, monkeypatch):
+    _, rows, _ = labelled(spark)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50_000)], "doc_id long, quality int, toxic int")
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda positive, unlabelled, prior: taken.append(len(positive)))
+    quality.train(documents(spark, rows), labels, positives=150, unlabelled=10)
+    assert taken == [150]
+
+
 def test_held_out_labels_are_never_read(spark):
     _, rows, labels = labelled(spark, 200)
     docs = documents(spark, rows)

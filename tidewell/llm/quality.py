@@ -169,7 +169,7 @@ def train(
         prior = counts["ones"] / counts["n"] if counts["n"] and 0 < counts["ones"] < counts["n"] else 0.5
     texts = pick(docs, id=id_column, text=text_column).where(~held_out("id"))
     present = known.where("label = 1").join(texts.select("id"), "id", "left_semi")
-    ids = _smallest(present, F.xxhash64("id"), counts["ones"] or 0, positives).select("id")  # at most ``positives``
+    ids = _smallest(present, F.xxhash64("id"), present.count(), positives).select("id")  # at most ``positives``
     trusted = texts.join(F.broadcast(ids), "id", "left_semi").orderBy(F.xxhash64("id", "text")).limit(positives)
     web = _smallest(texts, F.xxhash64("text", "id"), texts.count(), unlabelled)
     chosen = trusted.select(F.lit(True).alias("positive"), "text").unionByName(
