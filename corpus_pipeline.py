@@ -46,9 +46,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document in sequences of at most 2048 tokens: one row per piece."""
+    """Every document in sequences of at most 2048 tokens: one row per piece, with its token ids."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(docs, path, 2048, 0).withColumnRenamed("id", "doc_id")
+    return packing.pack_documents(docs, path, 2048, 0, keep_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -106,6 +107,11 @@ def test_stages(spark, tmp_path):
     assert by_text(whole.select(keys).collect()) == by_text(now.select(keys).collect())
 
 
+def test_packed_sequences_hold_their_token_ids(spark):
+    out = corpus_pipeline.pack(spark, documents(spark), FOLDER).collect()
+    assert out and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "i4").tobytes()) == r.ids_crc32 for r in out)
+
+
 def test_stages_take_awkward_rows(spark):
     docs = documents(spark).select("doc_id", "text", "id", "score").withColumn("n_chars", corpus_pipeline.F.lit(0).cast("bigint"))
     for _, stage in corpus_pipeline.STAGES:
