@@ -188,6 +188,24 @@ def test_a_template_that_rewrites_history_is_found(spark):
     assert renderer.rewrites
 
 
+def test_long_conversations_are_rendered_from_their_start(spark):
+    def numbered(turns):
+        return "".join(f"<{k} after {turns[max(k - 1, 0)][0]}>{t}" for k, (_, t) in enumerate(turns))
+
+    def last_forty(turns):
+        return "".join(f"[{r}]{t}" for r, t in turns[-40:])
+
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(100)]
+    table = spark.createDataFrame([(1, k, *turn) for k, turn in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(table, numbered).orderBy("place").collect()
+    whole = numbered(turns)
+    assert "".join(r.part for r in out) == whole and not any(r.rewrites for r in out)
+    assert [whole[r.text_start : r.text_stop] for r in out] == [text for _, text in turns]
+    assert [r.loss for r in out] == [role == "assistant" for role, _ in turns]
+    out = chat.format_conversations(table, last_forty).orderBy("place").collect()
+    assert [r.rewrites for r in out] == [False] * 40 + [True] * 60
+
+
 CONVERSATIONS = [
     (1, 2, "assistant", "second"), (1, 1, "user", "first"), (1, 3, None, None), (1, None, "assistant", "zeroth"),
     (2, 1, "assistant", ""), (2, 1, "assistant", "tie"), (2, 1, "assistant", "tie"), (None, 1, "assistant", LONG),

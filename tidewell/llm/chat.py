@@ -5,8 +5,9 @@ conversation and comparing consecutive outputs shows where each turn's span begi
 different probe texts shows where in the span its text lies. If an output does not begin with the one before it, the
 template rewrites history: the conversation is marked so, and its spans are not used.
 
-Conversations stream through tasks in turn order and are held a segment of turns at a time. A segment starts with the last
-turn of the one before, whose span shows whether the template depends on turns further back.
+Conversations stream through tasks in turn order, and every prefix is rendered in full. Where the caller declares that a
+template renders each turn by itself, they are held a segment of turns at a time; a segment starts with the last turn of
+the one before, which must look as it did.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tidewell.llm.common import kind, pick
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
-SEGMENT = 32  # turns that are rendered from the same start
+SEGMENT = 32  # turns that are rendered from the same start, for templates that render each turn by itself
 PROBES = ("A", "B")
 CONTROL = re.compile(r"\\|###|</turn>")
 ESCAPED = re.compile(r"\\(\\|###|</turn>|n|:)")
@@ -98,9 +99,9 @@ def turn_span(template: Template, turns: Sequence[Turn], before: str, after: str
 
 
 class Renderer:
-    """Formats one conversation turn by turn; holds a segment of turns and their output at most."""
+    """Formats one conversation turn by turn; holds its turns and output, or a segment of them at most."""
 
-    def __init__(self, template: Template, segment: int = SEGMENT):
+    def __init__(self, template: Template, segment: int | None = None):
         self.template, self.segment = template, segment
         self.turns: list[Turn] = []
         self.output = ""
@@ -109,7 +110,7 @@ class Renderer:
 
     def add(self, turn: Turn) -> tuple[str, Span | None]:
         """(the turn's part of the output, its span); the span is None where the template rewrote history."""
-        if len(self.turns) == self.segment:  # begin anew from the last turn, which must look as it did
+        if self.segment is not None and len(self.turns) == self.segment:  # begin anew from the last turn, which must look as it did
             last = self.turns[-1]
             part = self.output[len(self.template(self.turns[:-1])) :]
             alone = self.template([last])
@@ -140,7 +141,7 @@ def format_conversations(
     turn_column: str = "turn",
     role_column: str = "role",
     text_column: str = "text",
-    segment: int = SEGMENT,
+    segment: int | None = None,
 ) -> DataFrame:
     """(id, place, role, part, start, stop, text_start, text_stop, loss, rewrites): one row per turn, in turn order.
 
@@ -150,7 +151,11 @@ def format_conversations(
 
     Rows are ordered by turn, then role and text; a null turn comes first. A null text or role counts as empty, rows with
     a null id form one conversation, repeated rows are turns of their own; an empty table gives an empty one. Other
-    columns are not carried. Conversations stream through their tasks, so one of any length is never held as a whole.
+    columns are not carried.
+
+    Every prefix of a conversation is rendered whole, so a conversation is held by its task and costs the square of its
+    turns. For a template that renders each turn by itself, whatever stands before it, ``segment`` turns at a time may be
+    rendered and held instead; for others a segment gives wrong spans.
     """
     turns = pick(rows, id=id_column, turn=turn_column, role=role_column, text=text_column)
     turns = turns.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})

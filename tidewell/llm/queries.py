@@ -82,7 +82,8 @@ def op8_chat_format(data: Dataset) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = data.table("conversations").select("conv_id", "turn", "role", "text")
     own = data.spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    formatted = chat.format_conversations(rows.unionByName(own), chat.turn_template)
+    # turn_template renders each turn by itself
+    formatted = chat.format_conversations(rows.unionByName(own), chat.turn_template, segment=chat.SEGMENT)
     return chat.conversation_digests(formatted).withColumnRenamed("id", "conv_id").drop("rewrites")
 
 
