@@ -74,15 +74,24 @@ def _(data):
     return read_csv(data.spark, path, rows.schema).drop("cleaned_data_id")
 
 
-def _small_store(data):
-    """Two datasets: the customers of two regions' nations, each cleaned and scored with its variants."""
+def _region_store(data):
+    """One dataset for each region: the customers of its nations with all columns, cleaned and scored with variants."""
     store = DatasetStore(data.spark, new_path(data.spark, "store"))
-    named = data.table("customer").join(data.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    for region in (1, 2):
-        rows = named.where(F.col("n_regionkey") == region).select(F.col("n_name").alias("sector_name"), "c_custkey")
+    nation = data.table("nation")
+    named = data.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    regions = [row[0] for row in nation.select("n_regionkey").distinct().orderBy("n_regionkey").collect()]  # a handful
+    for region in regions:
+        rows = named.where(F.col("n_regionkey") == region).withColumn("sector_name", F.col("n_name"))
         store.save_raw(rows.withColumn("raw_data_id", F.lit(region)))
         store.save_variants(rows, region, "run", {"impute": 0.9, "outliers": 0.8}, 10 + region)
-    return store
+    return store, regions
+
+
+def _save_empty(store, region):
+    """Save the region's run again, with neither rows nor scores."""
+    none = store.read(CLEANED, F.col("raw_data_id") == region).where("false")
+    tags = ("cleaned_data_id", "quality_score", "raw_data_id", "cleaning_algorithm")
+    store.save_variants(none.drop(*tags), region, "run", {}, 10 + region)
 
 
 def _store_counts(store):
@@ -103,8 +112,10 @@ STORED = """c AS (SELECT n_regionkey, c_custkey, n_name FROM customer JOIN natio
 
 @query("store_cascade", f"WITH {STORED} SELECT stored, CAST(r AS BIGINT) AS raw_data_id, CAST(n AS BIGINT) AS n FROM k WHERE r = 2")
 def _(data):
-    store = _small_store(data)
-    store.delete_dataset(1)
+    store, regions = _region_store(data)
+    for region in regions:
+        if region != 2:
+            store.delete_dataset(region)
     return _store_counts(store)
 
 
@@ -114,13 +125,54 @@ def _(data):
     WHERE r = 2 OR (r = 1 AND stored = 'raw')""",
 )
 def _(data):
-    # The second save of the first dataset's run has neither rows nor scores.
-    store = _small_store(data)
-    none = store.read(CLEANED, F.col("raw_data_id") == 1).select("sector_name", "c_custkey").where("false")
-    store.save_variants(none, 1, "run", {}, 11)
+    store, regions = _region_store(data)
+    _save_empty(store, 1)
+    for region in regions:
+        if region not in (1, 2):
+            store.delete_dataset(region)
     return _store_counts(store)
 
 
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "n_nationkey", "n_name", "n_regionkey"]
+
+
+def _store_rows(store):
+    """Stored rows with all columns, and the scores in the place of the balance."""
+    score = {"stored": F.lit(SCORES), "c_name": F.col("algorithm"), "c_acctbal": F.col("score")}
+    kept = [*CUSTOMER, "cleaning_algorithm"]
+    raw = store.read(RAW).withColumns({"stored": F.lit(RAW), "cleaning_algorithm": F.lit("")})
+    cleaned = store.read(CLEANED).withColumn("stored", F.lit(CLEANED))
+    scores = store.read(SCORES).withColumns(score)
+    parts = [raw.select("stored", F.col("raw_data_id").cast("bigint").alias("raw_data_id"), *kept)]
+    parts.append(cleaned.select("stored", F.col("raw_data_id").cast("bigint").alias("raw_data_id"), *kept))
+    known = ["stored", F.col("raw_data_id").cast("bigint").alias("raw_data_id"), "c_name", "c_acctbal", "cleaning_algorithm"]
+    return parts[0].unionByName(parts[1]).unionByName(scores.select(*known), allowMissingColumns=True)
+
+
+STORED_ROWS = f"""c AS (SELECT {', '.join(CUSTOMER)} FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    v AS (SELECT DISTINCT n_regionkey AS r, 'run' AS name FROM c
+        UNION SELECT n_regionkey, concat('run__sector__', lower(n_name)) FROM c),
+    s AS (SELECT 'impute' AS kind, CAST(0.9 AS DOUBLE) AS score UNION ALL SELECT 'outliers', CAST(0.8 AS DOUBLE)),
+    k AS (SELECT 'raw' AS stored, CAST(n_regionkey AS BIGINT) AS raw_data_id, c.*, '' AS cleaning_algorithm FROM c
+        UNION ALL SELECT 'cleaned', n_regionkey, c.*, 'run' FROM c
+        UNION ALL SELECT 'cleaned', n_regionkey, c.*, concat('run__sector__', lower(n_name)) FROM c
+        UNION ALL SELECT 'scores', r, NULL, kind, NULL, score, NULL, NULL, NULL, NULL, name FROM v, s)"""
+
+
+@query("store_cascade_rows", f"WITH {STORED_ROWS} SELECT * FROM k WHERE raw_data_id <> 1")
+def _(data):
+    store, _ = _region_store(data)
+    store.delete_dataset(1)
+    return _store_rows(store)
+
+
+@query("store_upsert_empty_rows", f"WITH {STORED_ROWS} SELECT * FROM k WHERE raw_data_id <> 1 OR stored = 'raw'")
+def _(data):
+    store, _ = _region_store(data)
+    _save_empty(store, 1)
+    return _store_rows(store)
+
+
 @query(
     "predictions_append",
     """SELECT user_id, concat('{"total":', CAST(CAST(count(*) AS BIGINT) AS VARCHAR), ',"last":', CAST(max(event_id) AS VARCHAR), '}')
