@@ -111,6 +111,18 @@ def test_an_edit_is_located_and_moves_no_other_section():
     assert merkle.likeness(merkle.grow(""), old) == 0
 
 
+def test_repeated_sections_that_go_or_move_are_located():
+    def tree(*sections):
+        leaves = tuple(leaf for section in sections for leaf in (section + "1", section + "2"))
+        return merkle.Tree("-".join(sections), tuple((section, 2) for section in sections), leaves)
+
+    assert merkle.changed_leaves(tree("s", "s"), tree("s")) == [2, 3]
+    assert merkle.changed_leaves(tree("s"), tree("s", "s")) == []
+    assert merkle.changed_leaves(tree("s", "a", "b", "s", "c"), tree("s", "a", "b", "c")) == [6, 7]
+    assert merkle.changed_leaves(tree("s", "a", "b", "s", "c"), tree("s", "s", "a", "b", "c")) == [6, 7]
+    assert merkle.changed_leaves(tree("s", "s", "a", "b", "c"), tree("s", "a", "b", "s", "c")) in ([0, 1], [2, 3])
+
+
 def plain_edits(rows):
     ordered = sorted(rows, key=lambda row: (row[0] is None, -(row[0] or 0), row[1] or ""))
     out = []

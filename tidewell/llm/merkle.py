@@ -13,7 +13,9 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,22 +89,26 @@ def parse(line: str) -> Tree:
 
 
 def changed_leaves(one: Tree, other: Tree) -> list[int]:
-    """Places of the leaves of ``one`` under sections that ``other`` lacks and that ``other`` lacks themselves."""
+    """Places of the leaves of ``one`` that an alignment with ``other`` leaves over: sections in order, then their leaves.
+
+    Repeated sections count, and of sections in another order the ones out of line are moved. What ``one`` lacks is found
+    from the other side.
+    """
     if one.root == other.root:
         return []
-    kept, there = {digest for digest, _ in other.sections}, Counter(other.leaves)
-    out, at = [], 0
-    for digest, count in one.sections:
-        if digest not in kept:
-            for place in range(at, at + count):
-                if there[one.leaves[place]] > 0:
-                    there[one.leaves[place]] -= 1
-                else:
-                    out.append(place)
-        at += count
+    out = []
+    at, there = ([0, *accumulate(count for _, count in tree.sections)] for tree in (one, other))
+    for start, stop, first, last in _unequal(one.sections, other.sections):
+        ours, theirs = one.leaves[at[start] : at[stop]], other.leaves[there[first] : there[last]]
+        for begin, end, _, _ in _unequal(ours, theirs):
+            out.extend(range(at[start] + begin, at[start] + end))
     return out
 
 
+def _unequal(one: tuple, other: tuple) -> Iterator[tuple[int, int, int, int]]:
+    return (code[1:] for code in SequenceMatcher(None, one, other, autojunk=False).get_opcodes() if code[0] != "equal")
+
+
 def likeness(one: Tree, other: Tree) -> float:
     """Share of leaves that two trees have in common, repeats counted; 1 for equal roots."""
     if one.root == other.root:
