@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, chat, embedding_join, merkle, packing, quality, simhash, substring_dedup, token_counts, warc
+from tidewell.llm import byte_bpe, chat, embedding_join, merkle, packing, quality, sharding, simhash
+from tidewell.llm import substring_dedup, token_counts, warc
 from tidewell.sources.dataset import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +99,41 @@ def op10_quality_classifier(data: Dataset) -> DataFrame:
     docs = data.table("documents")
     model = quality.train(docs, data.table("labels"), positives=3000, unlabelled=6000)
     return quality.classify(docs, model).withColumnRenamed("id", "doc_id")
+
+
+# crc32 byte by byte over the hexadecimal form of the text, by the usual table of 256 remainders
+OP13_SQL = """
+WITH RECURSIVE halves(byte, step, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT byte, step + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM halves WHERE step < 8
+),
+remainders AS (SELECT list(c ORDER BY byte) AS r FROM halves WHERE step = 8),
+sized AS (
+  SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 16 AS size,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(
+        regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(r[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS text_crc32
+  FROM documents, remainders
+),
+drawn AS (
+  SELECT *, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (
+    PARTITION BY source ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size, text_crc32) - 1 AS r
+  FROM sized
+),
+placed AS (
+  SELECT *, count(*) OVER () AS total,
+    row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, r) - 1 AS p
+  FROM drawn
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, ((p * 40) // total)::INTEGER AS shard,
+  (p - (((p * 40) // total) * total + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM placed
+"""
+
+
+@query("op13_stratified_shards", oracle=OP13_SQL)
+def op13_stratified_shards(data: Dataset) -> DataFrame:
+    sharded = sharding.shard_rows(data.table("documents"), shards=40)
+    return sharded.withColumnRenamed("id", "doc_id").drop("source")
