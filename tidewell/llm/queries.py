@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, chat, embedding_join, merkle, packing, quality, sharding, simhash
-from tidewell.llm import substring_dedup, token_counts, warc
+from tidewell.llm import byte_bpe, chat, embedding_join, merkle, packing, quality, repair, sharding
+from tidewell.llm import simhash, substring_dedup, token_counts, warc, whitening
 from tidewell.sources.dataset import Dataset
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,13 @@ FROM placed
 def op13_stratified_shards(data: Dataset) -> DataFrame:
     sharded = sharding.shard_rows(data.table("documents"), shards=40)
     return sharded.withColumnRenamed("id", "doc_id").drop("source")
+
+
+@query("op11_structure_repair")
+def op11_structure_repair(data: Dataset) -> DataFrame:
+    return repair.repair_conversations(data.table("conversations"), damaged=True).withColumnRenamed("id", "conv_id")
+
+
+@query("op12_whitening")
+def op12_whitening(data: Dataset) -> DataFrame:
+    return whitening.whiten_vectors(data.table("embeddings"), components=8).withColumnRenamed("id", "vec_id")
