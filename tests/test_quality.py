@@ -114,7 +114,7 @@ def values(kind):
 @pytest.mark.parametrize("kind", ["smooth", "ties", "two"])
 def test_narrowed_quantiles_are_exact(spark, monkeypatch, kind):
     v = values(kind)
-    monkeypatch.setattr(quantiles, "BUFFER_VALUES", 20)
+    monkeypatch.setattr(quantiles, "RANKED_VALUES", 20)
     monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 200)
     df = spark.createDataFrame(pd.DataFrame({"v": v, "w": -v * 2, "g": np.arange(len(v)) % 3})).repartition(4)
     probs = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
@@ -157,7 +157,7 @@ def test_integrate_reads_each_source_in_proportion(spark):
 
 @pytest.mark.parametrize("accuracy", [200, 10_000])
 def test_narrowed_quantiles_are_confirmed(spark, monkeypatch, accuracy):
-    monkeypatch.setattr(quantiles, "BUFFER_VALUES", 50)
+    monkeypatch.setattr(quantiles, "RANKED_VALUES", 50)
     monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
     rng = np.random.default_rng(3)
     rows = [(k, float(v)) for k in (1, 2, None) for v in np.round(rng.normal(size=600 if k == 1 else 40), 1)]
@@ -171,11 +171,34 @@ def test_narrowed_quantiles_are_confirmed(spark, monkeypatch, accuracy):
     np.testing.assert_allclose(got, np.quantile([v for _, v in rows], probs), atol=1e-9)
 
 
-def test_groups_with_a_poor_sketch_are_ranked_whole(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "BUFFER_VALUES", 1)
+def test_a_poor_sketch_is_found_out(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "RANKED_VALUES", 10)
     monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 20)
-    poor = lambda column, shares, accuracy: F.array(*[F.lit(1e6)] * len(shares))
+    poor = lambda column, shares, accuracy: F.array(*[F.max(column) + 1e6] * len(shares))
     monkeypatch.setattr(quantiles.F, "percentile_approx", poor)
     df = spark.createDataFrame([(k, float(v)) for k in (1, 2) for v in range(101)], "k int, v double")
     found = quantiles.grouped_quantiles(df, ["k"], "v", (0.25, 0.5), ("q", "m")).collect()
     assert sorted((r["k"], r["q"], r["m"]) for r in found) == [(1, 25.0, 50.0), (2, 25.0, 50.0)]
+    assert quantiles.column_quantiles(df, ["v"], (0.25, 0.501))["v"] == [25.0, 50.0]
+
+
+def test_brackets_keep_ranked_groups_small(spark, monkeypatch):
+    """Every ranked group holds the values of one narrowed bracket, whatever the size of the column or group."""
+    monkeypatch.setattr(quantiles, "RANKED_VALUES", 200)
+    rng = np.random.default_rng(5)
+    v = np.where(rng.random(20_000) < 0.4, 7.25, rng.normal(7, 3, 20_000))  # one value holds two fifths of the rows
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "w": rng.integers(0, 9, 20_000), "k": rng.random(20_000) < 0.9}))
+    df = df.withColumn("e", F.lit(None).cast("double"))
+    probs = (0.01, 0.25, 0.5, 0.9)
+    spans = []
+    real = quantiles._rank
+    monkeypatch.setattr(quantiles, "_rank", lambda values, spots: (spans.extend(s.inside for s in spots.values()), real(values, spots)))
+    got = quantiles.column_quantiles(df, ["v", "w", "e"], probs)
+    np.testing.assert_allclose(got["v"], np.quantile(v, probs), rtol=1e-12)
+    np.testing.assert_allclose(got["w"], df.agg(F.percentile("w", list(probs))).first()[0])
+    assert got["e"] is None and max(spans, default=0) <= 200
+    frame = df.toPandas()
+    for row in quantiles.grouped_quantiles(df, ["k"], "v", probs, list("abcd")).collect():
+        np.testing.assert_allclose(list(row)[1:], np.quantile(frame.v[frame.k == row["k"]], probs), rtol=1e-12)
+    whole = quantiles.grouped_quantiles(df, [], "v", probs, list("abcd")).collect()
+    np.testing.assert_allclose(list(whole[0]), np.quantile(v, probs), rtol=1e-12)

@@ -64,7 +64,7 @@ def fill_values(df: DataFrame, strategy: str, columns: Sequence[str]) -> dict[st
     rows, counts, means = stats[0], stats[1 : 1 + len(columns)], stats[1 + len(columns) :]
     gaps = {c: counts[i] for i, c in enumerate(columns) if 0 < counts[i] < rows}
     if strategy == "median":
-        return {c: q[0] for c, q in column_quantiles(df, list(gaps), (0.5,), gaps).items()}
+        return {c: q[0] for c, q in column_quantiles(df, list(gaps), (0.5,)).items()}
     return {c: means[i] for i, c in enumerate(columns) if c in gaps}
 
 

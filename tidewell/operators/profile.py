@@ -43,14 +43,10 @@ def duplicate_count(df: DataFrame, alias: str = "duplicate_rows") -> DataFrame:
 def iqr_fences(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, tuple[float, float]]:
     """1.5 IQR fences of each numeric column with at least four values and a spread."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    if not columns:
-        return {}
-    row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    counts = {c: row[i] for i, c in enumerate(columns)}
-    usable = [c for c in columns if counts[c] >= 4]
     fences = {}
-    for column, (q1, q3) in column_quantiles(df, usable, (0.25, 0.75), counts).items():
-        if q3 != q1:
+    for column, found in column_quantiles(df, columns, (0.25, 0.75), least=4).items():
+        if found and found[0] != found[1]:
+            q1, q3 = found
             fences[column] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return fences
 
