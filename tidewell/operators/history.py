@@ -9,6 +9,7 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators import learned
 from tidewell.operators.ranking import latest_per_key, one_row, top_n_per_key
 from tidewell.operators.scope import semi
 from tidewell.operators.series import over_positions, with_position
@@ -235,6 +236,9 @@ CANDIDATES = (
     {"impute_strategy": "ml", "outlier_method": "zscore", "normalize": False, "standardize": True},
 )
 FEATURES = ["place", "mean5", "std5", "is_second", "is_third"]
+# Inputs that later scores do not change, so that learning can go on; ``place`` depends on the size of the history.
+NET_INPUTS = ("mean5", "std5", "is_second", "is_third")
+NET_NAME = "quality"
 
 
 def _with_candidate(features: DataFrame, algorithms: tuple[str, ...]) -> DataFrame:
@@ -254,12 +258,37 @@ def train_quality_model(features: DataFrame, algorithms: tuple[str, ...]) -> Lin
     return LinearRegression(featuresCol="x", labelCol="score", solver="normal").fit(assembled)
 
 
-def predicted_quality(features: DataFrame, algorithms: tuple[str, ...], model: LinearRegressionModel) -> DataFrame:
+def continue_quality_net(
+    features: DataFrame, algorithms: tuple[str, ...], store=None, close: bool = False
+) -> learned.NetState | None:
+    """The network's state after all scores that it has not seen; with a ``store`` it goes on from the newest version.
+
+    A state that has learned something new is stored as the next version. None with too little history.
+    """
+    state = learned.load_state(store, NET_NAME) if store is not None else None
+    if state is None:
+        if features.limit(MODEL_MIN_SCORES - 3).count() + 3 < MODEL_MIN_SCORES:
+            return None
+        state = learned.new_state(NET_INPUTS)
+    after = learned.learn(_with_candidate(features, algorithms), state, "score", "i", close)
+    if store is not None and after.version > state.version:
+        learned.save_state(store, NET_NAME, after)
+    return after
+
+
+def predicted_quality(
+    features: DataFrame, algorithms: tuple[str, ...], model: LinearRegressionModel | learned.NetState
+) -> DataFrame:
+    """Adds the ``prediction`` of the linear model or the network."""
+    if isinstance(model, learned.NetState):
+        return learned.predict(_with_candidate(features, algorithms), model).drop("is_second", "is_third")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(_with_candidate(features, algorithms))
     return model.transform(rows).drop("x", "is_second", "is_third")
 
 
-def rank_candidates(features: DataFrame, algorithms: tuple[str, ...], model: LinearRegressionModel | None) -> DataFrame:
+def rank_candidates(
+    features: DataFrame, algorithms: tuple[str, ...], model: LinearRegressionModel | learned.NetState | None
+) -> DataFrame:
     """Predicted quality and uncertainty of each candidate at the newest state of the history.
 
     Without a model the starting weights of a candidate's methods stand in for its quality, with no uncertainty.

@@ -179,7 +179,7 @@ class DatasetStore:
     def delete_dataset(self, raw_data_id: int) -> dict[str, int]:
         """Delete a dataset with its cleaned results and their scores; returns the rows that went, by table."""
         mine = F.col("raw_data_id") == raw_data_id
-        gone = {table: self.read(table, mine).count() if self._exists(table) else 0 for table in (RAW, CLEANED, SCORES)}
+        gone = {table: self.read(table, mine).count() if self.holds(table) else 0 for table in (RAW, CLEANED, SCORES)}
         if gone[CLEANED]:
             self.delete(CLEANED, self.read(CLEANED, mine).select("cleaned_data_id").distinct())
         one = self.spark.range(raw_data_id, raw_data_id + 1)
@@ -187,7 +187,8 @@ class DatasetStore:
         self.delete(RAW, one)
         return gone
 
-    def _exists(self, table: str) -> bool:
+    def holds(self, table: str) -> bool:
+        """Whether anything was ever written to a table."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 

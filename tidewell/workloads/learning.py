@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import history, predict, profile, recursive, series
+from tidewell.session import new_path
+from tidewell.sources.store import DatasetStore
 from tidewell.workloads.metadata import AS_OF
 from tidewell.workloads.registry import query
 
@@ -241,6 +243,26 @@ def _(data):
     return history.predicted_quality(features, RUNS, history.train_quality_model(features, RUNS))
 
 
+def quality_net(data):
+    """Learned from the finished batches and stored, then taken up again for the rest."""
+    features = history.quality_features(data.data_quality_scores)
+    store = DatasetStore(data.spark, new_path(data.spark, "models"))
+    history.continue_quality_net(features, RUNS, store)
+    return features, history.continue_quality_net(features, RUNS, store, close=True)
+
+
+@query("quality_net")
+def _(data):
+    features, state = quality_net(data)
+    return history.predicted_quality(features, RUNS, state).withColumn("version", F.lit(state.version))
+
+
+@query("best_candidate_net")
+def _(data):
+    features, state = quality_net(data)
+    return history.best_candidate(history.rank_candidates(features, RUNS, state))
+
+
 @query("best_candidate")
 def _(data):
     features = history.quality_features(data.data_quality_scores)
