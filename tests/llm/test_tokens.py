@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -96,8 +97,37 @@ def test_word_ids_equal_the_library():
     own = packing.WordTokenizer(open(WORDS, "rb").read())
     library = Tokenizer.from_file(WORDS)
     texts = odd_texts(3, [*"aab   \n\t's12é .!\x1c\x85İΣÄ̈　A", "<|endoftext|>", "<|ENDOFTEXT|>"])
-    for found, want in zip(own.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
-        assert found.tolist() == want.ids
+    texts += ["  lead and trail \u2003 wide\x85line\xa0glue ", "Ünïcode ǅ ŉ ß", "汉字 漢字 test 汉字", "x" * 5000 + " \x1f y", ""]
+    texts += [f"{chr(c)} a{chr(c)}b{chr(c)}., {chr(c).upper()}x!? {chr(c)}'s {chr(c)}9" for c in range(0x21, 0x250)]
+    texts += ["don't we'll 12ab3 a.b,c ... \"quoted\" (x) a-b_c ab" + "c" * 300 + "!!! " + "xyz" * 200, "the " * 50 + "The THE thé"]
+    want = [[*one.ids, 7] for one in library.encode_batch(texts, add_special_tokens=False)]
+    for part in (texts, texts, texts[3:20]):  # also from what is known already, and from the middle of an array
+        ids, rows = own.encode(pa.array(["cut off", None, *part, "cut off"]).slice(2, len(part)), 7)
+        found = [ids[a:b].tolist() for a, b in zip(rows, rows[1:])]
+        assert found == [want[texts.index(text)] for text in part]
+    ids, rows = own.encode(pa.array([None, ""], pa.string()), 7)
+    assert ids.tolist() == [7, 7] and rows.tolist() == [0, 1, 2]
+
+
+def test_pair_table_finds_all_pairs_and_no_others():
+    rng = random.Random(3)
+    for count in (1, 7, 3000):
+        pairs = {(rng.randrange(500), rng.randrange(500)): rank for rank in range(count)}
+        table = packing.PairTable(pairs, 500)
+        asked = [*pairs, *((rng.randrange(500), rng.randrange(500)) for _ in range(4000))]
+        left, right = (np.array(side, "i4") for side in zip(*asked))
+        assert table(left, right).tolist() == [pairs.get(pair, packing.PairTable.NONE) for pair in asked]
+
+
+def test_word_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
+    own = packing.WordTokenizer(open(WORDS, "rb").read())
+    fresh = packing.WordTokenizer(open(WORDS, "rb").read())
+    for text in odd_texts(4, [*"aab  's1é.!"]):
+        monkeypatch.setattr(packing, "KNOWN_WORDS", 3)
+        found = own.encode(pa.array([text]), 0)[0].tolist()
+        monkeypatch.setattr(packing, "KNOWN_WORDS", 500_000)
+        assert found == fresh.encode(pa.array([text]), 0)[0].tolist()
 
 
 def test_plan_uses_every_piece_once_and_few_bins():

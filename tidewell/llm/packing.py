@@ -18,19 +18,25 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.byte_bpe import WHITE, MergeReplay, gather, numbering
-from tidewell.llm.common import blocks, kind, pick, spark_of, stored, texts_of, vocabulary_bytes
+from tidewell.llm.byte_bpe import MergeReplay, gather
+from tidewell.llm.common import kind, pick, slices, spark_of, stored, vocabulary_bytes
 
-BLOCK_BYTES = 16 << 20
-WORDS = re.compile(f"[^{WHITE}]+")
-# What Python's split() takes for white space but Unicode does not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+SLICE_BYTES = 4 << 20  # of texts that are encoded together
+KNOWN_WORDS, KNOWN_BYTES = 1_000_000, 64 << 20  # what a task remembers of words before it begins anew
+LONG = 128  # bytes of a piece that is merged in rounds
 FOREIGN = re.compile("[^\x00-\u024f]")  # beyond these, lower-casing and normal forms are the library's
 SPECIAL = "<|"  # fixed value: how the special tokens of the vocabulary begin
+# Latin letters up to U+024F, but for the one whose lower case is two characters, and ASCII punctuation but for the
+# apostrophe, which begins matches of its own.
+LETTERS = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
+PUNCTUATION = r"!-&(-/:;=-@\[-`{}~"
+PLAIN = f"^(?P<body>[{LETTERS}]+)(?P<tail>[{PUNCTUATION}]*)$"
+IDS = pa.list_(pa.int32())
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -124,11 +130,97 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
     })
 
 
+class PairTable:
+    """Ranks of pairs of symbols: a hash table with open addressing in two arrays, looked up for many pairs at once."""
+
+    NONE = 0x7FFFFFFF
+
+    def __init__(self, pairs: dict[tuple[int, int], int], size: int):
+        self.size = size
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        keys = np.array([left * size + right for left, right in pairs], "i8")
+        ranks = np.fromiter(pairs.values(), "i4", len(pairs))
+        self.keys = np.full(1 << self.bits, -1, "i8")
+        self.ranks = np.full(1 << self.bits, self.NONE, "i4")
+        place = self._place(keys)
+        while len(keys):
+            free = self.keys[place] < 0
+            spots, firsts = np.unique(place[free], return_index=True)
+            won = np.flatnonzero(free)[firsts]
+            self.keys[spots], self.ranks[spots] = keys[won], ranks[won]
+            left = np.ones(len(keys), bool)
+            left[won] = False
+            keys, ranks, place = keys[left], ranks[left], (place[left] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        spread = keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)  # fixed value: the usual multiplier of such hashes
+        return (spread >> np.uint64(64 - self.bits)).astype("i8")
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``NONE`` for pairs that do not merge."""
+        keys = left.astype("i8") * self.size + right
+        place = self._place(keys)
+        there = self.keys[place]
+        out = np.where(there == keys, self.ranks[place], self.NONE)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & (len(self.keys) - 1)
+            there = self.keys[place[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.ranks[place[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+
+def merge_words(symbol: np.ndarray, lengths: np.ndarray, rank_of: PairTable, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all words in turn, number of each) after all merges; words have a symbol at least.
+
+    In a round every unfinished word merges its pair of lowest rank, the leftmost of equals.
+    """
+    word = np.arange(len(lengths))
+    rank = np.full(len(symbol), PairTable.NONE, "i4")
+    rank[:-1] = rank_of(symbol[:-1], symbol[1:])
+    rank[np.cumsum(lengths) - 1] = PairTable.NONE
+    found_words, found_lengths, found_symbols = [], [], []
+    while len(lengths):
+        starts = np.cumsum(lengths) - lengths
+        best = np.minimum.reduceat((rank.astype("i8") << 32) | np.arange(len(rank)), starts)
+        at, lowest = best & 0xFFFFFFFF, best >> 32
+        done = lowest == PairTable.NONE
+        kept = np.ones(len(symbol), bool)
+        if done.any():
+            over = np.repeat(done, lengths)
+            found_words.append(word[done])
+            found_lengths.append(lengths[done])
+            found_symbols.append(symbol[over])
+            kept = ~over
+            word, lengths, starts, at, lowest = word[~done], lengths[~done], starts[~done], at[~done], lowest[~done]
+        symbol[at] = token[lowest]
+        kept[at + 1] = False
+        symbol, rank = symbol[kept], rank[kept]
+        old, lengths = starts, lengths - 1
+        starts = np.cumsum(lengths) - lengths
+        at += starts - old
+        rank[at] = PairTable.NONE
+        right = at[at + 1 < starts + lengths]
+        rank[right] = rank_of(symbol[right], symbol[right + 1])
+        left = at[at > starts] - 1
+        rank[left] = rank_of(symbol[left], symbol[left + 1])
+    if not found_words:
+        return symbol, lengths
+    order = np.argsort(np.concatenate(found_words), kind="stable")
+    sizes = np.concatenate(found_lengths)
+    return gather(np.concatenate(found_symbols), sizes, order), sizes[order]
+
+
 class WordTokenizer:
     """Ids of texts under a BPE definition that drops white space and marks word ends.
 
-    Each distinct word of a block is encoded once, all of them together. Words beyond Latin letters, where normal forms
-    and new characters matter, and words that hold a special token go to the library; the tests hold all ids against it.
+    Texts are split at ASCII white space and their words numbered in Arrow; a word that a task has met before keeps its
+    ids, the new ones of a slice are merged together. Words of Latin letters that may end in punctuation stay in Arrow up
+    to their bytes; other words are split one by one. Words beyond Latin letters, where normal forms and new characters
+    matter, and words that hold a special token go to the library in one call; the tests hold all ids against it. No
+    match of the split pattern reaches over white space, so words can be encoded on their own.
     """
 
     def __init__(self, definition: bytes):
@@ -142,7 +234,11 @@ class WordTokenizer:
         suffix = model["end_of_word_suffix"]
         if not suffix or normal != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
             raise ValueError("only lower-cased byte-level BPE with marked word ends is supported")
-        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        pattern = steps[0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern).findall
+        # Whether letters and a tail of punctuation are two matches of this pattern is asked of the pattern itself.
+        if self.split("aé.,") != ["aé", ".,"]:
+            raise ValueError("only patterns that part words from punctuation are supported")
         self.special = [token["content"] for token in parts["added_tokens"]]
         vocabulary = model["vocab"]
         letters = byte_letters()
@@ -150,53 +246,100 @@ class WordTokenizer:
         self.final = np.array([vocabulary[letter + suffix] for letter in letters], "i4")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         pairs = {(vocabulary[a], vocabulary[b]): rank for rank, (a, b) in enumerate(merges)}
-        token = np.array([vocabulary[a + b] for a, b in merges], "i4")
-        self.merges = MergeReplay(pairs, token, 1 + max(vocabulary.values()))
-
-    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        number = numbering()
-        rows = []
-        for text in texts:
-            if SPECIAL not in text and not FOREIGN.search(text):
-                text = text.lower()  # the vocabulary has lower case only; this makes fewer distinct words
-            plain = not any(c in text for c in SEPARATORS)
-            rows.append(np.fromiter(map(number.__getitem__, text.split() if plain else WORDS.findall(text)), "i4"))
-        flat, sizes = self._words(list(number))
-        starts = np.cumsum(sizes) - sizes
-        for row in rows:
-            size = sizes[row]
-            yield flat[np.arange(size.sum()) + np.repeat(starts[row] - (np.cumsum(size) - size), size)]
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in turn, number of ids of each word)."""
-        special = {
-            place: self.tokenizer.encode(word, add_special_tokens=False).ids
-            for place, word in enumerate(words)
-            if FOREIGN.search(word) or (SPECIAL in word and any(token in word for token in self.special))
-        }
-        part, split = numbering(), self.split
-        found = [() if place in special else split(word.lower()) for place, word in enumerate(words)]
-        counts = np.fromiter(map(len, found), "i8", len(found))
-        chosen = np.fromiter(map(part.__getitem__, chain.from_iterable(found)), "i4")
-        texts = [text.encode() for text in part]
-        lengths = np.fromiter(map(len, texts), "i8", len(texts))
-        letters = np.frombuffer(b"".join(texts), "u1")
+        self.token = np.array([vocabulary[a + b] for a, b in merges], "i4")
+        size = 1 + max(vocabulary.values())
+        self.rank_of = PairTable(pairs, size)
+        self.replay = MergeReplay(pairs, self.token, size)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.lists = pa.array([], IDS)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """The place of each word's ids in ``lists``; new words are encoded."""
+        if len(self.known) > KNOWN_WORDS or self.known.nbytes + self.lists.nbytes > KNOWN_BYTES:
+            self._forget()
+        place = pc.index_in(words, value_set=self.known)
+        fresh = pc.is_null(place)
+        number = pc.fill_null(place, -1).to_numpy().astype("i8")
+        new = words.filter(fresh)
+        if len(new):
+            number[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.lists = pa.concat_arrays([self.lists, self._words(new)])
+        return number
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, where each text's ids begin and the last one's end); each text ends by ``end_id``."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        edges = words.offsets.to_numpy().astype("i8")
+        edges -= edges[0]
+        number = self._learn(coded.dictionary) + 1  # number 0 is the end
+        chosen = np.insert(number[coded.indices.to_numpy()], edges[1:], 0)
+        found = pa.concat_arrays([pa.array([[end_id]], IDS), self.lists]).take(pa.array(chosen))
+        return found.flatten().to_numpy(), found.offsets.to_numpy()[edges + np.arange(len(edges))]
+
+    def _words(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each word."""
+        parts = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(parts)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        parts = parts.filter(plain)
+        bodies, tails = pc.utf8_lower(parts.field("body")), parts.field("tail")
+        others = words.filter(pc.invert(plain)).to_pylist()
+        is_special = np.array([
+            bool(FOREIGN.search(word)) or (SPECIAL in word and any(token in word for token in self.special)) for word in others
+        ], bool)
+        split = [self.split(word.lower()) for word, special in zip(others, is_special.tolist()) if not special]
+        foreign = [word for word, special in zip(others, is_special.tolist()) if special]
+        pieces = pa.concat_arrays([bodies, tails, pa.array(list(chain.from_iterable(split)), pa.large_string())])
+        coded = pieces.dictionary_encode()
+        ids, widths = self._pieces(coded.dictionary)
+        index = coded.indices.to_numpy()
+        n = len(bodies)
+        pair = np.column_stack([index[:n], index[n : 2 * n]]).ravel()
+        counts = np.fromiter(map(len, split), "i8", len(split))
+        behind = np.append(0, np.cumsum(widths[index[2 * n :]]))
+        edges = np.append(0, np.cumsum(counts))
+        library = self.tokenizer.encode_batch(foreign, add_special_tokens=False)
+        groups = [
+            (np.flatnonzero(is_plain), widths[pair].reshape(-1, 2).sum(axis=1), gather(ids, widths, pair)),
+            (np.flatnonzero(~is_plain)[~is_special], np.diff(behind[edges]), gather(ids, widths, index[2 * n :])),
+            (
+                np.flatnonzero(~is_plain)[is_special],
+                np.fromiter((len(one.ids) for one in library), "i8", len(library)),
+                np.fromiter(chain.from_iterable(one.ids for one in library), "i4"),
+            ),
+        ]
+        places, sizes, flat = (np.concatenate(column) for column in zip(*groups))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
+        return lists.take(pa.array(np.argsort(places, kind="stable")))
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in turn, number of ids of each); an empty piece has none."""
+        lengths = pc.binary_length(pieces).to_numpy().astype("i8")
+        letters = np.frombuffer(pieces.buffers()[2] or b"", "u1")[: lengths.sum()]
         symbol = self.inner[letters]
-        ends = np.cumsum(lengths) - 1
+        ends = np.cumsum(lengths)[lengths > 0] - 1
         symbol[ends] = self.final[letters[ends]]
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        self.merges.replay(symbol, owner)
-        alive = symbol >= 0
-        ids, widths = symbol[alive], np.bincount(owner[alive], minlength=len(texts))
-        sizes = np.diff(np.append(0, np.cumsum(widths[chosen]))[np.append(0, np.cumsum(counts))])
-        flat = gather(ids, widths, chosen)
-        if special:
-            pieces = np.split(flat, np.cumsum(sizes)[:-1])
-            for place, found in special.items():
-                pieces[place] = np.array(found, "i4")
-                sizes[place] = len(found)
-            flat = np.concatenate(pieces)
-        return flat, sizes
+        widths = lengths.copy()
+        short = np.repeat(lengths <= LONG, lengths)
+        few, sizes = merge_words(symbol[short], lengths[(lengths > 0) & (lengths <= LONG)], self.rank_of, self.token)
+        widths[(lengths > 0) & (lengths <= LONG)] = sizes
+        if short.all():
+            return few, widths
+        # Rounds cost a long piece the square of its length; a replay finds its pairs through an index.
+        rest, owner = symbol[~short], np.repeat(np.arange(len(lengths)), lengths)[~short]
+        self.replay.replay(rest, owner)
+        alive = rest >= 0
+        is_long = lengths > LONG
+        widths[is_long] = np.bincount(owner[alive], minlength=len(lengths))[is_long]
+        out = np.empty(widths.sum(), "i4")
+        where = np.repeat(is_long, widths)
+        out[where], out[~where] = rest[alive], few
+        return out, widths
 
 
 def byte_letters() -> list[str]:
@@ -218,34 +361,29 @@ def cut_documents(
     """(part, id, piece, start, length, ids_crc32[, ids]): each text's ids and ``end_id``, cut into pieces.
 
     Only documents of more than ``capacity`` ids are cut; the last piece may be shorter. A null or empty text is
-    ``end_id`` alone.
+    ``end_id`` alone. Texts are encoded whole, slices of about 4 MB together; a longer text is a slice of its own.
     """
     shared = spark_of(docs).sparkContext.broadcast(vocabulary_bytes(tokenizer_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
-        for block in blocks(batches, "text", BLOCK_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES):
             tokenizer = tokenizer or WordTokenizer(shared.value)
-            rows = tokenizer.encode(text for batch in block for text in texts_of(batch, "text"))
-            for batch in block:
-                of, piece, start, length, crc, ids = [], [], [], [], [], []
-                for row in range(batch.num_rows):
-                    whole = np.append(next(rows), end_id).astype("<u4")
-                    for number, at in enumerate(range(0, len(whole), capacity)):
-                        part = whole[at : at + capacity]
-                        of.append(row)
-                        piece.append(number)
-                        start.append(at)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        if keep_ids:
-                            ids.append(part.astype("i4"))
-                out = [batch.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
-                out += [pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                if keep_ids:
-                    out.append(pa.array(ids, pa.list_(pa.int32())))
-                names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays(out, names[: len(out)])
+            ids, rows = tokenizer.encode(batch.column(1), end_id)
+            pieces = -(-np.diff(rows) // capacity)
+            of = np.repeat(np.arange(len(pieces)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            first = rows[of] + start
+            length = np.minimum(rows[of + 1] - first, capacity)
+            view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(view[4 * at : 4 * (at + n)]) for at, n in zip(first.tolist(), length.tolist())]
+            out = [batch.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
+            out += [pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            if keep_ids:  # pieces stand in the order of their ids
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids)))
+            names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
+            yield pa.RecordBatch.from_arrays(out, names[: len(out)])
 
     schema = f"id {kind(docs, id_column)}, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = pick(docs, id=id_column, text=text_column).mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
