@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import clean, history, predict, rollups
 from tidewell.operators.scope import Principal, scoped_raw
-from tidewell.plans import cleaning
+from tidewell.plans import cleaning, progress
 from tidewell.session import new_path, shared_dir
 from tidewell.sources import readers
 from tidewell.sources.store import CLEANED, RAW, SCORES, DatasetStore, export_all
@@ -32,10 +32,52 @@ def test_full_run_and_log(table):
     assert "standardize" not in scores
 
 
+def test_a_failing_step_leaves_its_trace(table, spark):
+    log = progress.RunLog(spark)
+    with pytest.raises(ValueError):
+        cleaning.clean_with_log(table, "full_pipeline", cleaning.CleaningConfig(id_columns=("id",)), log=log)
+    found = [(r["step_id"], r["status"]) for r in progress.read_log(spark, log.path).orderBy("event").collect()]
+    assert found[:4] == [("remove_duplicates", "running"), ("remove_duplicates", "fitted"), ("impute_values", "running"), ("impute_values", "fitted")]
+    assert found[-2:] == [("noise_reduction", "running"), ("noise_reduction", "error")]
+    last = {r["step_id"]: r for r in log.latest().collect()}
+    assert "order_by" in last["noise_reduction"]["error"] and last["impute_values"]["status"] == "fitted"
+
+
+def test_the_log_is_a_stream_while_the_run_goes_on(table, spark, tmp_path):
+    log = progress.RunLog(spark, f"file://{tmp_path}/log")
+    seen = progress.follow_log(spark, log.path).writeStream.format("memory").queryName("progress_seen").start()
+    try:
+        log.write(seq=0, step_id="early", status="running")
+        seen.processAllAvailable()
+        assert [r["step_id"] for r in spark.table("progress_seen").collect()] == ["early"]
+        cleaning.clean_with_log(table, "duplicates", CONFIG, log=log)
+        seen.processAllAvailable()
+        states = [r["status"] for r in spark.table("progress_seen").where("step_id = 'remove_duplicates'").orderBy("event").collect()]
+        assert states == ["running", "fitted", "completed"]
+    finally:
+        seen.stop()
+
+
+def test_the_log_keeps_parameters_and_predictions(table, spark):
+    log = progress.RunLog(spark)
+    cleaning.clean_with_log(table, "full_pipeline", CONFIG, log=log)
+    fitted = {r["step_id"]: json.loads(r["parameters"] or "{}") for r in log.latest().collect()}
+    values = [float(i) for i in range(20) if i % 5]
+    assert fitted["impute_values"]["v"]["fill"] == pytest.approx(sum(values) / len(values)) and fitted["impute_values"]["t"] == {"fill": "A!"}
+    assert fitted["apply_normalize"]["v"]["low"] == pytest.approx(fitted["cap_outliers"]["v"]["low"])
+    forecast = spark.createDataFrame([(1, 0.5), (2, 0.7)], "k int, confidence double")
+    table = progress.log_prediction(log, 100, "forecast", forecast, {"periods": 12})
+    row = log.latest().where("kind = 'prediction'").first()
+    assert (row["row_count"], row["quality_score"], row["parameters"]) == (2, pytest.approx(0.6), '{"periods": 12}') and table.count() == 2
+    with pytest.raises(Exception):
+        progress.log_prediction(log, 101, "broken", forecast.withColumn("x", F.raise_error(F.lit("no"))), {})
+    assert log.latest().where("seq = 101").first()["status"] == "error"
+
+
 @pytest.mark.parametrize("name", ["missing_values", "duplicates", "outliers", "data_types", "normalization", "text_cleaning"])
 def test_named_runs(table, name):
     steps = cleaning.named_steps(name, CONFIG)
-    assert len(steps) == 3 and steps[0].run is None and steps[2].run is None
+    assert len(steps) == 3 and steps[0].fit is None and steps[2].fit is None
     assert cleaning.clean_table(table, name, CONFIG).count() == (20 if name == "duplicates" else 21)
 
 

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -141,6 +143,40 @@ def test_dotted_names(spark):
     assert out.columns == ["p.q", "t`x", "j.s_a.b"] and out.agg(F.sum("`j.s_a.b`")).first()[0] == 1
 
 
+def test_json_types_come_from_the_merged_schema(spark):
+    cells = [
+        '{"n": 1, "d": 1.5, "s": "12", "t": "2024-01-02", "mix": 1, "o": {"x": [1, 2], "y": null}, "b": true, "z": null}',
+        ' {"n": 20, "d": 2, "s": "7", "t": "2024-01-03 04:05:06", "mix": "a", "l": [1, {"q": "w"}], "big": 123456789012345678901}',
+        "{broken", "no object", None, "{}", '["list"]',
+    ]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    out = structure.expand_json(df)
+    assert dict(out.dtypes) == {
+        "c_n": "bigint", "c_d": "double", "c_s": "bigint", "c_t": "timestamp_ntz", "c_mix": "string", "c_o": "string",
+        "c_b": "string", "c_z": "string", "c_l": "string", "c_big": "double",
+    }
+    rows = out.collect()
+    assert len(rows) == 7 and [r["c_n"] for r in rows][:2] == [1, 20] and rows[0]["c_mix"] == "1" and rows[0]["c_b"] == "true"
+    assert json.loads(rows[0]["c_o"]) == {"x": [1, 2], "y": None} and json.loads(rows[1]["c_l"]) == [1, {"q": "w"}]
+    assert all(v is None for r in rows[2:] for v in r)
+    raw = structure.expand_json(df, typed=False)
+    assert {t for _, t in raw.dtypes} == {"string"} and raw.first()["c_d"] == "1.5"
+    assert structure.expand_json(df.where("c = 'no object'")).columns == ["c"]
+
+
+def test_objects_that_name_a_key_twice(spark):
+    df = spark.createDataFrame([('{"a": 1, "a": 2, "only": "x"}',), ('{"a": 3}',)], "c string")
+    out = structure.expand_json(df)
+    assert out.columns == ["c_a", "c_only"] and sorted((r[0], r[1]) for r in out.collect()) == [(1, "x"), (3, None)]
+
+
+def test_types_of_text_columns(spark):
+    rows = [(" 12 ", "1e3", "2024", "2024-01-02T03:04:05", "", "12", "+5", "\u30001.5", "x"), ("-7", ".5", "2024-02-03", "1999-12-31", None, "1,2", "05", "2", "1")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string, h string, i string")
+    kinds = dict(clean.correct_types(df).dtypes)
+    assert kinds == {"a": "bigint", "b": "double", "c": "timestamp_ntz", "d": "timestamp_ntz", "e": "string", "f": "string", "g": "bigint", "h": "double", "i": "string"}
+
+
 def test_a_json_key_takes_the_place_of_a_column_of_its_name(spark):
     df = spark.createDataFrame([('{"k": 5}', "old")], "p string, p_k string")
     assert [tuple(r) for r in structure.expand_json(df).collect()] == [(5,)]

@@ -6,8 +6,8 @@ projection over the source: no join, no shuffle, one whole-stage-codegen span.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,19 @@ from tidewell.operators.quantiles import column_quantiles
 from tidewell.session import materialise
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A step with its statistics: what it does to a table of the same columns, and the fitted values by column."""
+
+    apply: Callable[[DataFrame], DataFrame]
+    parameters: dict[str, dict[str, object]] = field(default_factory=dict)
+    once: bool = False  # applying it is work of its own, so one result serves all later steps
+
+
+def with_columns(changed: dict[str, Column]) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.withColumns(changed) if changed else df
+
+
 @dataclass(frozen=True)
 class RangeRule:
     """Clamp a column to [low, high]."""
@@ -68,33 +81,44 @@ def fill_values(df: DataFrame, strategy: str, columns: Sequence[str]) -> dict[st
     return {c: means[i] for i, c in enumerate(columns) if c in gaps}
 
 
-def impute(df: DataFrame, strategy: str = "auto", exclude: Sequence[str] = (), knn=None) -> DataFrame:
+def fit_impute(df: DataFrame, strategy: str = "auto", exclude: Sequence[str] = (), knn=None) -> Fitted:
     """Fill numeric gaps by mean, median or nearest rows, and text gaps by the most frequent value.
 
     ``auto`` is the mean. ``ml`` needs ``knn``, a function that fills the numeric columns of a frame.
     """
     numeric = numeric_columns(df, exclude)
     if strategy in ("auto", "mean", "median"):
-        fills = fill_values(df, "median" if strategy == "median" else "mean", numeric) if numeric else {}
+        fills: dict[str, object] = fill_values(df, "median" if strategy == "median" else "mean", numeric) if numeric else {}
         filled = {c: F.coalesce(col(c).cast("double"), F.lit(v)) for c, v in fills.items()}
     elif strategy == "ml":
-        if knn is not None and numeric:
-            df = knn(df, numeric)
-        filled = {}
+        fills, filled = {}, {}
     else:
         raise ValueError(f"unknown imputation strategy {strategy!r}")
-    filled |= {c: F.coalesce(col(c), F.lit(v)) for c, v in column_modes(df, text_columns(df, exclude)).items()}
-    return df.withColumns(filled) if filled else df
+    modes = column_modes(df, text_columns(df, exclude))
+    filled |= {c: F.coalesce(col(c), F.lit(v)) for c, v in modes.items()}
+    near = knn is not None and strategy == "ml" and bool(numeric)
+    parameters = {c: {"fill": v} for c, v in (fills | modes).items()}
+    if near:
+        parameters |= {c: {"fill": "nearest rows"} for c in numeric}
+    return Fitted(lambda d: with_columns(filled)(knn(d, numeric) if near else d), parameters, once=near)
+
+
+def impute(df: DataFrame, strategy: str = "auto", exclude: Sequence[str] = (), knn=None) -> DataFrame:
+    return fit_impute(df, strategy, exclude, knn).apply(df)
 
 
 # ---- outliers ---------------------------------------------------------------------------------------------
 
 
-def clip_outliers(df: DataFrame, exclude: Sequence[str] = (), low: float = 0.05, high: float = 0.95) -> DataFrame:
+def fit_clip(df: DataFrame, exclude: Sequence[str] = (), low: float = 0.05, high: float = 0.95) -> Fitted:
     """Clamp each numeric column to its own 5th and 95th percentile; null stays null."""
-    bounds = column_quantiles(df, numeric_columns(df, exclude), (low, high))
-    clipped = {c: clamp(col(c).cast("double"), b[0], b[1]) for c, b in bounds.items() if b}
-    return df.withColumns(clipped) if clipped else df
+    bounds = {c: b for c, b in column_quantiles(df, numeric_columns(df, exclude), (low, high)).items() if b}
+    clipped = {c: clamp(col(c).cast("double"), b[0], b[1]) for c, b in bounds.items()}
+    return Fitted(with_columns(clipped), {c: {"low": b[0], "high": b[1]} for c, b in bounds.items()})
+
+
+def clip_outliers(df: DataFrame, exclude: Sequence[str] = (), low: float = 0.05, high: float = 0.95) -> DataFrame:
+    return fit_clip(df, exclude, low, high).apply(df)
 
 
 def flag_outliers(df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None) -> DataFrame:
@@ -122,67 +146,84 @@ def mean_and_spread(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[fl
     return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
 
 
-def normalise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+def fit_normalise(df: DataFrame, exclude: Sequence[str] = ()) -> Fitted:
     """Min-max scale each numeric column to [0, 1]; a constant column becomes 0."""
     columns = numeric_columns(df, exclude)
-    if not columns:
-        return df
-    row = df.agg(*[f(col(c)) for c in columns for f in (F.min, F.max)]).first()
-    scaled = {}
+    row = df.agg(*[f(col(c)) for c in columns for f in (F.min, F.max)]).first() if columns else ()
+    scaled, parameters = {}, {}
     for i, c in enumerate(columns):
         low, high = row[2 * i], row[2 * i + 1]
         if low is not None:
             value = (col(c) - low) / float(high - low) if high != low else F.lit(0.0)
             scaled[c] = F.when(col(c).isNotNull(), value)
-    return df.withColumns(scaled) if scaled else df
+            parameters[c] = {"low": low, "high": high}
+    return Fitted(with_columns(scaled), parameters)
 
 
-def standardise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+def normalise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+    return fit_normalise(df, exclude).apply(df)
+
+
+def fit_standardise(df: DataFrame, exclude: Sequence[str] = ()) -> Fitted:
     """Centre and divide by the population deviation; a constant column becomes 0."""
     columns = numeric_columns(df, exclude)
-    if not columns:
-        return df
-    scaled = {}
-    for c, (mean, spread) in mean_and_spread(df, columns).items():
+    scaled, parameters = {}, {}
+    for c, (mean, spread) in mean_and_spread(df, columns).items() if columns else ():
         if mean is not None:
             value = (col(c) - mean) / spread if spread else F.lit(0.0)
             scaled[c] = F.when(col(c).isNotNull(), value)
-    return df.withColumns(scaled) if scaled else df
+            parameters[c] = {"mean": mean, "deviation": spread}
+    return Fitted(with_columns(scaled), parameters)
+
+
+def standardise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+    return fit_standardise(df, exclude).apply(df)
 
 
 # ---- types, text, rules -----------------------------------------------------------------------------------
 
 
-# The types a text column may turn into, in order, each with its test.
+# The types a text column may turn into, in order.
+TYPES = ("bigint", "double", "timestamp_ntz")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-TYPE_CHECKS = {
-    "bigint": lambda v: v.try_cast("bigint").isNotNull(),
-    "double": lambda v: v.rlike(NUMBER),
-    "timestamp_ntz": lambda v: v.try_cast("timestamp_ntz").isNotNull(),
-}
+# Texts that are a time are at least a year and at most a date with time, fraction and zone.
+TIME_LENGTH = (4, 64)
 
 
-def correct_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def _unfit(value: Column) -> Column:
+    """The types, as bits in their order, that a text does not parse as.
+
+    Numbers and times begin with a digit, sign or point. Most other texts are told by their first character, which is
+    looked at before white space is cut off, the type checks and the cut being the costly part.
+    """
+    first = F.ascii(value)
+    other = first.between(33, 42) | first.between(58, 127)
+    cut = strip(value)
+    whole = F.when(cut.try_cast("bigint").isNull(), 1).otherwise(0)
+    number = F.when(cut.rlike(NUMBER), 0).otherwise(2)
+    time = F.when(F.length(cut).between(*TIME_LENGTH) & cut.try_cast("timestamp_ntz").isNotNull(), 0).otherwise(4)
+    return F.when(value.isNull(), None).when(other, 7).otherwise(whole + number + time)
+
+
+def fit_types(df: DataFrame, columns: Sequence[str] | None = None) -> Fitted:
     """Text columns whose every value parses become bigint, double or timestamp; others stay text.
 
-    One pass counts, for every column and type, the values that do not parse.
+    One pass gathers, for every column, the types that some value does not parse as.
     """
     columns = text_columns(df) if columns is None else list(columns)
-    if not columns:
-        return df
-    stripped = df.select(*[strip(col(c)).alias(f"v{i}") for i, c in enumerate(columns)])
-    counters = []
-    for i in range(len(columns)):
-        value = F.col(f"v{i}")
-        counters += [F.count(value), *[F.count_if(value.isNotNull() & ~test(value)) for test in TYPE_CHECKS.values()]]
-    row = stripped.agg(*counters).first()
+    row = df.agg(*[F.bit_or(_unfit(col(c))) for c in columns]).first() if columns else ()
     casts: dict[str, Column] = {}
-    for i, c in enumerate(columns):
-        filled, *failed = row[i * (1 + len(TYPE_CHECKS)) : (i + 1) * (1 + len(TYPE_CHECKS))]
-        fitting = [kind for kind, n in zip(TYPE_CHECKS, failed) if not n]
-        if filled and fitting:
+    parameters = {}
+    for c, unfit in zip(columns, row):
+        fitting = [kind for bit, kind in enumerate(TYPES) if unfit is not None and not unfit >> bit & 1]
+        if fitting:
             casts[c] = strip(col(c)).try_cast(fitting[0])
-    return df.withColumns(casts) if casts else df
+            parameters[c] = {"type": fitting[0]}
+    return Fitted(with_columns(casts), parameters)
+
+
+def correct_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    return fit_types(df, columns).apply(df)
 
 
 def clean_text(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from tidewell.functions.columns import arrays_to_json, col, text_columns, with_normalised_names
 from tidewell.functions.text import sector_key, strip
-from tidewell.operators.clean import correct_types
+from tidewell.operators.clean import Fitted, fit_types
+
 
 def _json_object(name: str):
     """The cell when it looks like a JSON object, else null."""
@@ -41,38 +42,92 @@ def json_maps(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns(parsed) if parsed else df
 
 
-def expand_json(df: DataFrame, columns: Sequence[str] | None = None, typed: bool = True) -> DataFrame:
+def _variant(name: str):
+    return F.try_parse_json(_json_object(name))
+
+
+def _fields(schema: str | None) -> dict[str, T.DataType]:
+    """The keys and types that a merged schema of objects names."""
+    kind = T._parse_datatype_string(schema.replace("OBJECT<", "STRUCT<")) if schema else None
+    return {f.name: f.dataType for f in kind} if isinstance(kind, T.StructType) else {}
+
+
+def fit_json(df: DataFrame, columns: Sequence[str] | None = None, typed: bool = True) -> Fitted:
     """Replace every column holding at least one JSON object by ``<column>_<key>`` columns.
 
-    Cells that are no object give null. Struct columns expand by their own schema. With ``typed`` the new
-    columns become numbers or timestamps when every value parses. A new column that has the name of another
-    takes its place, as a later key does that of an earlier one. The driver learns the distinct keys, which
-    become the schema; ``json_maps`` keeps them as data.
+    Cells that are no object give null. Struct columns expand by their own schema. With ``typed`` numbers are numbers, and
+    texts become numbers or timestamps when every value parses; nested objects and lists stay JSON text. A new column that
+    has the name of another takes its place, as a later key does that of an earlier one.
+
+    The keys and their types come from one aggregate that merges schemas in each task; the driver sees the merged schema,
+    which becomes that of the result. ``json_maps`` keeps keys as data.
     """
     wanted = set(df.columns if columns is None else columns)
     candidates = [c for c in text_columns(df) if c in wanted]
-    found: dict[str, list[str]] = {}
+    merged, objects, odd = (), (), ()
     if candidates:
-        for column, key in json_keys(df, candidates).collect():  # the names of the new columns
-            found.setdefault(column, [])
-            if key is not None:
-                found[column].append(key)
+        # Objects that name a key twice are no variants; they are rare, but their keys count.
+        row = df.agg(
+            *[F.schema_of_variant_agg(_variant(c)) for c in candidates],
+            *[F.count(F.json_object_keys(_json_object(c))) for c in candidates],
+            *[F.count_if(_variant(c).isNull() & F.json_object_keys(_json_object(c)).isNotNull()) for c in candidates],
+        ).first()
+        merged, objects, odd = (row[k * len(candidates) : (k + 1) * len(candidates)] for k in range(3))
+    found = {c: _fields(schema) for c, schema, n in zip(candidates, merged, objects) if n}
+    repeated = [c for c, n in zip(candidates, odd) if n]
+    for column, key in json_keys(df, repeated).collect() if repeated else ():
+        if key is not None:
+            found[column][key] = T.StringType()
     structs = [f for f in df.schema if isinstance(f.dataType, T.StructType) and f.name in wanted]
     if not found and not structs:
-        return df
-    parsed = df.withColumns({c: F.from_json(_json_object(c), "map<string,string>") for c in found}) if found else df
-    out = {c: col(c) for c in df.columns if c not in found and c not in {s.name for s in structs}}
-    out |= {f"{c}_{key}": col(c)[key] for c in df.columns if c in found for key in sorted(found[c])}
-    texts = [f"{c}_{key}" for c in found for key in found[c]]
+        return Fitted(lambda d: d)
+    as_text = set(repeated) if typed else set(found)
+    kept = [c for c in df.columns if c not in found and c not in {s.name for s in structs}]
+
+    def value(column: str, key: str, kind: T.DataType):
+        if column in as_text:
+            return col(column)[key]
+        if isinstance(kind, T.LongType):
+            return F.try_variant_get(col(column)[key], "$", "bigint")
+        if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+            return F.try_variant_get(col(column)[key], "$", "double")
+        return F.try_variant_get(col(column)[key], "$", "string")
+
+    out = {c: col(c) for c in kept}
+    out |= {f"{c}_{key}": value(c, key, found[c][key]) for c in df.columns if c in found for key in sorted(found[c])}
     fields = {f"{s.name}_{f.name}": col(s.name).getField(f.name) for s in structs for f in s.dataType}
-    texts = [name for name in texts if name not in fields]
-    flat = parsed.select(*[value.alias(name) for name, value in (out | fields).items()])
-    return correct_types(flat, texts) if typed and texts else flat
+    numbers = (T.LongType, T.DoubleType, T.FloatType, T.DecimalType)
+    texts = [
+        f"{c}_{key}" for c in found for key, kind in found[c].items()
+        if f"{c}_{key}" not in fields and (c in as_text or not isinstance(kind, numbers))
+    ]
 
+    def flatten(d: DataFrame) -> DataFrame:
+        maps = {
+            c: F.from_json(_json_object(c), "map<string,string>") if c in as_text else _variant(c).cast("map<string,variant>")
+            for c in found
+        }
+        parsed = d.withColumns(maps) if maps else d
+        return parsed.select(*[v.alias(name) for name, v in (out | fields).items()])
 
-def structure(df: DataFrame) -> DataFrame:
+    if not typed or not texts:
+        return Fitted(flatten)
+    types = fit_types(flatten(df), texts)
+    return Fitted(lambda d: types.apply(flatten(d)), types.parameters)
+
+
+def expand_json(df: DataFrame, columns: Sequence[str] | None = None, typed: bool = True) -> DataFrame:
+    return fit_json(df, columns, typed).apply(df)
+
+
+def fit_structure(df: DataFrame) -> Fitted:
     """Expand JSON, turn list cells into text and normalise the column names."""
-    return with_normalised_names(arrays_to_json(expand_json(df)))
+    flat = fit_json(df)
+    return Fitted(lambda d: with_normalised_names(arrays_to_json(flat.apply(d))), flat.parameters)
+
+
+def structure(df: DataFrame) -> DataFrame:
+    return fit_structure(df).apply(df)
 
 
 # Column names that hold a sector, in order of preference.

@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from tidewell.functions.columns import col, numeric_columns, text_columns
 from tidewell.functions.text import clean_text
 from tidewell.operators import clean, history, profile, series, structure
+from tidewell.plans import progress
 from tidewell.session import materialise
 from tidewell.sources.store import DatasetStore
 
 
+NOISE_WINDOW = 5
+START = "start"  # the table before the first step
+
+
 @dataclass(frozen=True)
 class CleaningConfig:
     """What a cleaning run does.
@@ -49,37 +54,50 @@ class CleaningConfig:
 class Step:
     """A named step.
 
-    ``changes`` tells whether it may change the number of rows or of nulls, ``columns`` which columns it works on, and
-    ``issues`` counts what a scan or validation step looks for.
+    ``fit`` takes the statistics and returns what to do; ``changes`` tells whether that may change the number of rows or
+    of nulls, ``distinct`` and ``drops`` whether it removes repeated or other rows, ``stored`` whether later steps read its
+    result so often that it is written, ``columns`` which columns it works on, and ``issues`` counts what a scan or
+    validation step looks for.
     """
 
     id: str
     label: str
     stage: str
     technique: str
-    run: Callable[[DataFrame], DataFrame] | None = None
+    fit: Callable[[DataFrame], clean.Fitted] | None = None
     changes: bool = False
+    stored: bool = False
+    distinct: bool = False
+    drops: bool = False
     columns: Callable[[DataFrame], Sequence[str]] = lambda df: ()
     issues: Callable[[DataFrame], int] | None = None
 
 
-def _smooth(config: CleaningConfig) -> Callable[[DataFrame], DataFrame]:
-    def run(df: DataFrame) -> DataFrame:
+def _smooth(config: CleaningConfig) -> Callable[[DataFrame], clean.Fitted]:
+    def fit(df: DataFrame) -> clean.Fitted:
         if not config.order_by:
             raise ValueError("noise reduction needs order_by: a table has no row order of its own")
-        return series.reduce_noise(df, numeric_columns(df, config.kept), config.order_by, config.key)
+        columns = numeric_columns(df, config.kept)
+        parameters = {c: {"window": NOISE_WINDOW} for c in columns}
+        smooth = lambda d: series.reduce_noise(d, columns, config.order_by, config.key, NOISE_WINDOW)
+        return clean.Fitted(smooth, parameters, once=True)
 
-    return run
+    return fit
 
 
-def _impute(config: CleaningConfig) -> Callable[[DataFrame], DataFrame]:
+def _impute(config: CleaningConfig) -> Callable[[DataFrame], clean.Fitted]:
     from tidewell.operators.neighbours import impute_knn
 
-    return lambda df: clean.impute(df, config.impute_strategy, config.kept, impute_knn)
+    return lambda df: clean.fit_impute(df, config.impute_strategy, config.kept, impute_knn)
+
 
+def _plain(run: Callable[[DataFrame], DataFrame], once: bool = False) -> Callable[[DataFrame], clean.Fitted]:
+    """A step without statistics."""
+    return lambda df: clean.Fitted(run, once=once)
 
-def _optional(wanted: bool, run: Callable[[DataFrame], DataFrame]):
-    return run if wanted else None
+
+def _optional(wanted: bool, fit: Callable[[DataFrame], clean.Fitted]):
+    return fit if wanted else None
 
 
 def named_steps(algorithm: str, config: CleaningConfig) -> list[Step]:
@@ -89,18 +107,18 @@ def named_steps(algorithm: str, config: CleaningConfig) -> list[Step]:
     words = lambda df: text_columns(df, kept)
     # The ids of the steps.
     impute = Step("impute_values", "Fill missing values", "ml", f"{config.impute_strategy} imputation", _impute(config), True,
-                  lambda df: [*numbers(df), *words(df)])
+                  columns=lambda df: [*numbers(df), *words(df)])
     # Later steps of a full run read the distinct rows several times, so those are written once.
     dedupe = Step("remove_duplicates", "Remove duplicate rows", "cleaning", "exact row match",
-                  lambda df: materialise(clean.remove_duplicates(df)), True, lambda df: df.columns)
+                  _plain(clean.remove_duplicates, once=True), True, True, True, columns=lambda df: df.columns)
     cap = Step("cap_outliers", "Cap outliers", "ml", f"{config.outlier_method} outlier detection",
-               lambda df: clean.clip_outliers(df, kept), columns=numbers)
-    types = Step("apply_types", "Correct data types", "cleaning", "type coercion", lambda df: clean.correct_types(df),
+               lambda df: clean.fit_clip(df, kept), columns=numbers)
+    types = Step("apply_types", "Correct data types", "cleaning", "type coercion", lambda df: clean.fit_types(df),
                  columns=text_columns)
-    scale = Step("apply_normalize", "Normalise numbers", "ml", "min-max scaling", lambda df: clean.normalise(df, kept),
+    scale = Step("apply_normalize", "Normalise numbers", "ml", "min-max scaling", lambda df: clean.fit_normalise(df, kept),
                  columns=numbers)
-    texts = Step("apply_text_cleaning", "Clean text", "nlp", "text normalisation", lambda df: clean.clean_text(df, kept),
-                 columns=words)
+    texts = Step("apply_text_cleaning", "Clean text", "nlp", "text normalisation",
+                 _plain(lambda df: clean.clean_text(df, kept)), columns=words)
 
     def framed(scan: str, step: Step, check: str, technique: str, issues: Callable[[DataFrame], int]) -> list[Step]:
         """The step between a count of what it is to mend and the same count afterwards."""
@@ -131,7 +149,7 @@ def named_steps(algorithm: str, config: CleaningConfig) -> list[Step]:
     plans: dict[str, Callable[[], list[Step]]] = {
         "missing_values": lambda: framed("scan_missing", impute, "validate_missing", "null count", missing),
         "duplicates": lambda: framed(
-            "scan_duplicates", replace(dedupe, run=clean.remove_duplicates), "validate_dedup", "repeated rows", repeated
+            "scan_duplicates", replace(dedupe, stored=False), "validate_dedup", "repeated rows", repeated
         ),
         "outliers": lambda: framed("profile_numeric", cap, "validate_outliers", "values outside 1.5 IQR", outlying),
         "data_types": lambda: framed("infer_types", types, "validate_types", "text columns of another type", mistyped),
@@ -142,18 +160,18 @@ def named_steps(algorithm: str, config: CleaningConfig) -> list[Step]:
             impute,
             cap,
             types,
-            replace(scale, run=_optional(config.normalize, scale.run)),
+            replace(scale, fit=_optional(config.normalize, scale.fit)),
             Step("standardize", "Standardise numbers", "ml", "z-score scaling",
-                 _optional(config.standardize, lambda df: clean.standardise(df, kept)), columns=numbers),
+                 _optional(config.standardize, lambda df: clean.fit_standardise(df, kept)), columns=numbers),
             Step("noise_reduction", "Reduce noise", "ml", "moving mean", _optional(config.reduce_noise, _smooth(config)), True,
-                 numbers),
-            replace(texts, run=_optional(config.clean_text, texts.run)),
+                 columns=numbers),
+            replace(texts, fit=_optional(config.clean_text, texts.fit)),
             Step("rules", "Apply rules", "validation", "range and pattern rules",
-                 _optional(bool(config.rules), lambda df: clean.apply_rules(df, config.rules)),
+                 _optional(bool(config.rules), _plain(lambda df: clean.apply_rules(df, config.rules))),
                  columns=lambda df: [c for c in config.rules if c in df.columns]),
             Step("references", "Check references", "validation", "reference tables",
-                 _optional(bool(config.reference_data), lambda df: clean.keep_referenced(df, config.reference_data)), True,
-                 lambda df: [c for c in config.reference_data if c in df.columns]),
+                 _optional(bool(config.reference_data), _plain(lambda df: clean.keep_referenced(df, config.reference_data))), True,
+                 drops=True, columns=lambda df: [c for c in config.reference_data if c in df.columns]),
         ],
     }
     if algorithm not in plans:
@@ -163,8 +181,9 @@ def named_steps(algorithm: str, config: CleaningConfig) -> list[Step]:
 
 def run_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     for step in steps:
-        if step.run is not None:
-            df = step.run(df)
+        if step.fit is not None:
+            df = step.fit(df).apply(df)
+            df = materialise(df) if step.stored else df
     return df
 
 
@@ -173,51 +192,71 @@ def clean_table(df: DataFrame, algorithm: str = "full_pipeline", config: Cleanin
     return run_steps(df, named_steps(algorithm, config))
 
 
-def _measure(df: DataFrame) -> tuple[int, float]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), profile.completeness(df).alias("c")).first()
-    return row["n"], row["c"] or 0.0
-
-
 def clean_with_log(
     df: DataFrame,
     algorithm: str = "full_pipeline",
     config: CleaningConfig = CleaningConfig(),
     at: dt.datetime | None = None,
+    log: progress.RunLog | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cleaned and structured table, and a log with one row per step.
+    """The cleaned and structured table, written, and its log with one row per step.
 
-    Rows and completeness are measured only after steps that can change them; other steps keep the figures. A step that
-    the settings leave out is logged as skipped. ``at`` is the time the log states.
+    ``log`` gets an event whenever a step starts, is fitted, completes or fails, and can be read all the while. Rows and
+    completeness come from the jobs that write the table, after steps that can change them; other steps keep the figures. A step that the settings leave out is logged as skipped. ``at`` is the time the log states.
     """
     steps = named_steps(algorithm, config)
-    rows, full = _measure(df)
-    log = []
-    for i, step in enumerate(steps):
+    log = log or progress.RunLog(df.sparkSession, at=at)
+    watch = progress.Watch()
+    # Statistics are taken from ``df``; ``watched`` is the same table with the points that the writes observe.
+    watched = watch.mark(df, START)
+    done: list[tuple[Step, dict]] = []
+    finish = Step("structuring", "Convert to a flat table", "structuring", "column flattening")
+    for seq, step in enumerate([*steps, finish]):
+        about = {
+            "seq": seq, "step_id": step.id, "label": step.label, "stage": step.stage, "technique": step.technique,
+            "progress": min(100, int((seq + 1) / len(steps) * 100)),
+        }
+        if step.fit is None and step.issues is None and step is not finish:
+            about["columns_affected"] = 0
+            log.write(**about, status="skipped")
+            done.append((step, about))
+            continue
+        log.write(**about, status="running")
+        try:
+            if step is finish:
+                fitted = structure.fit_structure(df)
+                about["parameters"] = fitted.parameters
+                df = watch.write(watched, fitted.apply)
+                about["columns_affected"] = len(df.columns)
+            else:
+                about["columns_affected"] = len(step.columns(df))
+                about["issues"] = step.issues(df) if step.issues is not None else None
+            if step.fit is not None:
+                fitted = step.fit(df)
+                about["parameters"] = fitted.parameters
+                if step.drops:  # what the points before have counted must not go
+                    watched = df = watch.write(watched)
+                watched = watch.distinct(watched) if step.distinct else fitted.apply(watched)
+                watched = watch.mark(watched, seq) if step.changes else watched
+                watched = watch.write(watched) if step.stored else watched
+                df = watch.shown(watched) if fitted.once or step.stored or step.drops else fitted.apply(df)
+        except Exception as error:
+            log.write(**about, status="error", error=str(error)[:2000])
+            raise
+        if step is not finish:
+            log.write(**about, status="fitted")
+        done.append((step, about))
+    rows, full = watch.figures(START)
+    for seq, (step, about) in enumerate(done):
         before, had = full, rows
-        done = step.run is not None or step.issues is not None
-        affected = len(step.columns(df)) if done else 0
-        found = step.issues(df) if step.issues is not None else None
-        if step.run is not None:
-            df = step.run(df)
-            if step.changes:
-                rows, full = _measure(df)
-        score = min(1.0, full / max(before, 0.01)) if step.run is not None else None
-        status, progress = "completed" if done else "skipped", int((i + 1) / len(steps) * 100)
-        log.append((
-            i, step.id, step.label, step.stage, step.technique, rows, score, progress, status, affected, had - rows, found, at
-        ))
-    df = structure.structure(df)
-    label = "Convert to a flat table"
-    log.append((
-        len(steps), "structuring", label, "structuring", "column flattening", rows, None, 100, "completed", len(df.columns), 0,
-        None, at,
-    ))
-    columns = (
-        "seq int, step_id string, label string, stage string, technique string, row_count bigint, "
-        "quality_score double, progress int, status string, columns_affected int, rows_removed bigint, issues bigint, "
-        "at timestamp_ntz"
-    )
-    return df, df.sparkSession.createDataFrame(log, columns)
+        if step.fit is not None and step.changes:
+            rows, full = watch.figures(seq)
+        score = min(1.0, full / max(before, 0.01)) if step.fit is not None else None
+        left_out = step.fit is None and step.issues is None and step is not finish
+        log.write(
+            **about, status="skipped" if left_out else "completed", row_count=rows, quality_score=score, rows_removed=had - rows
+        )
+    return df, log.latest().where(F.col("kind") == progress.STEP)
 
 
 def adaptive_cleaning(
@@ -239,7 +278,6 @@ def adaptive_cleaning(
     strategy = history.cleaning_strategy(shape, history.quality_history(scores))
     chosen = strategy.first().asDict()
     cleaned, log = clean_with_log(df, algorithm, config.with_strategy(chosen), at)
-    cleaned = materialise(cleaned)
     measured = {row["step_id"]: row["quality_score"] for row in quality_scores(log).collect()}  # one row per step
     store.save_variants(cleaned, raw_data_id, algorithm, measured, cleaned_data_id)
     settings = [F.lit(value).alias(name) for name, value in chosen.items()]

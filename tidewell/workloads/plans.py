@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import clean, keywords, rollups
-from tidewell.plans import analysis, cleaning
+from tidewell.operators import clean, keywords, rollups, series
+from tidewell.plans import analysis, cleaning, progress
 from tidewell.session import new_path
 from tidewell.sources.readers import read_csv, read_upload
 from tidewell.sources.store import CLEANED, RAW, REPORTS, SCORES, DatasetStore, export, export_all
@@ -296,6 +296,50 @@ def _(data):
     return log.select("seq", "step_id", "technique", "status", "columns_affected", "rows_removed", "at")
 
 
+@query(
+    "audit_parameters",
+    f"""WITH {FULL}, lines(step_id, "column", name, value, said) AS (
+        SELECT 'impute_values', 'o_totalprice', 'fill', (SELECT avg(o_totalprice) FROM d), NULL
+        UNION ALL SELECT 'impute_values', 'o_orderpriority', 'fill', NULL, (SELECT o_orderpriority FROM d
+            WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+        UNION ALL SELECT 'impute_values', 'o_orderstatus', 'fill', NULL, (SELECT o_orderstatus FROM d GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+        UNION ALL SELECT 'cap_outliers', 'o_totalprice', 'low', lo, NULL FROM b
+        UNION ALL SELECT 'cap_outliers', 'o_totalprice', 'high', hi, NULL FROM b
+        UNION ALL SELECT 'apply_normalize', 'o_totalprice', 'low', lo, NULL FROM m
+        UNION ALL SELECT 'apply_normalize', 'o_totalprice', 'high', hi, NULL FROM m
+        UNION ALL SELECT 'noise_reduction', 'o_totalprice', 'window', 5.0, NULL)
+    SELECT step_id, "column", name, round(CAST(value AS DOUBLE), 4) AS value, said FROM lines""",
+)
+def _(data):
+    # Every value that a step of the run was fitted with, read back from its log.
+    _, log = cleaning.clean_with_log(data.raw_orders, "full_pipeline", cleaning.CleaningConfig(**CONFIG), AT)
+    lines = log.select("step_id", F.explode(F.from_json("parameters", "map<string,map<string,string>>")).alias("column", "fitted"))
+    lines = lines.select("step_id", "column", F.explode("fitted").alias("name", "said"))
+    value = F.col("said").try_cast("double")
+    return lines.select("step_id", "column", "name", F.round(value, 4).alias("value"), F.when(value.isNull(), F.col("said")).alias("said"))
+
+
+@query(
+    "prediction_log",
+    f"""WITH {learning.FIT} SELECT 'forecast_linear' AS prediction_type, 'completed' AS status, count(*) * 12 AS predictions,
+    round(avg(confidence), 6) AS confidence, '{{"periods": 12}}' AS parameters, TIMESTAMP '2024-01-31 00:00:00' AS at FROM fit
+    UNION ALL SELECT 'trend', 'completed', (SELECT count(*) FROM (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 10)), 0.8,
+    '{{"long": 30, "short": 7}}', TIMESTAMP '2024-01-31 00:00:00'""",
+)
+def _(data):
+    # One entry for each prediction run over all series.
+    rows, log = learning.events(data), progress.RunLog(data.spark, at=AT)
+    forecast = series.forecast_linear(rows, learning.KEY, learning.ORDER, "value", 12)
+    progress.log_prediction(log, 0, "forecast_linear", forecast, {"periods": 12})
+    trends = series.trend_anomaly(rows, learning.KEY, learning.ORDER, "value")
+    progress.log_prediction(log, 1, "trend", trends, {"short": series.SHORT, "long": series.LONG})
+    runs = log.latest().where(F.col("kind") == progress.PREDICTION)
+    return runs.select(
+        F.col("step_id").alias("prediction_type"), "status", F.col("row_count").alias("predictions"),
+        F.round("quality_score", 6).alias("confidence"), "parameters", "at",
+    )
+
+
 @query(
     "scan_and_validate",
     """WITH u AS (SELECT count(*) AS n, count(*) - count(o_totalprice) + count(*) - count(o_orderpriority) AS missing,
