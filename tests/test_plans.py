@@ -1,5 +1,7 @@
+import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +280,41 @@ def test_stream_equals_batch_on_closed_windows(spark):
     assert got < want and len(want) - len(got) <= 4
 
 
+def plain_anomalies(rows, closed):
+    """Windows of an hour by group that end before ``closed``, one after the other."""
+    found = []
+    for group in sorted({g for _, g, _ in rows}):
+        before = []
+        for hour in sorted({t // 3600 for t, g, _ in rows if g == group}):
+            values = [v for t, g, v in rows if g == group and t // 3600 == hour]
+            known = [v for v in values if v is not None]
+            if (hour + 1) * 3600 <= closed:
+                mean, far = (np.mean(before), 3 * np.std(before)) if before else (None, None)
+                count = sum(abs(v - mean) > far for v in known) if len(before) >= 10 else 0
+                found.append((hour, group, len(values), count, len(before)))
+            before += known
+    return found
+
+
+def test_anomaly_counts_go_on_after_a_restart(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(900):
+        at = k * 60 + int(rng.integers(0, 1500))  # out of order inside the watermark
+        rows.append((at, "ab"[k % 2], None if k % 50 == 7 else float(rng.normal(10, 1)) + (40.0 if k % 45 == 44 else 0.0)))
+    schema = "ts timestamp, kind string, value double"
+    source, target, state = (f"file://{tmp_path}/{n}" for n in ("in", "out", "state"))
+    for part in (rows[:500], rows[500:]):
+        stamped = [(dt.datetime.fromtimestamp(t, dt.timezone.utc), g, v) for t, g, v in part]
+        spark.createDataFrame(stamped, schema).coalesce(1).write.mode("append").parquet(source)
+        events = stream.read_events(spark, source, spark.createDataFrame([], schema).schema)
+        stream.run_to_table(stream.anomaly_counts(events, "ts", "kind", "value", 3600, "1 hour"), target, state)
+    found = spark.read.parquet(target).withColumn("hour", F.floor(F.unix_timestamp(F.col("window_start").cast("timestamp")) / 3600))
+    got = [(r["hour"], r["kind"], r["events"], r["anomalies"], r["seen_before"]) for r in found.collect()]
+    want = plain_anomalies(rows, max(t for t, _, _ in rows) - 3600)
+    assert sorted(got, key=lambda r: (r[1], r[0])) == want and sum(r[3] for r in want) > 5
+
+
 def test_store_replaces_and_deletes_whole_runs(spark):
     store = DatasetStore(spark, new_path(spark, "store"))
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "sector string, v int")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.functions.columns import clamp, json_safe
 from tidewell.functions.text import clean_text
@@ -39,7 +42,7 @@ def clean_stream(
 
 
 def windowed_statistics(events: DataFrame, time: str, group: str, value: str, width: str, delay: str) -> DataFrame:
-    """Count, mean and number of high values per tumbling window and group, late rows up to ``delay``."""
+    """Count, mean and largest value per tumbling window and group, late rows up to ``delay``."""
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     return _statistics(timed, time, group, value, width)
 
@@ -58,14 +61,115 @@ def _statistics(timed: DataFrame, time: str, group: str, value: str, width: str)
     )
 
 
+# ---- anomalies --------------------------------------------------------------------------------------------
+
+MIN_BEFORE = 10  # values that a group must have had before its deviations mean anything
+DEVIATIONS = 3.0
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class AnomalyCounter(StatefulProcessor):
+    """Counts, for each closed window of a group, the values far from what all windows before have shown.
+
+    The state of a group is three numbers, its running moments, and the values of windows that are still open. A timer at
+    the end of the earliest one compares the values of all windows that are closed by then, each with the moments before
+    it, and adds them, so that the order in which rows arrive inside the watermark does not matter.
+    """
+
+    def __init__(self, width_ms: int):
+        self.width = width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.moments = handle.getValueState("moments", "n long, mean double, m2 double")
+        self.waiting = handle.getListState("waiting", "start long, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            start = batch["ms"] - batch["ms"] % self.width
+            late = start + self.width <= closed
+            fresh = pd.DataFrame({"start": start, "value": batch["value"]})[~late]
+            if len(fresh):
+                self.waiting.appendList([(int(s), None if pd.isna(v) else float(v)) for s, v in zip(fresh["start"], fresh["value"])])
+                self.handle.registerTimer(int(fresh["start"].min()) + self.width)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        open_rows, windows = [], {}
+        for start, value in self.waiting.get():
+            if start + self.width <= now:
+                windows.setdefault(start, []).append(value)
+            else:
+                open_rows.append((start, value))
+        if open_rows:
+            self.waiting.put(open_rows)
+            self.handle.registerTimer(min(start for start, _ in open_rows) + self.width)
+        else:
+            self.waiting.clear()
+        n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
+        found = []
+        for start in sorted(windows):
+            values = [v for v in windows[start] if v is not None]
+            bound = DEVIATIONS * math.sqrt(m2 / n) if n >= MIN_BEFORE else math.inf
+            anomalies = sum(abs(v - mean) > bound for v in values)
+            found.append((start, key[0], len(windows[start]), anomalies, mean if n else None, n))
+            if values:  # moments of the window join those before
+                more = len(values)
+                middle = math.fsum(values) / more
+                spread = math.fsum((v - middle) ** 2 for v in values)
+                apart, both = middle - mean, n + more
+                m2 += spread + apart * apart * n * more / both
+                mean += apart * more / both
+                n = both
+        self.moments.update((n, mean, m2))
+        if found:
+            yield pd.DataFrame(found, columns=["start", "group", "events", "anomalies", "mean_before", "seen_before"]).astype(
+                {"mean_before": "float64"}
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def anomaly_counts(events: DataFrame, time: str, group: str, value: str, width_seconds: int, delay: str) -> DataFrame:
+    """(window_start, group, events, anomalies, mean_before, seen_before) for each tumbling window once it is closed.
+
+    A value is an anomaly when it lies over three population deviations from the mean of all earlier windows of its group
+    and these held ten values at least. Rows later than ``delay`` are left out, a null value counts as an event only. Needs
+    the RocksDB state store, which ``run_to_table`` sets.
+    """
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    narrow = timed.select(
+        F.col(time).alias("at"), F.unix_millis(time).alias("ms"), F.col(group).alias("key"), F.col(value).cast("double").alias("value")
+    )
+    kind = events.schema[group].dataType.simpleString()
+    found = narrow.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=AnomalyCounter(width_seconds * 1000),
+        outputStructType=f"start long, group {kind}, events long, anomalies long, mean_before double, seen_before long",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    start = F.timestamp_millis("start").cast("timestamp_ntz").alias("window_start")
+    return found.select(start, F.col("group").alias(group), "events", "anomalies", "mean_before", "seen_before")
+
+
 def run_to_table(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Process everything available and append it to a table; exactly once through the checkpoint."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", target)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)

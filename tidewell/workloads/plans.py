@@ -432,6 +432,25 @@ def _(data):
     return data.spark.read.parquet(target).withColumn("mean_value", F.round("mean_value", 6))
 
 
+@query(
+    "stream_anomaly_counts",
+    """WITH v AS (SELECT event_type, date_trunc('hour', ts) AS window_start, value FROM events),
+    w AS (SELECT event_type, window_start, count(*) AS events, count(value) AS n, sum(value) AS s, sum(value * value) AS q FROM v GROUP BY ALL),
+    b AS (SELECT event_type, window_start, events, coalesce(sum(n) OVER p, 0) AS n, sum(s) OVER p / sum(n) OVER p AS m,
+        sqrt(greatest(sum(q) OVER p / sum(n) OVER p - (sum(s) OVER p / sum(n) OVER p) ** 2, 0)) AS d
+        FROM w WINDOW p AS (PARTITION BY event_type ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT b.window_start, b.event_type, b.events, count(*) FILTER (b.n >= 10 AND abs(value - m) > 3 * d) AS anomalies,
+        round(m + 1e-9, 6) AS mean_before, CAST(b.n AS BIGINT) AS seen_before
+    FROM b JOIN v ON v.event_type = b.event_type AND v.window_start = b.window_start
+    WHERE b.window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""",
+)
+def _(data):
+    target = new_path(data.spark, "anomalies")
+    found = stream.anomaly_counts(_stream(data), "ts", "event_type", "value", 3600, "1 hour")
+    stream.run_to_table(found, target, new_path(data.spark, "anomalies-state"))
+    return data.spark.read.parquet(target).withColumn("mean_before", F.round(F.col("mean_before") + 1e-9, 6))
+
+
 @query(
     "stream_cleaned_events",
     """SELECT event_id, ts, user_id, regexp_replace(lower(event_type), '[^a-z_]', '', 'g') AS event_type,
