@@ -164,7 +164,7 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
     home = F.struct(F.col("place").alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(((F.col("place") + 1) % max(1, len(ends))).alias("range"), F.lit(True).alias("guest"))
     placed = placed.withColumn("at", F.explode(F.when(F.col("first"), F.array(home, guest)).otherwise(F.array(home))))
-    placed = placed.select("id", "text", "at.range", "at.guest", "key").repartition(max(1, len(ends)), "range")
+    placed = placed.select("id", "text", "at.range", "at.guest", "key").repartitionById(max(1, len(ends)), F.col("range").cast("int"))
     placed = placed.sortWithinPartitions("range", "guest", F.col("key").desc_nulls_last(), "text").drop("key")
     schema = (
         f"id {kind(docs, id_column)}, n_chars bigint, edited_sha256 string, fingerprint string,"

@@ -6,8 +6,9 @@ shuffle; the runs of the others go, as text, to the reference block of their anc
 seen and factors each run greedily against them: a factor of at least one window is copied at its full length, and the
 windows that cross a factor's end are looked up one by one. Factors mark both of their sides as duplicate spans.
 
-Equal runs are combined before the shuffle, so a passage that fills a third of the corpus reaches its block at most
-once per task; an anchor with very many runs is dealt out by the windows themselves.
+Runs carry a digest of their words. Runs of one anchor that are equal are counted by it, combined in each task: all their
+windows are duplicates, and only one of them goes to a block as text. A passage that fills a third of the corpus so reaches
+its block once; an anchor with very many different runs is dealt out by the windows themselves.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tidewell.llm.common import blocks, bytes_of, kind, pick, slices, stored
 WINDOW = 35
 GRAM = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so multiplying by it loses nothing
+UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 FINISH = np.uint64(0xFF51AFD7ED558CCD)
 HOT = 20_000  # an anchor with more runs is dealt out by window
 BLOCK_BYTES = 16 << 20
@@ -38,10 +40,11 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 def window_runs(
     rows: Iterable[list[bytes]], window: int = WINDOW, gram: int = GRAM
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each list of words the runs of windows with one anchor: (anchor, first window, windows, weight).
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each list of words the runs of windows with one anchor: (anchor, first window, windows, weight, digest).
 
-    The weight is 2 if the anchor's words stand in the text more than once, so that even a single run may repeat itself.
+    The weight is 2 if the anchor's words stand in the text more than once, so that even a single run may repeat itself. The
+    digest is one of the words of the run, wherever it stands.
     """
     number = numbering()
     places = [np.fromiter(map(number.__getitem__, words), "i4", len(words)) for words in rows]
@@ -50,7 +53,7 @@ def window_runs(
     for place in places:
         windows = len(place) - window + 1
         if windows < 1:
-            yield np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "i8")
+            yield np.empty(0, "u8"), *[np.empty(0, "i8")] * 3, np.empty(0, "u8")
             continue
         words = hashes[place]
         grams = windows + inside - 1
@@ -68,7 +71,12 @@ def window_runs(
         ordered = np.sort(total)
         twice = ordered[1:][ordered[1:] == ordered[:-1]]
         weight = 1 + np.isin(anchor, twice) if len(twice) else np.ones(len(first), "i8")
-        yield anchor, first, np.diff(np.append(first, windows)), weight
+        count = np.diff(np.append(first, windows))
+        # Words weighed by falling powers sum up to a polynomial, which a power of the start makes free of the place.
+        down, up = (np.cumprod(np.append(np.uint64(1), np.full(len(words), base)), dtype="u8") for base in (UNMIX, MIX))
+        behind = np.append(np.uint64(0), np.cumsum(words * down[:-1], dtype="u8"))
+        digest = _mixed((behind[first + count + window - 1] - behind[first]) * up[first])
+        yield anchor, first, count, weight, digest
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -157,10 +165,10 @@ def _anchor_rows(window: int, gram: int):
             for batch in block:
                 parts = [next(found) for _ in range(batch.num_rows)]
                 row = pa.array(np.repeat(np.arange(len(parts)), [len(part[0]) for part in parts]))
-                anchor, first, count, weight = (np.concatenate([part[k] for part in parts]) for k in range(4))
+                anchor, first, count, weight, digest = (np.concatenate([part[k] for part in parts]) for k in range(5))
                 ends = [batch.column(0).take(row), batch.column(1).take(row)]
-                out = [anchor.view("i8"), first.astype("i4"), count.astype("i4"), weight.astype("i4")]
-                names = ["a", "b", "anchor", "first", "windows", "weight"]
+                out = [anchor.view("i8"), first.astype("i4"), count.astype("i4"), weight.astype("i4"), digest.view("i8")]
+                names = ["a", "b", "anchor", "first", "windows", "weight", "digest"]
                 yield pa.RecordBatch.from_arrays([*ends, *map(pa.array, out)], names)
 
     return run
@@ -203,6 +211,13 @@ def _run_rows(window: int):
                         for sub, first, count in pieces(line, starts, stops, hit):
                             key = (sub, line[starts[first] : stops[first + count + window - 2]])
                             known = met.get(key)
+                            if hit["whole"]:  # its spans are known, here it only shows its windows to others
+                                if known is None:
+                                    met[key] = [hit["anchor"], count, None]
+                                elif known[2] is not None:
+                                    spans.append((*known[2], count))
+                                    known[2] = None
+                                continue
                             if known is None:
                                 met[key] = [hit["anchor"], count, (a, b, first)]
                                 continue
@@ -308,17 +323,28 @@ def duplicate_spans(
 
 
 def _spans(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    schema = "a bigint, b bigint, anchor bigint, first int, windows int, weight int"
+    schema = "a bigint, b bigint, anchor bigint, first int, windows int, weight int, digest bigint"
     anchors = stored(rows.select("a", "b", "text").mapInArrow(_anchor_rows(window, gram), schema), "anchors")
-    often = anchors.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1")
-    hits = anchors.join(often, "anchor").groupBy("a", "b")
-    hits = hits.agg(F.collect_set(F.struct("first", "windows", "anchor", "n")).alias("hits"))  # bounded by the text
+    often = anchors.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
+    repeated = stored(anchors.join(often, "anchor"), "repeated")
+    run = ["anchor", "digest", "windows"]
+    place = F.struct("a", "b", "first")
+    same = repeated.groupBy(*run).agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("one"))
+    different = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    shown = same.join(different, "anchor").select(
+        "one.a", "one.b", F.struct("one.first", "windows", "anchor", "n", (F.col("copies") > 1).alias("whole")).alias("hit")
+    )
+    hits = shown.groupBy("a", "b").agg(F.collect_set("hit").alias("hits"))  # bounded by the text
     runs = rows.join(hits, ["a", "b"]).mapInArrow(
         _run_rows(window),
         "anchor bigint, sub int, run binary, windows int, settled boolean, a bigint, b bigint, first int",
     )
     runs = runs.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub")
-    return runs.mapInArrow(_factored(window), "a bigint, b bigint, start int, stop int")
+    spans = "a bigint, b bigint, start int, stop int"
+    whole = repeated.join(same.where("copies > 1").select(*run), run)
+    stop = (F.col("first") + F.col("windows") - 1 + window).cast("int")
+    whole = whole.select("a", "b", F.col("first").alias("start"), stop.alias("stop"))
+    return whole.unionByName(runs.mapInArrow(_factored(window), spans))
 
 
 def remove_repeats(
