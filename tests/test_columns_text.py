@@ -99,6 +99,7 @@ def test_sector_split(spark):
 
 
 def test_keywords(spark):
-    df = spark.createDataFrame([(1, "Data data; the DATA of sales, sales! naïve")], "id int, t string")
-    rows = keywords(df, "id", "t", 2).collect()
+    texts = [(1, "Data data; the DATA of sales, sales! naïve the")] + [(k, f"the w{k} w{k + 1}") for k in range(2, 12)] + [(12, None)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    rows = keywords(df, "id", "t", 2).where("id = 1").collect()
     assert {(r["term"], r["uses"]) for r in rows} == {("data", 3), ("sales", 2)}

@@ -115,9 +115,10 @@ def test_store(spark, table):
     store.delete_dataset(0)
     assert {r["raw_data_id"] for r in store.read(RAW).collect()} == {1}
     assert {r["cleaned_data_id"] for r in store.read(CLEANED).collect()} == {9}
-    target = new_path(spark, "compact")
-    store.compact(CLEANED, target, ["raw_data_id"])
-    assert spark.read.parquet(target).count() == 21
+    store.save_raw(table.withColumn("raw_data_id", F.lit(0)))  # an id can be saved again
+    assert store.read(RAW, F.col("raw_data_id") == 0).count() == 21 and store.delete_dataset(5) == {"raw": 0, "cleaned": 0, "scores": 0}
+    store.append_report(spark.range(1), 3, "t", "x", 1)
+    assert store.delete_report(3) and not store.delete_report(3) and store.read("reports").isEmpty()
     store.append_predictions(
         spark.createDataFrame([("risk", 0.5, 1.0)], "prediction_type string, confidence double, score double"), ["score"]
     )
@@ -332,6 +333,27 @@ def test_store_replaces_and_deletes_whole_runs(spark):
     assert store.read(CLEANED).isEmpty() and store.read(SCORES).isEmpty()
 
 
+def test_history_of_a_scope_goes_with_its_count(spark):
+    store = DatasetStore(spark, new_path(spark, "store"))
+    assert store.delete_history(spark.range(3)) == {"results": 0, "cleaned": 0, "scores": 0}
+    rows = [(d, 10 + d, sector, v) for d in (1, 2, 3) for sector, v in (("a", 1), ("b", 2), ("b", 3)) if d != 3 or sector == "a"]
+    df = spark.createDataFrame(rows, "raw_data_id bigint, cleaned_data_id bigint, sector string, v int")
+    store.save_raw(df.drop("cleaned_data_id"))
+    assert store.save_many_variants(df, "run", {"x": 0.5, "y": 1.0}) == 0.75
+    one = DatasetStore(spark, new_path(spark, "store"))
+    for d in (1, 2, 3):  # dataset by dataset
+        one.save_variants(df.where(f"raw_data_id = {d}").drop("raw_data_id", "cleaned_data_id"), d, "run", {"x": 0.5, "y": 1.0}, 10 + d)
+    for table in (CLEANED, SCORES):
+        shown = lambda s: sorted(map(repr, s.read(table).select(*sorted(s.read(table).columns)).collect()))
+        assert shown(store) == shown(one) and store.read(table).count() == {CLEANED: 13, SCORES: 14}[table]
+    gone = store.delete_history(spark.createDataFrame([(1,), (3,), (3,), (99,), (None,)], "k bigint"))
+    assert gone == {"results": 2, "cleaned": 7, "scores": 8}
+    assert {r[0] for r in store.read(CLEANED).select("raw_data_id").collect()} == {2} == {r[0] for r in store.read(SCORES).select("raw_data_id").collect()}
+    assert store.read(RAW).count() == 7
+    store.save_many_variants(df.where("sector = 'b'"), "run", {"x": 0.5}, emptied=[3])
+    assert {tuple(r) for r in store.read(CLEANED).select("raw_data_id", "cleaning_algorithm").distinct().collect()} == {(1, "run"), (2, "run")}
+
+
 def test_short_history_falls_back_to_the_weights(spark):
     scores = spark.createDataFrame([], "scored_at timestamp_ntz, cleaned_data_id bigint, score double, algorithm string")
     features = history.quality_features(scores)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import recursive, series
+from tidewell.operators import arima, recursive, series
 
 
 def frame(spark, seed=1, sizes=((1, 400), (2, 90), (None, 60), (4, 5))):
@@ -73,23 +73,21 @@ def test_linear_forecast(spark):
     assert rows[0]["confidence"] == pytest.approx(1.0)
 
 
-def arima_brute(y):
+def filtered(y, phi, theta):
+    """(twice the negative log likelihood, squared error, last error over its variance) by a filter row by row."""
     w = np.diff(y)
-    best = None
-    for theta in recursive.Arima.thetas:
-        u = v = 0.0
-        us, vs = [], []
-        for t in range(1, len(w)):
-            u, v = w[t] - theta * u, w[t - 1] - theta * v
-            us.append(u)
-            vs.append(v)
-        us, vs = np.array(us), np.array(vs)
-        phi = np.clip((us @ vs) / (vs @ vs), -0.99, 0.99)
-        sse = float(((us - phi * vs) ** 2).sum())
-        if best is None or sse < best[0]:
-            best = (sse, phi, theta, us[-1] - phi * vs[-1])
-    sse, phi, theta, e = best
-    out, dw, level = [], phi * w[-1] + theta * e, y[-1]
+    r, hat = (1 + 2 * phi * theta + theta**2) / (1 - phi**2), 0.0
+    weighted = logs = plain = 0.0
+    for x in w:
+        u = x - hat
+        weighted, logs, plain, last = weighted + u * u / r, logs + np.log(r), plain + u * u, u / r
+        hat, r = phi * x + theta / r * u, 1 + theta**2 - theta**2 / r
+    return len(w) * np.log(weighted / len(w)) + logs, plain, last
+
+
+def arima_path(y, phi, theta):
+    w, out, level = np.diff(y), [], y[-1]
+    dw = phi * w[-1] + theta * filtered(y, phi, theta)[2]
     for _ in range(4):
         level += dw
         out.append(level)
@@ -97,6 +95,45 @@ def arima_brute(y):
     return out
 
 
+@pytest.mark.parametrize("chunk", [10_000, 30])
+def test_arima_is_the_exact_likelihood(spark, monkeypatch, chunk):
+    monkeypatch.setattr(arima, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(arima, "FAN_IN", 4)
+    if chunk < 100:
+        small_limits(monkeypatch)
+        monkeypatch.setattr(arima, "STEPS", 8)
+    df = frame(spark)
+    got = recursive.forecast_arima(df, ["k"], ["t"], "v", 4).toPandas()
+    pdf = df.toPandas().sort_values("t")
+    grid = np.tanh(np.linspace(-2.2, 2.2, 15))
+    for key in (1, 2, None):
+        mine = (got[got["k"].isna()] if key is None else got[got["k"] == key]).sort_values("step")
+        y = (pdf[pdf["k"].isna()] if key is None else pdf[pdf["k"] == key])["v"].to_numpy()
+        phi, theta = mine["phi"].iloc[0], mine["theta"].iloc[0]
+        best, error, _ = filtered(y, phi, theta)
+        assert best <= min(filtered(y, a, b)[0] for a in grid for b in grid) + 1e-2
+        np.testing.assert_allclose(mine["forecast"], arima_path(y, phi, theta), rtol=1e-7)
+        sure = max(0.1, min(1.0, (1 - error / ((y[1:] - y[1:].mean()) ** 2).sum() + 1) / 2))
+        assert mine["confidence"].iloc[0] == pytest.approx(sure, rel=1e-6)
+    assert set(got["k"].dropna()) == {1, 2}
+
+
+def test_summaries_equal_the_filter_row_by_row():
+    rng = np.random.default_rng(1)
+    y = np.cumsum(rng.normal(size=190))
+    pos, w = np.arange(190), np.append(np.nan, np.diff(y))
+    before = np.append(np.nan, w[:-1])
+    pairs = [(0.5, 0.3), (-0.7, 0.9), (0.0, 0.0), (0.99, -0.99), (0.2, -0.95)]
+    free = np.arctanh(np.array([pairs]))
+    parts = arima.summarise(pos, w, before, np.arange(0, 190, 40), np.repeat(free, 5, axis=0))
+    total = parts[:, :, :1]
+    for k in range(1, 5):
+        total = arima.merge(total, parts[:, :, k : k + 1])
+    found = arima.objective(total, np.array([189]))[:, 0]
+    np.testing.assert_allclose(found, [filtered(y, *pair)[0] for pair in pairs], rtol=1e-9)
+    np.testing.assert_allclose(total[5, :, 0], [filtered(y, *pair)[1] for pair in pairs], rtol=1e-9)
+
+
 def seasonal_brute(y):
     best = None
     for alpha, gamma in recursive.Seasonal.grid:
@@ -114,7 +151,7 @@ def seasonal_brute(y):
 
 
 @pytest.mark.parametrize("chunk", [10_000, 30])
-@pytest.mark.parametrize("kind", ["arima", "seasonal"])
+@pytest.mark.parametrize("kind", ["seasonal"])
 def test_recursive_forecasts_match_brute_force(spark, monkeypatch, kind, chunk):
     monkeypatch.setattr(recursive, "CHUNK_ROWS", chunk)
     monkeypatch.setattr(recursive, "MERGE_FAN_IN", 4)
@@ -122,7 +159,6 @@ def test_recursive_forecasts_match_brute_force(spark, monkeypatch, kind, chunk):
         small_limits(monkeypatch)
     df = frame(spark)
     run, brute = {
-        "arima": (recursive.forecast_arima, arima_brute),
         "seasonal": (recursive.forecast_seasonal, seasonal_brute),
     }[kind]
     got = run(df, ["k"], ["t"], "v", 4).toPandas()

@@ -1,6 +1,6 @@
 """Forecasts whose fit is a recursion over the series: ARIMA(1,1,1) and additive seasonal smoothing.
 
-One step of either recursion is an affine map of a small state, so a run of rows is summarised by one
+The fit of the first is in ``arima``. One step of the second is an affine map of a small state, so a run of rows is summarised by one
 composed map plus the squared error as a quadratic form of the entering state. A series is cut into chunks
 of consecutive rows, each chunk is summarised on its own, and neighbouring summaries merge in a tree. No
 task ever holds more than one chunk of rows or a fixed number of summaries, however long the series.
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.operators import arima
 from tidewell.operators.keyed import join_on
-from tidewell.operators.series import MIN_POINTS, clamp_confidence, over_series, with_position
+from tidewell.operators.series import clamp_confidence, over_series, with_position
 from tidewell.session import materialise
 
 CHUNK_ROWS = 10_000
@@ -27,63 +28,6 @@ MERGE_FAN_IN = 200
 SEASON = 12
 
 
-class Arima:
-    """Conditional least squares for w[t] = phi w[t-1] + e[t] + theta e[t-1] on the differenced series.
-
-    For a fixed theta the error is u - phi v with u[t] = w[t] - theta u[t-1] and v[t] = w[t-1] - theta v[t-1],
-    so phi has a closed form and only theta is searched. A summary holds, per theta: the decay of the entering
-    state, the leaving u and v, and the sums uu, uv, vv, ug, vg, gg, where g is the running decay.
-    """
-
-    thetas = np.round(np.arange(-0.95, 0.951, 0.01), 2)
-
-    @classmethod
-    def summarise(cls, rows: pd.DataFrame, first: bool) -> np.ndarray | None:
-        if first and len(rows) < MIN_POINTS:
-            return None
-        y, y1, y2 = rows[["y", "y1", "y2"]].to_numpy(dtype=float).T
-        known = ~np.isnan(y2)
-        drive = np.stack([(y - y1)[known], (y1 - y2)[known], np.zeros(known.sum())], axis=1)[:, :, None]
-        # u, v and g of every row, for all thetas at once.
-        run = np.zeros((len(drive) + 1, 3, len(cls.thetas)))
-        run[0, 2] = 0.0 if first else 1.0
-        for i in range(len(drive)):
-            np.multiply(-cls.thetas, run[i], out=run[i + 1])
-            run[i + 1] += drive[i]
-        u, v, g = run[1:].transpose(1, 0, 2)
-        sums = [np.einsum("ij,ij->j", p, q) for p, q in ((u, u), (u, v), (v, v), (u, g), (v, g), (g, g))]
-        return np.vstack([run[-1, 2], run[-1, 0], run[-1, 1], *sums])
-
-    @staticmethod
-    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ga, ua, va, uua, uva, vva, uga, vga, gga = a
-        gb, ub, vb, uub, uvb, vvb, ugb, vgb, ggb = b
-        return np.vstack([
-            ga * gb,
-            ub + gb * ua,
-            vb + gb * va,
-            uua + uub + 2 * ua * ugb + ua * ua * ggb,
-            uva + uvb + ua * vgb + va * ugb + ua * va * ggb,
-            vva + vvb + 2 * va * vgb + va * va * ggb,
-            uga + ga * (ugb + ua * ggb),
-            vga + ga * (vgb + va * ggb),
-            gga + ga * ga * ggb,
-        ])
-
-    @classmethod
-    def shape(cls) -> tuple[int, ...]:
-        return (9, len(cls.thetas))
-
-    @classmethod
-    def best(cls, total: np.ndarray) -> list[float]:
-        """phi, theta, squared error and last error of the best candidate."""
-        _, u, v, uu, uv, vv, *_ = total
-        phi = np.clip(np.divide(uv, vv, out=np.zeros_like(uv), where=vv > 0), -0.99, 0.99)
-        sse = uu - 2 * phi * uv + phi * phi * vv
-        i = int(np.argmin(sse))
-        return [phi[i], cls.thetas[i], max(sse[i], 0.0), u[i] - phi[i] * v[i]]
-
-
 class Seasonal:
     """Simple smoothing with an additive season of twelve: state = level and twelve seasonal terms.
 
@@ -220,13 +164,13 @@ def _spread(placed: DataFrame, keys: Sequence[str], skip: int, *extra) -> DataFr
 def forecast_arima(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, periods: int = 12
 ) -> DataFrame:
-    """ARIMA(1,1,1) forecasts of every series with at least ten values."""
+    """ARIMA(1,1,1) forecasts, by exact likelihood, of every series with at least ten values."""
     placed = _series(df, keys, order, value)
     lagged = over_series(
         placed, keys, ["_pos"], 2, 0, lambda w: {"y1": F.lag("y", 1).over(w), "y2": F.lag("y", 2).over(w)}
     ).select(*keys, "_pos", "y", "y1", "y2")
     last = F.max_by(F.struct("y", "y1"), "_pos").alias("_last")
-    joined = join_on(_fit(lagged, keys, Arima), _spread(lagged, keys, 2, last), keys)
+    joined = join_on(arima.fit_series(lagged, keys), _spread(lagged, keys, 1, last), keys)
     phi, theta, error = F.col("fit")[0], F.col("fit")[1], F.col("fit")[3]
     first = phi * (F.col("_last.y") - F.col("_last.y1")) + theta * error
     steps = joined.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))

@@ -189,8 +189,9 @@ def fit_confidence(df: DataFrame, keys: Sequence[str], actual: str, fitted: str)
 
 
 def linear_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Least-squares line over the position of each key with at least ten values."""
+    """Least-squares line over the position of each key with at least ten values, and the deviation around it."""
     placed = with_position(df.where(F.col(value).isNotNull()).select(*keys, *order, value), keys, order)
+    around = F.var_pop(value) * (1 - F.coalesce(F.regr_r2(value, "_pos"), F.lit(1.0)))
     return (
         placed.groupBy(*keys)
         .agg(
@@ -198,6 +199,7 @@ def linear_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
             F.regr_slope(value, "_pos").alias("slope"),
             F.regr_intercept(value, "_pos").alias("intercept"),
             clamp_confidence(F.regr_r2(value, "_pos")).alias("confidence"),
+            F.sqrt(F.greatest(around, F.lit(0.0))).alias("deviation"),
         )
         .where(F.col("points") >= MIN_POINTS)
     )

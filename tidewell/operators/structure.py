@@ -155,6 +155,19 @@ def with_sector_key(df: DataFrame) -> DataFrame:
     return named.withColumn("sector_key", sector_key(col(column)))
 
 
+def with_sector_keys(df: DataFrame, dataset: str) -> DataFrame:
+    """The same for many datasets in one table, each of which decides for itself."""
+    column = sector_column(df.drop(dataset))
+    if column is None:
+        return df.withColumn("sector_key", F.lit("all"))
+    named = df.withColumn(column, strip(F.coalesce(col(column).cast("string"), F.lit("unknown"))))
+    value = F.nullif(col(column), F.lit(""))
+    several = named.groupBy(col(dataset).alias("_dataset")).agg((F.min(value) != F.max(value)).alias("_several"))
+    joined = named.join(several, col(dataset).eqNullSafe(F.col("_dataset")), "left").drop("_dataset")
+    key = F.when(F.col("_several"), sector_key(col(column))).otherwise("all")
+    return joined.withColumn("sector_key", key).drop("_several")
+
+
 def sector_variants(df: DataFrame, algorithm: str, quality: float) -> DataFrame:
     """One row for the whole result and one per sector variant: label, algorithm, rows, quality."""
     per_sector = with_sector_key(df).groupBy("sector_key").agg(F.count(F.lit(1)).alias("row_count"))

@@ -471,7 +471,7 @@ def _(data):
     JOIN sectors s ON p.sector_id = s.id WHERE p.sector_id IN (SELECT sector_id FROM raw_data) GROUP BY 1""",
 )
 def _(data):
-    known = scope.semi(data.ai_predictions, "sector_id", data.raw_data.select("sector_id").distinct(), "sector_id")
+    known = scope.predictions_in_scope(data.ai_predictions, data.raw_data, data.sectors)
     per_sector = known.groupBy("sector_id").agg(F.count("*").alias("n"))
     homes = data.sectors.select(F.col("id").alias("sector_id"), "company_id")
     return per_sector.join(homes, "sector_id").groupBy("company_id").agg(

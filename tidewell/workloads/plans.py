@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import clean, keywords, rollups, series
 from tidewell.plans import analysis, cleaning, progress
-from tidewell.session import new_path
+from tidewell.session import materialise, new_path
 from tidewell.sources.readers import read_csv, read_upload
 from tidewell.sources.store import CLEANED, RAW, REPORTS, SCORES, DatasetStore, export, export_all
 from tidewell.streaming import events as stream
@@ -79,11 +79,12 @@ def _region_store(data):
     store = DatasetStore(data.spark, new_path(data.spark, "store"))
     nation = data.table("nation")
     named = data.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = named.withColumns({"sector_name": F.col("n_name"), "raw_data_id": F.col("n_regionkey").cast("bigint")})
+    store.save_raw(rows)
+    store.save_many_variants(
+        rows.withColumn("cleaned_data_id", F.col("raw_data_id") + 10), "run", {"impute": 0.9, "outliers": 0.8}
+    )
     regions = [row[0] for row in nation.select("n_regionkey").distinct().orderBy("n_regionkey").collect()]  # a handful
-    for region in regions:
-        rows = named.where(F.col("n_regionkey") == region).withColumn("sector_name", F.col("n_name"))
-        store.save_raw(rows.withColumn("raw_data_id", F.lit(region)))
-        store.save_variants(rows, region, "run", {"impute": 0.9, "outliers": 0.8}, 10 + region)
     return store, regions
 
 
@@ -173,6 +174,34 @@ def _(data):
     return _store_rows(store)
 
 
+@query(
+    "store_delete_history",
+    f"""WITH {STORED_ROWS}, h AS (SELECT k.*, CAST(NULL AS VARCHAR) AS part, CAST(NULL AS BIGINT) AS gone FROM k
+        WHERE stored = 'raw' OR raw_data_id NOT IN (SELECT r_regionkey FROM region WHERE r_name < 'ASIA')),
+    g AS (SELECT * FROM k WHERE stored <> 'raw' AND raw_data_id IN (SELECT r_regionkey FROM region WHERE r_name < 'ASIA'))
+    SELECT * FROM h UNION ALL BY NAME SELECT 'result' AS stored, part, gone FROM (
+        SELECT 'results' AS part, count(DISTINCT raw_data_id) AS gone FROM g UNION ALL SELECT stored, count(*) FROM g GROUP BY 1)""",
+)
+def _(data):
+    # The history of the regions in scope goes, raw data stays; what went is counted.
+    store, _ = _region_store(data)
+    gone = store.delete_history(data.table("region").where("r_name < 'ASIA'").select("r_regionkey"))
+    counts = data.spark.createDataFrame([("result", part, n) for part, n in gone.items()], "stored string, part string, gone bigint")
+    return _store_rows(store).unionByName(counts, allowMissingColumns=True)
+
+
+@query("store_saved_again", f"WITH {STORED_ROWS} SELECT * FROM k WHERE stored <> 'scores' OR raw_data_id <> 2")
+def _(data):
+    # A dataset is deleted whole and saved again under its id, this time without scores.
+    store, _ = _region_store(data)
+    kept = {table: materialise(store.read(table, F.col("raw_data_id") == 2)) for table in (RAW, CLEANED)}
+    store.delete_dataset(2)
+    store.save_raw(kept[RAW])
+    whole = kept[CLEANED].where("cleaning_algorithm = 'run'").drop("quality_score", "cleaning_algorithm")
+    store.save_many_variants(whole, "run", {})
+    return _store_rows(store)
+
+
 @query(
     "predictions_append",
     """SELECT user_id, concat('{"total":', CAST(CAST(count(*) AS BIGINT) AS VARCHAR), ',"last":', CAST(max(event_id) AS VARCHAR), '}')
@@ -370,35 +399,68 @@ def _(data):
     return summary
 
 
-@query(
-    "analyze_full",
-    f"""WITH {learning.FIT}, {learning.TREND}, {learning.ANOMALY}, c AS (SELECT user_id, count(*) FILTER (anomaly) AS n FROM f GROUP BY 1),
+ANALYSED = f"""{learning.FIT}, {learning.TREND}, {learning.ANOMALY}, c AS (SELECT user_id, count(*) FILTER (anomaly) AS n FROM f GROUP BY 1),
     e AS (SELECT user_id, count(*) AS rows, count(value) / count(*) AS completeness, avg(value) AS now FROM events GROUP BY 1),
-    aj AS (SELECT e.*, trend, trend_strength, c.n AS anomaly_count, intercept + slope * (points + 5.5) AS ahead, confidence
-        FROM e LEFT JOIN l ON l.user_id = e.user_id LEFT JOIN c ON c.user_id = l.user_id LEFT JOIN fit ON fit.user_id = e.user_id),
-    ak AS (SELECT *, CASE WHEN rows > 20 THEN ahead END AS fa FROM aj),
+    sp AS (SELECT user_id, sqrt(var_pop(value) * (1 - coalesce(regr_r2(value, pos), 1))) AS off FROM p GROUP BY 1),
+    aj AS (SELECT e.*, trend, trend_strength, c.n AS anomaly_count, intercept + slope * (points + 5.5) AS ahead, confidence, off
+        FROM e LEFT JOIN l ON l.user_id = e.user_id LEFT JOIN c ON c.user_id = l.user_id LEFT JOIN fit ON fit.user_id = e.user_id
+        LEFT JOIN sp ON sp.user_id = fit.user_id),
+    ak AS (SELECT *, CASE WHEN rows > 20 THEN ahead END AS fa,
+        CASE WHEN rows > 20 THEN CASE WHEN off > 0 THEN 1 / (1 + exp(1.702 * (ahead - now) / off)) ELSE CAST(ahead < now AS INT) END END AS risk FROM aj),
     an AS (SELECT *, CASE WHEN fa > now * 1.1 OR fa < now * 0.9 THEN 1 ELSE 0 END + CASE WHEN trend IN ('increasing', 'decreasing') THEN 1 ELSE 0 END
-        + CASE WHEN anomaly_count > 0 THEN 1 ELSE 0 END AS advices FROM ak)
+        + CASE WHEN anomaly_count > 0 THEN 1 ELSE 0 END + CASE WHEN risk > 0.4 THEN 1 ELSE 0 END AS advices FROM ak)
     SELECT user_id, rows, CAST(completeness AS DOUBLE) AS completeness, round(now, 6) AS current_average, trend,
     round(trend_strength, 6) AS trend_strength, anomaly_count, round(fa, 5) AS forecast_avg,
-    round(CASE WHEN rows > 20 THEN confidence END, 6) AS forecast_confidence, CAST(advices AS BIGINT) AS advices,
-    CASE WHEN advices > 2 THEN 'high' ELSE 'medium' END AS priority FROM an""",
-)
+    round(CASE WHEN rows > 20 THEN confidence END, 6) AS forecast_confidence, round(risk, 6) AS predicted_risk,
+    CAST(advices AS BIGINT) AS advices, CASE WHEN advices > 2 THEN 'high' ELSE 'medium' END AS priority FROM an"""
+CLEAN_EVENTS = """ed AS (SELECT DISTINCT event_id, user_id, ts, value FROM events),
+    ei AS (SELECT * REPLACE (coalesce(value, (SELECT avg(value) FROM ed)) AS value) FROM ed),
+    eb AS (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM ei),
+    ev AS (SELECT ei.* REPLACE (least(greatest(value, lo), hi) AS value) FROM ei, eb)"""
+
+
+def shown(found):
+    rounded = learning.rounded(found, "current_average", "trend_strength", "forecast_confidence", "predicted_risk")
+    return learning.rounded(rounded, "forecast_avg", places=5)
+
+
+@query("analyze_full", f"WITH {CLEAN_EVENTS}, {ANALYSED.replace('FROM events', 'FROM ev')}")
+def _(data):
+    # The upload is cleaned, and trend, forecast, risk and advice of every series are taken from the cleaned table.
+    config = cleaning.CleaningConfig(
+        normalize=False, reduce_noise=False, clean_text=False, id_columns=("event_id", "user_id", "ts"), order_by=learning.ORDER
+    )
+    found, _ = analysis.analyse_upload(learning.events(data), learning.KEY, learning.ORDER, "value", config)
+    return shown(found)
+
+
+@query("analyze_raw", f"WITH {ANALYSED}")
 def _(data):
-    found = analysis.analyse(learning.events(data), learning.KEY, learning.ORDER, "value")
-    shown = learning.rounded(found, "current_average", "trend_strength", "forecast_confidence")
-    return learning.rounded(shown, "forecast_avg", places=5)
+    return shown(analysis.analyse(learning.events(data), learning.KEY, learning.ORDER, "value"))
+
+
+TERMS = """w AS (SELECT doc_id, lang, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS term FROM documents),
+    c AS (SELECT doc_id, lang, term, count(*) AS uses FROM w WHERE length(term) >= 3 GROUP BY ALL),
+    z AS (SELECT lang, count(DISTINCT doc_id) AS n FROM c GROUP BY 1),
+    t AS (SELECT lang, term, count(*) AS texts FROM c GROUP BY ALL),
+    q AS (SELECT t.*, n, texts / n >= 0.25 AS stop FROM t JOIN z ON t.lang IS NOT DISTINCT FROM z.lang)"""
 
 
 @query(
     "doc_keywords",
-    f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
-    c AS (SELECT doc_id, term, count(*) AS uses FROM w WHERE length(term) >= 3
-        AND term NOT IN ({', '.join(f"'{w}'" for w in keywords.STOP_WORDS)}) GROUP BY 1, 2)
-    SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY uses DESC, term) <= 5""",
+    f"""WITH {TERMS}, k AS (SELECT doc_id, c.term, uses, round(uses * ln((n + 1) / (texts + 1)), 9) AS weight FROM c
+        JOIN q ON c.term = q.term AND c.lang IS NOT DISTINCT FROM q.lang WHERE NOT stop)
+    SELECT doc_id, term, uses, round(weight, 6) AS weight FROM k
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 5""",
 )
 def _(data):
-    return keywords.keywords(data.table("documents"), "doc_id", "text")
+    found = keywords.keywords(data.table("documents"), "doc_id", "text", language="lang")
+    return found.withColumn("weight", F.round("weight", 6))
+
+
+@query("learned_stop_words", f"WITH {TERMS} SELECT lang, term, texts FROM q WHERE stop")
+def _(data):
+    return keywords.stop_words(data.table("documents"), "doc_id", "text", "lang")
 
 
 # ---- streams ----------------------------------------------------------------------------------------------
