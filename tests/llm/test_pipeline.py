@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op9_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_quality_classifier": "doc_id held_out score predicted",
+    "op11_structure_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op12_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_stratified_shards": "doc_id size text_crc32 law shard slot grown_shard",
 }
 
 
@@ -33,11 +36,12 @@ def test_queries_return_a_row_for_each_input(spark, name):
     out = entry.queries()[name](spark, FOLDER)
     assert out.columns[: len(COLUMNS[name].split())] == COLUMNS[name].split()
     data = Dataset(spark, FOLDER)
-    table = {"op4": "pages", "op7": "embeddings", "op8": "conversations"}.get(name.split("_")[0], "documents")
+    tables = {"op4": "pages", "op7": "embeddings", "op8": "conversations", "op11": "conversations", "op12": "embeddings"}
+    table = tables.get(name.split("_")[0], "documents")
     key = out.columns[0]
     want = {r[0] for r in data.table(table).select(key).collect()} | ({-7} if name.startswith("op8") else set())
     found = [r[0] for r in out.select(key).collect()]
-    assert set(found) == want and (len(found) == len(want) or name.startswith("op9"))
+    assert set(found) == want and (len(found) == len(want) or name.startswith(("op9", "op12")))
 
 
 def test_registered():
@@ -113,8 +117,27 @@ def test_packed_sequences_hold_their_token_ids(spark):
 
 
 def test_stages_take_awkward_rows(spark):
-    docs = documents(spark).select("doc_id", "text", "id", "score").withColumn("n_chars", corpus_pipeline.F.lit(0).cast("bigint"))
-    for _, stage in corpus_pipeline.STAGES:
-        for table in (docs, docs.where("false")):
-            out = stage(spark, table, FOLDER)
-            assert out.count() <= max(table.count() * 2, 0) + 100
+    """Nulls, empty and repeated rows: what each stage keeps of them, row by row."""
+    given = documents(spark).select("doc_id", "text", "id", "score").withColumn("n_chars", corpus_pipeline.F.lit(0).cast("bigint"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, given.where("false"), FOLDER).collect() == []
+        rows = [tuple(r) for r in given.collect()]
+        out = [tuple(r) for r in stage(spark, given, FOLDER).collect()]
+        if name == "quality classifier":
+            assert not set(out) - set(rows) and len(out) <= len(rows)
+        elif name == "SimHash near-dedup":
+            sets = {}
+            for row in rows:
+                key = " ".join((row[1] or "").lower().split(" ")) if (row[1] or "").strip() else ""
+                if key not in sets or (row[0] is None, row[0] or 0) < (sets[key][0] is None, sets[key][0] or 0):
+                    sets[key] = row
+            assert {(r[0], r[1] or "") for r in out if r[0] is not None} <= {(r[0], r[1] or "") for r in rows}
+            assert len(out) == len(sets)
+        elif name == "substring dedup":
+            want = []
+            for row, (_, gone, kept) in zip(rows, plain_repeats([r[1] for r in rows], 35)):
+                text = kept if gone else row[1]
+                want.append((row[0], text, *row[2:4], len(text or "")))
+            assert by_text(out) == by_text(want)
+        else:
+            assert sorted(set(map(repr, (r[0] for r in out)))) == sorted(set(map(repr, (r[0] for r in rows))))
