@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import arima, recursive, series
+from tidewell.operators import arima, descent, recursive, series, smoothing
 
 
 def frame(spark, seed=1, sizes=((1, 400), (2, 90), (None, 60), (4, 5))):
@@ -97,11 +97,11 @@ def arima_path(y, phi, theta):
 
 @pytest.mark.parametrize("chunk", [10_000, 30])
 def test_arima_is_the_exact_likelihood(spark, monkeypatch, chunk):
-    monkeypatch.setattr(arima, "CHUNK_ROWS", chunk)
-    monkeypatch.setattr(arima, "FAN_IN", 4)
+    monkeypatch.setattr(arima.Arima, "chunk_rows", chunk)
+    monkeypatch.setattr(descent, "FAN_IN", 4)
     if chunk < 100:
         small_limits(monkeypatch)
-        monkeypatch.setattr(arima, "STEPS", 8)
+        monkeypatch.setattr(descent, "STEPS", 8)
     df = frame(spark)
     got = recursive.forecast_arima(df, ["k"], ["t"], "v", 4).toPandas()
     pdf = df.toPandas().sort_values("t")
@@ -129,47 +129,60 @@ def test_summaries_equal_the_filter_row_by_row():
     total = parts[:, :, :1]
     for k in range(1, 5):
         total = arima.merge(total, parts[:, :, k : k + 1])
-    found = arima.objective(total, np.array([189]))[:, 0]
+    found = arima.Arima().objective(total.transpose(1, 2, 0), np.array([190]))[:, 0]
     np.testing.assert_allclose(found, [filtered(y, *pair)[0] for pair in pairs], rtol=1e-9)
     np.testing.assert_allclose(total[5, :, 0], [filtered(y, *pair)[1] for pair in pairs], rtol=1e-9)
 
 
-def seasonal_brute(y):
-    best = None
-    for alpha, gamma in recursive.Seasonal.grid:
-        level = np.mean(y[:12])
-        season = list(np.array(y[:12]) - level)
-        sse = 0.0
-        for t in range(12, len(y)):
-            e = y[t] - level - season[t % 12]
-            sse += e * e
-            level += alpha * e
-            season[t % 12] += gamma * e
-        if best is None or sse < best[0] - 1e-12:
-            best = (sse, level, season)
-    return [best[1] + best[2][(len(y) + h) % 12] for h in range(4)]
+def smoothed(y, alpha, gamma):
+    """(squared error, next season) of the recursion row by row."""
+    level = np.mean(y[:12])
+    season = list(np.array(y[:12]) - level)
+    sse = 0.0
+    for t in range(12, len(y)):
+        e = y[t] - level - season[t % 12]
+        sse += e * e
+        level += alpha * e
+        season[t % 12] += gamma * e
+    return sse, [level + season[(len(y) + h) % 12] for h in range(4)]
 
 
-@pytest.mark.parametrize("chunk", [10_000, 30])
-@pytest.mark.parametrize("kind", ["seasonal"])
-def test_recursive_forecasts_match_brute_force(spark, monkeypatch, kind, chunk):
-    monkeypatch.setattr(recursive, "CHUNK_ROWS", chunk)
-    monkeypatch.setattr(recursive, "MERGE_FAN_IN", 4)
+@pytest.mark.parametrize("chunk", [9_996, 36])
+def test_seasonal_smoothing_is_never_worse_than_the_grid(spark, monkeypatch, chunk):
+    monkeypatch.setattr(smoothing.Smoothing, "chunk_rows", chunk)
+    monkeypatch.setattr(descent, "FAN_IN", 4)
     if chunk < 100:
         small_limits(monkeypatch)
+        monkeypatch.setattr(descent, "STEPS", 8)
     df = frame(spark)
-    run, brute = {
-        "seasonal": (recursive.forecast_seasonal, seasonal_brute),
-    }[kind]
-    got = run(df, ["k"], ["t"], "v", 4).toPandas()
+    got = recursive.forecast_seasonal(df, ["k"], ["t"], "v", 4).toPandas()
     pdf = df.toPandas().sort_values("t")
+    grid = [k / 10 for k in range(1, 10)]
     for key in (1, 2, None):
-        mine = got[got["k"].isna()] if key is None else got[got["k"] == key]
+        mine = (got[got["k"].isna()] if key is None else got[got["k"] == key]).sort_values("step")
         y = (pdf[pdf["k"].isna()] if key is None else pdf[pdf["k"] == key])["v"].to_numpy()
-        np.testing.assert_allclose(mine.sort_values("step")["forecast"].to_numpy(), brute(y), rtol=1e-8)
+        error, path = smoothed(y, mine["alpha"].iloc[0], mine["gamma"].iloc[0])
+        assert error <= min(smoothed(y, a, g)[0] for a in grid for g in grid) * (1 + 1e-9)
+        np.testing.assert_allclose(mine["forecast"], path, rtol=1e-8)
+        sure = max(0.1, min(1.0, (1 - error / ((y[12:] - y[12:].mean()) ** 2).sum() + 1) / 2))
+        assert mine["confidence"].iloc[0] == pytest.approx(sure, rel=1e-6)
     assert set(got["k"].dropna()) == {1, 2}
 
 
+def test_stretches_of_smoothing_merge_to_the_whole():
+    rng = np.random.default_rng(5)
+    y = 5 + rng.normal(size=131) + np.tile(np.arange(12), 11)[:131]
+    model, free = smoothing.Smoothing(), np.array([[(0.3, -1.0), (-2.0, 2.0), (5.0, -5.0)]])
+    pos = np.arange(131)
+    total = None
+    for at in range(0, 131, 36):
+        part = model.stretch(pos[at : at + 36], [y[at : at + 36]], free)
+        total = part if total is None else model.merge(total, part)
+    np.testing.assert_allclose(model.total(total), model.whole(pos, [y], free), rtol=1e-9, atol=1e-9)
+    for (a, g), found in zip(smoothing.logistic(free[0]), model.whole(pos, [y], free)[:, 0, 0]):
+        assert found == pytest.approx(smoothed(y, a, g)[0], rel=1e-9)
+
+
 def test_arima_recovers_known_parameters(spark):
     rng = np.random.default_rng(7)
     n, phi, theta = 4000, 0.6, 0.3

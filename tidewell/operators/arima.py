@@ -4,36 +4,18 @@ For w[t] = phi w[t-1] + e[t] + theta e[t-1], the differences of a series, the Ka
 u[t] = w[t] - phi w[t-1] - theta / r[t-1] u[t-1], where the relative variance r[t] has a closed form. That is an affine
 recursion, so a filter over many rows is an associative scan, done here by doubling, and a stretch of rows is summarised
 by what it does to the error that enters it: the error that leaves, and the sums of the likelihood as quadratics of it.
-Summaries of neighbouring stretches merge, so a series of any length is one tree of summaries for a candidate.
-
-Candidates begin on a coarse grid and are improved by damped Newton steps, the derivatives being differences over a
-stencil of nine candidates that share one pass. Both parameters are tanh of free ones: stationary and invertible.
+Summaries of neighbouring stretches merge, so a series of any length is one tree of summaries for a candidate. Both
+parameters are tanh of free ones: stationary and invertible.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewell.operators.keyed import join_on, semi_on
+from tidewell.operators.descent import Model
 from tidewell.operators.series import MIN_POINTS
-from tidewell.session import materialise
 
-CHUNK_ROWS = 10_000
-BLOCK_ROWS = 20_000  # rows whose filters run together
 TOGETHER = 13  # candidates whose filters run together
-STEPS = 14
-LIMIT = 3.0  # of the free parameters
-STENCIL = 1e-3
-START = np.array([(a, b) for a in np.linspace(-2.7, 2.7, 13) for b in np.linspace(-2.7, 2.7, 13)])
-AROUND = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]) * STENCIL
-FIELDS = 9  # numbers of a summary: decay, leaving error, three weighted and three plain sums, logarithms
 SMALL = 1e-300
 
 
@@ -103,205 +85,37 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def objective(total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Twice the negative log likelihood at the best innovation variance, without constants: (candidates, series)."""
-    return n * np.log(np.maximum(total[2] / n, SMALL)) + total[8]
-
-
-def newton_step(values: np.ndarray, damping: np.ndarray) -> np.ndarray:
-    """The steps (series, 2) that nine values around each point (9, series) suggest."""
-    f = values.reshape(3, 3, -1)
-    slope = np.stack([f[2, 1] - f[0, 1], f[1, 2] - f[1, 0]]) / (2 * STENCIL)
-    aa = (f[2, 1] - 2 * f[1, 1] + f[0, 1]) / STENCIL**2
-    bb = (f[1, 2] - 2 * f[1, 1] + f[1, 0]) / STENCIL**2
-    ab = (f[2, 2] - f[2, 0] - f[0, 2] + f[0, 0]) / (4 * STENCIL**2)
-    # lift the curvature until it is positive, so that steps lead down
-    middle, apart = (aa + bb) / 2, np.hypot((aa - bb) / 2, ab)
-    lift = np.maximum(0.0, 1e-3 * (np.abs(middle) + apart) + 1e-9 - (middle - apart)) + damping
-    aa, bb = aa + lift, bb + lift
-    determinant = aa * bb - ab * ab
-    step = np.stack([bb * slope[0] - ab * slope[1], aa * slope[1] - ab * slope[0]]) / determinant
-    size = np.maximum(np.abs(step).max(axis=0), SMALL)
-    return -(step * np.minimum(1.0, 0.4 / size)).T
-
-
-class Search:
-    """The points of many series on their way to the optimum; ``ask`` names the candidates of the next pass."""
-
-    def __init__(self, series: int):
-        self.point = np.zeros((series, 2))
-        self.value = np.full(series, np.inf)
-        self.damping = np.zeros(series)
-        self.begun = False
-
-    def ask(self) -> np.ndarray:
-        """(series, candidates, 2)"""
-        if not self.begun:
-            return np.broadcast_to(START, (len(self.point), *START.shape))
-        return np.clip(self.trial[:, None, :] + AROUND, -LIMIT, LIMIT)
-
-    def tell(self, values: np.ndarray) -> None:
-        """The objective at the candidates asked for: (candidates, series)."""
-        if not self.begun:
-            best = values.argmin(axis=0)
-            self.trial, self.begun = START[best].copy(), True
-            return
-        now = values[4]
-        better = now <= self.value
-        self.point[better], self.value[better] = self.trial[better], now[better]
-        step = newton_step(values, self.damping)
-        scale = np.abs(self.value) + 1.0
-        self.damping = np.where(better, self.damping / 10, np.maximum(10 * self.damping, 0.1 * scale))
-        # a point that got worse goes half the way back
-        self.trial = np.where(better[:, None], self.trial + step, (self.point + self.trial) / 2)
-        self.trial = np.clip(self.trial, -LIMIT, LIMIT)
-
-
-def result(free: np.ndarray, total: np.ndarray, n: np.ndarray) -> list[list[float]]:
-    """phi, theta, plain squared error, last error over its relative variance: one row for each series."""
-    phi, theta = np.tanh(free[:, 0]), np.tanh(free[:, 1])
-    last = total[1, 0] / relative_variance(phi, theta, n - 1)
-    return np.column_stack([phi, theta, total[5, 0], last]).tolist()
-
-
-def fit_whole(pos: np.ndarray, w: np.ndarray, before: np.ndarray) -> list[list[float]]:
-    """Fits of consecutive whole series of at most CHUNK_ROWS rows."""
-    starts = np.flatnonzero(pos == 0)
-    n = np.diff(np.append(starts, len(pos))) - 1
-    search = Search(len(starts))
-    for _ in range(STEPS):
-        search.tell(objective(summarise(pos, w, before, starts, search.ask()), n))
-    return result(search.point, summarise(pos, w, before, starts, search.point[:, None, :]), n)
-
-
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pos, y, y1, y2 = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_pos", "y", "y1", "y2"))
-    return pos, y - y1, y1 - y2
-
-
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of whole series, of about BLOCK_ROWS rows."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        begins = np.flatnonzero(batch.column(batch.schema.get_field_index("_pos")).to_numpy() == 0)
-        at = 0
-        for begin in begins.tolist():
-            if rows + begin - at >= BLOCK_ROWS:
-                held.append(batch.slice(at, begin - at))
-                yield _joined(held)
-                held, rows, at = [], 0, begin
-        held.append(batch.slice(at))
-        rows += batch.num_rows - at
-    if rows:
-        yield _joined(held)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-def fit_series(lagged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, fit): the best parameters of each series of ``lagged`` (keys, _pos, y, y1, y2) with enough values."""
-    keys = list(keys)
-    enough = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= MIN_POINTS)
-    enough = materialise(enough)
-    fields = [lagged.schema[k] for k in keys]
-    fitted = T.StructType([*fields, T.StructField("fit", T.ArrayType(T.DoubleType()))])
-    chunked = semi_on(lagged, enough, keys).withColumn("chunk", F.floor(F.col("_pos") / CHUNK_ROWS).cast("bigint"))
-    # The work per row is large and the rows are small, so partitions must not be merged by their bytes.
-    tasks = int(lagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = chunked.repartition(tasks, *keys, "chunk").sortWithinPartitions(*keys, "chunk", "_pos")
-    longest = enough.agg(F.max("points")).first()[0] or 0
-    if longest <= CHUNK_ROWS:
-
-        def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in _blocks(batches):
-                pos, w, before = _columns(block)
-                fits = fit_whole(pos, w, before)
-                first = pa.array(np.flatnonzero(pos == 0))
-                columns = [block.column(block.schema.get_field_index(k)).take(first) for k in keys]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(fits, pa.list_(pa.float64()))], [*keys, "fit"])
-
-        return spread.mapInArrow(whole, fitted)
-    return _fit_long(materialise(spread), enough, keys, longest, fitted)
-
-
-def _fit_long(stretches: DataFrame, sizes: DataFrame, keys: list[str], longest: int, fitted: T.StructType) -> DataFrame:
-    """The same search with a job for each pass: summaries of stretches merge in a tree, series by series."""
-    fields = [sizes.schema[k] for k in keys]
-    state_type = T.StructType([*fields, T.StructField("points", T.LongType()), T.StructField("state", T.BinaryType())])
-    part_type = T.StructType([*fields, T.StructField("chunk", T.LongType()), T.StructField("summary", T.BinaryType())])
-
-    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[[*keys, "points"]].assign(state=[_pack(Search(1)) for _ in range(len(frame))])
-
-    def asked(state: bytes, last: bool) -> np.ndarray:
-        search = _unpack(state)
-        return search.point[:, None, :] if last else search.ask()
-
-    def evaluate(last: bool):
-        def run(frame: pd.DataFrame) -> pd.DataFrame:  # rows of one stretch
-            frame = frame.sort_values("_pos")
-            pos, y, y1, y2 = (frame[c].to_numpy() for c in ("_pos", "y", "y1", "y2"))
-            found = summarise(pos, y - y1, y1 - y2, np.array([0]), asked(frame["state"].iloc[0], last))
-            return frame.iloc[:1][[*keys, "chunk"]].assign(summary=[found.tobytes()])
-
-        return run
-
-    def combine(frame: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for raw in frame.sort_values("chunk")["summary"]:
-            part = np.frombuffer(raw).reshape(FIELDS, -1, 1)
-            total = part if total is None else merge(total, part)
-        out = frame.iloc[:1][[*keys, "_group"]].rename(columns={"_group": "chunk"})
-        return out.assign(summary=[total.tobytes()])
-
-    def totals(state: DataFrame, last: bool) -> DataFrame:
-        parts = join_on(stretches, state, keys).groupBy(*keys, "chunk").applyInPandas(evaluate(last), part_type)
-        left = (longest - 1) // CHUNK_ROWS
-        while left > 0:
-            grouped = materialise(parts).withColumn("_group", F.floor(F.col("chunk") / FAN_IN).cast("bigint"))
-            parts = grouped.groupBy(*keys, "_group").applyInPandas(combine, part_type)
-            left //= FAN_IN
-        return parts.drop("chunk")
-
-    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            states = []
-            for raw, summary, points in zip(frame["state"], frame["summary"], frame["points"]):
-                search = _unpack(raw)
-                search.tell(objective(np.frombuffer(summary).reshape(FIELDS, -1, 1), np.array([points - 1])))
-                states.append(_pack(search))
-            yield frame[[*keys, "points"]].assign(state=states)
-
-    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fits = []
-            for raw, summary, points in zip(frame["state"], frame["summary"], frame["points"]):
-                total = np.frombuffer(summary).reshape(FIELDS, -1, 1)
-                fits.append(result(_unpack(raw).point, total, np.array([points - 1]))[0])
-            yield frame[keys].assign(fit=fits)
+class Arima(Model):
+    """Summaries are nine numbers a candidate: decay, leaving error, three weighted and three plain sums, logarithms."""
 
-    state = materialise(sizes.mapInPandas(begin, state_type))
-    for _ in range(STEPS):
-        state = materialise(join_on(state, totals(state, False), keys).mapInPandas(learn, state_type), replaces=state)
-    return join_on(state, totals(state, True), keys).mapInPandas(finish, fitted)
+    columns = ("y", "y1", "y2")
+    least_rows = MIN_POINTS
+    chunk_rows = 10_000
+    block_rows = 20_000
+    limit = 3.0
+    start = np.array([(a, b) for a in np.linspace(-2.7, 2.7, 13) for b in np.linspace(-2.7, 2.7, 13)])
 
+    def whole(self, pos: np.ndarray, values: list[np.ndarray], free: np.ndarray) -> np.ndarray:
+        y, y1, y2 = values
+        return summarise(pos, y - y1, y1 - y2, np.flatnonzero(pos == 0), free).transpose(1, 2, 0)
 
-FAN_IN = 200
+    def stretch(self, pos: np.ndarray, values: list[np.ndarray], free: np.ndarray) -> np.ndarray:
+        y, y1, y2 = values
+        return summarise(pos, y - y1, y1 - y2, np.array([0]), free)[:, :, 0].T
 
+    def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return merge(left.T, right.T).T
 
-def _pack(search: Search) -> bytes:
-    trial = search.trial[0] if search.begun else [np.nan, np.nan]
-    return np.array([*search.point[0], search.value[0], search.damping[0], float(search.begun), *trial]).tobytes()
+    def total(self, summary: np.ndarray) -> np.ndarray:
+        return summary[:, None]
 
+    def objective(self, total: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Twice the negative log likelihood at the best innovation variance, without constants."""
+        n = rows - 1
+        return n * np.log(np.maximum(total[..., 2] / n, SMALL)) + total[..., 8]
 
-def _unpack(raw: bytes) -> Search:
-    a, b, value, damping, begun, *trial = np.frombuffer(raw)
-    search = Search(1)
-    search.point, search.value, search.damping = np.array([[a, b]]), np.array([value]), np.array([damping])
-    if begun:
-        search.begun, search.trial = True, np.array([trial])
-    return search
+    def result(self, point: np.ndarray, total: np.ndarray, rows: np.ndarray) -> list[list[float]]:
+        """phi, theta, plain squared error, last error over its relative variance: one row for each series."""
+        phi, theta = np.tanh(point[:, 0]), np.tanh(point[:, 1])
+        last = total[0, :, 1] / relative_variance(phi, theta, rows - 2)
+        return np.column_stack([phi, theta, total[0, :, 5], last]).tolist()

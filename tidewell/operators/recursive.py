@@ -1,151 +1,20 @@
 """Forecasts whose fit is a recursion over the series: ARIMA(1,1,1) and additive seasonal smoothing.
 
-The fit of the first is in ``arima``. One step of the second is an affine map of a small state, so a run of rows is summarised by one
-composed map plus the squared error as a quadratic form of the entering state. A series is cut into chunks
-of consecutive rows, each chunk is summarised on its own, and neighbouring summaries merge in a tree. No
-task ever holds more than one chunk of rows or a fixed number of summaries, however long the series.
-
-All parameter candidates are carried at once, as the first axis of every array.
+The recursions are in ``arima`` and ``smoothing``, the search for their parameters in ``descent``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewell.operators import arima
+from tidewell.operators.arima import Arima
+from tidewell.operators.descent import fit_series
 from tidewell.operators.keyed import join_on
 from tidewell.operators.series import clamp_confidence, over_series, with_position
-from tidewell.session import materialise
-
-CHUNK_ROWS = 10_000
-MERGE_FAN_IN = 200
-SEASON = 12
-
-
-class Seasonal:
-    """Simple smoothing with an additive season of twelve: state = level and twelve seasonal terms.
-
-    error = y - level - season, level += alpha error, season += gamma error. A summary holds, per (alpha,
-    gamma), the state map x -> M x + b and the squared error x'Qx + 2 r'x + c of the entering state x.
-    The first twelve rows of a series set its initial state.
-    """
-
-    grid = np.array([(a / 10, g / 10) for a in range(1, 10) for g in range(1, 10)])
-    size = SEASON + 1
-
-    @classmethod
-    def summarise(cls, rows: pd.DataFrame, first: bool) -> np.ndarray | None:
-        n, k = len(cls.grid), cls.size
-        alpha, gamma = cls.grid[:, 0], cls.grid[:, 1]
-        y = rows["y"].to_numpy(dtype=float)
-        place = rows["_pos"].to_numpy() % SEASON + 1
-        m, b, q, r, c = np.zeros((n, k, k)), np.zeros((n, k)), np.zeros((n, k, k)), np.zeros((n, k)), np.zeros(n)
-        if first:
-            if len(y) < 2 * SEASON:
-                return None
-            level = y[:SEASON].mean()
-            b[:] = np.concatenate([[level], y[:SEASON] - level])
-            y, place = y[SEASON:], place[SEASON:]
-        else:
-            m[:] = np.eye(k)
-        for value, j in zip(y, place):
-            const = value - b[:, 0] - b[:, j]
-            c += const * const
-            b[:, 0] += alpha * const
-            b[:, j] += gamma * const
-            if not first:  # the first chunk does not depend on an entering state
-                slope = -(m[:, 0] + m[:, j])
-                q += slope[:, :, None] * slope[:, None, :]
-                r += const[:, None] * slope
-                m[:, 0] += alpha[:, None] * slope
-                m[:, j] += gamma[:, None] * slope
-        return cls._join(m, b, q, r, c)
-
-    @classmethod
-    def _join(cls, m, b, q, r, c) -> np.ndarray:
-        n = len(cls.grid)
-        return np.hstack([m.reshape(n, -1), b, q.reshape(n, -1), r, c[:, None]])
-
-    @classmethod
-    def _parts(cls, s: np.ndarray):
-        n, k = len(cls.grid), cls.size
-        edges = np.cumsum([k * k, k, k * k, k])
-        m, b, q, r, c = np.split(s, edges, axis=1)
-        return m.reshape(n, k, k), b, q.reshape(n, k, k), r, c[:, 0]
-
-    @classmethod
-    def merge(cls, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        ma, ba, qa, ra, ca = cls._parts(left)
-        mb, bb, qb, rb, cb = cls._parts(right)
-        qmid = np.einsum("nij,nj->ni", qb, ba)
-        back = ma.transpose(0, 2, 1)
-        return cls._join(
-            mb @ ma,
-            np.einsum("nij,nj->ni", mb, ba) + bb,
-            qa + back @ qb @ ma,
-            ra + np.einsum("nij,nj->ni", back, qmid + rb),
-            ca + cb + np.einsum("ni,ni->n", ba, qmid + 2 * rb),
-        )
-
-    @classmethod
-    def shape(cls) -> tuple[int, ...]:
-        k = cls.size
-        return (len(cls.grid), 2 * (k * k + k) + 1)
-
-    @classmethod
-    def best(cls, total: np.ndarray) -> list[float]:
-        """alpha, gamma, squared error, level and the twelve seasonal terms of the best candidate."""
-        _, b, _, _, c = cls._parts(total)
-        i = int(np.argmin(c))
-        return [*cls.grid[i], c[i], *b[i]]
-
-
-def _fit(placed: DataFrame, keys: Sequence[str], model) -> DataFrame:
-    """Best parameters of each series as an array column ``fit``."""
-    key_fields = [placed.schema[k] for k in keys]
-    schema = T.StructType(
-        [*key_fields, T.StructField("chunk", T.LongType()), T.StructField("summary", T.BinaryType())]
-    )
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        found = model.summarise(pdf, first=pdf["chunk"].iloc[0] == 0)
-        out = pdf.iloc[:1][[*keys, "chunk"]]
-        if found is None:
-            return out.iloc[:0].assign(summary=pd.Series(dtype=object))
-        return out.assign(summary=[found.tobytes()])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for raw in pdf.sort_values("chunk")["summary"]:
-            part = np.frombuffer(raw).reshape(model.shape())
-            total = part if total is None else model.merge(total, part)
-        out = pdf.iloc[:1][[*keys, "_group"]].rename(columns={"_group": "chunk"})
-        return out.assign(summary=[total.tobytes()])
-
-    def choose(batches):
-        for pdf in batches:
-            fits = [[float(x) for x in model.best(np.frombuffer(raw).reshape(model.shape()))] for raw in pdf["summary"]]
-            yield pdf[list(keys)].assign(fit=fits)
-
-    chunked = placed.withColumn("chunk", F.floor(F.col("_pos") / CHUNK_ROWS).cast("bigint"))
-    # The work per row is large and the rows are small, so partitions must not be merged by their bytes.
-    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = chunked.repartition(tasks, *keys, "chunk")
-    parts = spread.groupBy(*keys, "chunk").applyInPandas(summarise, schema)
-    longest = chunked.agg(F.max("chunk")).first()[0] or 0
-    while longest > 0:
-        grouped = materialise(parts).withColumn("_group", F.floor(F.col("chunk") / MERGE_FAN_IN).cast("bigint"))
-        parts = grouped.groupBy(*keys, "_group").applyInPandas(merge, schema)
-        longest //= MERGE_FAN_IN
-    fit_schema = T.StructType([*key_fields, T.StructField("fit", T.ArrayType(T.DoubleType()))])
-    return parts.mapInPandas(choose, fit_schema)
+from tidewell.operators.smoothing import SEASON, Smoothing
 
 
 def _series(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -170,7 +39,7 @@ def forecast_arima(
         placed, keys, ["_pos"], 2, 0, lambda w: {"y1": F.lag("y", 1).over(w), "y2": F.lag("y", 2).over(w)}
     ).select(*keys, "_pos", "y", "y1", "y2")
     last = F.max_by(F.struct("y", "y1"), "_pos").alias("_last")
-    joined = join_on(arima.fit_series(lagged, keys), _spread(lagged, keys, 1, last), keys)
+    joined = join_on(fit_series(lagged, keys, Arima()), _spread(lagged, keys, 1, last), keys)
     phi, theta, error = F.col("fit")[0], F.col("fit")[1], F.col("fit")[3]
     first = phi * (F.col("_last.y") - F.col("_last.y1")) + theta * error
     steps = joined.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))
@@ -187,7 +56,7 @@ def forecast_seasonal(
 ) -> DataFrame:
     """Additive seasonal smoothing forecasts of every series with at least two seasons."""
     placed = _series(df, keys, order, value).select(*keys, "_pos", "y")
-    joined = join_on(_fit(placed, keys, Seasonal), _spread(placed, keys, SEASON), keys)
+    joined = join_on(fit_series(placed, keys, Smoothing()), _spread(placed, keys, SEASON), keys)
     steps = joined.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))
     slot = (F.col("points") + F.col("step") - 1) % SEASON
     season = F.element_at("fit", (slot + 5).cast("int"))
