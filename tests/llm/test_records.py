@@ -78,6 +78,19 @@ def test_packed_and_plain_files_read_alike(spark):
     assert found[0] == found[1] and len(found[0]) == 40
 
 
+def test_files_are_bounded_by_their_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "SIZES", (100, 1000, 1 << 31))
+    rng = random.Random(2)
+    rows = [(k, f"u{k}", "x" * rng.choice([0, 3, 90, 400, 999, 1500, 20_000]) + str(k)) for k in range(300)]
+    index = warc.archive_index(pages(spark, rows).coalesce(1), path=f"file://{tmp_path}/w").collect()
+    assert by_text((r.id, r.payload_bytes, r.record_type) for r in index) == by_text((k, len(t), "response") for k, _, t in rows)
+    held = {}
+    for r in index:
+        held.setdefault(r.run, []).append(r.payload_bytes)
+    assert all(sum(sizes) <= 4000 or len(sizes) == 1 for sizes in held.values()) and len(held) > 60
+
+
 def test_no_pages(spark):
     assert warc.archive_index(pages(spark, [])).count() == 0
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import kind, pick, stored
 from tidewell.session import new_path
 
+FILE_BYTES = 64 << 20  # of payload in a file of several records
+SIZES = (64 << 10, 1 << 20, 16 << 20, 1 << 31)  # largest payloads of the classes that share files
 END = "\r\n\r\n"
 EPOCH = "2024-01-01 00:00:00"
 GZIP = b"\x1f\x8b"  # fixed value: how a gzip stream begins
@@ -68,15 +70,28 @@ def with_decisions(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.withColumn("newest", F.when(~own, F.col("newest")))
 
 
-def write_archives(
-    pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 2000, compression: str = "gzip"
-) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip") -> None:
     """Write one record per row of (id, url, payload, seconds) as WARC files under ``path``.
 
     ``seconds`` is the capture time since 1970. Revisit records keep the HTTP header, with the payload's length, and
-    leave the payload out.
+    leave the payload out. Pages of one class of sizes share files, as many to a file as keep it to about FILE_BYTES or one
+    page, so that whoever reads a file may hold it. A table without large pages is one write.
     """
-    rows = with_decisions(pages, least_bytes)
+    largest = pages.agg(F.max(F.octet_length("payload"))).first()[0] or 0
+    below = -1
+    for top in SIZES:
+        most = max(1, FILE_BYTES // top)
+        _write_some(pages, path, least_bytes, below, top, most, compression)
+        if largest <= top:
+            break
+        below = top
+
+
+def _write_some(
+    pages: DataFrame, path: str, least_bytes: int, below: int, top: int, records_per_file: int, compression: str
+) -> None:
+    """Records of the pages of more than ``below`` and at most ``top`` bytes."""
+    rows = with_decisions(pages, least_bytes).where((F.col("bytes") > below) & (F.col("bytes") <= top))
     revisit = F.col("newest").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(
@@ -102,7 +117,7 @@ def write_archives(
     )
     lines = rows.withColumn("http", http).select(record.alias("value"))
     writer = lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
-    writer.option("compression", compression).text(path)
+    writer.mode("append").option("compression", compression).text(path)
 
 
 def url_key(url: str | None) -> str:
