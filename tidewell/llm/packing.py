@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ from tidewell.llm.byte_bpe import MergeReplay, gather
 from tidewell.llm.common import kind, pick, slices, spark_of, stored, vocabulary_bytes
 
 SLICE_BYTES = 4 << 20  # of texts that are encoded together
-KNOWN_WORDS, KNOWN_BYTES = 1_000_000, 64 << 20  # what a task remembers of words before it begins anew
+KNOWN_WORDS, KNOWN_BYTES = 1_000_000, 64 << 20  # what a process remembers of words before it begins anew
 LONG = 128  # bytes of a piece that is merged in rounds
 FOREIGN = re.compile("[^\x00-\u024f]")  # beyond these, lower-casing and normal forms are the library's
 SPECIAL = "<|"  # fixed value: how the special tokens of the vocabulary begin
@@ -216,7 +217,7 @@ def merge_words(symbol: np.ndarray, lengths: np.ndarray, rank_of: PairTable, tok
 class WordTokenizer:
     """Ids of texts under a BPE definition that drops white space and marks word ends.
 
-    Texts are split at ASCII white space and their words numbered in Arrow; a word that a task has met before keeps its
+    Texts are split at ASCII white space and their words numbered in Arrow; a word that was met before keeps its
     ids, the new ones of a slice are merged together. Words of Latin letters that may end in punctuation stay in Arrow up
     to their bytes; other words are split one by one. Words beyond Latin letters, where normal forms and new characters
     matter, and words that hold a special token go to the library in one call; the tests hold all ids against it. No
@@ -342,6 +343,12 @@ class WordTokenizer:
         return out, widths
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(definition: bytes) -> WordTokenizer:
+    """One tokenizer for a worker process, with the words that its tasks have met."""
+    return WordTokenizer(definition)
+
+
 def byte_letters() -> list[str]:
     """The letter by which byte-level vocabularies write each byte: printable ones themselves, the others from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -368,7 +375,7 @@ def cut_documents(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
         for batch in slices(batches, "text", SLICE_BYTES):
-            tokenizer = tokenizer or WordTokenizer(shared.value)
+            tokenizer = tokenizer or word_tokenizer(shared.value)
             ids, rows = tokenizer.encode(batch.column(1), end_id)
             pieces = -(-np.diff(rows) // capacity)
             of = np.repeat(np.arange(len(pieces)), pieces)
