@@ -186,22 +186,24 @@ def standardise(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 # The types a text column may turn into, in order.
 TYPES = ("bigint", "double", "timestamp_ntz")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-# Texts that are a time are at least a year and at most a date with time, fraction and zone.
-TIME_LENGTH = (4, 64)
+# What a number or a time looks like from its beginning: a year, or digits and points to the end.
+MAYBE = r"^[+-]?(\d{4}|[\d.]+([eE][+-]?\d+)?[^\x21-\x7e]*$)"
 
 
 def _unfit(value: Column) -> Column:
     """The types, as bits in their order, that a text does not parse as.
 
-    Numbers and times begin with a digit, sign or point. Most other texts are told by their first character, which is
+    Numbers and times begin with a digit, sign or point. Most other texts are told by their first characters, which are
     looked at before white space is cut off, the type checks and the cut being the costly part.
     """
     first = F.ascii(value)
-    other = first.between(33, 42) | first.between(58, 127)
+    other = first.between(33, 42) | first.between(58, 127) | (first.between(43, 57) & ~value.rlike(MAYBE))
     cut = strip(value)
-    whole = F.when(cut.try_cast("bigint").isNull(), 1).otherwise(0)
+    # A cast that fails costs as much as many patterns, so it is left to the few texts that may be too large.
+    sized = cut.rlike(r"^[+-]?\d{1,18}$") | (cut.rlike(r"^[+-]?\d{19,}$") & cut.try_cast("bigint").isNotNull())
+    whole = F.when(sized, 0).otherwise(1)
     number = F.when(cut.rlike(NUMBER), 0).otherwise(2)
-    time = F.when(F.length(cut).between(*TIME_LENGTH) & cut.try_cast("timestamp_ntz").isNotNull(), 0).otherwise(4)
+    time = F.when(cut.try_cast("timestamp_ntz").isNotNull(), 0).otherwise(4)
     return F.when(value.isNull(), None).when(other, 7).otherwise(whole + number + time)
 
 

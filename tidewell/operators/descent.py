@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tidewell.operators.keyed import join_on, semi_on
 from tidewell.session import materialise
 
-STEPS = 14
+STEPS = 11
 STENCIL = 1e-3
 AROUND = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]) * STENCIL
 FAN_IN = 200

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import col
 from tidewell.operators.ranking import top_n_per_key
+from tidewell.session import materialise
 
 STOP_SHARE = 0.25  # a term in at least this share of a language's texts says nothing about one of them
 SHORTEST = 3
@@ -41,7 +42,7 @@ def keywords(
     term. Terms of a quarter of a language's texts or more are its stop words and left out: they are learned, so they need
     no list, and no term that is left has more than a small share of all rows when frequencies are joined back.
     """
-    counted = term_counts(df, key, text, language, shortest)
+    counted = materialise(term_counts(df, key, text, language, shortest))  # read once for the corpus, once for the texts
     frequencies = document_frequencies(counted)
     same = [F.col("lang").eqNullSafe(F.col("of")), F.col("term") == F.col("word")]
     # A text has few distinct terms, so few terms can be in a quarter of all: this side is small at any size.
@@ -56,4 +57,4 @@ def keywords(
 
 def stop_words(df: DataFrame, key: str, text: str, language: str | None = None) -> DataFrame:
     """(lang, term, texts): the learned stop words of each language."""
-    return document_frequencies(term_counts(df, key, text, language)).where("stop").select("lang", "term", "texts")
+    return document_frequencies(materialise(term_counts(df, key, text, language))).where("stop").select("lang", "term", "texts")

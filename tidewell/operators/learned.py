@@ -23,8 +23,8 @@ from tidewell.functions.columns import col
 from tidewell.session import discard, materialise
 
 HIDDEN = 6
-FIRST, LARGEST = 4096, 1 << 20  # rows of a batch
-STEPS = 8  # most jobs spent on a batch
+FIRST, LARGEST = 1 << 14, 1 << 20  # rows of a batch
+STEPS = 6  # most jobs spent on a batch
 RIDGE = 1.0  # prior precision of the weights before the first batch
 FORGET = 1.0  # share of the prior kept at each batch; below 1 old batches fade
 ENOUGH = 1e-5  # relative fall of the loss at which a batch is done

@@ -187,7 +187,8 @@ def grouped_quantiles(
     inside) travel as one row; groups of ``RANKED_VALUES`` at most keep their whole range as bracket.
     """
     keys = list(keys)
-    values = df.where(col(column).isNotNull()).select(*map(col, keys), col(column).cast("double").alias("_v"))
+    # Read several times, and narrow whatever it comes from.
+    values = materialise(df.where(col(column).isNotNull()).select(*map(col, keys), col(column).cast("double").alias("_v")))
     sizes = values.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_n"))
     spot = [
         F.struct(F.lit(k), (F.col("_n") - 1) * F.lit(float(p)), *[F.lit(None)] * 2, *[F.lit(0)] * 2, "_n", F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import history, predict, profile, recursive, series
-from tidewell.session import new_path
+from tidewell.session import materialise, new_path
 from tidewell.sources.store import DatasetStore
 from tidewell.workloads.metadata import AS_OF
 from tidewell.workloads.registry import query
@@ -245,7 +245,7 @@ def _(data):
 
 def quality_net(data):
     """Learned from the finished batches and stored, then taken up again for the rest."""
-    features = history.quality_features(data.data_quality_scores)
+    features = materialise(history.quality_features(data.data_quality_scores))
     store = DatasetStore(data.spark, new_path(data.spark, "models"))
     history.continue_quality_net(features, RUNS, store)
     return features, history.continue_quality_net(features, RUNS, store, close=True)
