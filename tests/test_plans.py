@@ -1,10 +1,13 @@
 import datetime as dt
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from tests import oracle
 from tidewell.operators import clean, history, predict, rollups
 from tidewell.operators.scope import Principal, scoped_raw
 from tidewell.plans import cleaning, progress
@@ -249,6 +252,23 @@ def test_recommendation_rules(spark):
     assert predict.recommendation_rows(predict.recommendations(df), "k").count() == 5
 
 
+
+def test_recommendation_figures_round_as_sql(spark, tmp_path):
+    """23 errors of 80 events are a risk of 0.575, whose double lies below the half."""
+    risks = [(errors, n) for n in (40, 80, 200, 240) for errors in range(n // 5, n // 2)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    for user, (errors, n) in enumerate(risks):
+        con.execute(
+            """INSERT INTO events SELECT i, TIMESTAMP '2024-01-01' + i * INTERVAL 1 MINUTE, ?,
+            CASE WHEN i < ? THEN 'error' ELSE 'view' END, 10 + i % 3 FROM range(?) r(i)""", [user, errors, n]
+        )
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    name = "recommendations_exploded"
+    ok, message = oracle.compare(spark, con, name, str(tmp_path), entry.queries(), entry.oracle_sql())
+    assert ok, message
+
+
 def test_risk_needs_rows(spark):
     tiny = spark.range(5).select("id", F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
     assert predict.predict_risk(tiny, ["x"], "y", ["id"]).count() == 0

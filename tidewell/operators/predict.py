@@ -107,7 +107,8 @@ def recommendations(predictions: DataFrame) -> DataFrame:
     Reads forecast_avg, current_average, trend, predicted_risk and anomaly_count; null fields give no advice.
     """
     now, ahead, risk, odd = (F.col(c) for c in ("current_average", "forecast_avg", "predicted_risk", "anomaly_count"))
-    shown = F.format_string("%.2f", F.round(risk, 2))
+    # Halves are decided on the double, as SQL's round does; F.round would decide them on its decimal digits.
+    shown = F.format_string("%.2f", F.floor(risk * 100 + 0.5) / 100)
     rules = [
         _advice("growth", ahead > now * 1.1),
         _advice("decline", ahead < now * 0.9),
