@@ -179,6 +179,19 @@ def test_empty_tables(spark):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
+def test_idle_workers_hold_no_words(spark):
+    definition = open(WORDS, "rb").read()
+    assert packing.cut_documents(documents(spark), WORDS, 64, 0, keep_ids=True).count() > 0
+
+    def held(batches):
+        for batch in batches:
+            known = len(packing.word_tokenizer(definition).known)
+            yield pa.RecordBatch.from_arrays([pa.array([known] * batch.num_rows, pa.int64())], ["known"])
+
+    rows = spark.range(64, numPartitions=16).mapInArrow(held, "known bigint").collect()
+    assert {row["known"] for row in rows} == {0}
+
+
 def test_a_vocabulary_has_a_bounded_size(tmp_path, monkeypatch):
     from tidewell.llm import common
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.byte_bpe import MergeReplay, gather
-from tidewell.llm.common import kind, pick, slices, spark_of, stored, vocabulary_bytes
+from tidewell.llm.common import give_back, kind, pick, slices, spark_of, stored, vocabulary_bytes
 
 SLICE_BYTES = 4 << 20  # of texts that are encoded together
 KNOWN_WORDS, KNOWN_BYTES = 1_000_000, 64 << 20  # what a process remembers of words before it begins anew
@@ -251,16 +251,16 @@ class WordTokenizer:
         size = 1 + max(vocabulary.values())
         self.rank_of = PairTable(pairs, size)
         self.replay = MergeReplay(pairs, self.token, size)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.lists = pa.array([], IDS)
 
     def _learn(self, words: pa.Array) -> np.ndarray:
         """The place of each word's ids in ``lists``; new words are encoded."""
         if len(self.known) > KNOWN_WORDS or self.known.nbytes + self.lists.nbytes > KNOWN_BYTES:
-            self._forget()
+            self.forget()
         place = pc.index_in(words, value_set=self.known)
         fresh = pc.is_null(place)
         number = pc.fill_null(place, -1).to_numpy().astype("i8")
@@ -345,7 +345,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def word_tokenizer(definition: bytes) -> WordTokenizer:
-    """One tokenizer for a worker process, with the words that its tasks have met."""
+    """One tokenizer for a worker process; the words that it has met are dropped at the end of a task."""
     return WordTokenizer(definition)
 
 
@@ -372,25 +372,31 @@ def cut_documents(
     """
     shared = spark_of(docs).sparkContext.broadcast(vocabulary_bytes(tokenizer_path))
 
+    def cut(batch: pa.RecordBatch, tokenizer: WordTokenizer) -> pa.RecordBatch:
+        ids, rows = tokenizer.encode(batch.column(1), end_id)
+        pieces = -(-np.diff(rows) // capacity)
+        of = np.repeat(np.arange(len(pieces)), pieces)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        first = rows[of] + start
+        length = np.minimum(rows[of + 1] - first, capacity)
+        view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        crc = [zlib.crc32(view[4 * at : 4 * (at + n)]) for at, n in zip(first.tolist(), length.tolist())]
+        out = [batch.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
+        out += [pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        if keep_ids:  # pieces stand in the order of their ids
+            out.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids)))
+        names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
+        return pa.RecordBatch.from_arrays(out, names[: len(out)])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
-        for batch in slices(batches, "text", SLICE_BYTES):
-            tokenizer = tokenizer or word_tokenizer(shared.value)
-            ids, rows = tokenizer.encode(batch.column(1), end_id)
-            pieces = -(-np.diff(rows) // capacity)
-            of = np.repeat(np.arange(len(pieces)), pieces)
-            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = piece * capacity
-            first = rows[of] + start
-            length = np.minimum(rows[of + 1] - first, capacity)
-            view = memoryview(ids.astype("<u4", copy=False)).cast("B")
-            crc = [zlib.crc32(view[4 * at : 4 * (at + n)]) for at, n in zip(first.tolist(), length.tolist())]
-            out = [batch.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64())]
-            out += [pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            if keep_ids:  # pieces stand in the order of their ids
-                out.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids)))
-            names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays(out, names[: len(out)])
+        tokenizer = word_tokenizer(shared.value)
+        try:
+            for batch in slices(batches, "text", SLICE_BYTES):
+                yield cut(batch, tokenizer)
+        finally:  # the worker waits for its next task without the words of this one
+            tokenizer.forget()
+            give_back()
 
     schema = f"id {kind(docs, id_column)}, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = pick(docs, id=id_column, text=text_column).mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
