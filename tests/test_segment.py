@@ -54,6 +54,21 @@ def test_dbscan_equals_brute_force(spark, monkeypatch, dims, split):
     assert {r["id"] for r in segment.core_points(df, "id", names, 0.5, 5).collect()} == core
 
 
+def test_dense_cells_need_no_split(spark, monkeypatch):
+    """Cells of one dense cloud are joined by their middle points, so no pair of them is split into boxes."""
+    monkeypatch.setattr(segment, "FREE_PAIRS", 0)
+    monkeypatch.setattr(segment, "PAIRS_PER_POINT", 0)
+    splits, part = [], segment._Grid.part
+    monkeypatch.setattr(segment._Grid, "part", lambda grid, split: splits.append(split) or part(grid, split))
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, xy)) for i, xy in enumerate(rng.uniform(0, 4, (800, 3)))]
+    rows += [(1000 + i, *map(float, xy)) for i, xy in enumerate(rng.uniform(50, 51, (30, 3)))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    found = {(r["id"] >= 1000, r["outlier"]) for r in segment.dbscan(df, "id", ["a", "b", "c"], 1.5, 4).collect()}
+    assert found == {(False, 0), (True, 1000)}
+    assert max(splits) == 0
+
+
 def test_dbscan_without_numbers(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, t string")
     assert [r["outlier"] for r in segment.dbscan(df, "id").collect()] == [-1, -1]

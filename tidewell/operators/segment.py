@@ -136,9 +136,24 @@ def _box_bounds(grid: _Grid) -> tuple[Column, Column]:
     return low, high
 
 
-def _boxes(core: DataFrame, grid: _Grid, keys: Sequence[str]) -> DataFrame:
+def _boxes(core: DataFrame, grid: _Grid, keys: Sequence[str], *more: Column) -> DataFrame:
     edges = [f(x).alias(f"{b}_{x}") for x in grid.xs for b, f in (("lo", F.min), ("hi", F.max))]
-    return core.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *edges)
+    return core.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *edges, *more)
+
+
+def _middle(grid: _Grid) -> Column:
+    """The point of a cell that lies nearest to the cell's centre."""
+    gaps = [F.pow(F.col(x) - (F.col(c) + 0.5) * grid.side, 2) for x, c in zip(grid.xs, grid.cells)]
+    return F.min_by(F.struct(*grid.xs), sum(gaps[1:], gaps[0])).alias("mid")
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component yet."""
+    for side in "ab":
+        names = {"node": f"_{side}", "component": f"_in_{side}"}
+        pairs = pairs.join(parts.withColumnsRenamed(names), F.col(side) == F.col(f"_{side}"), "left")
+    differ = F.coalesce("_in_a", "a") != F.coalesce("_in_b", "b")
+    return pairs.where(differ).drop("_a", "_b", "_in_a", "_in_b")
 
 
 def _side(boxes: DataFrame, side: str) -> DataFrame:
@@ -146,13 +161,14 @@ def _side(boxes: DataFrame, side: str) -> DataFrame:
 
 
 def _cell_edges(core: DataFrame, grid: _Grid) -> DataFrame:
-    """(a, b): core cells with a core pair within eps. ``core`` carries its cell's ``node``.
+    """(a, b): links between core cells, of the same components as all cells with a core pair within eps.
 
-    Cell pairs are decided by the tight boxes around their points; undecided pairs are split into smaller
-    boxes until the boxes decide or few enough points are left to compare.
+    ``core`` carries its cell's ``node``. Cell pairs are decided by the tight boxes around their points and by the points
+    nearest to the cells' centres. An undecided pair matters only while its cells are in different components; such
+    pairs are split into smaller boxes until the boxes decide or few enough points are left to compare.
     """
     limit = grid.eps * grid.eps
-    cells = materialise(_boxes(core, grid, ["node", *grid.cells]))
+    cells = materialise(_boxes(core, grid, ["node", *grid.cells], _middle(grid)))
     left = grid.around(_side(cells, "a").withColumnsRenamed({f"a_{c}": c for c in grid.cells})).drop(*grid.cells)
     match = F.col("a_node") < F.col("b_node")
     for i, c in enumerate(grid.sought):
@@ -161,11 +177,12 @@ def _cell_edges(core: DataFrame, grid: _Grid) -> DataFrame:
     low, high = _box_bounds(grid)
     pairs = materialise(
         pairs.where(low <= limit).select(
-            F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_m"), F.col("b_m"), (high <= limit).alias("sure")
+            F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_m"), F.col("b_m"),
+            ((high <= limit) | grid.near("a_mid.", "b_mid.")).alias("sure"),
         )
     )
-    edges = pairs.where("sure").select("a", "b")
-    open_pairs = pairs.where("NOT sure").select("a", "b", "a_m", "b_m")
+    parts = connected_components(pairs.where("sure").select("a", "b"))
+    open_pairs = materialise(_apart(pairs.where("NOT sure").select("a", "b", "a_m", "b_m"), parts))
     points = core.count()
     split = 0
     subs = [f"s{i}" for i in range(grid.dims)]
@@ -189,10 +206,8 @@ def _cell_edges(core: DataFrame, grid: _Grid) -> DataFrame:
             open_pairs.where(low <= limit).select("a", "b", "a_m", "b_m", *kept, (high <= limit).alias("sure"))
         )
         won = judged.where("sure").select("a", "b").distinct()
-        edges = edges.unionByName(won)
-        gone = won.withColumnsRenamed({"a": "_wa", "b": "_wb"})
-        rest = judged.where("NOT sure").drop("sure")
-        open_pairs = materialise(rest.join(gone, (F.col("a") == F.col("_wa")) & (F.col("b") == F.col("_wb")), "left_anti"))
+        parts = connected_components(_links(parts).unionByName(won))
+        open_pairs = materialise(_apart(judged.where("NOT sure").drop("sure"), parts))
     located = core.withColumns(dict(zip(subs, grid.part(split)))).select("node", *grid.xs, *subs)
     for side in "ab":
         child = located.withColumnsRenamed({"node": f"{side}_node", **{x: f"{side}_{x}" for x in grid.xs}, **{s: f"{side}_{s}" for s in subs}})
@@ -202,7 +217,12 @@ def _cell_edges(core: DataFrame, grid: _Grid) -> DataFrame:
                 same = same & (F.col(f"{side}_up_{s}") == F.col(f"{side}_{s}"))
         open_pairs = open_pairs.join(child, same)
     close = open_pairs.where(grid.near("a_", "b_")).select("a", "b").distinct()
-    return materialise(edges.unionByName(close).distinct())
+    return materialise(_links(parts).unionByName(close).distinct())
+
+
+def _links(parts: DataFrame) -> DataFrame:
+    """Each node of a component beside its centre."""
+    return parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
