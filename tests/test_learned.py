@@ -88,6 +88,24 @@ def test_learning_equals_plain_batches_and_goes_on(spark):
     assert closed.position == 1400 and learned.learn(rows, closed, "y", "at") is closed
 
 
+def test_a_batch_reads_its_own_folder(spark, monkeypatch):
+    seen = []
+
+    def look(batch, state):
+        plan = batch._jdf.queryExecution().executedPlan().toString()
+        seen.append(("PartitionFilters: [isnotnull(_batch" in plan, batch.count()))
+        return state
+
+    monkeypatch.setattr(learned, "_learn_batch", look)
+    rows = spark.createDataFrame(curved(4000))
+    learned.learn(rows, learned.new_state(("a", "b")), "y", "at", close=True)
+    position, sizes = 0, []
+    while position < 4000:
+        sizes.append(min(learned.batch_size(position), 4000 - position))
+        position += sizes[-1]
+    assert seen == [(True, n) for n in sizes]
+
+
 def test_the_hidden_layer_beats_a_linear_model_on_unseen_rows(spark):
     rows = spark.createDataFrame(curved(4000))
     train, test = rows.where("at < 3200"), rows.where("at >= 3200")

@@ -11,6 +11,7 @@ history, later with its size over ``LARGEST``. Rows of an unfinished batch wait,
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -63,6 +64,17 @@ def batch_size(position: int) -> int:
     return min(max(position, FIRST), LARGEST)
 
 
+def _batch_number(position: Column, start: int) -> Column:
+    """The number of the batch that holds a position, for batches that begin at ``start``."""
+    begins = [start]
+    while batch_size(begins[-1]) < LARGEST:
+        begins.append(begins[-1] + batch_size(begins[-1]))
+    number = F.lit(len(begins) - 1) + F.floor((position - begins[-1]) / LARGEST)  # batches of one size from here on
+    for k in range(len(begins) - 1, 0, -1):
+        number = F.when(position < begins[k], F.lit(k - 1)).otherwise(number)
+    return number.cast("bigint")
+
+
 def _split(weights: np.ndarray, n: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray, np.ndarray]:
     """(linear weights, bias, hidden weights, hidden biases, output weights)."""
     hidden = (len(weights) - n - 1) // (n + 2)
@@ -116,16 +128,17 @@ def learn(
     end = picked.agg(F.max("_at")).first()[0]
     if end is None or end < state.position:
         return state
-    # Sorted by position, so that a batch reads its own files only.
-    table = materialise(picked.where(known).dropna().repartitionByRange("_at").sortWithinPartitions("_at"))
+    # A folder for each batch, so that a step reads its own files only, however long the history is.
+    numbered = picked.where(known).dropna().withColumn("_batch", _batch_number(F.col("_at"), state.position))
+    table = materialise(numbered.repartitionByRange("_batch", "_at"), folders=("_batch",))
     begun = state
-    while True:
+    for number in itertools.count():
         stop = state.position + batch_size(state.position)
         if stop > end + 1:
             if not close or state.position > end:
                 break
             stop = end + 1
-        batch = table.where((F.col("_at") >= state.position) & (F.col("_at") < stop)).drop("_at")
+        batch = table.where(F.col("_batch") == number).drop("_batch", "_at")
         state = replace(_learn_batch(batch, state), position=stop)
     discard(table)
     return replace(state, version=begun.version + 1) if state.position > begun.position else begun

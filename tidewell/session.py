@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,14 +50,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+def materialise(df: DataFrame, replaces: DataFrame | None = None, folders: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as a table in the shared folder, so later jobs neither recompute nor lose it.
 
     The table is columnar, so later passes read only their columns, and its size is known to the planner. A loop
-    names the table of its last round in ``replaces``; it is deleted once the new one is complete.
+    names the table of its last round in ``replaces``; it is deleted once the new one is complete. Rows that differ in the
+    columns ``folders`` lie in folders of their own.
     """
     path = new_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.table_path = path
     if replaces is not None:
