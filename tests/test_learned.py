@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import history, learned
 from tidewell.session import new_path
 from tidewell.sources.store import DatasetStore
+from tidewell.workloads import QUERIES
 
 
 def curved(n, seed=0):
@@ -150,3 +151,8 @@ def test_quality_net_is_stored_by_version(spark):
     np.testing.assert_allclose(once.weights, last.weights, rtol=1e-6, atol=1e-8)
     ranked = history.rank_candidates(later, ("N", "R", "A"), last).collect()
     assert len(ranked) == 3 and all(0 <= r["predicted_quality"] <= 1 for r in ranked)
+
+
+def test_quality_model_reads_stored_features(spark):
+    out = QUERIES["quality_model"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()

@@ -239,7 +239,7 @@ def _(data):
 
 @query("quality_model")
 def _(data):
-    features = history.quality_features(data.data_quality_scores)
+    features = materialise(history.quality_features(data.data_quality_scores))  # read by the fit and by the predictions
     return history.predicted_quality(features, RUNS, history.train_quality_model(features, RUNS))
 
 
@@ -265,7 +265,7 @@ def _(data):
 
 @query("best_candidate")
 def _(data):
-    features = history.quality_features(data.data_quality_scores)
+    features = materialise(history.quality_features(data.data_quality_scores))
     ranked = history.rank_candidates(features, RUNS, history.train_quality_model(features, RUNS))
     return history.best_candidate(ranked)
 
