@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators import forest
 from tidewell.operators.series import clamp_confidence
 from tidewell.session import materialise
 
@@ -141,19 +140,28 @@ def predict_risk(
 
     One row per feature; empty when too few rows have all features.
     """
-    rows = df.na.drop(subset=[*features, target]).select(*key, *features, F.col(target).cast("double").alias("_y"))
-    split = VectorAssembler(inputCols=list(features), outputCol="_x").transform(train_share(rows, key))
-    if rows.count() < RISK_MIN_ROWS:
-        names = "feature string, importance double, predicted_risk double, test_score double, confidence double"
-        return df.sparkSession.createDataFrame([], names)
-    forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, seed=42, subsamplingRate=1.0)
-    model = forest.fit(split.where("is_train").select("_x", "_y"))
-    tested = model.transform(split.where("NOT is_train").select("_x", "_y"))
-    error = F.sum(F.pow(F.col("_y") - F.col("prediction"), 2))
-    r2 = 1 - F.try_divide(error, F.var_pop("_y") * F.count("_y"))
+    names = [f"_x{i}" for i in range(len(features))]
+    rows = train_share(df.na.drop(subset=[*features, target]), key).select(
+        "is_train", F.col(target).cast("double").alias("y"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, names)]
+    )
+    cuts = forest.thresholds(rows.where("is_train"), names)
+    # A model sees bins only, so its work grows with the kinds of rows, not with the rows.
+    counted = materialise(forest.binned_counts(rows, names, cuts, ["is_train", "y"]))
+    if (counted.agg(F.sum("n")).first()[0] or 0) < RISK_MIN_ROWS:
+        empty = "feature string, importance double, predicted_risk double, test_score double, confidence double"
+        return df.sparkSession.createDataFrame([], empty)
+    model = forest.fit(counted.where("is_train"), len(features), trees, seed=42)
+    n, y = F.col("n"), F.col("y")
+    held_out = counted.where("NOT is_train")
+    middle = held_out.agg((F.sum(n * y) / F.sum(n)).alias("middle"))
+    tested = forest.predict(held_out, model).join(middle)
+    error = F.sum(n * F.pow(y - F.col("prediction"), 2))
+    spread = F.when(F.min("y") < F.max("y"), F.sum(n * F.pow(y - F.col("middle"), 2)))
+    r2 = 1 - F.try_divide(error, spread)
     weights = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(float(model.featureImportances[i])).alias("importance"))
+        F.struct(F.lit(f).alias("feature"), F.lit(model.importance[i]).alias("importance"))
         for i, f in enumerate(features)
     ])
-    result = tested.agg(F.avg("prediction").alias("predicted_risk"), r2.alias("test_score"), clamp_confidence(r2).alias("confidence"))
+    risk = F.sum(n * F.col("prediction")) / F.sum(n)
+    result = tested.agg(risk.alias("predicted_risk"), r2.alias("test_score"), clamp_confidence(r2).alias("confidence"))
     return result.select(F.inline(weights), "predicted_risk", "test_score", "confidence")
