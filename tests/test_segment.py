@@ -174,3 +174,38 @@ def test_rounds_leave_one_table(spark):
     before = set(folder.glob("table-*"))
     assert segment.connected_components(edges).where("component <> 0").isEmpty()
     assert len(set(folder.glob("table-*")) - before) == 1
+
+
+def test_coarse_levels_of_a_walk_are_not_dealt_by_cell(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 3)
+    rng = np.random.default_rng(4)
+    plans, write = [], neighbours.materialise
+
+    def seen(df, *args, **kwargs):
+        if "radius" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args, **kwargs)
+
+    monkeypatch.setattr(neighbours, "materialise", seen)
+    rows = [[float(a), None if rng.random() < 0.2 else float(b)] for a, b in rng.normal(size=(300, 2))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neighbours.impute_knn(df, ["a", "b"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    np.testing.assert_allclose(sorted(map(list, got)), sorted(brute_knn(rows, 5)), rtol=1e-9)
+    walks = [line for plan in plans for line in plan.splitlines() if "Join" in line and "shiftright(to_c" in line]
+    assert walks and all("BroadcastHashJoin" in line for line in walks)
+
+
+@pytest.mark.parametrize("coarse", [0, 4])
+def test_imputation_with_levels_dealt_by_cell(spark, monkeypatch, coarse):
+    for name, value in (("LEAF_ROWS", 3), ("COARSE_CELLS", coarse), ("TASK_ROWS", 7)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(6)
+    rows = [[None if j < 2 and rng.random() < 0.2 else float(v) for j, v in enumerate(r)] for r in rng.normal(size=(90, 3)).round(1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = neighbours.impute_knn(df, ["a", "b", "c"]).collect()
+    np.testing.assert_allclose(sorted(map(list, got)), sorted(brute_knn(rows, 5)), rtol=1e-9)

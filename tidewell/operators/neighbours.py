@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ STRIDE = 2
 TIGHTEN_EVERY = 3
 # Levels whose cells are cut at quantiles.
 RANK_BITS = 5
+# Levels of at most so many cells are sent to all tasks: dealt by cell, their rows would meet in a few tasks.
+COARSE_CELLS = 16384
+# Receivers a task holds with their cells and candidates.
+TASK_ROWS = 100_000
 
 
 def _near(dims: int) -> Column:
@@ -69,7 +74,33 @@ def _cell_boxes(donors: DataFrame, dims: int, first: int, last: int) -> DataFram
         {f"c{i}": F.expr(f"shiftright(f{i}, {last} - level)") for i in range(dims)}
     )
     wider = [f(f"{e}{i}").alias(f"{e}{i}") for i in range(dims) for e, f in (("lo", F.min), ("hi", F.max))]
-    return materialise(spread.groupBy("s", "level", *names).agg(F.sum("n").alias("n"), *wider))
+    return materialise(spread.groupBy("s", "level", *names).agg(F.sum("n").alias("n"), *wider), folders=["level"])
+
+
+class _Grid:
+    """The boxes of each level, read from a folder of their own so that the planner knows their size."""
+
+    def __init__(self):
+        self.tables, self.cells = {}, {}
+
+    def add(self, boxes: DataFrame) -> None:
+        reader = boxes.sparkSession.read.schema(boxes.drop("level").schema)
+        for row in boxes.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("most")).collect():
+            self.tables[row["level"]] = reader.parquet(f"{boxes.table_path}/level={row['level']}")
+            self.cells[row["level"]] = row["cells"]
+            self.most = row["most"] if row["level"] == max(self.tables) else self.most
+
+    def at(self, level: int) -> DataFrame:
+        table = self.tables[level]
+        return F.broadcast(table) if self.cells[level] <= COARSE_CELLS else table
+
+    def together(self, coarse: bool) -> DataFrame | None:
+        """All coarse or all other levels as one table."""
+        chosen = [t.withColumn("level", F.lit(n)) for n, t in self.tables.items() if (self.cells[n] <= COARSE_CELLS) == coarse]
+        if not chosen:
+            return None
+        found = reduce(DataFrame.unionByName, chosen)
+        return F.broadcast(found) if coarse else found
 
 
 def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataFrame:
@@ -103,23 +134,33 @@ def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataF
             codes[f"g{i}"] = (bucket.cast("bigint") * (1 << rest) + inside).cast("bigint")
         return join_on(df, spans, ["s"]).withColumns(codes).drop("donors", *[f"cuts{i}" for i in range(dims)])
 
-    donors, receivers = materialise(with_codes(donors, ys)), with_codes(receivers.select("s", "rid", *xs), xs)
+    donors = materialise(with_codes(donors, ys))
+    receivers = materialise(with_codes(receivers.select("s", "rid", *xs), xs))
+    if not most:
+        return join_on(receivers, donors, ["s"]).select("s", "rid", F.lit(0.0).alias("dist2"), "value", *ys)
+    spark = donors.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), receivers.count() // TASK_ROWS)
 
     # Deepen the grid until no cell holds many donors.
-    depth, boxes = 0, None
+    depth, grid = 0, _Grid()
     while True:
-        more = max(2, math.ceil(math.log2(max(most / LEAF_ROWS, 2)) / dims)) if boxes is None else 4
+        more = 4 if depth else max(2, math.ceil(math.log2(max(most / LEAF_ROWS, 2)) / dims))
         last = min(depth + more, GRID_BITS)
-        found = _cell_boxes(donors, dims, depth + 1, last)
-        boxes = found if boxes is None else boxes.unionByName(found)
+        grid.add(_cell_boxes(donors, dims, depth + 1, last))
         depth = last
-        if (found.where(F.col("level") == depth).agg(F.max("n")).first()[0] or 0) <= LEAF_ROWS or depth == GRID_BITS:
+        if grid.most <= LEAF_ROWS or depth == GRID_BITS:
             break
 
     # First radius: the farthest corner of the smallest cell around the receiver that holds k donors.
-    levels = F.explode(F.sequence(F.lit(1), F.lit(depth)))
-    around = receivers.withColumn("level", levels).withColumns(_at_level(dims, "level")).join(boxes, ["s", "level", *names])
-    radius = around.where(F.col("n") >= k).groupBy("s", "rid").agg(F.min(_far(dims)).alias("radius"))
+    radii = []
+    for coarse in (True, False):
+        boxes = grid.together(coarse)
+        if boxes is not None:
+            levels = [n for n, cells in grid.cells.items() if (cells <= COARSE_CELLS) == coarse]
+            of = receivers.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumns(_at_level(dims, "level"))
+            around = of.join(boxes, ["s", "level", *names]).where(F.col("n") >= k)
+            radii.append(around.groupBy("s", "rid").agg(F.min(_far(dims)).alias("radius")))
+    radius = reduce(DataFrame.unionByName, radii).groupBy("s", "rid").agg(F.min("radius").alias("radius"))
     frontier = join_on(receivers.select("s", "rid", *xs), radius, ["s", "rid"], "left").withColumns(
         {c: F.lit(0).cast("bigint") for c in names}
     )
@@ -127,7 +168,7 @@ def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataF
     beyond = F.col("radius").isNotNull() & (F.col("near") > F.col("radius") * (1 + 1e-9))
     above, last = 0, None
     for step, level in enumerate([*range(STRIDE, depth, STRIDE), depth], start=1):
-        child = boxes.where(F.col("level") == level).drop("level").withColumnsRenamed({c: f"to_{c}" for c in ("s", *names)})
+        child = grid.at(level).withColumnsRenamed({c: f"to_{c}" for c in ("s", *names)})
         same = F.col("s") == F.col("to_s")
         for c in names:
             same = same & (F.col(c) == F.shiftright(F.col(f"to_{c}"), level - above))
@@ -140,13 +181,17 @@ def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataF
         if step % TIGHTEN_EVERY == 0 or level == depth:
             # The smallest far bound whose cells hold k donors in all.
             enough = F.min(F.when(F.col("_seen") >= k, F.col("far"))).over(Window.partitionBy("s", "rid"))
-            seen = frontier.withColumn("_seen", F.sum("n").over(by_far))
+            seen = frontier.repartition(parts, "s", "rid").withColumn("_seen", F.sum("n").over(by_far))
             last = materialise(seen.withColumn("radius", F.least("radius", enough)).where(~beyond).drop("_seen"), last)
             frontier = last
         frontier = frontier.select("s", "rid", *xs, "radius", *names)
     placed = donors.withColumns(_at_level(dims, depth))
     dist2 = _sum([(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(xs, ys)])
-    found = frontier.join(placed, ["s", *names]).select("s", "rid", dist2.alias("dist2"), "value", *ys)
+    found = frontier.repartition(parts, "s", *names).join(placed, ["s", *names])
+    found = found.select("s", "rid", "radius", dist2.alias("dist2"), "value", *ys)
+    # The radius holds k donors, so that few candidates are left to be sorted.
+    within = F.col("radius").isNull() | (F.col("dist2") <= F.col("radius") * (1 + 1e-9))
+    found = found.where(within).drop("radius").repartition(parts, "s", "rid")
     return top_n_per_key(found, ["s", "rid"], [F.asc(c) for c in ("dist2", *ys, "value")], k)
 
 
