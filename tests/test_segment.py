@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import neighbours, segment
 
@@ -209,3 +210,21 @@ def test_imputation_with_levels_dealt_by_cell(spark, monkeypatch, coarse):
     df = spark.createDataFrame(rows, "a double, b double, c double")
     got = neighbours.impute_knn(df, ["a", "b", "c"]).collect()
     np.testing.assert_allclose(sorted(map(list, got)), sorted(brute_knn(rows, 5)), rtol=1e-9)
+
+
+def test_donors_of_one_file_are_sorted_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TASK_DONORS", 40, raising=False)
+    rng = np.random.default_rng(8)
+    most, top = [], neighbours.top_n_per_key
+
+    def seen(df, keys, order, n):
+        if keys[0] == "s" and "rid" not in keys:
+            most.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first())
+        return top(df, keys, order, n)
+
+    monkeypatch.setattr(neighbours, "top_n_per_key", seen)
+    rows = [[None if rng.random() < 0.2 else float(v) for v in row] for row in rng.normal(size=(200, 3))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").coalesce(1)
+    got = neighbours.impute_knn(df, ["a", "b", "c"]).collect()
+    np.testing.assert_allclose(sorted(map(list, got)), sorted(brute_knn(rows, 5)), rtol=1e-9)
+    assert most[0][1] > 1000 and most[0][0] < most[0][1] / 10

@@ -32,8 +32,9 @@ TIGHTEN_EVERY = 3
 RANK_BITS = 5
 # Levels of at most so many cells are sent to all tasks: dealt by cell, their rows would meet in a few tasks.
 COARSE_CELLS = 16384
-# Receivers a task holds with their cells and candidates.
+# Receivers a task holds with their cells and candidates, and donors a task sorts.
 TASK_ROWS = 100_000
+TASK_DONORS = 500_000
 
 
 def _near(dims: int) -> Column:
@@ -118,7 +119,7 @@ def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataF
         for i, y in enumerate(ys)
     ]
     spans = materialise(donors.groupBy("s").agg(F.count(F.lit(1)).alias("donors"), *cuts))
-    most = spans.agg(F.max("donors")).first()[0] or 0
+    most, total = spans.agg(F.max("donors"), F.sum("donors")).first()
 
     def with_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         """Finest codes: the number of the quantile bucket, then the place inside it."""
@@ -139,7 +140,8 @@ def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataF
     if not most:
         return join_on(receivers, donors, ["s"]).select("s", "rid", F.lit(0.0).alias("dist2"), "value", *ys)
     spark = donors.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), receivers.count() // TASK_ROWS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), receivers.count() // TASK_ROWS, total // TASK_DONORS)
+    dealt = receivers.repartition(parts, "s", "rid")  # files may pack many receivers into a task
 
     # Deepen the grid until no cell holds many donors.
     depth, grid = 0, _Grid()
@@ -157,7 +159,7 @@ def nearest(receivers: DataFrame, donors: DataFrame, dims: int, k: int) -> DataF
         boxes = grid.together(coarse)
         if boxes is not None:
             levels = [n for n, cells in grid.cells.items() if (cells <= COARSE_CELLS) == coarse]
-            of = receivers.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumns(_at_level(dims, "level"))
+            of = dealt.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumns(_at_level(dims, "level"))
             around = of.join(boxes, ["s", "level", *names]).where(F.col("n") >= k)
             radii.append(around.groupBy("s", "rid").agg(F.min(_far(dims)).alias("radius")))
     radius = reduce(DataFrame.unionByName, radii).groupBy("s", "rid").agg(F.min("radius").alias("radius"))
@@ -230,9 +232,12 @@ def impute_knn(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
         shared = shared + both(j).cast("int")
     searches = lacking.join(having, "j").withColumn("shared", shared).where("shared > 0")
     searches = materialise(searches.withColumn("s", F.concat_ws(":", "j", "r_mask", "d_mask")))
+    # A row meets all searches of its pattern, so a task that reads a whole file would sort many times its rows.
+    meets = searches.groupBy("d_mask").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    spread = rows.repartition(stats[0] * meets // TASK_DONORS + 1, "_rid")
 
     def placed(side: str, axis: str, *more: Column) -> DataFrame:
-        sought = rows.join(searches, F.col("_mask") == F.col(f"{side}_mask"))
+        sought = spread.join(searches, F.col("_mask") == F.col(f"{side}_mask"))
         place = [F.when(both(j), F.col(values[j])).otherwise(0.0).alias(f"{axis}{p}") for p, j in enumerate(usable)]
         return sought.select("s", *more, *place)
 
