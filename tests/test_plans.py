@@ -3,6 +3,7 @@ import json
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +337,31 @@ def test_anomaly_counts_go_on_after_a_restart(spark, tmp_path):
     assert sorted(got, key=lambda r: (r[1], r[0])) == want and sum(r[3] for r in want) > 5
 
 
+def test_anomalies_are_counted_from_counted_values_of_closed_windows():
+    class Moments:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    rng = np.random.default_rng(3)
+    rows = [(int(h) * 3600, "a", None if v == 3 else float(v)) for h, v in zip(rng.integers(0, 6, 4000), rng.poisson(2, 4000) ** 2)]
+    counted = pd.DataFrame(rows, columns=["start", "key", "value"]).groupby(["start", "value"], dropna=False).size().rename("n").reset_index()
+    counter = stream.AnomalyCounter()
+    counter.moments, found = Moments(), []
+    for some in (counted[counted["start"] < 10800], counted[counted["start"] >= 10800]):
+        mixed = some.sample(frac=1, random_state=1)
+        found += list(counter.handleInputRows(("a",), iter([mixed[:5], mixed[5:]]), None))
+    got = [(r.start // 3600, r.group, r.events, r.anomalies, r.seen_before) for r in pd.concat(found).itertuples()]
+    assert got == plain_anomalies(rows, 6 * 3600) and sum(r[3] for r in got) > 20 and len(counted) < 100
+
+
 def test_store_replaces_and_deletes_whole_runs(spark):
     store = DatasetStore(spark, new_path(spark, "store"))
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "sector string, v int")

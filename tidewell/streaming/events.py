@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,63 +73,39 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 class AnomalyCounter(StatefulProcessor):
     """Counts, for each closed window of a group, the values far from what all windows before have shown.
 
-    The state of a group is three numbers, its running moments, and the values of windows that are still open. A timer at
-    the end of the earliest one compares the values of all windows that are closed by then, each with the moments before
-    it, and adds them, so that the order in which rows arrive inside the watermark does not matter.
+    The state of a group is three numbers, its running moments. Rows are the counted values of closed windows; all windows
+    that a batch closes are later than those of the batches before, so they are taken by their start.
     """
 
-    def __init__(self, width_ms: int):
-        self.width = width_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.moments = handle.getValueState("moments", "n long, mean double, m2 double")
-        self.waiting = handle.getListState("waiting", "start long, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs()
-        for batch in rows:
-            start = batch["ms"] - batch["ms"] % self.width
-            late = start + self.width <= closed
-            fresh = pd.DataFrame({"start": start, "value": batch["value"]})[~late]
-            if len(fresh):
-                self.waiting.appendList([(int(s), None if pd.isna(v) else float(v)) for s, v in zip(fresh["start"], fresh["value"])])
-                self.handle.registerTimer(int(fresh["start"].min()) + self.width)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        open_rows, windows = [], {}
-        for start, value in self.waiting.get():
-            if start + self.width <= now:
-                windows.setdefault(start, []).append(value)
-            else:
-                open_rows.append((start, value))
-        if open_rows:
-            self.waiting.put(open_rows)
-            self.handle.registerTimer(min(start for start, _ in open_rows) + self.width)
-        else:
-            self.waiting.clear()
+        batches = [[batch[c].to_numpy(float if c == "value" else int) for c in ("start", "value", "n")] for batch in rows]
+        starts, values, counts = (np.concatenate(column) for column in zip(*batches))
+        order = np.argsort(starts, kind="stable")
+        starts, values, counts = starts[order], values[order], counts[order]
         n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
         found = []
-        for start in sorted(windows):
-            values = [v for v in windows[start] if v is not None]
+        firsts = np.flatnonzero(np.diff(starts, prepend=starts[0] - 1))
+        for first, end in zip(firsts, [*firsts[1:], len(starts)]):
+            known = ~np.isnan(values[first:end])
+            v, c = values[first:end][known], counts[first:end][known]
             bound = DEVIATIONS * math.sqrt(m2 / n) if n >= MIN_BEFORE else math.inf
-            anomalies = sum(abs(v - mean) > bound for v in values)
-            found.append((start, key[0], len(windows[start]), anomalies, mean if n else None, n))
-            if values:  # moments of the window join those before
-                more = len(values)
-                middle = math.fsum(values) / more
-                spread = math.fsum((v - middle) ** 2 for v in values)
+            anomalies = int(c[np.abs(v - mean) > bound].sum())
+            found.append((int(starts[first]), key[0], int(counts[first:end].sum()), anomalies, mean if n else None, n))
+            if len(v):  # moments of the window join those before
+                more = int(c.sum())
+                middle = math.fsum(v * c) / more
+                spread = math.fsum((v - middle) ** 2 * c)
                 apart, both = middle - mean, n + more
                 m2 += spread + apart * apart * n * more / both
                 mean += apart * more / both
                 n = both
         self.moments.update((n, mean, m2))
-        if found:
-            yield pd.DataFrame(found, columns=["start", "group", "events", "anomalies", "mean_before", "seen_before"]).astype(
-                {"mean_before": "float64"}
-            )
+        yield pd.DataFrame(found, columns=["start", "group", "events", "anomalies", "mean_before", "seen_before"]).astype(
+            {"mean_before": "float64"}
+        )
 
     def close(self) -> None:
         pass
@@ -142,15 +119,16 @@ def anomaly_counts(events: DataFrame, time: str, group: str, value: str, width_s
     the RocksDB state store, which ``run_to_table`` sets.
     """
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    narrow = timed.select(
-        F.col(time).alias("at"), F.unix_millis(time).alias("ms"), F.col(group).alias("key"), F.col(value).cast("double").alias("value")
-    )
+    narrow = timed.select(F.col(time).alias("at"), F.col(group).alias("key"), F.col(value).cast("double").alias("value"))
+    # Open windows wait as counted values, dealt by window, group and value: a group is one task's only when they are closed.
+    counted = narrow.groupBy(F.window("at", f"{width_seconds} seconds").alias("w"), "key", "value").agg(F.count(F.lit(1)).alias("n"))
     kind = events.schema[group].dataType.simpleString()
-    found = narrow.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=AnomalyCounter(width_seconds * 1000),
+    closed = counted.select("key", F.unix_millis("w.start").alias("start"), "value", "n")
+    found = closed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=AnomalyCounter(),
         outputStructType=f"start long, group {kind}, events long, anomalies long, mean_before double, seen_before long",
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="None",
     )
     start = F.timestamp_millis("start").cast("timestamp_ntz").alias("window_start")
     return found.select(start, F.col("group").alias(group), "events", "anomalies", "mean_before", "seen_before")
