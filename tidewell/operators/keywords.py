@@ -11,6 +11,7 @@ from tidewell.session import materialise
 
 STOP_SHARE = 0.25  # a term in at least this share of a language's texts says nothing about one of them
 SHORTEST = 3
+COMMON_TERMS = 300_000  # terms that are sent to all tasks, most common first
 
 
 def term_counts(df: DataFrame, key: str, text: str, language: str | None = None, shortest: int = SHORTEST) -> DataFrame:
@@ -40,17 +41,19 @@ def keywords(
 
     The weight is the number of uses times the logarithm of how many texts of the language there are for one that has the
     term. Terms of a quarter of a language's texts or more are its stop words and left out: they are learned, so they need
-    no list, and no term that is left has more than a small share of all rows when frequencies are joined back.
+    no list. Frequencies of common terms are broadcast, only rows of the others meet theirs in a shuffle.
     """
-    counted = materialise(term_counts(df, key, text, language, shortest))  # read once for the corpus, once for the texts
-    frequencies = document_frequencies(counted)
+    counted = materialise(term_counts(df, key, text, language, shortest))  # read for the corpus and for the texts
+    frequencies = materialise(document_frequencies(counted))
+    # Terms in this many texts or more are COMMON_TERMS at most, and make up nearly all rows: these need no shuffle.
+    often = (frequencies.agg(F.sum("texts")).first()[0] or 0) // COMMON_TERMS + 1
     same = [F.col("lang").eqNullSafe(F.col("of")), F.col("term") == F.col("word")]
-    # A text has few distinct terms, so few terms can be in a quarter of all: this side is small at any size.
-    stops = frequencies.where("stop").select(F.col("lang").alias("of"), F.col("term").alias("word"))
-    telling = counted.join(stops, same, "left_anti")
-    rest = frequencies.where("NOT stop").select(F.col("lang").alias("of"), F.col("term").alias("word"), "texts", "all")
+    looked_up = frequencies.select(F.col("lang").alias("of"), F.col("term").alias("word"), "texts", "all", "stop")
+    common = F.broadcast(looked_up.where(F.col("texts") >= often))
+    rare = counted.join(common, same, "left_anti").join(looked_up.where(F.col("texts") < often), same)
     weight = F.col("uses") * F.log((F.col("all") + 1) / (F.col("texts") + 1))
-    weighed = telling.join(rest, same).select("key", "term", "uses", F.round(weight, 9).alias("weight"))
+    weighed = counted.join(common, same).unionByName(rare).where("NOT stop")
+    weighed = weighed.select("key", "term", "uses", F.round(weight, 9).alias("weight"))
     best = top_n_per_key(weighed, ["key"], [F.desc("weight"), F.asc("term")], n)
     return best.select(F.col("key").alias(key), "term", "uses", "weight")
 
